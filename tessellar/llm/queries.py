@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secrets, sharding, toxicity
+from . import bpe, mixing, permutation, secrets, sharding, topk, toxicity, vectors
 from .common import table
 
 
@@ -31,10 +31,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _each_twentieth(rows: DataFrame) -> DataFrame:
+    return vectors.one_per_id(rows.filter("vec_id % 20 = 0"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.usable(table(spark, sf_dir, "embeddings"), zeros=False)
+    return permutation.search(rows, _each_twentieth(rows))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantised(vectors.usable(table(spark, sf_dir, "embeddings"), zeros=True))
+    return topk.search(rows, _each_twentieth(rows))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -43,8 +57,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_nearest": op7_nearest,
     "op8_mixing": op8_mixing,
+    "op9_top_k": op9_top_k,
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+                   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+    """,
+}
