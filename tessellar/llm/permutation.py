@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded hash sample of the vectors (``PIVOTS``). A vector is represented by its nearest pivots in order
+Pivots are a bounded hash sample of the vectors (``PIVOTS``); nearness to them is taken in a space whitened by
+``SAMPLED`` times as many. A vector is represented by its nearest pivots in order
 (``LISTED`` of them). Each block of vectors posts them in inverted files, one per pivot: the pivot's place in each
 vector's list, or ``LISTED`` where it isn't listed. A query reads the files of its own listed pivots and sums the
 differences of places (the footrule distance over these pivots); the share ``RERANKED`` of a block with the least
@@ -21,19 +22,34 @@ from . import vectors
 
 PIVOTS = 255
 LISTED = 255
-RERANKED = 0.15
+RERANKED = 0.12
 #: Rows looked at for distinct pivots, as a multiple of their number.
 SAMPLED = 8
 LEAST = 400
 
 
-def _lists(v: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
-    return np.argsort(-(v.astype(np.float32) @ pivots.T), axis=1, kind="stable")[:, :listed]
+def fitted(sample: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots and offsets: nearness to pivot p is ``v @ directions[:, p] + offsets[p]``.
 
+    That is the cosine's numerator after whitening by the sample, so that one crowded direction, as a large group of
+    alike vectors makes, doesn't decide all lists.
+    """
+    mean = sample.mean(axis=0)
+    spread, axes = np.linalg.eigh(np.cov((sample - mean).T, ddof=0).reshape(sample.shape[1], -1))
+    whiten = (axes / np.sqrt(spread + 1e-3 * spread.max() + 1e-12)) @ axes.T
+    p = (sample[:pivots] - mean) @ whiten
+    p /= np.linalg.norm(p, axis=1, keepdims=True) + 1e-12
+    directions = whiten @ p.T
+    return directions.astype(np.float32), -(mean @ directions).astype(np.float32)
 
-def inverted_files(v: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
+
+def _lists(v: np.ndarray, pivots: tuple[np.ndarray, np.ndarray], listed: int) -> np.ndarray:
+    return np.argsort(-(v.astype(np.float32) @ pivots[0] + pivots[1]), axis=1, kind="stable")[:, :listed]
+
+
+def inverted_files(v: np.ndarray, pivots: tuple[np.ndarray, np.ndarray], listed: int) -> np.ndarray:
     """Row p: the place of pivot p in each vector's list, ``listed`` where it isn't there."""
-    files = np.full((len(v), len(pivots)), listed, np.uint8)
+    files = np.full((len(v), len(pivots[1])), listed, np.uint8)
     np.put_along_axis(files, _lists(v, pivots, listed), np.arange(listed, dtype=np.uint8)[None, :], 1)
     return np.ascontiguousarray(files.T)
 
@@ -42,22 +58,25 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOT
     """query_id, rank, vec_id, score: each query's k nearest found by inner product. Both take vec_id and v."""
     # a bounded number of vectors
     chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(SAMPLED * pivots).select("v").collect()
-    p = np.array(list(dict.fromkeys(tuple(r["v"]) for r in chosen))[:pivots], np.float32)
-    listed = max(1, min(listed, len(p), 255))
+    sample = np.array(list(dict.fromkeys(tuple(r["v"]) for r in chosen)))
+    p = fitted(sample, pivots) if len(sample) else None
+    listed = max(1, min(listed, pivots, len(sample), 255))
 
     def best(ids, v, qids, q):
-        if not len(p):
-            return
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
         files = inverted_files(v, p, listed)
         places = np.arange(listed, dtype=np.uint8)[:, None]
         n = min(len(ids), max(LEAST, k + 1, int(np.ceil(reranked * len(ids)))))
         for i, own in enumerate(_lists(q, p, listed)):
             posted = files[own]
             footrule = (np.maximum(posted, places) - np.minimum(posted, places)).sum(axis=0, dtype=np.uint16)  # at most 255 * 255
-            near = np.argpartition(footrule, n - 1)[:n]
+            edge = np.partition(footrule, n - 1)[n - 1]
+            near = np.flatnonzero(footrule < edge)
+            near = np.concatenate([near, np.flatnonzero(footrule == edge)[: n - len(near)]])  # ties to the smaller id
             near = near[ids[near] != qids[i]]
             scores = np.einsum("ij,j->i", v[near], q[i])
             chosen = vectors.top(scores, ids[near], k)
-            yield i, near[chosen], scores[chosen]
+            yield i, order[near[chosen]], scores[chosen]
 
     return vectors.against_all(rows, queries, k, best, "double")
