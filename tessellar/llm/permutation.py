@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from . import vectors
 
-PIVOTS = 255
-LISTED = 255
+PIVOTS = 126
+LISTED = 126
 RERANKED = 0.12
 #: Rows looked at for distinct pivots, as a multiple of their number.
-SAMPLED = 8
+SAMPLED = 16
 LEAST = 400
 
 
@@ -60,7 +60,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOT
     chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(SAMPLED * pivots).select("v").collect()
     sample = np.array(list(dict.fromkeys(tuple(r["v"]) for r in chosen)))
     p = fitted(sample, pivots) if len(sample) else None
-    listed = max(1, min(listed, pivots, len(sample), 255))
+    listed = max(1, min(listed, pivots, len(sample), 127))
 
     def best(ids, v, qids, q):
         order = np.argsort(ids, kind="stable")
@@ -70,7 +70,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOT
         n = min(len(ids), max(LEAST, k + 1, int(np.ceil(reranked * len(ids)))))
         for i, own in enumerate(_lists(q, p, listed)):
             posted = files[own]
-            footrule = (np.maximum(posted, places) - np.minimum(posted, places)).sum(axis=0, dtype=np.uint16)  # at most 255 * 255
+            apart = np.maximum(posted, places) - np.minimum(posted, places)
+            even = len(apart) // 2 * 2
+            pairs = apart[:even:2] + apart[1:even:2]  # at most 2 * 127, so still bytes
+            footrule = pairs.sum(axis=0, dtype=np.uint16) + apart[even:].sum(axis=0, dtype=np.uint16)
             edge = np.partition(footrule, n - 1)[n - 1]
             near = np.flatnonzero(footrule < edge)
             near = np.concatenate([near, np.flatnonzero(footrule == edge)[: n - len(near)]])  # ties to the smaller id
