@@ -4,8 +4,8 @@
    Documents of equal sets are one class from here on, whatever their number; its smallest id stands for it.
 2. Each tree is a sorted order of the labels. A region is a run of classes that share a prefix of ``SHALLOW`` hashes;
    the candidates of a class are the neighbours that follow it in a region, i.e. those of the longest common prefix.
-3. Candidates whose signatures agree enough are links to confirm. In rounds, every class proposes its best candidate
-   outside its component; proposals are confirmed on the full sets, accepted ones merge components, refused ones are
+3. Candidates whose signatures agree enough are links to confirm. In rounds, every class proposes its best candidates
+   outside its component, a few first, all in the last round; proposals are confirmed on the full sets, accepted ones merge components, refused ones are
    struck off. So copies of a group cost a few confirmations each, not all pairs.
 4. When no candidate is left, regions that still hold several components are searched for all pairs across
    components. The depth adapts: a region of more than ``CROWDED`` classes is split by further hashes, up to ``DEPTH``;
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BROADCAST_ROWS, cut
 from .hashing import mixed, shingles, word_hashes
@@ -35,6 +36,8 @@ from .hashing import mixed, shingles, word_hashes
 TREES, DEPTH, SHALLOW, CROWDED, NEIGHBOURS = 24, 6, 4, 1024, 3
 HASHES = TREES * DEPTH
 LABEL = 2 * DEPTH
+#: Candidates that a class proposes in each round; None: all that are left.
+PROPOSALS = (1, 4, 32, None)
 #: Texts hashed at once, in characters.
 CHUNK = 1 << 20
 #: Share of signature bytes that must agree for a candidate: below the threshold by this many standard deviations.
@@ -219,17 +222,27 @@ def _confirmed(proposals: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def connected(edges: DataFrame) -> DataFrame:
     """id, comp: the smallest id of each vertex's component, by minima over neighbours and pointer jumps."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        jump = step.select(F.col("id").alias("mid"), F.col("mid").alias("root"))
-        new = cut(step.join(jump, "mid").select("id", "old", F.col("root").alias("comp")))
+        for _ in range(2):
+            near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+            step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+            jump = step.select(F.col("id").alias("mid"), F.col("mid").alias("root"))
+            labels = step.join(jump, "mid").select("id", "old", F.col("root").alias("comp"))
+        new = cut(labels)
         labels = new.select("id", "comp")
         if new.filter("comp <> old").isEmpty():
             return labels
 
 
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after links (a, b, ca, cb) between components; only these are looked at, not the links before."""
+    new = connected(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("id"), F.col("cb").alias("comp")))).alias("x")).select("x.*")
+    known = ends.distinct() if comps is None else ends.unionByName(comps).distinct()
+    return cut(known.join(new, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+
+
 def _labelled(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     """``pairs`` with the components of both ends; those within a component are dropped."""
     if comps is None:
@@ -251,7 +264,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     found = in_order.mapInArrow(_neighbours, "a long, b long").filter("a <> b").distinct()
     sigs = classes.select("rep", "sig")
     pairs = cut(_estimated(found, sigs, least))
-    links, comps, tried, sets = None, None, None, None
+    comps, tried = None, None
     for whole in (False, True):
         if whole:
             of = trees if comps is None else trees.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -266,18 +279,20 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
             continue
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = cut(_full_sets(docs, cut(ids), shingle).groupBy("id").agg(F.first("set").alias("set")))
-        while True:
-            open_pairs = _labelled(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), comps)
-            ends = open_pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("id"))
-            best = cut(ends.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("est", F.col("a") * -1, F.col("b") * -1)).alias("p")).select("p.a", "p.b").distinct())
-            if best.isEmpty():
+        for most in PROPOSALS:
+            left = cut(_labelled(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), comps))
+            if left.isEmpty():
                 break
+            best = left
+            if most:
+                order = Window.partitionBy("id").orderBy(F.desc("est"), "a", "b")
+                ends = left.withColumn("id", F.explode(F.array("a", "b")))
+                best = ends.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select(*left.columns).distinct()
             judged = cut(_confirmed(best, sets, percent))
             tried = judged.select("a", "b") if tried is None else cut(tried.unionByName(judged.select("a", "b")))
-            linked = judged.filter("linked").select("a", "b")
+            linked = cut(judged.filter("linked").select("a", "b").join(left.select("a", "b", "ca", "cb"), ["a", "b"]))
             if not linked.isEmpty():
-                links = linked if links is None else links.unionByName(linked)
-                comps = connected(links)
+                comps = _merged(comps, linked)
     of_class = classes.select("fp", "rep") if comps is None else classes.join(comps, classes["rep"] == comps["id"], "left").select("fp", F.coalesce("comp", "rep").alias("rep"))
     out = all_docs.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
