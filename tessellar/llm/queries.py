@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, mixing, neardup, permutation, secrets, sharding, topk, toxicity, vectors
+from . import bpe, language_model, mixing, neardup, permutation, secrets, sharding, token_files, topk, toxicity, vectors
 from .common import table
 
 
@@ -39,6 +39,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.shared_path(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    read = token_files.read(spark, path)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
 def _each_twentieth(rows: DataFrame) -> DataFrame:
     return vectors.one_per_id(rows.filter("vec_id % 20 = 0"))
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_token_files": op6_token_files,
     "op7_nearest": op7_nearest,
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
