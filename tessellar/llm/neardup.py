@@ -219,17 +219,43 @@ def _confirmed(proposals: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return proposals.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long, linked boolean")
 
 
+def _connected_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of one task."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, comp = ends[: len(a)], ends[len(a) :], np.arange(len(ids))
+    while True:
+        new = comp.copy()
+        least = np.minimum(comp[a], comp[b])
+        np.minimum.at(new, comp[a], least)
+        np.minimum.at(new, comp[b], least)
+        new = new[new][comp]
+        new = new[new]
+        if (new == comp).all():
+            break
+        comp = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[comp], pa.int64())], names=["id", "comp"])
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """id, comp: the smallest id of each vertex's component, by minima over neighbours and pointer jumps."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
+    """id, comp: the smallest id of each vertex's component.
+
+    Edges that a count shows to be at most ``BROADCAST_ROWS`` meet in one task; more are settled by rounds of minima over
+    neighbours and pointer jumps.
+    """
+    edges = edges.select("a", "b")
+    if edges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return edges.repartition(1).mapInArrow(_connected_here, "id long, comp long")
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
-        for _ in range(2):
-            near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-            step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-            jump = step.select(F.col("id").alias("mid"), F.col("mid").alias("root"))
-            labels = step.join(jump, "mid").select("id", "old", F.col("root").alias("comp"))
-        new = cut(labels)
+        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        step = cut(labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid")))
+        jump = step.select(F.col("id").alias("mid"), F.col("mid").alias("root"))
+        new = cut(step.join(jump, "mid").select("id", "old", F.col("root").alias("comp")))
         labels = new.select("id", "comp")
         if new.filter("comp <> old").isEmpty():
             return labels
