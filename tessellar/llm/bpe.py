@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Code points of a chunk that is scanned at once, unless one text has more.
 CHUNK = 1 << 20
@@ -249,7 +250,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), offs
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of ``encode`` with ``text``: the text of the ids, invalid bytes replaced."""
-    schema = encoded.schema.add("text", "string")
+    schema = StructType([*encoded.schema.fields]).add("text", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
