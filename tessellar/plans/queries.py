@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..operators import graph, linkage, metrics, reports, retrieval, selection
+from ..operators import documents, graph, linkage, metrics, reports, retrieval, selection
 from ..streaming import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,3 +375,82 @@ def topo_order(spark, d):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_event_counts(spark, d):
     return corpus.windowed_counts(_t(spark, d, "events"), "ts", "event_type")
+
+
+# --- documents and pages ---
+
+
+def _entries(spark, d):
+    """Steps of conversations as entries of a hierarchy: role and turn make the dotted path."""
+    section = F.array_position(F.array(*map(F.lit, ("system", "user", "assistant"))), F.col("role"))
+    path = F.concat_ws(".", section.cast("string"), F.col("turn").cast("string"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", path.alias("path"), T.blank(F.col("text")).alias("text"))
+
+
+_SECTION = "list_position(['system', 'user', 'assistant'], role)"
+
+
+@query(f"SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY {_SECTION}, turn, coalesce(text, '')) AS text FROM conversations GROUP BY conv_id")
+def hier_flatten(spark, d):
+    return documents.flatten_hierarchy(_entries(spark, d), "conv_id", "path", "text")
+
+
+@query(f"""WITH c AS (SELECT conv_id, CAST({_SECTION} AS VARCHAR) AS section, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, '')) AS text FROM conversations GROUP BY 1, 2),
+ok AS (SELECT * FROM c WHERE length(text) >= 200)
+SELECT * FROM ok UNION ALL SELECT conv_id, 'full', string_agg(coalesce(text, ''), chr(10) ORDER BY {_SECTION}, turn, coalesce(text, '')) FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM ok) GROUP BY conv_id""")
+def section_chunks(spark, d):
+    return documents.section_chunks(_entries(spark, d), "conv_id", "path", "text", 200)
+
+
+@query("""WITH n AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 3) AS BIGINT) AS chunk FROM conversations)
+SELECT conv_id, chunk, string_agg(text, chr(10) ORDER BY turn) AS text FROM n GROUP BY 1, 2""")
+def packed_chunks(spark, d):
+    return documents.pack(_t(spark, d, "conversations"), "conv_id", "turn", "text", 3)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS upto, sum(length(text)) OVER (PARTITION BY conv_id) AS total FROM conversations)
+SELECT conv_id, turn FROM c WHERE upto - n < 300 AND total >= 300""")
+def heuristic_prefix_sum(spark, d):
+    return documents.paragraphs_until(_t(spark, d, "conversations"), "conv_id", "turn", "text", 300).select("conv_id", "turn")
+
+
+@query()
+def page_sections(spark, d):
+    return documents.page_sections(_t(spark, d, "pages"), "page_id", "html")
+
+
+@query()
+def original_link_pick(spark, d):
+    return _t(spark, d, "pages").select("page_id", documents.first_link(F.col("html"), F.lit(""), "href").alias("link"))
+
+
+@query("SELECT page_id, upper(regexp_extract(coalesce(url, ''), '(?i)(p[0-9]+)', 1)) AS linked FROM pages")
+def id_from_url(spark, d):
+    return _t(spark, d, "pages").select("page_id", documents.linked_id(F.col("url"), "p").alias("linked"))
+
+
+@query("""WITH t AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^\\pL\\pN_]+'), lambda t: t <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^\\pL\\pN_]+'), lambda t: t <> '')) AS b FROM part)
+SELECT p_partkey, round(len(list_intersect(a, b)) / greatest(1, len(list_distinct(list_concat(a, b)))), 6) AS sim FROM t""")
+def title_jaccard(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.round(T.jaccard(T.token_set(F.col("p_name")), T.token_set(F.col("p_type"))), 6).alias("sim"))
+
+
+@query()
+def pair_consistency(spark, d):
+    c = _t(spark, d, "conversations")
+    side = lambda role, name: c.filter(F.col("role") == role).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias(name))
+    p = side("user", "a").join(side("assistant", "b"), "conv_id").withColumns({"ta": F.left("a", F.lit(80)), "tb": F.left("b", F.lit(80))})
+    words = ["the", "and", "of", "to", "in"]
+    return documents.consistency(p, "a", "b", "ta", "tb", actions=words, materials=words).drop("a", "b", "ta", "tb")
+
+
+@query("SELECT round(avg(CASE WHEN s >= 0.4 THEN 1.0 ELSE 0 END), 6) AS sim_hit, round(avg(s), 6) AS avg_max_sim FROM (SELECT query, greatest(max(sim), 0) AS s FROM (SELECT a.vec_id AS query, round(list_inner_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark)) GROUP BY 1)")
+def simhit(spark, d):
+    best = _knn(spark, d, 2).filter("vec_id <> query").groupBy("query").agg(F.max("sim").alias("sim"))
+    m = metrics.similarity_hits(best, "sim", 0.4)
+    return m.select(F.round("sim_hit", 6).alias("sim_hit"), F.round("avg_max_sim", 6).alias("avg_max_sim"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_fields(spark, d):
+    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
