@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, mixing, neardup, permutation, secrets, sharding, token_files, topk, toxicity, vectors
+from . import bpe, language_model, mixing, neardup, oracles, permutation, secrets, sharding, token_files, topk, toxicity, vectors
 from .common import table
 
 
@@ -82,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": oracles.secret_scan(),
     "op9_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
