@@ -66,3 +66,36 @@ def test_json_readers(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"id": 3}, {"id": 4}]')
     assert sorted(r["id"] for r in files.read_json(spark, str(tmp_path / "a.jsonl"), "id long").collect()) == [1, 2]
     assert sorted(r["id"] for r in files.read_any_json(spark, str(tmp_path / "b.json"), "id long").collect()) == [3, 4]
+
+
+def test_external_models_are_pluggable(spark):
+    from tessellar.operators import external
+
+    p = spark.createDataFrame([(1, "red fox", "a fox"), (1, "red fox", "red fox runs"), (1, "red fox", None)], "q long, query string, text string")
+    s = external.scored(p, external.overlap_model, "query", "text")
+    assert [r["ce_score"] for r in external.reranked_first(s, "q", [F.col("text").desc_nulls_last()], 2).orderBy("rank").collect()] == [1.0, 0.5]
+    assert external.answered(p, external.echo_model, "q", "query").filter("length(answer) = 32").count() == 3
+    got = spark.range(1).select(external.evidence(F.array(F.lit("abcdef"), F.lit("x")), 3).alias("e")).first()["e"]
+    assert got == "[EVIDENCE 1] abc\n\n[EVIDENCE 2] x"
+
+
+def test_documents(spark):
+    from tessellar.operators import documents
+
+    e = spark.createDataFrame([(1, "1.10", "c"), (1, "1.2", "b"), (1, "2", "dddd"), (2, "1", "x")], "k long, p string, t string")
+    assert {r["k"]: r["text"] for r in documents.flatten_hierarchy(e, "k", "p", "t").collect()} == {1: "b\nc\ndddd", 2: "x"}
+    assert sorted((r["k"], r["section"]) for r in documents.section_chunks(e, "k", "p", "t", 4).collect()) == [(1, "2"), (2, "full")]
+    page = spark.createDataFrame([(1, "<p>one<br>two <b>x</b><script>no</script><p>10.1234/self 10.1234/other")], "i long, h string")
+    assert [r["text"] for r in documents.page_sections(page, "i", "h").orderBy("pos").collect()] == ["one", "two x", "10.1234/self 10.1234/other"]
+    assert page.select(documents.first_link(F.col("h"), F.lit("10.1234/self"), "nowhere").alias("l")).first()["l"] == "10.1234/other"
+
+
+def test_stream_counts(spark, tmp_path):
+    from tessellar.streaming import corpus
+
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1,), (1,), (2,)], "id long").write.parquet(src)
+    stream = corpus.first_seen(spark.readStream.schema("id long").parquet(src), "id")
+    q = stream.writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r["id"] for r in spark.table("seen").collect()) == [1, 2]
