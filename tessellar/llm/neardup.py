@@ -103,7 +103,6 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = F.broadcast(ids) if few else ids
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    # an id that repeats with other texts has one set: the class asks for it by its fingerprint below
     return wanted.mapInArrow(work, "id long, set binary")
 
 
@@ -216,7 +215,7 @@ def _confirmed(proposals: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     of = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
-    return proposals.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long, linked boolean")
+    return proposals.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def _connected_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +303,8 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
         if pairs.isEmpty():
             continue
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = cut(_full_sets(docs, cut(ids), shingle).groupBy("id").agg(F.first("set").alias("set")))
+        # repeated rows have one set, an id that repeats with other texts has several
+        sets = cut(_full_sets(docs, cut(ids), shingle).groupBy("id", F.xxhash64("set")).agg(F.first("set").alias("set")).select("id", "set"))
         for most in PROPOSALS:
             left = cut(_labelled(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), comps))
             if left.isEmpty():
