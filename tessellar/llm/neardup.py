@@ -8,8 +8,9 @@
    outside its component, a few first, all in the last round; proposals are confirmed on the full sets, accepted ones merge components, refused ones are
    struck off. So copies of a group cost a few confirmations each, not all pairs.
 4. When no candidate is left, regions that still hold several components are searched for all pairs across
-   components. The depth adapts: a region of more than ``CROWDED`` classes is split by further hashes, up to ``DEPTH``;
-   what remains is compared whole, block by block. Then the rounds go on, and end.
+   components. The depth adapts: a region of more than ``CROWDED`` classes is split by further hashes, up to ``DEPTH``.
+   Classes with a candidate there bring their full sets into the region and are compared in place, so only links leave it,
+   not the pairs alike by signature alone. Regions whose sets exceed ``HELD_BYTES`` emit their candidates to the rounds.
 
 Two sets at the threshold share a region of some tree but for odds of about 2e-8 (1e-5 in crowded regions). Everything is
 distributed: links, components and fingerprints never reach the driver.
@@ -40,6 +41,8 @@ LABEL = 2 * DEPTH
 PROPOSALS = (1, 4, 32, None)
 #: Texts hashed at once, in characters.
 CHUNK = 1 << 20
+#: Bytes of the full sets that a task may hold of one region.
+HELD_BYTES = 32 << 20
 #: Share of signature bytes that must agree for a candidate: below the threshold by this many standard deviations.
 SLACK = 4.5
 
@@ -139,52 +142,109 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).mean(axis=-1) - 1 / 256) * (256 / 255)
 
 
-def _across(label: np.ndarray, comp: np.ndarray, sig: np.ndarray, depth: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs across components of a sorted region that may be links."""
+def _across(label: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, depth: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a sorted region: a place, and later places of other components that may be linked with it by size and signature."""
     if len(comp) > CROWDED and depth < DEPTH:
         part = label[:, 2 * depth : 2 * depth + 2]
         edges = [0, *(np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1).tolist(), len(comp)]
         for lo, hi in zip(edges, edges[1:], strict=False):
             if hi - lo > 1:
-                yield from ((lo + i, lo + j) for i, j in _across(label[lo:hi], comp[lo:hi], sig[lo:hi], depth + 1, least))
+                yield from ((lo + i, lo + j) for i, j in _across(label[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], depth + 1, least, percent))
         return
     for i in range(len(comp) - 1):
-        others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        later = slice(i + 1, None)
+        sizes = 100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])
+        others = i + 1 + np.flatnonzero((comp[later] != comp[i]) & sizes)
         for k in range(0, len(others), 4096):
             near = others[k : k + 4096]
             near = near[_agreement(sig[near], sig[i]) >= least]
             if len(near):
-                yield np.full(len(near), i), near
+                yield i, near
 
 
-def _mixed_regions(least: float):
-    """Of rows (tree, label, id, comp, sig) in order, in regions of several components: pairs across components."""
+#: Columns of a region's rows, and how they are read; sets come last, where they are needed.
+REGION = "tree int, label binary, id long, comp long, n long, sig binary"
+
+
+def _objects(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    return out
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Of ``REGION`` rows in order, with sets or not: columns of whole regions, where each begins, and the end."""
+    held: list[np.ndarray] | None = None
+
+    def edges(parts: list[np.ndarray]) -> list[int]:
+        tree, key = parts[0], np.ascontiguousarray(parts[1][:, : 2 * SHALLOW]).view(">u8").ravel()
+        return [0, *(np.flatnonzero((key[1:] != key[:-1]) | (tree[1:] != tree[:-1])) + 1).tolist(), len(tree)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, label, ids, comp, n, sig, *sets = batch.columns
+        new = [tree.to_numpy(), _fixed(label, LABEL), ids.to_numpy(), comp.to_numpy(), n.to_numpy(), _fixed(sig, HASHES), *map(_objects, sets)]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        at = edges(held)
+        if len(at) > 2:  # the last region may go on
+            yield [x[: at[-2]] for x in held], at[:-1]
+            held = [x[at[-2] :] for x in held]
+    if held is not None:
+        yield held, edges(held)
+
+
+def _involved(least: float, percent: int):
+    """The rows that have a candidate in their region."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        for (tree, label, ids, comp, n, sig), edges in _regions(batches):
+            keep = np.zeros(len(ids), bool)
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                for i, near in _across(label[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], SHALLOW, least, percent):
+                    keep[lo + i] = True
+                    keep[lo + near] = True
+            packed = [pa.array([x.tobytes() for x in v[keep]], pa.binary()) for v in (label, sig)]
+            yield pa.RecordBatch.from_arrays([pa.array(tree[keep], pa.int32()), packed[0], pa.array(ids[keep], pa.int64()), pa.array(comp[keep], pa.int64()), pa.array(n[keep], pa.int64()), packed[1]], names=[f.split()[0] for f in REGION.split(", ")])
 
-        def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-            tree, label, ids, comp, sig = parts
-            key = np.ascontiguousarray(label[:, : 2 * SHALLOW]).view(">u8").ravel()
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (tree[1:] != tree[:-1])) + 1).tolist(), len(ids)]
-            a, b = [], []
+    return work
+
+
+def _candidates(least: float, percent: int):
+    """All candidates (a, b) across components of the regions."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, label, ids, comp, n, sig), edges in _regions(batches):
             for lo, hi in zip(edges, edges[1:], strict=False):
-                for i, j in _across(label[lo:hi], comp[lo:hi], sig[lo:hi], SHALLOW, least):
-                    a.append(ids[lo + i])
-                    b.append(ids[lo + j])
-            return _pairs_batch(a, b)
+                for i, near in _across(label[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], SHALLOW, least, percent):
+                    yield _pairs_batch([np.full(len(near), ids[lo + i])], [ids[lo + near]])
 
-        for batch in batches:
-            new = [batch.column(0).to_numpy(), _fixed(batch.column(1), LABEL), batch.column(2).to_numpy(), batch.column(3).to_numpy(), _fixed(batch.column(4), HASHES)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            tree, label = held[0], held[1]
-            same = (tree == tree[-1]) & (label[:, : 2 * SHALLOW] == label[-1, : 2 * SHALLOW]).all(axis=1)
-            last = int(np.argmax(same))  # the last region may go on
-            if last:
-                yield flush([x[:last] for x in held])
-                held = [x[last:] for x in held]
-        if held is not None:
-            yield flush(held)
+    return work
+
+
+def _links(least: float, percent: int):
+    """Links (a, b) across components of the regions, by full sets; what is linked is one component in the region."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, label, ids, comps, _, sig, sets), edges in _regions(batches):
+            a, b = [], []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                n, comp = np.array([len(x) for x in sets[lo:hi]]), comps[lo:hi].copy()
+                words, code = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
+                ends, marked = np.cumsum(n), np.zeros(len(words), bool)
+                for i, near in _across(label[lo:hi], comp, sig[lo:hi], n, SHALLOW, least, percent):
+                    own = code[ends[i] - n[i] : ends[i]]
+                    marked[own] = True
+                    begins = np.cumsum(n[near]) - n[near]
+                    at = np.arange(n[near].sum()) + np.repeat(ends[near] - n[near] - begins, n[near])
+                    both = np.add.reduceat(marked[code[at]], begins, dtype=np.int64)
+                    marked[own] = False
+                    near = near[100 * both >= percent * (n[i] + n[near] - both)]
+                    for j in near[np.unique(comp[near], return_index=True)[1]]:
+                        a.append(ids[lo + i : lo + i + 1])
+                        b.append(ids[lo + j : lo + j + 1])
+                        comp[comp == comp[j]] = comp[i]
+            yield _pairs_batch(a, b)
 
     return work
 
@@ -277,50 +337,74 @@ def _labelled(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     return out.withColumns({"ca": F.coalesce("_ca", "a"), "cb": F.coalesce("_cb", "b")}).drop("_ca", "_cb").filter("ca <> cb")
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, set, cut: repeated rows have one set, an id that repeats with other texts has several."""
+    return cut(_full_sets(docs, cut(ids.distinct()), shingle).groupBy("id", F.xxhash64("set")).agg(F.first("set").alias("set")).select("id", "set"))
+
+
+def _judged_in_rounds(docs: DataFrame, pairs: DataFrame, comps: DataFrame | None, shingle: int, percent: int) -> DataFrame | None:
+    """Components after the candidates (a, b, est) were confirmed or refused, the best ones first."""
+    if pairs.isEmpty():
+        return comps
+    sets, tried = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), shingle), None
+    for most in PROPOSALS:
+        left = cut(_labelled(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), comps))
+        if left.isEmpty():
+            break
+        best = left
+        if most:
+            order = Window.partitionBy("id").orderBy(F.desc("est"), "a", "b")
+            ends = left.withColumn("id", F.explode(F.array("a", "b")))
+            best = ends.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select(*left.columns).distinct()
+        judged = cut(_confirmed(best, sets, percent))
+        tried = judged.select("a", "b") if tried is None else cut(tried.unionByName(judged.select("a", "b")))
+        linked = cut(judged.filter("linked").select("a", "b").join(left.select("a", "b", "ca", "cb"), ["a", "b"]))
+        if not linked.isEmpty():
+            comps = _merged(comps, linked)
+    return comps
+
+
+def _linked_in_regions(docs: DataFrame, trees: DataFrame, sigs: DataFrame, comps: DataFrame | None, shingle: int, percent: int, least: float) -> DataFrame | None:
+    """Components after the regions of several components were compared in place, or by rounds if their sets are too large."""
+    region = F.expr(f"substring(label, 1, {2 * SHALLOW})")
+    in_order = lambda rows: rows.repartition("tree", region).sortWithinPartitions("tree", "label", "id")
+    of = trees.withColumn("comp", F.col("id")) if comps is None else trees.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = of.groupBy("tree", region.alias("region")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tree", "region")
+    rows = of.withColumn("region", region).join(several, ["tree", "region"]).join(sigs.withColumnRenamed("rep", "id"), "id")
+    rows = cut(in_order(rows.select("tree", "label", "id", "comp", "n", "sig")).mapInArrow(_involved(least, percent), REGION))
+    if rows.isEmpty():
+        return comps
+    size = rows.groupBy("tree", region.alias("region")).agg(F.sum(F.col("n") * 8).alias("size"))
+    large = cut(size.filter(F.col("size") > HELD_BYTES).select("tree", "region"))
+    rows = rows.withColumn("region", region)
+    held = rows.join(large, ["tree", "region"], "left_anti").drop("region")
+    sets = _sets_of(docs, held.select("id"), shingle)
+    found = in_order(held.join(sets, "id").select("tree", "label", "id", "comp", "n", "sig", "set")).mapInArrow(_links(least, percent), "a long, b long")
+    linked = cut(_labelled(found.filter("a <> b").distinct(), comps))
+    if not linked.isEmpty():
+        comps = _merged(comps, linked)
+    if large.isEmpty():
+        return comps
+    rest = in_order(rows.join(large, ["tree", "region"], "left_semi").select("tree", "label", "id", "comp", "n", "sig"))
+    more = rest.mapInArrow(_candidates(least, percent), "a long, b long").filter("a <> b").distinct()
+    return _judged_in_rounds(docs, cut(_estimated(more, sigs, least)), comps, shingle, percent)
+
+
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, linked at ``percent`` of Jaccard similarity and above."""
     all_docs = cut(sketches(docs, shingle))
-    classes = cut(all_docs.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("labels").alias("labels"), F.first("sig").alias("sig")))
+    of_class = [F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("labels", "sig")), F.first("n_shingles").alias("n")]
+    classes = cut(all_docs.filter("fp is not null and doc_id is not null").groupBy("fp").agg(*of_class))
     least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     trees = classes.select("rep", "labels", tree).select("tree", F.expr(f"substring(labels, tree * {LABEL} + 1, {LABEL})").alias("label"), F.col("rep").alias("id"))
-    region = F.expr(f"substring(label, 1, {2 * SHALLOW})")
-    in_order = trees.repartition("tree", region).sortWithinPartitions("tree", "label", "id")
+    in_order = trees.repartition("tree", F.expr(f"substring(label, 1, {2 * SHALLOW})")).sortWithinPartitions("tree", "label", "id")
     found = in_order.mapInArrow(_neighbours, "a long, b long").filter("a <> b").distinct()
-    sigs = classes.select("rep", "sig")
-    pairs = cut(_estimated(found, sigs, least))
-    comps, tried = None, None
-    for whole in (False, True):
-        if whole:
-            of = trees if comps is None else trees.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            of = of.withColumn("comp", F.col("id")) if comps is None else of
-            several = of.groupBy("tree", region.alias("region")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tree", "region")
-            rows = of.withColumn("region", region).join(several, ["tree", "region"]).join(sigs.withColumnRenamed("rep", "id"), "id")
-            rows = rows.select("tree", "label", "id", "comp", "sig").repartition("tree", region).sortWithinPartitions("tree", "label", "id")
-            more = rows.mapInArrow(_mixed_regions(least), "a long, b long").filter("a <> b").distinct()
-            more = more.join(tried, ["a", "b"], "left_anti") if tried is not None else more
-            pairs = cut(_estimated(more, sigs, least))
-        if pairs.isEmpty():
-            continue
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        # repeated rows have one set, an id that repeats with other texts has several
-        sets = cut(_full_sets(docs, cut(ids), shingle).groupBy("id", F.xxhash64("set")).agg(F.first("set").alias("set")).select("id", "set"))
-        for most in PROPOSALS:
-            left = cut(_labelled(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), comps))
-            if left.isEmpty():
-                break
-            best = left
-            if most:
-                order = Window.partitionBy("id").orderBy(F.desc("est"), "a", "b")
-                ends = left.withColumn("id", F.explode(F.array("a", "b")))
-                best = ends.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select(*left.columns).distinct()
-            judged = cut(_confirmed(best, sets, percent))
-            tried = judged.select("a", "b") if tried is None else cut(tried.unionByName(judged.select("a", "b")))
-            linked = cut(judged.filter("linked").select("a", "b").join(left.select("a", "b", "ca", "cb"), ["a", "b"]))
-            if not linked.isEmpty():
-                comps = _merged(comps, linked)
-    of_class = classes.select("fp", "rep") if comps is None else classes.join(comps, classes["rep"] == comps["id"], "left").select("fp", F.coalesce("comp", "rep").alias("rep"))
-    out = all_docs.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
+    pairs = cut(_estimated(found, classes.select("rep", "sig"), least))
+    comps = _judged_in_rounds(docs, pairs, None, shingle, percent)
+    comps = _linked_in_regions(docs, trees, classes.select("rep", "n", "sig"), comps, shingle, percent, least)
+    ends = classes.select("fp", "rep") if comps is None else classes.join(comps, classes["rep"] == comps["id"], "left").select("fp", F.coalesce("comp", "rep").alias("rep"))
+    out = all_docs.select("doc_id", "n_shingles", "fp").join(ends, "fp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
 
 

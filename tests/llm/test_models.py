@@ -82,12 +82,21 @@ def test_quotation_and_learning(spark):
     assert toxicity.judge(d, toxicity.fit(d, labels.filter("toxic = 3"))).count() == len(rows)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("held", [neardup.HELD_BYTES, 0])
+def test_near_duplicates(spark, monkeypatch, held):
+    monkeypatch.setattr(neardup, "HELD_BYTES", held)
     base = made(40, 5, 5000)
     rows = [(i, t) for i, t in enumerate(base)]
     rows += [(100 + i, t) for i, t in enumerate(base)] + [(200 + i, t + " extra") for i, t in enumerate(base)] + [(300, None), (301, ""), (302, "one"), (303, "ONE"), (304, "one two"), (None, base[0]), (5, base[5])]
     long = [f"v{i}" for i in range(400)]
     rows += [(400 + k, " ".join(long[:k] + ["z"] + long[k + 1 :])) for k in range(30)]
+    # many alike about the threshold, so regions of several components
+    rng = np.random.default_rng(9)
+    for k in range(80):
+        own = [f"m{i}" for i in range(300)]
+        for at in rng.choice(300, 3 + k % 8, replace=False):
+            own[at] = f"x{k}"
+        rows.append((500 + k, " ".join(own)))
     sets = {}
     for i, t in rows:
         w = words(t)
@@ -121,7 +130,7 @@ def test_mixed_regions_split_by_depth():
     label[:, 8] = np.arange(n) // 40
     sig = rng.integers(0, 256, (n, neardup.HASHES)).astype(np.uint8)
     sig[1] = sig[0]
-    got = [(int(a[0]), int(b[0])) for a, b in neardup._across(label, np.arange(n), sig, neardup.SHALLOW, 0.7)]
+    got = [(int(a), int(b[0])) for a, b in neardup._across(label, np.arange(n), sig, np.full(n, 9), neardup.SHALLOW, 0.7, 85)]
     assert got == [(0, 1)]
 
 
