@@ -1,20 +1,20 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-A text is its lower-cased words and one end token. The context of a token is the word before it if that is one of the
-frequent words (those with at least 1 / ``HEADS`` of all training tokens, so at most ``HEADS``), else one class for all
-rare words, or the start. Each context has a restaurant whose dishes are words; all share the parent restaurant of words
+A text is its lower-cased words and one end token. The context of a token is the word before it, whatever that word's
+number, or the start. Each context has a restaurant whose dishes are words; all share the parent restaurant of words
 without context, and that one the uniform law over the training vocabulary and one unseen word.
 
-1. Events (context, word) of all texts are dealt by the word's fingerprint, or the event's for frequent words, into
-   buckets of bounded size; a task packs its events per bucket, so few rows are shuffled. The events are kept in the
-   shared folder.
+1. Events (context, word) of all texts are dealt by the word's fingerprint, or the event's for frequent words (those with
+   at least 1 / ``HEADS`` of all training tokens), into buckets of bounded size; a task packs its events per bucket, so
+   few rows are shuffled. The events are kept in the shared folder, dealt out by ``GROUPED`` buckets a part.
 2. Gibbs: every restaurant's tables are seated by the Chinese restaurant process, given the parent's predictive
    probabilities; a customer's table goes to the parent as a customer. Sweeps seat all customers anew, bucket by bucket,
-   given the other level's state of the sweep before; sums per context and over all travel between sweeps.
+   given the other level's state of the sweep before. Sums per context stay distributed: a part sends its own by ranges
+   of fingerprints (slots), and gets the totals of its contexts back.
 3. A text's score is the sum of the log10 of its tokens' predictive probabilities, averaged over the kept sweeps.
 
 Words are known by 64-bit fingerprints (a clash in 10 million words has odds of 3e-6). Everything learnt grows with the
-corpus but the context totals, of which there are at most ``HEADS`` + 3.
+corpus but the sums of frequent words, of which there are at most ``HEADS`` + 1.
 
 Cases: a null or empty text is its end token; a null id counts as training text, like any id whose remainder isn't the
 held-out one; repeated rows count and are scored each; without training tokens all probabilities are uniform over the
@@ -23,6 +23,7 @@ unseen word; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -38,15 +39,17 @@ from .hashing import joined_hash, mixed, word_hashes
 HEADS = 2000
 #: Characters of a bucket's texts at about one event in seven; a bucket is held by one task.
 BUCKET_CHARS = 3_000_000
-#: Buckets that a task takes one after the other; a text's sums over them leave the task once.
+#: Buckets of a part, which a task takes one after the other; a text's sums over them leave the task once.
 GROUPED = 4
+#: Parts for each slot of context totals.
+PARTS_PER_SLOT = 4
 #: Rows (by their number, a power of two) whose sums travel in one pack.
 PACKED = 10
 CHUNK = 1 << 21
 SWEEPS, KEPT = 3, 2
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 20.0)  # of words without and with context
 END = np.uint64(0xE0D)
-RARE, START = 0, 1  # contexts before those of the frequent words
+START = np.uint64(0x57A)
 
 
 def _held_out(remainder: int = 2, of: int = 7):
@@ -84,26 +87,39 @@ def _by_bucket(buckets: np.ndarray, arrays: list[np.ndarray], names: list[str])
         yield pa.RecordBatch.from_arrays([pa.array([int(b[lo])], pa.int32()), *(pa.array([p[lo:hi].tobytes()], pa.binary()) for p in parts)], names=["bucket", *names])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _plain(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel()
+
+
 def _pack(word: np.ndarray, context: np.ndarray, row: np.ndarray, times: np.ndarray) -> bytes:
-    """Events of a chunk and bucket in a few bytes each: words by a dictionary, rows by differences."""
+    """Events of a chunk and bucket in a few bytes each: words and contexts by dictionaries, rows by differences."""
     words, at = np.unique(word, return_inverse=True)
-    head = np.array([len(words), len(word), row[0]], np.int64)
-    body = [words, context, np.diff(row, prepend=row[0]).astype(np.uint32), times.astype(np.int32), at.astype(np.uint32)]
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in body[1:]]
-    return head.tobytes() + zstandard.compress(words.tobytes() + b"".join(planes), 1)
+    contexts, of = np.unique(context, return_inverse=True)
+    head = np.array([len(words), len(contexts), len(word), row[0]], np.int64)
+    body = [words, contexts, np.diff(row, prepend=row[0]).astype(np.uint32), times.astype(np.int32), at.astype(np.uint32), of.astype(np.uint32)]
+    return head.tobytes() + zstandard.compress(b"".join(map(_planes, body)), 1)
+
+
+def _contexts(data: bytes) -> np.ndarray:
+    """The distinct contexts of a pack."""
+    n_words, n_contexts = np.frombuffer(data, np.int64, 2)
+    return _plain(zstandard.decompress(data[32:]), np.uint64, n_contexts, 8 * n_words)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n_words, n, base = np.frombuffer(data, np.int64, 3)
-    raw = zstandard.decompress(data[24:])
-    at = 8 * n_words
-    fields = []
-    for kind in (np.uint16, np.uint32, np.int32, np.uint32):
-        size = np.dtype(kind).itemsize
-        fields.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel())
-        at += size * n
-    context, row, times, index = fields
-    return np.frombuffer(raw, np.uint64, n_words)[index], context, base + np.cumsum(row.astype(np.int64)), times
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    """Words and contexts, each sorted; rows, times, and the places of the events' words and contexts."""
+    n_words, n_contexts, n, base = np.frombuffer(data, np.int64, 4)
+    raw, at, fields = zstandard.decompress(data[32:]), 0, []
+    for kind, size in ((np.uint64, n_words), (np.uint64, n_contexts), (np.uint32, n), (np.int32, n), (np.uint32, n), (np.uint32, n)):
+        fields.append(_plain(raw, kind, size, at))
+        at += np.dtype(kind).itemsize * size
+    words, contexts, row, times, index, of = fields
+    return words, contexts, base + np.cumsum(row.astype(np.int64)), times, index, of
 
 
 def frequent_words(rows: DataFrame, buckets: int, heads: int = HEADS) -> tuple[np.ndarray, int, int]:
@@ -127,6 +143,8 @@ def frequent_words(rows: DataFrame, buckets: int, heads: int = HEADS) -> tuple[n
 
     packed = rows.mapInArrow(count, "bucket int, words binary, times binary").repartition(buckets, "bucket")
     sums = cut(packed.mapInArrow(add, "n long, v long, words binary, times binary"))
+    del packed
+    _release(sums)
     total = sums.agg(F.sum("n"), F.sum("v")).first()
     n, v = total[0] or 0, total[1] or 0
 
@@ -141,17 +159,14 @@ def frequent_words(rows: DataFrame, buckets: int, heads: int = HEADS) -> tuple[n
 
 
 def _events(rows: DataFrame, heads: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, events: packed words, contexts, rows and times (negative: of a held-out text)."""
+    """part, bucket, events: packed words, contexts, rows and times (negative: of a held-out text)."""
 
     def work(batches):
         for ids, held, tokens, n in _tokens(batches):
-            before = np.concatenate([tokens[:1], tokens[:-1]])
-            at = np.searchsorted(heads, before) if len(heads) else np.zeros(len(before), int)
-            known = (heads[np.minimum(at, len(heads) - 1)] == before) if len(heads) else np.zeros(len(before), bool)
-            context = np.where(known, at + 2, RARE).astype(np.uint16)
+            context = np.concatenate([tokens[:1], tokens[:-1]])
             context[np.cumsum(n) - n] = START
             of_row = np.repeat(np.arange(len(ids)), n)
-            key = joined_hash(tokens, context.astype(np.uint64))
+            key = joined_hash(tokens, context)
             order = np.lexsort((key, of_row))
             k, r = key[order], of_row[order]
             first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
@@ -167,37 +182,78 @@ def _events(rows: DataFrame, heads: np.ndarray, buckets: int) -> DataFrame:
             edges = np.searchsorted(to[order], np.arange(buckets + 1))
             full = np.flatnonzero(edges[1:] > edges[:-1])
             packs = [_pack(*(x[order[edges[b] : edges[b + 1]]] for x in (word, ctx, ids[row].astype(np.int64), times))) for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "events"])
+            yield pa.RecordBatch.from_arrays([pa.array(full // GROUPED, pa.int32()), pa.array(full, pa.int32()), pa.array(packs, pa.binary())], names=["part", "bucket", "events"])
 
-    packed = rows.mapInArrow(work, "bucket int, events binary")
-    return packed.repartition(-(-buckets // GROUPED), F.expr(f"bucket div {GROUPED}")).sortWithinPartitions("bucket")
+    packed = rows.mapInArrow(work, "part int, bucket int, events binary")
+    conf = rows.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    try:
+        # a checkpoint of an adaptive plan forgets how its rows are dealt, and each sweep would deal the events anew
+        conf.set("spark.sql.adaptive.enabled", "false")
+        events = cut(packed.repartition(-(-buckets // GROUPED), "part").sortWithinPartitions("part", "bucket"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+    del packed
+    _release(events)
+    return events
+
+
+def _release(df: DataFrame) -> None:
+    """Collect the driver's garbage, upon which Spark removes the shuffle files of plans that were cut."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 class _Bucket:
-    """The distinct events of a bucket with their training counts."""
+    """The distinct events of a bucket with their training counts; contexts by their place among those of the part."""
 
-    def __init__(self, bucket: int, packs: list[bytes]):
+    def __init__(self, bucket: int, packs: list[bytes], contexts: np.ndarray):
         self.bucket = bucket
-        word, context, self.row, times = (np.concatenate(x) for x in zip(*map(_unpack, packs), strict=True))
-        self.words, w = np.unique(word, return_inverse=True)
-        key, first, self.event = np.unique(w.astype(np.int64) << 16 | context, return_index=True, return_inverse=True)
+        fields = [_unpack(x) for x in packs]
+        self.words = np.unique(np.concatenate([f[0] for f in fields]))
+        # the few sorted words and contexts of a pack are sought, not those of each event
+        keys = np.concatenate([np.searchsorted(self.words, f[0])[f[4]] << 32 | np.searchsorted(contexts, f[1])[f[5]] for f in fields])
+        self.row, times = (np.concatenate([f[i] for f in fields]) for i in (2, 3))
+        key = np.unique(keys)
+        self.event = np.searchsorted(key, keys)
         self.times, training = np.abs(times), np.maximum(times, 0)
-        self.w, self.context = w[first], context[first]
+        self.w, self.context = key >> 32, key & 0xFFFFFFFF
         self.count = np.bincount(self.event, training, len(key)).astype(np.int64)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bucket]:
-    """The buckets of a task, one after the other."""
-    bucket, packs = None, []
-    for batch in batches:
-        for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if packs and b != bucket:
-                yield _Bucket(bucket, packs)
-                packs = []
-            bucket = b
-            packs.append(x.as_py())
-    if packs:
-        yield _Bucket(bucket, packs)
+def _buckets(part: pa.Table, contexts: np.ndarray) -> Iterator[_Bucket]:
+    """The buckets of a part, one after the other."""
+    packs: dict[int, list] = {}
+    for b, x in zip(part["bucket"].to_pylist(), part["events"], strict=True):
+        packs.setdefault(b, []).append(x)
+    for b in sorted(packs):
+        yield _Bucket(b, [x.as_py() for x in packs[b]], contexts)
+
+
+def _part_contexts(part: pa.Table) -> np.ndarray:
+    """The sorted contexts of a part."""
+    held, fresh, size = np.empty(0, np.uint64), [], 0
+    for x in part["events"]:
+        fresh.append(_contexts(x.as_py()))
+        size += len(fresh[-1])
+        if size >= CHUNK:
+            held, fresh, size = np.unique(np.concatenate([held, *fresh])), [], 0
+    return np.unique(np.concatenate([held, *fresh]))
+
+
+def _totals(sent: pa.Table, sweep: int, size: int) -> dict:
+    """Customers and tables of a part's contexts after a sweep, of the slots' packs in turn; none yet before the first."""
+    packs = sorted((k, x) for s, k, x in zip(sent["sweep"].to_pylist(), sent["slot"].to_pylist(), sent["totals"].to_pylist(), strict=True) if s == sweep)
+    if not packs:
+        return {"customers": np.zeros(size), "tables": np.zeros(size)}
+    both = []
+    for _, x in packs:
+        n = int(np.frombuffer(x, np.int64, 1)[0])
+        raw = zstandard.decompress(x[8:])
+        both.append((_plain(raw, np.int64, n, 0), _plain(raw, np.int64, n, 8 * n)))
+    customers, tables = (np.concatenate(x).astype(float) for x in zip(*both, strict=True))
+    assert len(customers) == size
+    return {"customers": customers, "tables": tables}
 
 
 def _pack_sums(ids: np.ndarray, sums: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -249,8 +305,8 @@ def _seat(count: np.ndarray, parent: np.ndarray, discount: float, strength: floa
     return tables
 
 
-def _predictive(b: _Bucket, state: dict, sweep: int, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One sweep over a bucket: tables of its events, then of its words; the words' and the events' probabilities."""
+def _predictive(b: _Bucket, state: dict, sweep: int, heads: np.ndarray, scored: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """One sweep over a bucket: tables of its events, then of its words, and their customers; the events' probabilities if ``scored``."""
     rng = np.random.default_rng([sweep, b.bucket, len(b.words)])
     (d0, d1), (s0, s1) = DISCOUNT, STRENGTH
     uniform = 1.0 / (state["v"] + 1)
@@ -266,6 +322,8 @@ def _predictive(b: _Bucket, state: dict, sweep: int, heads: np.ndarray) -> tuple
     tables = _seat(b.count, before[b.w], d1, s1, state["tables"][b.context], rng)
     customers = np.bincount(b.w, tables, len(b.words)).astype(np.int64)
     root = _seat(customers, np.full(len(customers), uniform), d0, s0, np.full(len(customers), state["root_tables"]), rng)
+    if not scored:
+        return tables, np.where(shared, 0, root), np.where(shared, 0, customers), None
     own = (np.maximum(customers - d0 * root, 0) + (s0 + d0 * state["root_tables"]) * uniform) / (s0 + state["root_customers"])
     word_p = np.where(shared, state["hot_p"][place], own)
     seen = np.maximum(b.count - d1 * tables, 0)
@@ -273,36 +331,80 @@ def _predictive(b: _Bucket, state: dict, sweep: int, heads: np.ndarray) -> tuple
     return tables, np.where(shared, 0, root), np.where(shared, 0, customers), p
 
 
-def _sums(events: DataFrame, state: dict, sweep: int, heads: np.ndarray) -> dict:
-    """The next state: customers and tables per context, the parent's sums, the frequent words' probabilities."""
-    contexts, n_hot = len(heads) + 2, len(heads) + 1
+TOTALS = "part int, slot int, totals binary"
 
-    def of_bucket(b):
-        tables, root, customers, _ = _predictive(b, state, sweep, heads)
-        at = np.searchsorted(heads, b.words) if len(heads) else np.zeros(len(b.words), int)
-        hot = (heads[np.minimum(at, len(heads) - 1)] == b.words) if len(heads) else np.zeros(len(b.words), bool)
-        place = np.where(b.words == END, len(heads), np.where(hot, at, -1))
-        of_event = place[b.w]
-        of_hot = np.bincount(of_event[of_event >= 0], tables[of_event >= 0], n_hot)
-        return np.concatenate([np.bincount(b.context, b.count, contexts), np.bincount(b.context, tables, contexts), of_hot, np.array([root.sum(), customers.sum()])])
 
-    def work(batches):
-        total = np.zeros(2 * contexts + n_hot + 2)
-        for b in _buckets(batches):
-            total += of_bucket(b)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.float64()), pa.array(np.arange(len(total)), pa.int32())], names=["x", "i"])
-
-    got = events.mapInArrow(work, "x double, i int").groupBy("i").agg(F.sum("x").alias("x")).collect()  # 3 * HEADS numbers at most
-    x = np.zeros(2 * contexts + n_hot + 2)
-    for r in got:
-        x[r["i"]] = r["x"]
-    hot = x[2 * contexts : 2 * contexts + n_hot]
+def _add_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the packs of each slot: totals for every part's contexts in their order, and (as part -1) the slot's piece of the flat sums."""
+    slots: dict[int, list] = {}
+    for batch in batches:
+        for part, slot, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            slots.setdefault(slot, []).append((part, data))
+    for slot, packs in slots.items():
+        keys, sums, flat = [], [], 0
+        for _, data in packs:
+            n, size = (int(x) for x in np.frombuffer(data, np.int64, 2))
+            raw = zstandard.decompress(data[16 : 16 + size])
+            keys.append(_plain(raw, np.uint64, n, 0))
+            sums.append((_plain(raw, np.int64, n, 8 * n), _plain(raw, np.int64, n, 16 * n)))
+            flat = flat + np.frombuffer(data[16 + size :], np.float64)
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = [np.bincount(at, np.concatenate(x), len(distinct)).astype(np.int64) for x in zip(*sums, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([slot], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["part", "slot", "totals"])
+        start = 0
+        for (part, _), k in zip(packs, keys, strict=True):
+            mine = at[start : start + len(k)]
+            start += len(k)
+            out = np.array([len(k)], np.int64).tobytes() + zstandard.compress(b"".join(_planes(t[mine]) for t in totals), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slot], pa.int32()), pa.array([out], pa.binary())], names=["part", "slot", "totals"])
+
+
+def _sums(events: DataFrame, totals: DataFrame, state: dict, sweep: int, heads: np.ndarray, slots: int) -> tuple[DataFrame, dict]:
+    """The next state: customers and tables per context for each part; the parent's sums and the frequent words' counts and probabilities."""
+    n_hot = len(heads) + 1
+
+    def work(part, sent):
+        contexts = _part_contexts(part)
+        size = len(contexts)
+        own = state | _totals(sent, sweep - 1, size)
+        customers, tables, flat = np.zeros(size), np.zeros(size), np.zeros(2 * n_hot + 2)
+        for b in _buckets(part, contexts):
+            seated, root, of_words, _ = _predictive(b, own, sweep, heads, scored=False)
+            at = np.searchsorted(heads, b.words) if len(heads) else np.zeros(len(b.words), int)
+            hot = (heads[np.minimum(at, len(heads) - 1)] == b.words) if len(heads) else np.zeros(len(b.words), bool)
+            of_event = np.where(b.words == END, len(heads), np.where(hot, at, -1))[b.w]
+            flat[:n_hot] += np.bincount(of_event[of_event >= 0], seated[of_event >= 0], n_hot)
+            flat[n_hot : 2 * n_hot] += np.bincount(of_event[of_event >= 0], b.count[of_event >= 0], n_hot)
+            flat[-2:] += root.sum(), of_words.sum()
+            customers += np.bincount(b.context, b.count, size)
+            tables += np.bincount(b.context, seated, size)
+        edges = np.searchsorted((contexts >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32), np.arange(slots + 1))
+        packs = []
+        for lo, hi, piece in zip(edges, edges[1:], np.array_split(flat, slots), strict=False):
+            body = zstandard.compress(b"".join([_planes(contexts[lo:hi]), *(_planes(x[lo:hi].astype(np.int64)) for x in (customers, tables))]), 1)
+            packs.append(np.array([hi - lo, len(body)], np.int64).tobytes() + body + piece.tobytes())
+        return pa.table([pa.array([part["part"][0].as_py()] * slots, pa.int32()), pa.array(range(slots), pa.int32()), pa.array(packs, pa.binary())], names=["part", "slot", "sums"])
+
+    sent = _by_part(events, totals).applyInArrow(work, "part int, slot int, sums binary").repartition(slots, "slot")
+    got = cut(sent.mapInArrow(_add_contexts, TOTALS))
+    del sent
+    _release(got)
+    x = np.zeros(2 * n_hot + 2)
+    pieces = {r["slot"]: np.frombuffer(r["totals"]) for r in got.filter("part = -1").collect()}  # 2 * HEADS numbers in all
+    if pieces:
+        x = np.concatenate([pieces[k] for k in range(slots)])
+    hot = x[:n_hot]
     (d0, _), (s0, _) = DISCOUNT, STRENGTH
     uniform = 1.0 / (state["v"] + 1)
     hot_root = _seat(hot.astype(np.int64), np.full(n_hot, uniform), d0, s0, np.full(n_hot, state["root_tables"]), np.random.default_rng([sweep, 7]))
     root_tables, root_customers = x[-2] + hot_root.sum(), x[-1] + hot.sum()
     hot_p = (np.maximum(hot - d0 * hot_root, 0) + (s0 + d0 * root_tables) * uniform) / (s0 + root_customers)
-    return state | {"customers": x[:contexts], "tables": x[contexts : 2 * contexts], "hot_p": hot_p, "root_tables": root_tables, "root_customers": root_customers}
+    return got.filter("part >= 0").withColumn("sweep", F.lit(sweep)), state | {"hot_p": hot_p, "hot_count": x[n_hot : 2 * n_hot], "root_tables": root_tables, "root_customers": root_customers}
+
+
+def _by_part(events: DataFrame, totals: DataFrame):
+    """The events of a part, which stay where they are, with what was sent to it."""
+    return events.groupBy("part").cogroup(totals.groupBy("part"))
 
 
 def score(docs: DataFrame, heads: int = HEADS, sweeps: int = SWEEPS, kept: int = KEPT) -> DataFrame:
@@ -312,18 +414,23 @@ def score(docs: DataFrame, heads: int = HEADS, sweeps: int = SWEEPS, kept: int =
     buckets = max(1, -(-size // BUCKET_CHARS))
     lean = rows.select("row", "held", "text")
     frequent, n, v = frequent_words(lean, buckets, heads)
-    events = cut(_events(lean, frequent, buckets))
-    contexts = len(frequent) + 2
-    state = {"n": n, "v": v, "customers": np.zeros(contexts), "tables": np.zeros(contexts), "hot_p": np.full(len(frequent) + 1, 1.0 / heads), "root_tables": max(1, v // 2), "root_customers": max(1, n // 2)}
+    events = _events(lean, frequent, buckets)
+    slots = -(-buckets // (GROUPED * PARTS_PER_SLOT))
+    totals = docs.sparkSession.createDataFrame([], f"{TOTALS}, sweep int")
+    state = {"n": n, "v": v, "hot_p": np.full(len(frequent) + 1, 1.0 / heads), "root_tables": max(1, v // 2), "root_customers": max(1, n // 2)}
     states = []
     for sweep in range(sweeps):
-        state = _sums(events, state, sweep, frequent)
-        states.append(state)
+        totals, state = _sums(events, totals, state, sweep, frequent, slots)
+        states.append((sweep, totals, state))
     states = states[-kept:]
+    sent = states[0][1]
+    for _, t, _ in states[1:]:
+        sent = sent.unionByName(t)
+    states = [(i, s) for i, _, s in states]
     unseen = math.log10(n + v + 1)
-    counts = _frequent_counts(events, frequent)
+    counts = state["hot_count"]
 
-    def of_bucket(b):
+    def of_bucket(b, states):
         p = sum(_predictive(b, s, sweeps + i, frequent)[3] for i, s in enumerate(states)) / len(states)
         at = np.searchsorted(frequent, b.words) if len(frequent) else np.zeros(len(b.words), int)
         hot = (frequent[np.minimum(at, len(frequent) - 1)] == b.words) if len(frequent) else np.zeros(len(b.words), bool)
@@ -333,35 +440,13 @@ def score(docs: DataFrame, heads: int = HEADS, sweeps: int = SWEEPS, kept: int =
         ids, at = np.unique(b.row, return_inverse=True)
         return ids, [np.bincount(at, b.times * x, len(ids)) for x in (1, known, base, model)]
 
-    def work(batches):
-        parts = [of_bucket(b) for b in _buckets(batches)]
-        if parts:
-            packs = list(_pack_sums(*_added(parts)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packs], pa.int64()), pa.array([x for _, x in packs], pa.binary())], names=["rows", "sums"])
+    def work(part, sent):
+        contexts = _part_contexts(part)
+        own = [s | _totals(sent, i, len(contexts)) for i, s in states]
+        packs = list(_pack_sums(*_added([of_bucket(b, own) for b in _buckets(part, contexts)])))
+        return pa.table([pa.array([k for k, _ in packs], pa.int64()), pa.array([x for _, x in packs], pa.binary())], names=["rows", "sums"])
 
-    parts = events.mapInArrow(work, "rows long, sums binary").repartition(buckets, "rows")
+    parts = _by_part(events, sent).applyInArrow(work, "rows long, sums binary").repartition(buckets, "rows")
     sums = parts.mapInArrow(_add_packs, "row long, n_tokens long, n_known long, base_score double, score double")
     out = rows.select("row", "held", "doc_id").join(sums, "row", "left")
     return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
-
-
-def _frequent_counts(events: DataFrame, frequent: np.ndarray) -> np.ndarray:
-    """Training counts of the frequent words and of the end token, last."""
-    size = len(frequent) + 1
-
-    def of_bucket(b):
-        at = np.searchsorted(frequent, b.words) if len(frequent) else np.zeros(len(b.words), int)
-        hot = (frequent[np.minimum(at, len(frequent) - 1)] == b.words) if len(frequent) else np.zeros(len(b.words), bool)
-        place = np.where(b.words == END, size - 1, np.where(hot, at, -1))[b.w]
-        return np.bincount(place[place >= 0], b.count[place >= 0], size)
-
-    def work(batches):
-        total = np.zeros(size)
-        for b in _buckets(batches):
-            total += of_bucket(b)
-        yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(np.arange(size), pa.int32())], names=["x", "i"])
-
-    out = np.zeros(size)
-    for r in events.mapInArrow(work, "x double, i int").groupBy("i").agg(F.sum("x").alias("x")).collect():
-        out[r["i"]] = r["x"]
-    return out

@@ -47,6 +47,13 @@ def test_model_learns_order(spark):
     assert all(r["score"] > r["base_score"] for r in got if r["held_out"])
 
 
+def test_rare_words_are_contexts(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.integers(0, 200, 40))) for i in range(200)]
+    got = language_model.score(docs(spark, rows), heads=20).collect()
+    assert max(r["perplexity"] for r in got if r["held_out"]) < 60
+
+
 def test_levenshtein_automaton():
     lexicon = toxicity.Lexicon([("idiot", False), ("abcde", True), ("scum", False)])
 
