@@ -2,7 +2,9 @@
 
 Learning, on a bounded hash sample of labelled rows (``SAMPLE_ROWS``): prefixes and whole words are counted by document
 and label; those that toxic documents hold significantly more often (a binomial test, corrected for the number of terms)
-become entries, each as long as it keeps its coverage. An entry is a whole word or a stem. For this count, copies of a
+become entries, each as long as it keeps its coverage. An entry is a whole word or a stem. Documents that only quote a term
+are counted apart from those that use it, so quotation by clean documents keeps no term out; a whole word that some clean
+documents use is an entry if its uses are significantly more often toxic than not. For this count, copies of a
 document in the sample count once (two min-wise sketches of its words), or else any word of a copied text would pass.
 
 Scoring: the trie of the entries is intersected with the Levenshtein automaton of one edit (whole words of five letters
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 #: Labelled rows that learning looks at, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
 #: Bound of the lexicon that goes to every worker.
@@ -177,28 +181,49 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
+def _used(text: str) -> tuple[set[str], set[str]]:
+    """All words of a lower-cased text, and those that occur outside of quotations."""
+    words, used = set(), set()
+    for m in WORD.finditer(text):
+        words.add(m[0])
+        if m[0] not in used and not _quoted(text, m.start(), m.end()):
+            used.add(m[0])
+    return words, used
+
+
+def _terms(words: set[str]) -> set[str]:
+    return {w[:n] for w in words for n in STEM if n <= len(w)} | {w + "$" for w in words if len(w) >= STEM[0]}
+
+
+COUNTS = ("clean", "toxic", "clean_used", "toxic_used")
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        counts = [Counter() for _ in COUNTS]
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(WORD.findall((text or "").lower()))
-            counts[1 if toxic else 0].update({w[:n] for w in words for n in STEM if n <= len(w)} | {w + "$" for w in words if len(w) >= STEM[0]})
+            words, used = _used((text or "").lower())
+            counts[1 if toxic else 0].update(_terms(words))
+            counts[3 if toxic else 2].update(_terms(used))
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], names=["term", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], names=["term", *COUNTS])
 
 
-def _entries(rows: list[tuple[str, int, int]], tested: int, clean: int, toxic: int) -> list[tuple[str, bool]]:
+def _entries(rows: list[tuple[str, int, int, int, int]], tested: int, clean: int, toxic: int) -> list[tuple[str, bool]]:
     """Significant terms, each lengthened while one continuation keeps nearly all of its toxic documents."""
-    share, found = toxic / (toxic + clean), {t: (b, a) for t, a, b in rows}
+    share, found = toxic / (toxic + clean), {t: (b, a, b_used, a_used) for t, a, b, a_used, b_used in rows}
     need = math.log(max(tested, 2))
 
-    def significant(t: str) -> bool:
-        b, a = found[t]
-        if b < 3 or a > 0.03 * b:
+    def beyond(b: int, a: int, share: float) -> bool:
+        if b < 3:
             return False
         tail = sum(math.exp(math.lgamma(a + b + 1) - math.lgamma(k + 1) - math.lgamma(a + b - k + 1) + k * math.log(share) + (a + b - k) * math.log(1 - share)) for k in range(b, a + b + 1))
         return -math.log(max(tail, 1e-300)) > need
 
+    def significant(t: str) -> bool:
+        b, a, b_used, a_used = found[t]
+        return (a <= 0.03 * b and beyond(b, a, share)) or (a_used <= 0.03 * b_used and beyond(b_used, a_used, share))
+
     below: dict[str, list[str]] = {}
     for t in found:
         below.setdefault(t[:-1], []).append(t)
@@ -210,6 +235,12 @@ def _entries(rows: list[tuple[str, int, int]], tested: int, clean: int, toxic: i
         while (best := max(below.get(t, []), key=lambda x: found[x][0], default=None)) and found[best][0] >= 0.85 * found[t][0]:
             t = best
         out[t.rstrip("$")] = not t.endswith("$")
+    stems = {t for t, is_stem in out.items() if is_stem}
+    for t in found:
+        word = t.rstrip("$")
+        # no stem by this rule: one that clean documents use is more likely a start of other words
+        if t.endswith("$") and word not in out and not any(word[:n] in stems for n in range(STEM[0], len(word))) and beyond(*found[t][2:], max(share, 0.5)):
+            out[word] = False
     return sorted(out.items())
 
 
@@ -233,8 +264,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     n = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model((), (math.log(1 / 9), 0.0, 0.0, 0.0, 0.0))
-    terms = sample.mapInArrow(_term_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic >= 3")
-    tested, top = terms.count(), terms.filter("clean <= 0.1 * toxic").orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()
+    counts = sample.mapInArrow(_term_counts, "term string, " + ", ".join(f"{c} long" for c in COUNTS))
+    terms = cut(counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS)).filter("toxic >= 3"))
+    excess = F.greatest(*(F.col(b) - n[True] / (n[True] + n[False]) * (F.col(a) + F.col(b)) for a, b in (COUNTS[:2], COUNTS[2:])))
+    tested, top = terms.count(), terms.filter("clean <= 0.1 * toxic or clean_used < toxic_used").orderBy(excess.desc(), "term").limit(MAX_TERMS).collect()
     entries = _entries([tuple(r) for r in top], tested, n[False], n[True])
     counted = _counted(whole.select("text", "toxic"), entries, ("toxic",)).select("exact", "fuzzy", "quoted", "toxic").toPandas()  # sample_rows rows at most
     w = _fit(_features(counted[["exact", "fuzzy", "quoted"]].to_numpy(float)), counted["toxic"].to_numpy(float))

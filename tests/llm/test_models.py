@@ -89,6 +89,15 @@ def test_quotation_and_learning(spark):
     assert toxicity.judge(d, toxicity.fit(d, labels.filter("toxic = 3"))).count() == len(rows)
 
 
+def test_quoted_and_impure_terms_are_learnt(spark):
+    texts = made(400, 4, 20_000)
+    slur = lambda i: "zorgle" if i % 8 else "blarfy"
+    rows = [(i, f"{t} {slur(i)} x" if i % 4 == 0 else t) for i, t in enumerate(texts)]
+    rows += [(400 + i, f'{t} "blarfy" w1') for i, t in enumerate(made(6, 5, 20_000))] + [(406 + i, f"{t} zorgle") for i, t in enumerate(made(4, 6, 20_000))]
+    labels = spark.createDataFrame([(i, int(i < 400 and i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    assert {e[0] for e in toxicity.learn(docs(spark, rows), labels).entries} >= {"blarfy", "zorgle"}
+
+
 @pytest.mark.parametrize("held", [neardup.HELD_BYTES, 0])
 def test_near_duplicates(spark, monkeypatch, held):
     monkeypatch.setattr(neardup, "HELD_BYTES", held)
