@@ -7,8 +7,9 @@ are counted apart from those that use it, so quotation by clean documents keeps
 documents use is an entry if its uses are significantly more often toxic than not. For this count, copies of a
 document in the sample count once (two min-wise sketches of its words), or else any word of a copied text would pass.
 
-Scoring: the trie of the entries is intersected with the Levenshtein automaton of one edit (whole words of five letters
-or more), determinised lazily as words are read; each word costs a few look-ups. Around each hit a window of the text tells
+Scoring: the trie of the entries is intersected with the Levenshtein automaton of one edit at any place (of a stem, up to
+its end), determinised lazily as words are read; each word costs a few look-ups. Whole words of five letters or more may be
+misspelled; a shorter entry or a stem may if the sample's words one edit away from it bear that out. Around each hit a window of the text tells
 quotation (between quotation marks, or by a word of reporting) from use. A ridge logistic regression on the numbers of
 exact, misspelled and quoted hits, fitted on the same sample, gives the score.
 
@@ -52,25 +53,27 @@ OPENING, CLOSING = "\"“«„‘", "\"”»“’"
 
 
 class Lexicon:
-    """Entries (term, is_stem); ``look`` gives 0 (none), 1 (as it is) or 2 (misspelled) for a lower-cased word."""
+    """Entries (term, is_stem, or also whether it may be misspelled); ``look`` gives 0 (none), 1 (as it is) or 2 (misspelled) for a lower-cased word."""
 
-    def __init__(self, entries: list[tuple[str, bool]]):
+    def __init__(self, entries: list[tuple]):
         self.children: list[dict[str, int]] = [{}]
-        self.fuzzy, self.word, self.stem = [False], [False], [False]
-        for term, is_stem in entries:
-            node = 0
-            for i, c in enumerate(term):
+        # a misspelled term lies below; a term ends here, as a word or stem; it may be misspelled itself
+        self.fuzzy, self.word, self.stem, self.loose = [False], [False], [False], [False]
+        self.terms: dict[int, str] = {}
+        for term, is_stem, *may in entries:
+            loose, node = may[0] if may else len(term) >= LEAST_FUZZY, 0
+            self.fuzzy[0] |= loose
+            for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                    for flags in (self.fuzzy, self.word, self.stem):
+                    for flags in (self.fuzzy, self.word, self.stem, self.loose):
                         flags.append(False)
                 node = self.children[node][c]
-                if len(term) >= LEAST_FUZZY and not is_stem:
-                    self.fuzzy[node] = True  # a word below may be misspelled
+                self.fuzzy[node] |= loose
             (self.stem if is_stem else self.word)[node] = True
-            if len(term) >= LEAST_FUZZY and not is_stem:
-                self.fuzzy[0] = True
+            self.loose[node] |= loose
+            self.terms[node] = term
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -83,14 +86,14 @@ class Lexicon:
         """The number of a set of (node, edits), closed under a letter that the word lacks."""
         pairs = set(pairs)
         for node, e in list(pairs):
-            if e == 0 and node:
+            if e == 0:
                 pairs |= {(x, 1) for x in self.children[node].values() if self.fuzzy[x]}
         key = frozenset(p for p in pairs if p[1] == 0 or (p[0], 0) not in pairs)
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            best = lambda flags: min((e + 1 for n, e in key if flags[n] and (e == 0 or self.fuzzy[n])), default=0)
+            best = lambda flags: min((e + 1 for n, e in key if flags[n] and (e == 0 or self.loose[n])), default=0)
             self.done.append(best(self.stem))
             self.ends.append(min((x for x in (best(self.stem), best(self.word)) if x), default=0))
         return self.ids[key]
@@ -102,7 +105,7 @@ class Lexicon:
                 out.add((self.children[node][c], e))
             if e == 0:
                 out |= {(x, 1) for x in self.children[node].values() if self.fuzzy[x]}  # another letter
-                if node and self.fuzzy[node]:
+                if self.fuzzy[node]:
                     out.add((node, 1))  # one letter more
         self.moves[state][c] = new = self._state(out)
         return new
@@ -120,6 +123,15 @@ class Lexicon:
         end = self.ends[state]
         return end if end == 1 else found or end
 
+    def near(self, word: str) -> set[str]:
+        """The terms that a word misses by one edit."""
+        state, out = self.start, set()
+        for c in word:
+            new = self.moves[state].get(c)
+            state = self._move(state, c) if new is None else new
+            out |= {self.terms[n] for n, e in self.sets[state] if e and self.stem[n] and self.loose[n]}
+        return out | {self.terms[n] for n, e in self.sets[state] if e and self.word[n] and self.loose[n]}
+
     def kinds(self, words: list[str]) -> list[int]:
         cached, out = self.cached, []
         for w in words:
@@ -159,7 +171,7 @@ def hits(lexicon: Lexicon, text: str) -> tuple[int, int, int]:
 
 @dataclass(frozen=True)
 class Model:
-    entries: tuple[tuple[str, bool], ...]
+    entries: tuple[tuple[str, bool, bool], ...]
     weights: tuple[float, ...]
 
 
@@ -192,7 +204,7 @@ def _used(text: str) -> tuple[set[str], set[str]]:
 
 
 def _terms(words: set[str]) -> set[str]:
-    return {w[:n] for w in words for n in STEM if n <= len(w)} | {w + "$" for w in words if len(w) >= STEM[0]}
+    return {w[:n] for w in words for n in STEM if n <= len(w)} | {w + "$" for w in words if len(w) >= STEM[0] - 1}
 
 
 COUNTS = ("clean", "toxic", "clean_used", "toxic_used")
@@ -244,6 +256,36 @@ def _entries(rows: list[tuple[str, int, int, int, int]], tested: int, clean: int
     return sorted(out.items())
 
 
+def _misspelled(terms: DataFrame, entries: list[tuple[str, bool]]) -> list[tuple[str, bool, bool]]:
+    """Entries with whether they may be misspelled: long whole words; others if the sample's words one edit away are toxic but for a tenth.
+
+    Without any such word, long stems may and short entries may not.
+    """
+    exact, unsure = Lexicon([(t, is_stem, False) for t, is_stem in entries]), [(t, is_stem, True) for t, is_stem in entries if is_stem or len(t) < LEAST_FUZZY]
+    near = Lexicon(unsure)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clean, toxic = Counter(), Counter()
+        for batch in batches:
+            for word, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                word = word.rstrip("$")
+                for t in () if exact.look(word) else near.near(word):
+                    clean[t] += a
+                    toxic[t] += b
+        found = sorted(clean)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c[t] for t in found], pa.int64()) for c in (clean, toxic))], names=["term", "clean", "toxic"])
+
+    words = terms.filter("term like '%$'").select("term", "clean_used", "toxic_used")
+    sums = words.mapInArrow(work, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean"), F.sum("toxic")).collect() if unsure else []  # an entry a row
+    seen = {t: (a, b) for t, a, b in sums}
+
+    def may(t: str, is_stem: bool) -> bool:
+        a, b = seen.get(t, (0, 0))
+        return (a <= 0.1 * b and (b > 0 or len(t) >= LEAST_FUZZY)) if is_stem or len(t) < LEAST_FUZZY else True
+
+    return [(t, is_stem, may(t, is_stem)) for t, is_stem in entries]
+
+
 def _distinct(sample: DataFrame) -> DataFrame:
     """The first document of each sketch: the least hash of its words by two hashes; few near copies stay."""
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
@@ -265,10 +307,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if len(n) < 2:
         return Model((), (math.log(1 / 9), 0.0, 0.0, 0.0, 0.0))
     counts = sample.mapInArrow(_term_counts, "term string, " + ", ".join(f"{c} long" for c in COUNTS))
-    terms = cut(counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS)).filter("toxic >= 3"))
+    every = cut(counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS)))
+    # words shorter than any term are counted for ``_misspelled`` only
+    terms = every.filter(f"toxic >= 3 and length(replace(term, '$', '')) >= {STEM[0]}")
     excess = F.greatest(*(F.col(b) - n[True] / (n[True] + n[False]) * (F.col(a) + F.col(b)) for a, b in (COUNTS[:2], COUNTS[2:])))
     tested, top = terms.count(), terms.filter("clean <= 0.1 * toxic or clean_used < toxic_used").orderBy(excess.desc(), "term").limit(MAX_TERMS).collect()
-    entries = _entries([tuple(r) for r in top], tested, n[False], n[True])
+    entries = _misspelled(every, _entries([tuple(r) for r in top], tested, n[False], n[True]))
     counted = _counted(whole.select("text", "toxic"), entries, ("toxic",)).select("exact", "fuzzy", "quoted", "toxic").toPandas()  # sample_rows rows at most
     w = _fit(_features(counted[["exact", "fuzzy", "quoted"]].to_numpy(float)), counted["toxic"].to_numpy(float))
     # more hits never make a text less toxic
@@ -278,7 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 # --- scoring ---
 
 
-def _counted(docs: DataFrame, entries: list[tuple[str, bool]], keep: tuple[str, ...]) -> DataFrame:
+def _counted(docs: DataFrame, entries: list[tuple[str, bool, bool]], keep: tuple[str, ...]) -> DataFrame:
     schema = docs.select(*[docs[c] for c in keep]).schema
     for name in ("exact", "fuzzy", "quoted"):
         schema = schema.add(name, "integer")

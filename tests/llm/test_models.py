@@ -76,6 +76,28 @@ def test_levenshtein_automaton():
     assert lexicon.look("abcdexyz") == 1 and lexicon.look("scun") == 0 and lexicon.look("") == 0
 
 
+def test_edits_at_every_place():
+    lexicon = toxicity.Lexicon([("idiot", False), ("moron", True), ("scum", False, True), ("scumbag", False), ("twit", False), ("twitters", False)])
+    for term, end in (("idiot", ""), ("moron", "izing"), ("scum", "")):
+        for k in range(len(term) + 1):
+            edits = [term[:k] + "x" + term[k:], *([term[:k] + term[k + 1 :], term[:k] + "x" + term[k + 1 :]] if k < len(term) else [])]
+            for w in edits:
+                exact = term == "moron" and w.startswith(term)
+                assert lexicon.look(w + end) == (1 if exact else 2), w
+        assert lexicon.look("xx" + term[1:]) == 0
+    assert lexicon.look("twix") == 0 and lexicon.look("xtwitters") == 2
+
+
+def test_short_terms_by_measured_precision(spark):
+    texts = made(400, 7, 20_000)
+    toxic = lambda i: f"scum {chr(97 + i // 4 % 26)}{'scum' if i % 3 else 'cum'}" if i % 8 else "twit"
+    rows = [(i, f"{t} {toxic(i)} w1" if i % 4 == 0 else f"{t} twin" if i % 5 == 0 else t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs(spark, rows), labels)
+    lexicon = toxicity.Lexicon(list(model.entries))
+    assert [lexicon.look(w) for w in ("scum", "scun", "cum", "twit", "twin")] == [1, 2, 2, 1, 0]
+
+
 def test_quotation_and_learning(spark):
     lexicon = toxicity.Lexicon([("idiot", False)])
     assert toxicity.hits(lexicon, "you idiot and idiott") == (1, 1, 0)
