@@ -3,8 +3,8 @@
 1. Targets: the sources share all words by weight; a target stops at ``max_repeat`` times its source's words and the
    excess goes to the others by weight (water-filling in closed form over the few rows of the source table).
 2. Quotas: a source gives every document ``floor(target / words)`` times; the rest of the target is a prefix of its
-   blocks in a seeded random order. Only the block at the edge is settled by documents, so a quota is exact to about
-   a document.
+   blocks in a seeded random order. Only the block at the edge is settled by documents: it is filled until none of its
+   documents fits, whatever their sizes.
 3. Tree: the drawn blocks of all sources are split exactly among the output shards. A node halves its shards; the
    left half's share of each source is drawn from the multivariate hypergeometric law, source after source, given
    the left half's capacity. The leaves say how many blocks of a source a shard gets; the blocks in the source's
@@ -28,6 +28,7 @@ from .common import cut, small, text_or_empty, word_count
 
 MAX_BLOCKS = 512
 DOCS_PER_BLOCK = 64
+#: Rounds of filling edge blocks between two looks whether a document still fits.
 EDGE_ROUNDS = 3
 SEED = 20
 
@@ -75,16 +76,23 @@ def _blocks(placed: DataFrame) -> DataFrame:
 
 
 def _edge(docs: DataFrame) -> DataFrame:
-    """Documents that the partial pass takes from edge blocks: a random prefix that stays within the rest, then, a few times, the one document nearest to the gap."""
-    order = Window.partitionBy("place").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    """Documents that the partial pass takes from edge blocks: of those that fit, a random prefix within the rest, by rounds until none fits; then the one nearest to the gap if that lessens the miss."""
     of_source = Window.partitionBy("place")
-    d = docs.withColumn("upto", F.sum("_size").over(order)).withColumn("extra", (F.col("upto") <= F.col("left")).cast("int"))
-    for _ in range(EDGE_ROUNDS):
-        d = d.withColumn("gap", F.col("left") - F.coalesce(F.sum(F.col("_size") * F.col("extra")).over(of_source), F.lit(0)))
-        off = F.abs(F.col("_size") - F.col("gap"))
-        d = d.withColumn("nth", F.row_number().over(Window.partitionBy("place", "extra").orderBy(off, "_h", "_id")))
-        d = d.withColumn("extra", F.when((F.col("nth") == 1) & (off < F.col("gap")), 1).otherwise(F.col("extra")))
-    return d.drop("upto", "gap", "nth", "left")
+    order = Window.partitionBy("place", "fits").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.col("left") - F.coalesce(F.sum(F.col("_size") * F.col("extra")).over(of_source), F.lit(0))
+    d = docs.withColumn("extra", F.lit(0))
+    while True:
+        for _ in range(EDGE_ROUNDS):
+            d = d.withColumn("gap", gap)
+            d = d.withColumn("fits", (F.col("extra") == 0) & (F.col("_size") <= F.col("gap")))
+            d = d.withColumn("extra", F.when(F.col("fits") & (F.sum("_size").over(order) <= F.col("gap")), 1).otherwise(F.col("extra")))
+        d = cut(d.withColumn("gap", gap))
+        if d.filter("extra = 0 and _size <= gap").isEmpty():
+            break
+    off = F.abs(F.col("_size") - F.col("gap"))
+    d = d.withColumn("nth", F.row_number().over(Window.partitionBy("place", "extra").orderBy(off, "_h", "_id")))
+    d = d.withColumn("extra", F.when((F.col("nth") == 1) & (off < F.col("gap")), 1).otherwise(F.col("extra")))
+    return d.drop("gap", "fits", "nth", "left")
 
 
 def _log_ratio(k: Column, marked: Column, drawn: Column, total: Column) -> Column:

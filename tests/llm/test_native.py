@@ -87,6 +87,18 @@ def test_mix_meets_targets(spark):
     assert sorted(map(str, mixing.mix_report(docs(spark, rows)).collect())) == sorted(map(str, got))
 
 
+def test_long_documents_do_not_stop_the_fill(spark):
+    # each of three sources is one block; long documents overshoot, short ones still fit
+    sizes = [[20] * 45 + [900], [15] * 60 + [1000], [20] * 60]
+    rows = [(100 * s + i, "w " * n, f"s{s}") for s, of in enumerate(sizes) for i, n in enumerate(of)]
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix_report(docs(spark, rows), weights=(1, 1, 9)).collect():
+        taken[r["doc_id"] // 100] += r["taken"]
+        target[r["doc_id"] // 100] = r["target"]
+    assert all(target[s] < max(sizes[s]) for s in (0, 1))
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target), (taken, target)
+
+
 def test_split_tree_is_exact(spark):
     drawn = spark.createDataFrame([(0, 40), (1, 0), (2, 7), (3, 300)], "place int, n long")
     leaves = mixing.split_tree(drawn, 6).collect()
