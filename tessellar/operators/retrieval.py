@@ -27,12 +27,17 @@ def match_all(index: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def match_phrase(docs: DataFrame, phrases: DataFrame, key: str = "doc_id") -> DataFrame:
-    """query, document pairs whose text holds the query's tokens in a row: those that hold all of them, then verified."""
-    terms = phrases.select("query", F.explode(F.array_distinct(T.tokens(F.col("phrase")))).alias("term"))
-    found = match_all(postings(docs, key), terms, key)
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(T.tokens(F.col(c)), " "), F.lit(" "))
-    both = found.join(phrases, "query").join(docs.select(key, "text"), key)
-    return both.filter(F.contains(spaced("text"), spaced("phrase"))).select("query", key).distinct()
+    """query, document pairs whose text holds all the query's tokens in a row: those that hold its rarest token, then verified."""
+    # as few rows as queries: broadcast if counted to be few
+    few = F.broadcast if phrases.count() <= 500_000 else lambda df: df
+    words = docs.select(key, T.tokens(F.col("text")).alias("words"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = phrases.select("query", T.tokens(F.col("phrase")).alias("phrase"))
+    terms = asked.select("query", "phrase", F.explode(F.array_distinct("phrase")).alias("term")).join(df, "term", "left")
+    rarest = terms.groupBy("query", "phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    both = words.withColumn("term", F.explode(F.array_distinct("words"))).join(few(rarest), "term")
+    return both.filter(F.contains(spaced("words"), spaced("phrase"))).select("query", key).distinct()
 
 
 def bm25(index: DataFrame, terms: DataFrame, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:

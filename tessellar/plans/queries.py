@@ -259,8 +259,7 @@ def lexical_and_match(spark, d):
 
 @query()
 def phrase_match(spark, d):
-    start = F.array_join(F.slice(T.tokens(F.col("text")), 1, 6), " ")
-    return retrieval.match_phrase(_t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), start.alias("phrase")))
+    return retrieval.match_phrase(_t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("phrase")))
 
 
 @query(f"""WITH {_TERMS2}, ln AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), st AS (SELECT count(*) AS docs, avg(len) AS mean FROM ln), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -439,9 +438,9 @@ def title_jaccard(spark, d):
 def pair_consistency(spark, d):
     c = _t(spark, d, "conversations")
     side = lambda role, name: c.filter(F.col("role") == role).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias(name))
-    p = side("user", "a").join(side("assistant", "b"), "conv_id").withColumns({"ta": F.left("a", F.lit(80)), "tb": F.left("b", F.lit(80))})
+    p = side("user", "a").join(side("assistant", "b"), "conv_id")
     words = ["the", "and", "of", "to", "in"]
-    return documents.consistency(p, "a", "b", "ta", "tb", actions=words, materials=words).drop("a", "b", "ta", "tb")
+    return documents.consistency(p, "a", "b", "a", "b", actions=words, materials=words).drop("a", "b")
 
 
 @query("SELECT round(avg(CASE WHEN s >= 0.4 THEN 1.0 ELSE 0 END), 6) AS sim_hit, round(avg(s), 6) AS avg_max_sim FROM (SELECT query, greatest(max(sim), 0) AS s FROM (SELECT a.vec_id AS query, round(list_inner_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark)) GROUP BY 1)")

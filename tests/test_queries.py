@@ -22,3 +22,14 @@ def test_rows_match(spark, name):
     plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
     rows = lambda df: sorted(repr([plain(v) for v in r]) for r in df[columns].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_whole_passages_and_sides(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten"
+    at = lambda name: str(tmp_path / f"{name}.parquet")
+    spark.createDataFrame([(1, f"a {passage.upper()}, b"), (2, "one two three four five six else seven"), (3, "ten nine eight seven six five four three two one")], "doc_id long, text string").write.parquet(at("documents"))
+    spark.createDataFrame([(7, passage), (8, None), (9, "six five never")], "item_id long, text string").write.parquet(at("benchmark"))
+    assert [tuple(r) for r in QUERIES["phrase_match"](spark, str(tmp_path)).collect()] == [(7, 1)]
+    turns = [(1, 0, "user", "same words " * 10 + "left"), (1, 1, "assistant", "same words " * 10 + "right")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(at("conversations"))
+    assert QUERIES["pair_consistency"](spark, str(tmp_path)).first()["title_sim"] == 0.5
