@@ -414,8 +414,15 @@ def report(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
 
 
 def distinct(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, that of its smallest id; rows without an id stay."""
-    c = components(docs, shingle, percent)
-    gone = cut(c.filter("doc_id <> component_id").select("doc_id").distinct())
+    """One row of each component, the first of its smallest id (one without an id only if none has one); rows without words stay.
+
+    Rows are told apart by their place, so an id that repeats with other texts is in several components. Plans must give
+    the rows in the same order each time, as those of stored tables do.
+    """
+    keyed = docs.withColumn("_key", F.monotonically_increasing_id())
+    c = cut(components(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("_key"), "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")
+    kept = c.join(keyed.select("_key", "doc_id"), "_key").groupBy("component_id").agg(first).select(F.col("first._key").alias("_key"))
+    gone = cut(c.select("_key").join(kept, "_key", "left_anti"))
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    return keyed.join(F.broadcast(gone) if few else gone, "_key", "left_anti").drop("_key")

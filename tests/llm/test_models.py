@@ -161,6 +161,13 @@ def test_near_duplicates(spark, monkeypatch, held):
             assert (r["component_id"], r["n_shingles"]) == (root(r["doc_id"]), len(sets[r["doc_id"]])) and r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_distinct_keeps_one_row_of_each_text(spark):
+    x, y, z = made(3, 12, 5000)
+    rows = [(5, x), (5, y), (3, y), (None, z), (None, z), (7, z), (8, "own words"), (8, "own words"), (9, None), (None, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.distinct(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, x), (3, y), (7, z), (8, "own words"), (9, None), (None, "")], key=str)
+
+
 def test_mixed_regions_split_by_depth():
     rng = np.random.default_rng(4)
     n = neardup.CROWDED + 50
