@@ -4,11 +4,11 @@ Texts of a batch are laid out as one array of code points. A class table turns t
 other, white space by what follows it, apostrophe by the ending it opens, end of text). Each symbol acts on the few
 states of the splitting automaton; composing such actions is associative and closed over a small set, so a blocked
 prefix scan of table look-ups gives the state before every code point at once, and with it every token boundary. No
-regex runs. The slices between boundaries go through a bounded cache of pair merges; a slice that isn't there is merged
-by the tiktoken library, one piece at a time.
+regex runs. The slices between boundaries go through a bounded cache of pair merges, looked up all at once; slices that
+aren't there are merged by rank, all new ones of a chunk side by side.
 
 Ids are packed as little-endian unsigned 32-bit integers. Byte offsets of the tokens can be kept with them: a token's
-bytes are ``decoded[offsets[i]:offsets[i + 1]]``. Decoding gathers the bytes of the vocabulary by its offset table.
+bytes are ``decoded[offsets[i]:offsets[i + 1]]``. Decoding gathers the bytes of the vocabulary to the offsets kept.
 
 Cases: a null or empty text has no ids and decodes to no bytes; texts of any length are encoded whole (a long one is a
 chunk by itself); repeated rows are encoded each; an empty table gives an
@@ -19,19 +19,22 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .hashing import mixed
+
 #: Code points of a chunk that is scanned at once, unless one text has more.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 #: Entries of a worker's cache of merged pieces; it is emptied when full, which changes no result.
-CACHED = 200_000
+CACHED = 1_500_000
 
 # --- symbols and states of the splitting automaton ---
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, SPACES, WHITE, WHITES, END = range(10)
@@ -147,62 +150,201 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return joined, np.flatnonzero(begins.ravel()[states * np.uint8(10) + sym]), ends
 
 
+# --- pieces ---
+
+
+class Pieces:
+    """Texts as numbers of distinct pieces; the ids of each distinct piece are kept in a bounded cache.
+
+    A piece of up to 7 bytes is known by its bytes and length in a 64-bit word, one of up to 15 bytes by the hash of two
+    such words, which are compared; others, and those of equal hash, as bytes. ``merge`` gives the ids of new pieces.
+    """
+
+    def __init__(self, merge: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.merge = merge
+        self._empty()
+
+    def _empty(self) -> None:
+        self.short: dict[int, int] = {}
+        self.middle: dict[int, int] = {}
+        self.middle_words = np.empty((2, 0), np.uint64)  # of each number, where it is one of a middle piece
+        self.long: dict[bytes, int] = {}
+        self.flat, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _add(self, new: list[bytes]) -> None:
+        ids, sizes = self.merge(new)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+
+    def _numbers(self, known: dict, keys: list, begins: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
+        """Numbers of distinct pieces by their keys; those that aren't known are merged."""
+        found = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            first = len(self.size)
+            self._add([data[b:e] for b, e in zip(begins[new].tolist(), ends[new].tolist(), strict=True)])
+            found[new] = np.arange(first, first + len(new))
+            known.update(zip([keys[i] for i in new.tolist()], found[new].tolist(), strict=True))
+        return found
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces in order, and how many pieces each text has."""
+        if len(self.size) > CACHED:
+            self._empty()
+        joined, at, ends = boundaries(texts)
+        data = joined.encode()
+        if len(data) > len(joined):  # places of code points to places of bytes
+            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            widths = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
+            place = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+            at, ends = place[at], place[ends]
+        of_end = np.searchsorted(at, ends)  # what begins at an end of text is the mark between texts, no piece
+        counts = np.diff(of_end, prepend=-1) - 1
+        begins, until = np.delete(at, of_end), np.delete(np.append(at[1:], len(data)), of_end)
+        length = until - begins
+        raw = data + bytes(16)
+        words = np.ndarray((len(data) + 8,), "<u8", raw, strides=(1,))
+        masks = (np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))) - np.uint64(1)
+        out = np.empty(len(begins), np.int64)
+
+        at = np.flatnonzero(length <= 7)
+        key = (words[begins[at]] & masks[length[at]]) | (length[at].astype(np.uint64) << np.uint64(56))
+        code, distinct = pd.factorize(key)
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = at[::-1]
+        out[at] = self._numbers(self.short, distinct.tolist(), begins[first], until[first], data)[code]
+
+        at = np.flatnonzero((length > 7) & (length <= 15))
+        two_words = np.stack([words[begins[at]], (words[begins[at] + 8] & masks[length[at] - 8]) | (length[at].astype(np.uint64) << np.uint64(56))])
+        code, distinct = pd.factorize(mixed(two_words[0] + mixed(two_words[1])))
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(at))[::-1]
+        found = self._numbers(self.middle, distinct.tolist(), begins[at[first]], until[at[first]], data)
+        grown = len(self.size) - self.middle_words.shape[1]
+        if grown:
+            self.middle_words = np.concatenate([self.middle_words, np.zeros((2, grown), np.uint64)], axis=1)
+        unset = ~self.middle_words[:, found].any(axis=0)
+        self.middle_words[:, found[unset]] = two_words[:, first[unset]]
+        out[at] = found[code]
+        clash = (self.middle_words[:, out[at]] != two_words).any(axis=0)
+
+        at = np.concatenate([np.flatnonzero(length > 15), at[clash]])
+        if len(at):
+            pieces = [data[b:e] for b, e in zip(begins[at].tolist(), until[at].tolist(), strict=True)]
+            place = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+            first = np.empty(len(place), np.int64)
+            code = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+            first[code[::-1]] = at[::-1]
+            out[at] = self._numbers(self.long, list(place), begins[first], until[first], data)[code]
+        return out, counts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and how many ids each text has."""
+        numbers, counts = self.numbers(texts)
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.begin[numbers] - ends + sizes, sizes) + np.arange(total)]
+        of_text = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return ids, np.diff(of_text, prepend=0)
+
+
 # --- merges ---
 
 
 class Vocabulary:
-    """Ranks of byte strings; merges pieces and keeps the results in a bounded cache."""
+    """Ranks of byte strings, and the pair merging over them."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        # a pattern that takes any piece whole: the boundaries are those found above
-        self.library = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
-        self.cached: dict[str, bytes] = {}
-        size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
+        self.size = max(self.ranks.values()) + 1
+        tokens = [b""] * self.size
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-
-    def merge(self, piece: str) -> bytes:
-        """The packed ids of one piece: the library's pair merging on the piece alone, without its splitting."""
-        return np.array(self.library.encode_ordinary(piece), "<u4").tobytes()
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        # every way in which a token is two tokens side by side
+        get = self.ranks.get
+        pairs = [(x * self.size + y, rank) for token, rank in self.ranks.items() for cut in range(1, len(token)) if (x := get(token[:cut])) is not None and (y := get(token[cut:])) is not None]
+        pairs.sort()
+        self.pairs, self.merged = (np.array(v, np.int64) for v in zip(*pairs, strict=True)) if pairs else (np.full(1, -1), np.zeros(1, np.int64))
+        self.pieces = Pieces(self.merge)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that two tokens make; the vocabulary's size if none."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], self.size)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces and their numbers: in each round every piece merges its leftmost pair of least rank."""
+        whole = np.fromiter(map(self.ranks.get, pieces, repeat(-1)), np.int64, len(pieces))
+        rest = np.flatnonzero(whole < 0)
+        sizes = np.ones(len(pieces), np.int64)
+        if not len(rest):
+            return whole, sizes
+        ids = self.of_byte[np.frombuffer(b"".join([pieces[i] for i in rest.tolist()]), np.uint8)]
+        lengths = np.fromiter((len(pieces[i]) for i in rest.tolist()), np.int64, len(rest))
+        done_of, done_ids, owner = [], [], rest
+        rank = np.append(self._rank(ids[:-1], ids[1:]), self.size)
+        rank[np.cumsum(lengths) - 1] = self.size  # the last token of a piece has no pair
+        while len(owner):
+            begins = np.cumsum(lengths) - lengths
+            least = np.minimum.reduceat(rank, begins)
+            over = least >= self.size
+            if over.any():
+                of_token = np.repeat(over, lengths)
+                done_of.append(np.repeat(owner, lengths)[of_token])
+                done_ids.append(ids[of_token])
+                ids, rank = ids[~of_token], rank[~of_token]
+                owner, lengths, least = owner[~over], lengths[~over], least[~over]
+                if not len(owner):
+                    break
+                begins = np.cumsum(lengths) - lengths
+            hits = np.flatnonzero(rank == np.repeat(least, lengths))
+            of_hit = np.searchsorted(begins, hits, "right") - 1
+            left = hits[np.flatnonzero(np.diff(of_hit, prepend=-1))]  # the leftmost of each piece
+            ids[left] = least
+            keep = np.ones(len(ids), bool)
+            keep[left + 1] = False
+            # pairs with the new token: the one before it and the one after it
+            after = left + 2
+            last = after >= begins + lengths
+            rank[left] = np.where(last, self.size, self._rank(ids[left], ids[np.minimum(after, len(ids) - 1)]))
+            inner = left > begins
+            rank[left[inner] - 1] = self._rank(ids[left[inner] - 1], ids[left[inner]])
+            ids, rank, lengths = ids[keep], rank[keep], lengths - 1
+        of, done = np.concatenate(done_of), np.concatenate(done_ids)
+        sizes[rest] = np.bincount(of, minlength=len(pieces))[rest]
+        out = np.empty(int(sizes.sum()), np.int64)
+        ends = np.cumsum(sizes)
+        single = whole >= 0
+        out[(ends - 1)[single]] = whole[single]
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        nth = np.arange(len(of)) - np.searchsorted(of, of)
+        out[(ends - sizes)[of] + nth] = done[order]
+        return out, sizes
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        joined, at, ends = boundaries(texts)
-        cached, out = self.cached, []
-        starts = at.tolist()
-        splits = np.searchsorted(at, ends).tolist()
-        first = 0
-        for last in splits:
-            parts = []
-            for k in range(first, last):
-                piece = joined[starts[k] : starts[k + 1]]
-                ids = cached.get(piece)
-                if ids is None:
-                    ids = self.merge(piece)
-                    if len(piece) <= 64:
-                        if len(cached) >= CACHED:
-                            cached.clear()
-                        cached[piece] = ids
-                parts.append(ids)
-            out.append(b"".join(parts))
-            first = last + 1
-        return out
+        ids, counts = self.pieces.encode(texts)
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def token_offsets(self, ids: bytes) -> np.ndarray:
         """Where each token begins in the text's bytes, and the end."""
         codes = np.frombuffer(ids, "<u4")
         return np.concatenate([[0], np.cumsum(self.offsets[codes + 1] - self.offsets[codes])])
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes of packed ids: a gather by token offsets."""
+    def decode(self, ids: bytes, into: np.ndarray | None = None) -> bytes:
+        """The bytes of packed ids: a gather by token offsets, those given or new ones."""
         codes = np.frombuffer(ids, "<u4").astype(np.int64)
-        begin, into = self.offsets[codes], self.token_offsets(ids)
-        return self.bytes[np.arange(into[-1]) + np.repeat(begin - into[:-1], np.diff(into))].tobytes()
+        into = self.token_offsets(ids) if into is None else into.astype(np.int64)
+        return self.bytes[np.arange(into[-1]) + np.repeat(self.offsets[codes] - into[:-1], np.diff(into))].tobytes()
 
 
 @cache
@@ -223,12 +365,11 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield chunk
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), offsets: bool = False, decoded: bool = False) -> DataFrame:
-    """``keep``, then ``ids`` (packed), and on request ``offsets`` (packed alike) and ``decoded``: the bytes of the ids."""
-    fields = [docs.select(*[docs[c] for c in keep]).schema, *(["ids"] + ["offsets"] * offsets + ["decoded"] * decoded)]
-    schema = fields[0]
-    for name in fields[1:]:
-        schema = schema.add(name, "binary")
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
+    """``keep``, then ``ids`` (packed), and on request ``offsets``: where each token begins in the text's bytes, packed alike."""
+    schema = docs.select(*[docs[c] for c in keep]).schema.add("ids", "binary")
+    if offsets:
+        schema = schema.add("offsets", "binary")
     kept = len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,22 +381,26 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), offs
                 columns = [batch.column(i).slice(at, len(texts)) for i in range(kept)] + [pa.array(ids, pa.binary())]
                 if offsets:
                     columns.append(pa.array([v.token_offsets(x).astype("<u4").tobytes() for x in ids], pa.binary()))
-                if decoded:
-                    columns.append(pa.array([v.decode(x) for x in ids], pa.binary()))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*[docs[c] for c in keep], docs["text"]).mapInArrow(work, schema)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of ``encode`` with ``text``: the text of the ids, invalid bytes replaced."""
-    schema = StructType([*encoded.schema.fields]).add("text", "string")
+def decode(encoded: DataFrame, path: str, as_text: bool = True) -> DataFrame:
+    """The rows of ``encode`` with ``text`` (invalid bytes replaced), or with ``decoded``: the bytes of the ids.
+
+    The offsets kept with the ids say where each token's bytes go; without them they are counted anew.
+    """
+    schema = StructType([*encoded.schema.fields]).add("text" if as_text else "decoded", "string" if as_text else "binary")
+    kept = "offsets" in encoded.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            texts = [v.decode(x).decode(errors="replace") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            into = [np.frombuffer(x, "<u4") for x in batch.column("offsets").to_pylist()] if kept else [None] * batch.num_rows
+            found = [v.decode(x, o) for x, o in zip(batch.column("ids").to_pylist(), into, strict=True)]
+            last = pa.array([x.decode(errors="replace") for x in found], pa.string()) if as_text else pa.array(found, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, last], names=schema.names)
 
     return encoded.mapInArrow(work, schema)

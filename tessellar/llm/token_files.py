@@ -1,16 +1,19 @@
 """Token-id files by an adaptive context-mixing range coder.
 
 Documents are dealt by ranges of their ids and encoded in order. A file's row is a group of documents; the group's ids are
-cut into blocks of ``BLOCK`` ids, each coded from a reset model with a checksum, so any block can be read alone. All blocks
-of a group are coded in step, one array operation for all of them.
-
-The model of a block predicts an id from the one and the two ids before it (the id seen last in that context) and without
-context. What is coded is one of 19 outcomes: the order-2 prediction holds, the order-1 prediction holds, or the id has a
-given bit length (order 0); the bits below the highest follow plainly. Outcome counts are mixed from three adaptive tables:
-by the confidence in the order-2 prediction, by that in the order-1 prediction, and without context.
-
-Cases: a null or empty text has only the end id; rows without an id come first; repeated ids are kept in an order by text
-length; texts of any length are whole in one group; an empty table gives no rows; other columns are ignored.
+cut into blocks of at most ``STRIPES * STEPS`` ids. A block is coded from a reset model, has a checksum and can be read
+alone. Its ids are laid out in ``STRIPES`` stripes that advance together, so a step codes an id of every stripe by a few
+array operations, and all stripes of a block learn from what each has coded.
+
+The model of a block predicts the next id thrice. Orders 2 and 1: an id for each context of two and of one id before,
+with a confidence that grows when it holds. Order 0: the adaptive distribution of all the block's ids so far, taken
+anew at the steps of ``_rebuilt``. The three are mixed: how often the order-2 id, the order-1 id or neither held before,
+at the same two confidences, divides the coder's range between them, and order 0 divides the rest among all ids.
+The range coder is a 64-bit one that emits words of 32 bits; carries are added when a block is closed.
+
+Cases: a null or empty text has only the end id; rows without an id come first, spread by their text; repeated ids are kept
+in an order by text length; texts of any length are whole in one group; an empty table gives no rows; other columns are
+ignored; a damaged block is an error that names it.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,173 +33,218 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import ensure_checkpoint_dir
+from .common import shared_folder
 
-BLOCK = 2048
-#: Ids of a group; a longer document is a group by itself.
-GROUP = 1 << 21
-OUTCOMES = 19
-LEVELS = 4
-SLOTS_1, SLOTS_2 = 1024, 4096
-TOP, BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
-_MASK = np.uint64(0xFFFFFFFF)
-STEP, LIMIT = 24, 12_000
+STRIPES, STEPS = 512, 512
+#: Ids of a group, 16 blocks; a longer document is a group by itself.
+GROUP = 16 * STRIPES * STEPS
+#: Slots of the contexts of one and two ids in a block; powers of two.
+SLOTS_1, SLOTS_2 = 1 << 14, 1 << 16
+#: Bits of the level of confidence; a context's entry is its id above its level.
+LEVEL_BITS = 3
+LEVELS = 1 << LEVEL_BITS
+#: Bits into which the range is divided, at most the 32 that it always has; order 0 has these or more of them, the mixing the rest.
+RANGE_BITS, ORDER_0_BITS = 30, 18
+_WORD = np.uint64(32)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-# --- model and coder, all blocks (lanes) in step ---
+# --- model and coder, all stripes of all blocks of a group in step ---
 
 
-class _Model:
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.last_1, self.last_2 = np.zeros(lanes * SLOTS_1, np.uint16), np.zeros(lanes * SLOTS_2, np.uint16)
-        self.sure_1, self.sure_2 = np.zeros(lanes * SLOTS_1, np.uint8), np.zeros(lanes * SLOTS_2, np.uint8)
-        self.tables = [np.ones((lanes * n, OUTCOMES), np.int32) for n in (1, LEVELS, LEVELS)]
-        self.before, self.before_2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.at_1 = self.lane * SLOTS_1 + ((self.before * 40503) >> 4) % SLOTS_1
-        self.at_2 = self.lane * SLOTS_2 + ((self.before * 40503 + self.before_2 * 30011) >> 3) % SLOTS_2
-        self.rows = [self.lane, self.lane * LEVELS + self.sure_1[self.at_1], self.lane * LEVELS + self.sure_2[self.at_2]]
-        mixed = self.tables[0][self.rows[0]] + self.tables[1][self.rows[1]] + 2 * self.tables[2][self.rows[2]]
-        return self.last_2[self.at_2].astype(np.int64), self.last_1[self.at_1].astype(np.int64), np.cumsum(mixed, axis=1)
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        for table, row in zip(self.tables, self.rows, strict=True):
-            table[row, outcome] += STEP
-            full = row[table[row].sum(axis=1) > LIMIT] if self.step % 64 == 63 else row[:0]
-            table[full] = (table[full] >> 1) | 1
-        self.step += 1
-        for last, sure, at in ((self.last_1, self.sure_1, self.at_1), (self.last_2, self.sure_2, self.at_2)):
-            hit = last[at] == ids
-            level = sure[at]
-            sure[at] = np.where(hit, np.minimum(level + 1, LEVELS - 1), 0)
-            last[at] = ids
-        self.before_2, self.before = self.before, ids
+def _rebuilt(step: int) -> bool:
+    """Steps at which order 0 is taken anew: powers of two, then each 64th."""
+    return step & (step - 1) == 0 if step < 64 else step % 64 == 0
 
-    step = 0
 
+class _Model:
+    def __init__(self, blocks: int, vocabulary: int, slots: bool):
+        self.blocks, self.size, self.slots = blocks, vocabulary, slots
+        self.bits = max(ORDER_0_BITS, int(vocabulary).bit_length() + 2)
+        self.mix_bits = RANGE_BITS - self.bits
+        if self.mix_bits < 4:
+            raise ValueError(f"a vocabulary of {vocabulary} ids is too large")
+        self.block = np.repeat(np.arange(blocks, dtype=np.int64), STRIPES)
+        self.of_1, self.of_2 = self.block * SLOTS_1, self.block * SLOTS_2
+        self.of_id, self.of_mix = self.block * (vocabulary + 1), self.block * (2 * LEVELS * LEVELS)
+        self.one, self.two = np.zeros(blocks * SLOTS_1, np.int32), np.zeros(blocks * SLOTS_2, np.int32)
+        self.held = np.ones((3, blocks * 2 * LEVELS * LEVELS), np.int64)
+        self.counts = np.zeros((blocks, vocabulary), np.int64)
+        self.before, self.before_2 = np.zeros(len(self.block), np.int64), np.zeros(len(self.block), np.int64)
+        self.new: list[np.ndarray] = []
+
+    def order_0(self) -> None:
+        """Cumulative shares of all ids of each block, and for reading the id at each place of the range."""
+        total = 1 << self.bits
+        if self.new:
+            at = np.concatenate([x + self.block * self.size for x in self.new])
+            self.counts += np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
+            self.new = []
+        seen = np.concatenate([np.zeros((self.blocks, 1), np.int64), np.cumsum(self.counts, axis=1)], axis=1)
+        places = np.arange(self.size + 1)
+        n = seen[:, -1:]
+        # each id has a place at least; the others go by the counts
+        shares = places + seen * (total - self.size) // np.maximum(n, 1)
+        self.cumulative = np.where(n > 0, shares, places * total // self.size)
+        if self.slots:
+            ids = np.tile(np.arange(self.size, dtype=np.int32), self.blocks)
+            self.at_slot = np.repeat(ids, np.diff(self.cumulative, axis=1).ravel())
+        self.cumulative = self.cumulative.ravel().astype(np.uint64)
+
+    def predict(self, step: int) -> tuple[np.ndarray, ...]:
+        """The ids that orders 2 and 1 predict, and the parts of the range of both."""
+        if _rebuilt(step):
+            self.order_0()
+        self.at_1 = self.of_1 + ((self.before * 40503 >> 3) & (SLOTS_1 - 1))
+        self.at_2 = self.of_2 + ((self.before * 0x9E3779B1 + self.before_2 * 0x85EBCA6B >> 12) & (SLOTS_2 - 1))
+        self.entry_1, self.entry_2 = self.one[self.at_1], self.two[self.at_2]
+        first, second = self.entry_1 >> LEVEL_BITS, self.entry_2 >> LEVEL_BITS
+        self.level_1, self.level_2 = self.entry_1 & (LEVELS - 1), self.entry_2 & (LEVELS - 1)
+        self.predicted = first, second
+        self.at_mix = self.of_mix + ((self.level_2 << LEVEL_BITS | self.level_1) << 1 | (first == second))
+        scale = (1 << self.mix_bits) - 3
+        total = self.held.sum(axis=0)
+        parts = 1 + self.held[:2] * scale // total
+        return second, first, parts[0][self.at_mix].astype(np.uint64), parts[1][self.at_mix].astype(np.uint64)
 
-def _lengths(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)  # bits of an integer; 0 for 0
+    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
+        n = self.held.shape[1]
+        self.held += np.bincount(outcome * n + self.at_mix, minlength=3 * n).reshape(3, n)
+        fresh = ids << LEVEL_BITS
+        of = (self.one, self.entry_1, self.level_1, self.at_1), (self.two, self.entry_2, self.level_2, self.at_2)
+        for (table, entry, level, at), predicted in zip(of, self.predicted, strict=True):
+            hit = predicted == ids
+            kept = entry + np.where(hit, level < LEVELS - 1, -(level + 1 >> 1))
+            table[at] = np.where(hit | (level > 1), kept, fresh)
+        self.before_2, self.before = self.before, ids.astype(np.int64)
+        self.new.append(ids)
 
 
 class _Encoder:
-    def __init__(self, lanes: int, size: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.out, self.n = np.zeros((lanes, size * 5 + 16), np.uint8), np.zeros(lanes, np.int64)
-
-    def put(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[lanes] // total
-        low, rng = (self.low[lanes] + begin * r) & _MASK, r * size
-        while True:
-            same = (low ^ (low + rng)) < TOP
-            small = ~same & (rng < BOTTOM)
-            go = same | small
-            if not go.any():
-                break
-            rng = np.where(small, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), rng)
-            at = lanes[go]
-            self.out[at, self.n[at]] = (low[go] >> np.uint64(24)).astype(np.uint8)
-            self.n[at] += 1
-            low, rng = np.where(go, (low << np.uint64(8)) & _MASK, low), np.where(go, (rng << np.uint64(8)) & _MASK, rng)
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def close(self) -> list[bytes]:
-        for _ in range(4):
-            self.out[np.arange(len(self.n)), self.n] = (self.low >> np.uint64(24)).astype(np.uint8)
-            self.n += 1
-            self.low = (self.low << np.uint64(8)) & _MASK
-        return [o[:n].tobytes() for o, n in zip(self.out, self.n.tolist(), strict=True)]
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+        self.words, self.carries = np.zeros((steps + 2) * lanes, np.uint64), np.zeros((steps + 2) * lanes, np.uint8)
+        self.lane, self.at = np.arange(lanes), np.arange(lanes)  # where a lane's next word goes
+
+    def put(self, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
+        r = self.range >> np.uint64(bits)
+        low = self.low + begin * r
+        over = np.flatnonzero(low < self.low)
+        if len(over):
+            self.carries[self.at[over] - len(self.lane)] += 1
+        self.low, self.range = low, r * size
+        self._emit(np.flatnonzero(self.range < (1 << 32)))
+
+    def _emit(self, lanes: np.ndarray) -> None:
+        self.words[self.at[lanes]] = self.low[lanes] >> _WORD
+        self.at[lanes] += len(self.lane)
+        self.low[lanes] <<= _WORD
+        self.range[lanes] <<= _WORD
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words, a row for each place and a column for each lane, and the number of each lane's words."""
+        low = self.low + np.uint64(0xFFFFFFFF)  # a value of the range whose lower word is zero
+        over = np.flatnonzero(low < self.low)
+        if len(over):
+            self.carries[self.at[over] - len(self.lane)] += 1
+        self.low = low
+        self._emit(self.lane)
+        words, carries = (x.reshape(-1, len(self.lane)) for x in (self.words, self.carries))
+        carry = np.zeros(len(self.lane), np.uint64)
+        for row in range(len(words) - 1, -1, -1):
+            words[row] += carries[row] + carry
+            carry = words[row] >> _WORD
+        return words.astype(np.uint32), self.at // len(self.lane)
 
 
 class _Decoder:
-    def __init__(self, blocks: list[bytes]):
-        self.data = np.frombuffer(b"".join(blocks) + bytes(8), np.uint8)
-        sizes = np.array([len(b) for b in blocks])
-        self.at = np.cumsum(sizes) - sizes
-        self.low, self.range, self.code = np.zeros(len(blocks), np.uint64), np.full(len(blocks), 0xFFFFFFFF, np.uint64), np.zeros(len(blocks), np.uint64)
-        for _ in range(4):
-            self.code = (self.code << np.uint64(8)) | self.data[self.at]
-            self.at += 1
-
-    def target(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.r = self.range[lanes] // total
-        return np.minimum(((self.code[lanes] - self.low[lanes]) & _MASK) // self.r, total - np.uint64(1))
-
-    def took(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        low, rng, code = (self.low[lanes] + begin * self.r) & _MASK, self.r * size, self.code[lanes]
-        while True:
-            same = (low ^ (low + rng)) < TOP
-            small = ~same & (rng < BOTTOM)
-            go = same | small
-            if not go.any():
-                break
-            rng = np.where(small, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), rng)
-            byte = self.data[np.minimum(self.at[lanes], len(self.data) - 1)]
-            code = np.where(go, ((code << np.uint64(8)) | byte) & _MASK, code)
-            low, rng = np.where(go, (low << np.uint64(8)) & _MASK, low), np.where(go, (rng << np.uint64(8)) & _MASK, rng)
-            self.at[lanes[go]] += 1
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, rng, code
-
-
-def compress(ids: np.ndarray) -> list[bytes]:
-    """Blocks of ids below 65536."""
+    def __init__(self, words: np.ndarray):
+        """``words``: a row for each place and a column for each lane; zeros after the end."""
+        self.words, self.lanes = words.ravel().astype(np.uint64), words.shape[1]
+        lane = np.arange(self.lanes)
+        self.code = self.words[lane] << _WORD | self.words[lane + self.lanes]
+        self.at, self.range = lane + 2 * self.lanes, np.full(self.lanes, _FULL)
+
+    def target(self, bits: int) -> np.ndarray:
+        self.r = self.range >> np.uint64(bits)
+        return np.minimum(self.code // self.r, np.uint64((1 << bits) - 1))
+
+    def took(self, begin: np.ndarray, size: np.ndarray) -> None:
+        self.code -= begin * self.r
+        self.range = self.r * size
+        lanes = np.flatnonzero(self.range < (1 << 32))
+        at = self.at[lanes]
+        self.code[lanes] = self.code[lanes] << _WORD | self.words[np.minimum(at, len(self.words) - 1)]
+        self.range[lanes] <<= _WORD
+        self.at[lanes] = at + self.lanes
+
+
+def _grid(n: int) -> tuple[int, int]:
+    """Blocks of a group of n ids, and their steps."""
+    blocks = max(1, -(-n // (STRIPES * STEPS)))
+    return blocks, -(-n // (blocks * STRIPES))
+
+
+def _parts(model: _Model, first: np.ndarray, second: np.ndarray, third: np.ndarray, outcome: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of each lane's part of the range, given the mix's three parts."""
+    up = np.uint64(model.bits)
+    begin = np.where(outcome == 0, np.uint64(0), np.where(outcome == 1, first, first + second)) << up
+    size = np.where(outcome == 0, first, second) << up
+    plain = np.flatnonzero(outcome == 2)
+    at = model.of_id[plain] + ids[plain]
+    low, high = model.cumulative[at], model.cumulative[at + 1]
+    begin[plain] += low * third[plain]
+    size[plain] = (high - low) * third[plain]
+    return begin, size
+
+
+def compress(ids: np.ndarray, vocabulary: int) -> list[bytes]:
+    """Blocks of ids below ``vocabulary``: the number of words of each stripe, then the words."""
     if not len(ids):
         return []
-    lanes = -(-len(ids) // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.int64)
+    blocks, steps = _grid(len(ids))
+    grid = np.zeros(blocks * STRIPES * steps, np.int32)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    model, coder, lane = _Model(lanes), _Encoder(lanes, min(BLOCK, len(ids))), np.arange(lanes)
-    last = len(ids) - (lanes - 1) * BLOCK
-    for t in range(min(BLOCK, len(ids))):
+    grid = np.ascontiguousarray(grid.reshape(blocks * STRIPES, steps).T)
+    model, coder = _Model(blocks, vocabulary, slots=False), _Encoder(blocks * STRIPES, steps)
+    whole = np.uint64(1 << model.mix_bits)
+    for t in range(steps):
         x = grid[t]
-        two, one, ends = model.predict()
-        bits = _lengths(x)
-        outcome = np.where(x == two, 0, np.where(x == one, 1, 2 + bits))
-        used = lane if t < last else lane[:-1]
-        end = ends[lane, outcome]
-        begin = np.where(outcome > 0, ends[lane, np.maximum(outcome, 1) - 1], 0)
-        u = lambda a: a[used].astype(np.uint64)
-        coder.put(used, u(begin), u(end - begin), u(ends[:, -1]))
-        plain = used[(outcome[used] > 3)]
-        if len(plain):
-            width = (bits[plain] - 1).astype(np.uint64)
-            coder.put(plain, x[plain].astype(np.uint64) - (np.uint64(1) << width), np.ones(len(plain), np.uint64), np.uint64(1) << width)
+        two, one, first, second = model.predict(t)
+        outcome = np.where(x == two, 0, np.where(x == one, 1, 2))
+        coder.put(*_parts(model, first, second, whole - first - second, outcome, x), RANGE_BITS)
         model.update(x, outcome)
-    return coder.close()
+    words, n = coder.close()
+    used = np.arange(len(words))[None, :] < n[:, None]
+    words = np.ascontiguousarray(words.T)
+    lanes = [slice(b * STRIPES, (b + 1) * STRIPES) for b in range(blocks)]
+    return [n[b].astype("<u2").tobytes() + words[b][used[b]].astype("<u4").tobytes() for b in lanes]
 
 
-def expand(blocks: list[bytes], n: int) -> np.ndarray:
-    """The ids of all blocks of a group of n ids."""
+def expand(blocks: list[bytes], n: int, vocabulary: int) -> np.ndarray:
+    """The ids of all blocks of a group of n ids; any run of a group's full blocks can be given alone."""
     if not n:
         return np.empty(0, np.int64)
-    lanes = len(blocks)
-    last = n - (lanes - 1) * BLOCK
-    grid = np.zeros((min(BLOCK, n), lanes), np.int64)
-    model, coder, lane = _Model(lanes), _Decoder(blocks), np.arange(lanes)
-    for t in range(len(grid)):
-        two, one, ends = model.predict()
-        used = lane if t < last else lane[:-1]
-        target = coder.target(used, ends[used, -1].astype(np.uint64)).astype(np.int64)
-        outcome = np.full(lanes, 2)  # an unused lane holds zeros, as when it was written
-        outcome[used] = (ends[used] <= target[:, None]).sum(axis=1)
-        begin = np.where(outcome > 0, ends[lane, np.maximum(outcome, 1) - 1], 0)
-        coder.took(used, begin[used].astype(np.uint64), (ends[lane, outcome] - begin)[used].astype(np.uint64))
-        x = np.where(outcome == 0, two, np.where(outcome == 1, one, np.where(outcome == 2, 0, 1)))
-        plain = used[outcome[used] > 3]
-        if len(plain):
-            width = (outcome[plain] - 3).astype(np.uint64)
-            low = coder.target(plain, np.uint64(1) << width)
-            coder.took(plain, low, np.ones(len(plain), np.uint64))
-            x[plain] = ((np.uint64(1) << width) + low).astype(np.int64)
-        if len(used) < lanes:
-            two_, one_ = two[-1], one[-1]
-            outcome[-1] = 0 if two_ == 0 else 1 if one_ == 0 else 2
-            x[-1] = 0
+    steps = -(-n // (len(blocks) * STRIPES))
+    counts = np.concatenate([np.frombuffer(b, "<u2", STRIPES) for b in blocks]).astype(np.int64)
+    words = np.zeros((len(counts), max(2, int(counts.max()))), np.uint32)
+    words[np.arange(words.shape[1])[None, :] < counts[:, None]] = np.concatenate([np.frombuffer(b, "<u4", offset=2 * STRIPES) for b in blocks])
+    model, coder = _Model(len(blocks), vocabulary, slots=True), _Decoder(np.ascontiguousarray(words.T))
+    grid, whole, mask = np.zeros((steps, len(counts)), np.int32), np.uint64(1 << model.mix_bits), np.uint64(model.bits)
+    of_slot = model.block << model.bits
+    for t in range(steps):
+        two, one, first, second = model.predict(t)
+        third = whole - first - second
+        target = coder.target(RANGE_BITS)
+        top = target >> mask
+        outcome = (top >= first).astype(np.int64) + (top >= first + second)
+        x = np.where(outcome == 0, two, one)
+        plain = np.flatnonzero(outcome == 2)
+        place = (target[plain] - ((first + second)[plain] << mask)) // third[plain]
+        x[plain] = model.at_slot[of_slot[plain] + place.astype(np.int64)]
+        coder.took(*_parts(model, first, second, third, outcome, x))
         grid[t] = x
         model.update(x, outcome)
-    return grid.T.ravel() if last == len(grid) else np.concatenate([grid[:, :-1].T.ravel(), grid[:last, -1]])
+    return grid.T.ravel()[:n]
 
 
 # --- tokens ---
@@ -207,27 +256,52 @@ class _Tokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.library, self.cached = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        joined, at, ends = bpe.boundaries(texts)
-        starts, first, out = at.tolist(), 0, []
-        pieces = [joined[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-        if len(self.cached) > bpe.CACHED:
-            self.cached = {}
-        cached = self.cached
-        new = [p for p in dict.fromkeys(pieces) if p not in cached]
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cached[p] = np.array(e.ids, "<u2").tobytes()
-        for text, last in zip(texts, np.searchsorted(at, ends).tolist(), strict=True):
-            if any(s in text for s in self.special):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64))
+        self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        # words after a space can go to such a library side by side: it splits them there
+        self.splits_words = isinstance(self.library.pre_tokenizer, ByteLevel) and self.library.normalizer is None
+        self.after_space = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocabulary)])
+        self.pieces = bpe.Pieces(self._library_ids)
+
+    def _library_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode() for p in pieces]
+        words = np.fromiter((t[0] == " " and t[1:].isalpha() for t in texts), bool, len(texts)) & self.splits_words
+        sizes, parts = np.empty(len(texts), np.int64), []
+        at = np.flatnonzero(words)
+        if len(at):
+            ids = np.array(self.library.encode_batch_fast(["".join([texts[i] for i in at.tolist()])], add_special_tokens=False)[0].ids, np.int64)
+            begins = np.flatnonzero(self.after_space[ids])
+            if len(begins) == len(at):  # a token begins at every space, so none goes over two words
+                sizes[at] = np.diff(begins, append=len(ids))
+                parts.append(ids)
             else:
-                out.append(np.frombuffer(b"".join([cached[p] for p in pieces[first:last]]), "<u2").astype(np.int64))
-            first = last + 1
-        return out
+                words[:] = False
+        at = np.flatnonzero(~words)
+        if len(at):
+            coded = [e.ids for e in self.library.encode_batch_fast([texts[i] for i in at.tolist()], add_special_tokens=False)]
+            sizes[at] = np.fromiter(map(len, coded), np.int64, len(coded))
+            parts.append(np.fromiter(chain.from_iterable(coded), np.int64, int(sizes[at].sum())))
+        out = np.empty(int(sizes.sum()), np.int64)
+        for of, part in zip([x for x in (words, ~words) if x.any()], parts, strict=True):
+            out[np.repeat(of, sizes)] = part
+        return out, sizes
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and how many ids each text has."""
+        special = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if not special:
+            return self.pieces.encode(texts)
+        plain = list(texts)
+        for i in special:
+            plain[i] = ""
+        ids, counts = self.pieces.encode(plain)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in special:
+            parts[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
 @cache
@@ -235,16 +309,17 @@ def tokenizer(path: str) -> _Tokenizer:
     return _Tokenizer(path)
 
 
-SCHEMA = "part int, group int, n_tokens long, ids binary, lengths binary, sizes binary, checks binary, payload binary"
+SCHEMA = "part int, group int, n_tokens long, vocabulary long, ids binary, lengths binary, sizes binary, checks binary, payload binary"
 
 
-def _group(part: int, number: int, docs: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
+def _group(part: int, number: int, docs: list, tokens: list[np.ndarray], lengths: list[np.ndarray], vocabulary: int) -> pa.RecordBatch:
     ids = np.concatenate(tokens)
-    blocks = compress(ids)
+    blocks = compress(ids, vocabulary)
     has = np.array([d is not None for d in docs])
     keys = np.array([d or 0 for d in docs], np.int64).tobytes() + has.tobytes()
-    row = [keys, np.array([len(t) for t in tokens], np.int64).tobytes(), np.array([len(b) for b in blocks], np.int32).tobytes(), np.array([zlib.crc32(b) for b in blocks], np.uint32).tobytes(), b"".join(blocks)]
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+    row = [keys, np.concatenate(lengths).astype(np.int64).tobytes(), np.array([len(b) for b in blocks], np.int32).tobytes(), np.array([zlib.crc32(b) for b in blocks], np.uint32).tobytes(), b"".join(blocks)]
+    head = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([vocabulary], pa.int64())]
+    return pa.RecordBatch.from_arrays([*head, *(pa.array([x], pa.binary()) for x in row)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
@@ -252,23 +327,26 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, number = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        docs, tokens, size = [], [], 0
+        vocabulary = max(t.vocabulary, end_id + 1)
+        docs, tokens, lengths, size = [], [], [], 0
         for batch in batches:
-            ids = iter(batch.column(0).to_pylist())
+            keys, first = batch.column(0).to_pylist(), 0
             for texts in bpe._chunks([x or "" for x in batch.column(1).to_pylist()]):
-                for x in t.encode(texts):
-                    docs.append(next(ids))
-                    tokens.append(np.append(x, end_id))
-                    size += len(x) + 1
-                    if size >= GROUP:
-                        yield _group(part, number, docs, tokens)
-                        docs, tokens, size, number = [], [], 0, number + 1
+                ids, counts = t.encode(texts)
+                tokens.append(np.insert(ids, np.cumsum(counts), end_id))
+                lengths.append(counts + 1)
+                docs += keys[first : first + len(texts)]
+                first, size = first + len(texts), size + len(tokens[-1])
+                if size >= GROUP - bpe.CHUNK // 4:
+                    yield _group(part, number, docs, tokens, lengths, vocabulary)
+                    docs, tokens, lengths, size, number = [], [], [], 0, number + 1
         if docs:
-            yield _group(part, number, docs, tokens)
+            yield _group(part, number, docs, tokens, lengths, vocabulary)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the texts are shuffled, not the ids, as finding the ranges looks at the rows once more
-    in_order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    # the texts are shuffled, not the ids, as finding the ranges looks at the rows once more; equal ids are spread by text
+    spread = F.xxhash64("text")
+    in_order = rows.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, F.length("text"), "text")
     in_order.mapInArrow(work, SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
 
 
@@ -276,7 +354,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids (packed unsigned 32-bit): each document of the files; a block with a wrong checksum is an error."""
     files = spark.read.parquet(path)
     before = Window.orderBy("part", "group").rowsBetween(Window.unboundedPreceding, -1)
-    # one narrow row for each group of two million ids
+    # one narrow row for each group of some four million ids
     begins = files.select("part", "group", "n_tokens").withColumn("begins", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("n_tokens")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,19 +363,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 sizes, checks = np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["checks"], np.uint32)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 blocks = [r["payload"][a:b] for a, b in zip(at, at[1:], strict=False)]
-                if any(zlib.crc32(b) != c for b, c in zip(blocks, checks.tolist(), strict=True)):
-                    raise ValueError(f"a damaged block in part {r['part']}, group {r['group']}")
-                ids = expand(blocks, r["n_tokens"]).astype("<u4")
+                for i, (b, c) in enumerate(zip(blocks, checks.tolist(), strict=True)):
+                    if zlib.crc32(b) != c:
+                        raise ValueError(f"block {i} of part {r['part']}, group {r['group']} is damaged")
+                ids = expand(blocks, r["n_tokens"], r["vocabulary"]).astype("<u4")
                 lengths = np.frombuffer(r["lengths"], np.int64)
                 ends, n = np.cumsum(lengths), len(lengths)
                 keys, has = np.frombuffer(r["ids"], np.int64, n), np.frombuffer(r["ids"], bool, n, 8 * n)
-                starts = ends - lengths
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=~has), pa.array(r["begins"] + starts, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["doc_id", "start", "ids"])
+                starts, data = ends - lengths, ids.tobytes()
+                for lo in range(0, n, 4096):
+                    part = slice(lo, lo + 4096)
+                    packed = pa.array([data[4 * a : 4 * b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.int64(), mask=~has[part]), pa.array(r["begins"] + starts[part], pa.int64()), packed], names=["doc_id", "start", "ids"])
 
     return files.join(F.broadcast(begins) if begins.count() < 100_000 else begins, ["part", "group"]).mapInArrow(work, "doc_id long, start long, ids binary")
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder beside the cluster's checkpoints."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/token-files-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared folder."""
+    return f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete the files of ``write``."""
+    jvm, at = spark.sparkContext._jvm, None
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,12 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pytest
-import tiktoken
-from tokenizers import Tokenizer
 
-from tessellar.llm import bpe, language_model, neardup, permutation, token_files, topk, toxicity, vectors
+from tessellar.llm import language_model, neardup, permutation, topk, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string"
 
@@ -179,45 +176,6 @@ def test_mixed_regions_split_by_depth():
     assert got == [(0, 1)]
 
 
-ODD = ["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "  ", "\n", "\t", "a", "é", "Z", "1", "٣", "!", " ", "　", "don't", "😀", "\x1c", "\r\n", "'re", "''", "_", "中"]
-
-
-def test_boundaries_and_ids_are_the_librarys():
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    v = bpe.Vocabulary(path)
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
-    rng = np.random.default_rng(6)
-    texts = ["".join(rng.choice(ODD, rng.integers(0, 14))) for _ in range(3000)] + ["a" * 5000, " " * 900 + "x", "'" * 300]
-    for text, ids in zip(texts, v.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text) and v.decode(ids) == text.encode()
-        assert v.token_offsets(ids)[-1] == len(text.encode())
-
-
-def test_encode_and_decode(spark):
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(docs(spark, [(1, "naïve 中 text"), (2, None), (3, "")]), path, offsets=True)
-    assert {r["doc_id"]: r["text"] for r in bpe.decode(coded, path).collect()} == {1: "naïve 中 text", 2: "", 3: ""}
-
-
-@pytest.mark.parametrize("n", [0, 1, 7, 2048, 2049, 9000])
-def test_coder_round_trip(n):
-    rng = np.random.default_rng(n)
-    x = np.minimum(rng.zipf(1.3, n) - 1, 50256)
-    x = np.where(rng.random(n) < 0.3, np.roll(x, 3), x)
-    assert (token_files.expand(token_files.compress(x), n) == x).all()
-
-
-def test_token_files(spark, tmp_path):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(5, "hello there"), (2, None), (9, "é <|endoftext|> 中"), (1, ""), (7, "x" * 3000)]
-    token_files.write(docs(spark, rows), str(tmp_path / "f"), path)
-    library, start = Tokenizer.from_file(path), 0
-    got = {r["doc_id"]: r for r in token_files.read(spark, str(tmp_path / "f")).collect()}
-    for i, text in sorted(rows):
-        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
-        assert (got[i]["start"], np.frombuffer(got[i]["ids"], "<u4").tolist()) == (start, ids)
-        start += len(ids)
-
 
 @pytest.fixture(scope="module")
 def embedded(spark):
