@@ -32,9 +32,9 @@ from pyspark.sql.types import StructType
 from .hashing import mixed
 
 #: Code points of a chunk that is scanned at once, unless one text has more.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Entries of a worker's cache of merged pieces; it is emptied when full, which changes no result.
-CACHED = 1_500_000
+CACHED = 1_000_000
 
 # --- symbols and states of the splitting automaton ---
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, SPACES, WHITE, WHITES, END = range(10)
@@ -153,6 +153,17 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
 # --- pieces ---
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each key among the distinct ones, these in order, and where each of them is found."""
+    code, distinct = pd.factorize(keys)
+    first = np.empty(len(distinct), np.int64)
+    first[code[::-1]] = np.arange(len(keys))[::-1]
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[code], distinct[order], first[order]
+
+
 class Pieces:
     """Texts as numbers of distinct pieces; the ids of each distinct piece are kept in a bounded cache.
 
@@ -165,28 +176,34 @@ class Pieces:
         self._empty()
 
     def _empty(self) -> None:
-        self.short: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.middle_words = np.empty((2, 0), np.uint64)  # of each number, where it is one of a middle piece
+        # keys of short and middle pieces in order, and their numbers
+        self.short, self.middle = ((np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2))
         self.long: dict[bytes, int] = {}
-        self.flat, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.middle_words = np.empty((2, 0), np.uint64)  # of each number, where it is one of a middle piece
+        self.flat, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def _add(self, new: list[bytes]) -> None:
+    def _add(self, new: list[bytes]) -> np.ndarray:
         ids, sizes = self.merge(new)
+        first = len(self.size)
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-
-    def _numbers(self, known: dict, keys: list, begins: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
-        """Numbers of distinct pieces by their keys; those that aren't known are merged."""
-        found = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(found < 0)
+        return np.arange(first, len(self.size))
+
+    def _numbers(self, known: tuple[np.ndarray, np.ndarray], keys: np.ndarray, begins: np.ndarray, ends: np.ndarray, data: bytes) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Numbers of distinct pieces by their keys, and the grown table: those that aren't known are merged."""
+        at = np.searchsorted(known[0], keys)
+        have = at < len(known[0])
+        have[have] = known[0][at[have]] == keys[have]
+        found = np.empty(len(keys), np.int64)
+        found[have] = known[1][at[have]]
+        new = np.flatnonzero(~have)
         if len(new):
-            first = len(self.size)
-            self._add([data[b:e] for b, e in zip(begins[new].tolist(), ends[new].tolist(), strict=True)])
-            found[new] = np.arange(first, first + len(new))
-            known.update(zip([keys[i] for i in new.tolist()], found[new].tolist(), strict=True))
-        return found
+            found[new] = self._add([data[b:e] for b, e in zip(begins[new].tolist(), ends[new].tolist(), strict=True)])
+            all_keys = np.concatenate([known[0], keys[new]])  # two runs in order
+            order = np.argsort(all_keys, kind="stable")
+            known = all_keys[order], np.concatenate([known[1], found[new]])[order]
+        return found, known
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces in order, and how many pieces each text has."""
@@ -210,17 +227,14 @@ class Pieces:
 
         at = np.flatnonzero(length <= 7)
         key = (words[begins[at]] & masks[length[at]]) | (length[at].astype(np.uint64) << np.uint64(56))
-        code, distinct = pd.factorize(key)
-        first = np.empty(len(distinct), np.int64)
-        first[code[::-1]] = at[::-1]
-        out[at] = self._numbers(self.short, distinct.tolist(), begins[first], until[first], data)[code]
+        code, distinct, first = _distinct(key)
+        found, self.short = self._numbers(self.short, distinct, begins[at[first]], until[at[first]], data)
+        out[at] = found[code]
 
         at = np.flatnonzero((length > 7) & (length <= 15))
         two_words = np.stack([words[begins[at]], (words[begins[at] + 8] & masks[length[at] - 8]) | (length[at].astype(np.uint64) << np.uint64(56))])
-        code, distinct = pd.factorize(mixed(two_words[0] + mixed(two_words[1])))
-        first = np.empty(len(distinct), np.int64)
-        first[code[::-1]] = np.arange(len(at))[::-1]
-        found = self._numbers(self.middle, distinct.tolist(), begins[at[first]], until[at[first]], data)
+        code, distinct, first = _distinct(mixed(two_words[0] + mixed(two_words[1])))
+        found, self.middle = self._numbers(self.middle, distinct, begins[at[first]], until[at[first]], data)
         grown = len(self.size) - self.middle_words.shape[1]
         if grown:
             self.middle_words = np.concatenate([self.middle_words, np.zeros((2, grown), np.uint64)], axis=1)
@@ -232,11 +246,10 @@ class Pieces:
         at = np.concatenate([np.flatnonzero(length > 15), at[clash]])
         if len(at):
             pieces = [data[b:e] for b, e in zip(begins[at].tolist(), until[at].tolist(), strict=True)]
-            place = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
-            first = np.empty(len(place), np.int64)
-            code = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-            first[code[::-1]] = at[::-1]
-            out[at] = self._numbers(self.long, list(place), begins[first], until[first], data)[code]
+            new = [p for p in dict.fromkeys(pieces) if p not in self.long]
+            if new:
+                self.long.update(zip(new, self._add(new).tolist(), strict=True))
+            out[at] = np.fromiter(map(self.long.__getitem__, pieces), np.int64, len(pieces))
         return out, counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -365,12 +378,8 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield chunk
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
-    """``keep``, then ``ids`` (packed), and on request ``offsets``: where each token begins in the text's bytes, packed alike."""
-    schema = docs.select(*[docs[c] for c in keep]).schema.add("ids", "binary")
-    if offsets:
-        schema = schema.add("offsets", "binary")
-    kept = len(keep)
+def _encoded(path: str, kept: int, offsets: bool, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of ``kept`` columns and the text: these columns, ids, and offsets on request."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -382,25 +391,43 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), offs
                 if offsets:
                     columns.append(pa.array([v.token_offsets(x).astype("<u4").tobytes() for x in ids], pa.binary()))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return docs.select(*[docs[c] for c in keep], docs["text"]).mapInArrow(work, schema)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    return work
 
-def decode(encoded: DataFrame, path: str, as_text: bool = True) -> DataFrame:
-    """The rows of ``encode`` with ``text`` (invalid bytes replaced), or with ``decoded``: the bytes of the ids.
 
-    The offsets kept with the ids say where each token's bytes go; without them they are counted anew.
-    """
-    schema = StructType([*encoded.schema.fields]).add("text" if as_text else "decoded", "string" if as_text else "binary")
-    kept = "offsets" in encoded.columns
+def _decoded(path: str, as_text: bool, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows with ids, and offsets or none: with the bytes or the text of the ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
+            kept = "offsets" in batch.schema.names
             into = [np.frombuffer(x, "<u4") for x in batch.column("offsets").to_pylist()] if kept else [None] * batch.num_rows
             found = [v.decode(x, o) for x, o in zip(batch.column("ids").to_pylist(), into, strict=True)]
             last = pa.array([x.decode(errors="replace") for x in found], pa.string()) if as_text else pa.array(found, pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, last], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, last], names=names)
+
+    return work
+
+
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """``keep``, then ``ids`` (packed); on request ``offsets``: where each token begins in the text's bytes, packed alike.
+
+    With ``decoded`` (which keeps offsets) the encoded rows go on to the decoder, in the same worker: the bytes of the ids.
+    """
+    schema = docs.select(*[docs[c] for c in keep]).schema.add("ids", "binary")
+    if offsets or decoded:
+        schema = schema.add("offsets", "binary")
+    work = _encoded(path, len(keep), offsets or decoded, schema.names)
+    if decoded:
+        schema = StructType([*schema.fields]).add("decoded", "binary")
+        decoder, encoder = _decoded(path, False, schema.names), work
+        work = lambda batches: decoder(encoder(batches))
+    return docs.select(*[docs[c] for c in keep], docs["text"]).mapInArrow(work, schema)
+
 
-    return encoded.mapInArrow(work, schema)
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """The rows of ``encode`` with ``text``, invalid bytes replaced: offsets kept with the ids say where each token's bytes go."""
+    schema = StructType([*encoded.schema.fields]).add("text", "string")
+    return encoded.mapInArrow(_decoded(path, True, schema.names), schema)

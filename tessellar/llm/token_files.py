@@ -36,8 +36,8 @@ from . import bpe
 from .common import shared_folder
 
 STRIPES, STEPS = 512, 512
-#: Ids of a group, 16 blocks; a longer document is a group by itself.
-GROUP = 16 * STRIPES * STEPS
+#: Ids of a group, 8 blocks; a longer document is a group by itself.
+GROUP = 8 * STRIPES * STEPS
 #: Slots of the contexts of one and two ids in a block; powers of two.
 SLOTS_1, SLOTS_2 = 1 << 14, 1 << 16
 #: Bits of the level of confidence; a context's entry is its id above its level.
@@ -86,7 +86,7 @@ class _Model:
         shares = places + seen * (total - self.size) // np.maximum(n, 1)
         self.cumulative = np.where(n > 0, shares, places * total // self.size)
         if self.slots:
-            ids = np.tile(np.arange(self.size, dtype=np.int32), self.blocks)
+            ids = np.tile(np.arange(self.size, dtype=np.uint16 if self.size <= 1 << 16 else np.int32), self.blocks)
             self.at_slot = np.repeat(ids, np.diff(self.cumulative, axis=1).ravel())
         self.cumulative = self.cumulative.ravel().astype(np.uint64)
 
@@ -337,7 +337,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
                 lengths.append(counts + 1)
                 docs += keys[first : first + len(texts)]
                 first, size = first + len(texts), size + len(tokens[-1])
-                if size >= GROUP - bpe.CHUNK // 4:
+                if size >= GROUP - bpe.CHUNK // 2:
                     yield _group(part, number, docs, tokens, lengths, vocabulary)
                     docs, tokens, lengths, size, number = [], [], [], 0, number + 1
         if docs:
@@ -386,6 +386,6 @@ def shared_path(spark: SparkSession) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete the files of ``write``."""
-    jvm, at = spark.sparkContext._jvm, None
+    jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

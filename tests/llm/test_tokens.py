@@ -131,7 +131,7 @@ def test_token_files(spark, tmp_path):
 
 def test_a_damaged_block_is_an_error(spark, tmp_path):
     token_files.write(docs(spark, [(i, f"some text {i}") for i in range(50)]), str(tmp_path / "f"), LIBRARY)
-    spoilt = F.concat(F.expr("substring(payload, 1, octet_length(payload) - 1)"), F.expr("unhex('00') "))
+    spoilt = F.concat(F.expr("substring(payload, 1, octet_length(payload) - 4)"), F.expr("unhex('0BADBEEF')"))
     spark.read.parquet(str(tmp_path / "f")).withColumn("payload", spoilt).write.parquet(str(tmp_path / "g"))
     with pytest.raises(Exception, match="is damaged"):
         token_files.read(spark, str(tmp_path / "g")).collect()
