@@ -91,7 +91,9 @@ WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 def _classes() -> np.ndarray:
     """Letter, number, white space or other, by code point."""
     kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    table = np.full(0x110000, OTHER, np.uint8)
+    # above plane 3 there are no letters, numbers or white space
+    table[:0x40000] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x40000)), np.uint8, 0x40000)
     table[WHITE_SPACE] = WHITE
     return table
 

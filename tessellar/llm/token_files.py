@@ -52,8 +52,8 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _rebuilt(step: int) -> bool:
-    """Steps at which order 0 is taken anew: powers of two, then each 64th."""
-    return step & (step - 1) == 0 if step < 64 else step % 64 == 0
+    """Steps at which order 0 is taken anew: powers of two, then each 128th."""
+    return step & (step - 1) == 0 if step < 128 else step % 128 == 0
 
 
 class _Model:
@@ -82,8 +82,9 @@ class _Model:
         seen = np.concatenate([np.zeros((self.blocks, 1), np.int64), np.cumsum(self.counts, axis=1)], axis=1)
         places = np.arange(self.size + 1)
         n = seen[:, -1:]
-        # each id has a place at least; the others go by the counts
-        shares = places + seen * (total - self.size) // np.maximum(n, 1)
+        # each id has a place at least; the others go by the counts (doubles hold these products and their floors alike everywhere)
+        shares = places + (seen * ((total - self.size) / np.maximum(n, 1))).astype(np.int64)
+        shares[:, -1] = total
         self.cumulative = np.where(n > 0, shares, places * total // self.size)
         if self.slots:
             ids = np.tile(np.arange(self.size, dtype=np.uint16 if self.size <= 1 << 16 else np.int32), self.blocks)
@@ -103,8 +104,8 @@ class _Model:
         self.at_mix = self.of_mix + ((self.level_2 << LEVEL_BITS | self.level_1) << 1 | (first == second))
         scale = (1 << self.mix_bits) - 3
         total = self.held.sum(axis=0)
-        parts = 1 + self.held[:2] * scale // total
-        return second, first, parts[0][self.at_mix].astype(np.uint64), parts[1][self.at_mix].astype(np.uint64)
+        parts = (1 + self.held[:2] * scale // total).astype(np.uint64)
+        return second, first, parts[0][self.at_mix], parts[1][self.at_mix]
 
     def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         n = self.held.shape[1]

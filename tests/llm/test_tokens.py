@@ -1,6 +1,7 @@
 """Byte-level BPE and token-id files against the libraries and exact round trips."""
 
 import hashlib
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,6 +39,13 @@ def test_boundaries_and_ids_are_the_librarys():
         assert v.token_offsets(ids)[-1] == len(text.encode())
 
 
+def test_classes_of_all_code_points():
+    kinds = bpe._classes()
+    for c in range(0, 0x110000, 7):
+        assert (kinds[c] == bpe.LETTER) == (unicodedata.category(chr(c))[0] == "L") and (kinds[c] == bpe.NUMBER) == (unicodedata.category(chr(c))[0] == "N")
+    assert not any(unicodedata.category(chr(c))[0] in "LNZ" for c in range(0x40000, 0x110000))
+
+
 def test_merges_are_the_librarys():
     v = bpe.Vocabulary(RANKS)
     library, rng = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=v.ranks, special_tokens={}), np.random.default_rng(3)
