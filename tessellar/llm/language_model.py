@@ -2,23 +2,27 @@
 
 A text is its lower-cased words and one end token. The context of a token is the word before it, whatever that word's
 number, or the start. Each context has a restaurant whose dishes are words; all share the parent restaurant of words
-without context, and that one the uniform law over the training vocabulary and one unseen word.
-
-1. Events (context, word) of all texts are dealt by the word's fingerprint, or the event's for frequent words (those with
-   at least 1 / ``HEADS`` of all training tokens), into buckets of bounded size; a task packs its events per bucket, so
-   few rows are shuffled. The events are kept in the shared folder, dealt out by ``GROUPED`` buckets a part.
-2. Gibbs: every restaurant's tables are seated by the Chinese restaurant process, given the parent's predictive
-   probabilities; a customer's table goes to the parent as a customer. Sweeps seat all customers anew, bucket by bucket,
-   given the other level's state of the sweep before. Sums per context stay distributed: a part sends its own by ranges
-   of fingerprints (slots), and gets the totals of its contexts back.
-3. A text's score is the sum of the log10 of its tokens' predictive probabilities, averaged over the kept sweeps.
-
-Words are known by 64-bit fingerprints (a clash in 10 million words has odds of 3e-6). Everything learnt grows with the
-corpus but the sums of frequent words, of which there are at most ``HEADS`` + 1.
+without context, and that one the uniform law over the training vocabulary and one unseen word. Tables of a context's
+restaurant are customers of the parent's. Seatings are sampled by Gibbs (``seating``): both levels in turn, each given the
+other's last state. The predictive probabilities of a context sum to one; those of the kept sweeps are averaged.
+
+1. Texts are cut into words once: a chunk holds its distinct words (64-bit fingerprints) and the place of each token among
+   them, in the shared folder. Nothing is read again from the texts.
+2. Owners, one for each range of words, count them and number them, frequent ones first; each chunk learns the numbers and
+   counts of its words.
+3. A chunk sends its distinct pairs (context, word) to buckets, by context; those of contexts with ``HOT`` tokens or more,
+   and of the start, by pair, so no bucket holds more of one context than its share. Buckets seat the contexts' restaurants, and send the tables
+   of each word to its owner, which seats the parent's and sends back its counts. What a hot context has in each bucket is
+   summed by the owner of its word, too.
+4. A bucket answers each chunk with the log10 probability of each pair that it asked for, averaged over the kept sweeps;
+   the chunk sums them over the tokens of each text.
+
+What is learnt grows with the corpus: every context has its own restaurant. A clash of two words' fingerprints in 10 million
+words has odds of 3e-6. Only counts of all training tokens, words and tables reach the driver.
 
 Cases: a null or empty text is its end token; a null id counts as training text, like any id whose remainder isn't the
-held-out one; repeated rows count and are scored each; without training tokens all probabilities are uniform over the
-unseen word; an empty table gives an empty result; other columns are ignored.
+held-out one; repeated rows count and are scored each; texts of any length are whole in one chunk; without training tokens
+all probability is the unseen word's; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,425 +32,461 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .hashing import joined_hash, mixed, word_hashes
-
-HEADS = 2000
-#: Characters of a bucket's texts at about one event in seven; a bucket is held by one task.
-BUCKET_CHARS = 3_000_000
-#: Buckets of a part, which a task takes one after the other; a text's sums over them leave the task once.
-GROUPED = 4
-#: Parts for each slot of context totals.
-PARTS_PER_SLOT = 4
-#: Rows (by their number, a power of two) whose sums travel in one pack.
-PACKED = 10
-CHUNK = 1 << 21
-SWEEPS, KEPT = 3, 2
+from .hashing import mixed, word_hashes
+from .seating import Restaurants, Tables
+
+#: Characters of a chunk's texts, and of those hashed at once.
+CHUNK, HASHED = 1 << 24, 1 << 21
+#: Characters of all texts for each bucket and each owner of words.
+BUCKET_CHARS, OWNER_CHARS = 24_000_000, 64_000_000
+#: Training tokens of a context whose pairs are spread over the buckets.
+HOT = 200_000
+#: Sweeps, those whose probabilities are averaged, and Gibbs steps of a dish in a sweep.
+SWEEPS, KEPT, STEPS = 3, 2, 16
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 20.0)  # of words without and with context
 END = np.uint64(0xE0D)
-START = np.uint64(0x57A)
+#: The number of the start as a context; words have smaller numbers.
+START = 0xFFFFFFFF
 
 
 def _held_out(remainder: int = 2, of: int = 7):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of columns row, held, text: rows, held, tokens with an end each, number of tokens of each row."""
+# --- packs of arrays ---
 
-    def done(rows, held, texts):
-        words, at = word_hashes(texts)
-        return np.array(rows), np.array(held, bool), np.insert(words, at[1:], END), np.diff(at) + 1
 
-    rows, held, texts, size = [], [], [], 0
-    for batch in batches:
-        for r, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            t = t.as_py() or ""
-            rows.append(r)
-            held.append(h)
-            texts.append(t)
-            size += len(t) + 8
-            if size >= CHUNK:
-                yield done(rows, held, texts)
-                rows, held, texts, size = [], [], [], 0
-    if rows:
-        yield done(rows, held, texts)
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole or floating numbers, byte by byte of their items, compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], np.int64)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return head.tobytes() + zstandard.compress(b"".join(planes), 1)
 
 
-def _by_bucket(buckets: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(buckets, kind="stable")
-    b = buckets[order]
-    edges = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]]) if len(b) else np.zeros(1, int)
-    parts = [np.ascontiguousarray(a[order]) for a in arrays]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        yield pa.RecordBatch.from_arrays([pa.array([int(b[lo])], pa.int32()), *(pa.array([p[lo:hi].tobytes()], pa.binary()) for p in parts)], names=["bucket", *names])
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 2 * n, 8).reshape(n, 2).tolist()
+    raw, at, out = zstandard.decompress(data[8 + 16 * n :]), 0, []
+    for (size, length), kind in zip(head, kinds, strict=True):
+        plane = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
+        out.append(np.ascontiguousarray(plane.T).view(kind).ravel())
+        at += size * length
+    return out
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def _dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` into ``parts``, stored in the shared folder in a way that keeps the deal."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    try:
+        conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan forgets how its rows are dealt
+        out = cut(df.repartition(parts, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+    _release(out)
+    return out
 
 
-def _plain(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel()
+def _release(df: DataFrame) -> None:
+    """Collect the driver's garbage, upon which Spark removes the shuffle files of plans that were cut."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _pack(word: np.ndarray, context: np.ndarray, row: np.ndarray, times: np.ndarray) -> bytes:
-    """Events of a chunk and bucket in a few bytes each: words and contexts by dictionaries, rows by differences."""
-    words, at = np.unique(word, return_inverse=True)
-    contexts, of = np.unique(context, return_inverse=True)
-    head = np.array([len(words), len(contexts), len(word), row[0]], np.int64)
-    body = [words, contexts, np.diff(row, prepend=row[0]).astype(np.uint32), times.astype(np.int32), at.astype(np.uint32), of.astype(np.uint32)]
-    return head.tobytes() + zstandard.compress(b"".join(map(_planes, body)), 1)
+#: Mail between chunks, owners and buckets.
+MAIL = "kind string, sender long, receiver long, data binary"
 
 
-def _contexts(data: bytes) -> np.ndarray:
-    """The distinct contexts of a pack."""
-    n_words, n_contexts = np.frombuffer(data, np.int64, 2)
-    return _plain(zstandard.decompress(data[32:]), np.uint64, n_contexts, 8 * n_words)
+def _mail(rows: list[tuple[str, int, int, bytes]]) -> pa.Table:
+    kind, sender, receiver, data = zip(*rows, strict=True) if rows else ([], [], [], [])
+    return pa.table([pa.array(kind, pa.string()), pa.array(sender, pa.int64()), pa.array(receiver, pa.int64()), pa.array(data, pa.binary())], names=["kind", "sender", "receiver", "data"])
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    """Words and contexts, each sorted; rows, times, and the places of the events' words and contexts."""
-    n_words, n_contexts, n, base = np.frombuffer(data, np.int64, 4)
-    raw, at, fields = zstandard.decompress(data[32:]), 0, []
-    for kind, size in ((np.uint64, n_words), (np.uint64, n_contexts), (np.uint32, n), (np.int32, n), (np.uint32, n), (np.uint32, n)):
-        fields.append(_plain(raw, kind, size, at))
-        at += np.dtype(kind).itemsize * size
-    words, contexts, row, times, index, of = fields
-    return words, contexts, base + np.cumsum(row.astype(np.int64)), times, index, of
+def _letters(mail: pa.Table, kind: str) -> list[tuple[int, bytes]]:
+    """Sender and data of a kind, by sender."""
+    rows = zip(mail["kind"].to_pylist(), mail["sender"].to_pylist(), mail["data"], strict=True)
+    return sorted((s, d.as_py()) for k, s, d in rows if k == kind)
 
 
-def frequent_words(rows: DataFrame, buckets: int, heads: int = HEADS) -> tuple[np.ndarray, int, int]:
-    """Fingerprints of the frequent training words, the number of training tokens and of distinct ones."""
+# --- chunks of texts ---
 
-    def count(batches):
-        for _, held, tokens, n in _tokens(batches):
-            words, times = np.unique(tokens[~np.repeat(held, n)], return_counts=True)
-            yield from _by_bucket((words % np.uint64(buckets)).astype(np.int64), [words, times.astype(np.int64)], ["words", "times"])
 
-    def add(batches):
-        words, times = [], []
-        for batch in batches:
-            words += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            times += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        if words:
-            words, at = np.unique(np.concatenate(words), return_inverse=True)
-            times = np.bincount(at, np.concatenate(times)).astype(np.int64)
-            top = np.argsort(-times, kind="stable")[:heads]  # more can't reach the share
-            yield pa.RecordBatch.from_arrays([pa.array([int(times.sum())], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([words[top].tobytes()], pa.binary()), pa.array([times[top].tobytes()], pa.binary())], names=["n", "v", "words", "times"])
-
-    packed = rows.mapInArrow(count, "bucket int, words binary, times binary").repartition(buckets, "bucket")
-    sums = cut(packed.mapInArrow(add, "n long, v long, words binary, times binary"))
-    del packed
-    _release(sums)
-    total = sums.agg(F.sum("n"), F.sum("v")).first()
-    n, v = total[0] or 0, total[1] or 0
-
-    def frequent(batches):
+def _chunk(ids: list, held: list, tokens: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    code, words = pd.factorize(np.concatenate(tokens))
+    has = np.array([i is not None for i in ids])
+    return _packed(np.array([i or 0 for i in ids], np.int64), has, np.array(held, bool), np.concatenate(counts).astype(np.uint32), words, code.astype(np.uint32))
+
+
+def _open_chunk(data: bytes) -> tuple[np.ndarray, ...]:
+    """Ids and whether there are, held or not, tokens of each text, distinct words, and the word of each token."""
+    return tuple(_unpacked(data, np.int64, bool, bool, np.uint32, np.uint64, np.uint32))
+
+
+def _chunks(rows: DataFrame, parts: int) -> DataFrame:
+    """chunk, data: all texts in chunks; a chunk is whole in one row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, tokens, counts, size, number = [], [], [], [], 0, TaskContext.get().partitionId() << 32
+        texts, length = [], 0
+
+        def hash_texts() -> None:
+            words, at = word_hashes(texts)
+            tokens.append(np.insert(words, at[1:], END))
+            counts.append(np.diff(at) + 1)
+            texts.clear()
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_chunk(ids, held, tokens, counts)], pa.binary())], names=["chunk", "data"])
+
         for batch in batches:
-            for w, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                keep = np.frombuffer(w, np.uint64)[np.frombuffer(t, np.int64) * heads >= n]
-                yield pa.RecordBatch.from_arrays([pa.array(keep.view(np.int64), pa.int64())], names=["w"])
-
-    found = sums.mapInArrow(frequent, "w long").collect()  # ``heads`` rows at most, by the share that each must reach
-    return np.sort(np.array([r["w"] for r in found], np.int64).view(np.uint64)), n, v
-
-
-def _events(rows: DataFrame, heads: np.ndarray, buckets: int) -> DataFrame:
-    """part, bucket, events: packed words, contexts, rows and times (negative: of a held-out text)."""
-
-    def work(batches):
-        for ids, held, tokens, n in _tokens(batches):
-            context = np.concatenate([tokens[:1], tokens[:-1]])
-            context[np.cumsum(n) - n] = START
-            of_row = np.repeat(np.arange(len(ids)), n)
-            key = joined_hash(tokens, context)
-            order = np.lexsort((key, of_row))
-            k, r = key[order], of_row[order]
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
-            times = np.diff(np.concatenate([first, [len(k)]])).astype(np.int32)
-            e = order[first]
-            word, ctx, row = tokens[e], context[e], of_row[e]
-            at = np.searchsorted(heads, word) if len(heads) else np.zeros(len(word), int)
-            hot = ((heads[np.minimum(at, len(heads) - 1)] == word) if len(heads) else np.zeros(len(word), bool)) | (word == END)
-            # a frequent word's events are spread by context and row; its counts meet through the sums below
-            spread = np.where(hot, mixed(key[e]), mixed(word))
-            to = (spread % np.uint64(buckets)).astype(np.int64)
-            order, times = np.argsort(to, kind="stable"), np.where(held[row], -times, times)
-            edges = np.searchsorted(to[order], np.arange(buckets + 1))
-            full = np.flatnonzero(edges[1:] > edges[:-1])
-            packs = [_pack(*(x[order[edges[b] : edges[b + 1]]] for x in (word, ctx, ids[row].astype(np.int64), times))) for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full // GROUPED, pa.int32()), pa.array(full, pa.int32()), pa.array(packs, pa.binary())], names=["part", "bucket", "events"])
-
-    packed = rows.mapInArrow(work, "part int, bucket int, events binary")
-    conf = rows.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    try:
-        # a checkpoint of an adaptive plan forgets how its rows are dealt, and each sweep would deal the events anew
-        conf.set("spark.sql.adaptive.enabled", "false")
-        events = cut(packed.repartition(-(-buckets // GROUPED), "part").sortWithinPartitions("part", "bucket"))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
-    del packed
-    _release(events)
-    return events
+            for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                texts.append(t.as_py() or "")
+                ids.append(i)
+                held.append(h)
+                length += len(texts[-1]) + 8
+                if length >= HASHED:
+                    hash_texts()
+                    size, length = size + length, 0
+                if size >= CHUNK:
+                    yield row()
+                    ids, held, tokens, counts, size, number = [], [], [], [], 0, number + 1
+        if texts:
+            hash_texts()
+        if ids:
+            yield row()
 
+    return _dealt(rows.mapInArrow(work, "chunk long, data binary"), parts, "chunk")
+
+
+# --- words and their owners ---
 
-def _release(df: DataFrame) -> None:
-    """Collect the driver's garbage, upon which Spark removes the shuffle files of plans that were cut."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+
+def _numbered(chunks: DataFrame, owners: int) -> tuple[DataFrame, int, int]:
+    """Mail to the chunks: numbers and training counts of their words. And all training tokens and distinct ones."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, _, held, lengths, words, code = _open_chunk(data.as_py())
+                times = np.bincount(code[~np.repeat(held, lengths)], minlength=len(words))
+                of = (words % np.uint64(owners)).astype(np.int64)
+                rows = [("words", chunk, o, _packed(words[of == o], times[of == o])) for o in range(owners) if (of == o).any()]
+                yield from _mail(rows).to_batches()
+
+    def answer(mail: pa.Table) -> pa.Table:
+        owner = mail["receiver"][0].as_py()
+        asked = [(chunk, *_unpacked(data, np.uint64, np.int64)) for chunk, data in _letters(mail, "words")]
+        words, at = np.unique(np.concatenate([w for _, w, _ in asked]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([t for _, _, t in asked]), len(words)).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-times, kind="stable")] = np.arange(len(words)) * owners + owner
+        if len(words) and number.max() >= START:
+            raise ValueError("more distinct words than numbers of 32 bits")
+        rows, first = [("totals", owner, -1, np.array([times.sum(), (times > 0).sum()], np.int64).tobytes())], 0
+        for chunk, w, _ in asked:
+            mine = at[first : first + len(w)]
+            first += len(w)
+            rows.append(("numbers", owner, chunk, _packed(number[mine].astype(np.uint32), times[mine])))
+        return _mail(rows)
+
+    mail = cut(chunks.mapInArrow(ask, MAIL).groupBy("receiver").applyInArrow(answer, MAIL))
+    _release(mail)
+    totals = [np.frombuffer(r["data"], np.int64) for r in mail.filter("receiver = -1").select("data").collect()]  # two numbers an owner
+    n, v = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
+    return mail.filter("receiver >= 0"), n, v
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them."""
+    order = np.argsort(keys)
+    s = keys[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return s[first], place
+
+
+class _Pairs:
+    """The distinct pairs of a chunk, by bucket: what its requests and the answers go by."""
+
+    def __init__(self, data: bytes, mail: pa.Table, owners: int, buckets: int, hot: int):
+        self.ids, self.has, self.held, self.lengths, words, code = _open_chunk(data)
+        number, self.times = np.empty(len(words), np.uint32), np.empty(len(words), np.int64)
+        of = (words % np.uint64(owners)).astype(np.int64)
+        for owner, answer in _letters(mail, "numbers"):
+            number[of == owner], self.times[of == owner] = _unpacked(answer, np.uint32, np.int64)
+        self.code, word = code, number[code]
+        context = np.concatenate([word[:1], word[:-1]])
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        context[ends - self.lengths] = START
+        self.keys, self.place = _distinct(context.astype(np.uint64) << np.uint64(32) | word)
+        first = (self.keys >> np.uint64(32)).astype(np.uint32)
+        order = np.argsort(number)
+        at = np.minimum(np.searchsorted(number[order], first), len(number) - 1)
+        self.hot = (first == START) | (self.times[order[at]] >= hot)
+        spread = np.where(self.hot, mixed(self.keys), mixed(first.astype(np.uint64)))
+        bucket = (spread % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")  # keys ascend in each bucket
+        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+
+    def requests(self) -> Iterator[tuple[int, bytes]]:
+        training = ~np.repeat(self.held, self.lengths)
+        times = np.bincount(self.place[training], minlength=len(self.keys))
+        for b in np.flatnonzero(np.diff(self.edges)):
+            at = self.order[self.edges[b] : self.edges[b + 1]]
+            yield int(b), _packed_pairs(self.keys[at], self.hot[at], times[at])
+
+    def scores(self, mail: pa.Table) -> np.ndarray:
+        """The log10 probability of each token."""
+        p = np.empty(len(self.keys), np.float32)
+        for b, answer in _letters(mail, "scores"):
+            p[self.order[self.edges[b] : self.edges[b + 1]]] = _unpacked(answer, np.float32)[0]
+        return p[self.place].astype(np.float64)
+
+
+def _packed_pairs(keys: np.ndarray, hot: np.ndarray, times: np.ndarray) -> bytes:
+    """Pairs in order: contexts once each, by differences, and their words by differences, too."""
+    context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(START)).astype(np.int64)
+    first = np.flatnonzero(np.diff(context, prepend=-1))
+    step = np.diff(word, prepend=0)
+    step[first] = word[first]
+    return _packed(np.diff(context[first], prepend=0).astype(np.uint32), np.diff(first, append=len(keys)).astype(np.uint32), hot[first], step.astype(np.uint32), times.astype(np.uint32))
+
+
+def _open_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, whether their context is hot, and training counts."""
+    context, runs, hot, step, times = _unpacked(data, np.uint32, np.uint32, bool, np.uint32, np.uint32)
+    runs = runs.astype(np.int64)
+    sums = np.cumsum(step, dtype=np.int64)
+    first = np.cumsum(runs) - runs
+    before = np.where(first > 0, sums[np.maximum(first, 1) - 1], 0)
+    word = sums - np.repeat(before, runs)
+    context = np.repeat(np.cumsum(context, dtype=np.int64), runs)
+    return context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), np.repeat(hot, runs), times
+
+
+# --- buckets: the restaurants of contexts ---
 
 
 class _Bucket:
-    """The distinct events of a bucket with their training counts; contexts by their place among those of the part."""
-
-    def __init__(self, bucket: int, packs: list[bytes], contexts: np.ndarray):
-        self.bucket = bucket
-        fields = [_unpack(x) for x in packs]
-        self.words = np.unique(np.concatenate([f[0] for f in fields]))
-        # the few sorted words and contexts of a pack are sought, not those of each event
-        keys = np.concatenate([np.searchsorted(self.words, f[0])[f[4]] << 32 | np.searchsorted(contexts, f[1])[f[5]] for f in fields])
-        self.row, times = (np.concatenate([f[i] for f in fields]) for i in (2, 3))
-        key = np.unique(keys)
-        self.event = np.searchsorted(key, keys)
-        self.times, training = np.abs(times), np.maximum(times, 0)
-        self.w, self.context = key >> 32, key & 0xFFFFFFFF
-        self.count = np.bincount(self.event, training, len(key)).astype(np.int64)
-
-
-def _buckets(part: pa.Table, contexts: np.ndarray) -> Iterator[_Bucket]:
-    """The buckets of a part, one after the other."""
-    packs: dict[int, list] = {}
-    for b, x in zip(part["bucket"].to_pylist(), part["events"], strict=True):
-        packs.setdefault(b, []).append(x)
-    for b in sorted(packs):
-        yield _Bucket(b, [x.as_py() for x in packs[b]], contexts)
-
-
-def _part_contexts(part: pa.Table) -> np.ndarray:
-    """The sorted contexts of a part."""
-    held, fresh, size = np.empty(0, np.uint64), [], 0
-    for x in part["events"]:
-        fresh.append(_contexts(x.as_py()))
-        size += len(fresh[-1])
-        if size >= CHUNK:
-            held, fresh, size = np.unique(np.concatenate([held, *fresh])), [], 0
-    return np.unique(np.concatenate([held, *fresh]))
-
-
-def _totals(sent: pa.Table, sweep: int, size: int) -> dict:
-    """Customers and tables of a part's contexts after a sweep, of the slots' packs in turn; none yet before the first."""
-    packs = sorted((k, x) for s, k, x in zip(sent["sweep"].to_pylist(), sent["slot"].to_pylist(), sent["totals"].to_pylist(), strict=True) if s == sweep)
-    if not packs:
-        return {"customers": np.zeros(size), "tables": np.zeros(size)}
-    both = []
-    for _, x in packs:
-        n = int(np.frombuffer(x, np.int64, 1)[0])
-        raw = zstandard.decompress(x[8:])
-        both.append((_plain(raw, np.int64, n, 0), _plain(raw, np.int64, n, 8 * n)))
-    customers, tables = (np.concatenate(x).astype(float) for x in zip(*both, strict=True))
-    assert len(customers) == size
-    return {"customers": customers, "tables": tables}
-
-
-def _pack_sums(ids: np.ndarray, sums: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """Of sorted rows and their sums (two of integers, two of doubles): packs by the rows' upper bits."""
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(ids >> PACKED) != 0, [True]]))
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        whole = [np.diff(ids[lo:hi], prepend=ids[lo]).astype(np.uint32), *(x[lo:hi].astype(np.int32) for x in sums[:2])]
-        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 4).T).tobytes() for x in whole]
-        body = zstandard.compress(b"".join(planes), 1)
-        yield int(ids[lo] >> PACKED), np.array([hi - lo, ids[lo], len(body)], np.int64).tobytes() + body + b"".join(x[lo:hi].astype(np.float64).tobytes() for x in sums[2:])
-
-
-def _unpack_sums(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    n, base, size = (int(x) for x in np.frombuffer(data, np.int64, 3))
-    planes = np.frombuffer(zstandard.decompress(data[24 : 24 + size]), np.uint8).reshape(3, 4, n).transpose(0, 2, 1)
-    row, *whole = (np.ascontiguousarray(x).view(k).ravel() for x, k in zip(planes, (np.uint32, np.int32, np.int32), strict=True))
-    return base + np.cumsum(row.astype(np.int64)), [*whole, *np.frombuffer(data[24 + size :], np.float64).reshape(2, n)]
-
-
-def _added(parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted rows and the sums of their parts."""
-    ids, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return ids, [np.bincount(at, np.concatenate([p[1][k] for p in parts]), len(ids)) for k in range(4)]
-
-
-def _add_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and its sums, of all packs of a task; of a text there is a pack from a task at most."""
-    parts = [_unpack_sums(x) for batch in batches for x in batch.column(1).to_pylist()]
-    if parts:
-        ids, sums = _added(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(s.astype(np.int64) if i < 2 else s) for i, s in enumerate(sums))], names=["row", "n_tokens", "n_known", "base_score", "score"])
-
-
-def _seat(count: np.ndarray, parent: np.ndarray, discount: float, strength: float, tables_there: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers came one by one; the restaurant's other tables are held as given.
-
-    Customers of large dishes come in growing groups (a tenth of those seated), as a group's odds hardly change.
-    """
-    tables, seated = np.minimum(count, 1), np.minimum(count, 1)
-    open_ = np.flatnonzero(count > 1)
-    while len(open_):
-        t, c = tables[open_], seated[open_]
-        group = np.minimum(np.maximum(1, c // 10), count[open_] - c)
-        new = (strength + discount * tables_there[open_]) * parent[open_]
-        p = new / (new + c - discount * t)
-        tables[open_] = t + rng.binomial(group, np.clip(p, 0, 1))
-        seated[open_] = c + group
-        open_ = open_[seated[open_] < count[open_]]
-    return tables
-
-
-def _predictive(b: _Bucket, state: dict, sweep: int, heads: np.ndarray, scored: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """One sweep over a bucket: tables of its events, then of its words, and their customers; the events' probabilities if ``scored``."""
-    rng = np.random.default_rng([sweep, b.bucket, len(b.words)])
-    (d0, d1), (s0, s1) = DISCOUNT, STRENGTH
-    uniform = 1.0 / (state["v"] + 1)
-    by_word = np.bincount(b.w, b.count, len(b.words))
-    guess = (by_word + 1) / (state["n"] + state["v"] + 1)
-    # a frequent word's customers lie in several buckets: their sums come from the sweep before
-    at = np.searchsorted(heads, b.words) if len(heads) else np.zeros(len(b.words), int)
-    hot = (heads[np.minimum(at, len(heads) - 1)] == b.words) if len(heads) else np.zeros(len(b.words), bool)
-    end = b.words == END
-    place = np.where(end, len(heads), np.where(hot, at, 0))
-    shared = hot | end
-    before = np.where(shared, state["hot_p"][place], guess)
-    tables = _seat(b.count, before[b.w], d1, s1, state["tables"][b.context], rng)
-    customers = np.bincount(b.w, tables, len(b.words)).astype(np.int64)
-    root = _seat(customers, np.full(len(customers), uniform), d0, s0, np.full(len(customers), state["root_tables"]), rng)
-    if not scored:
-        return tables, np.where(shared, 0, root), np.where(shared, 0, customers), None
-    own = (np.maximum(customers - d0 * root, 0) + (s0 + d0 * state["root_tables"]) * uniform) / (s0 + state["root_customers"])
-    word_p = np.where(shared, state["hot_p"][place], own)
-    seen = np.maximum(b.count - d1 * tables, 0)
-    p = (seen + (s1 + d1 * state["tables"][b.context]) * word_p[b.w]) / (s1 + state["customers"][b.context])
-    return tables, np.where(shared, 0, root), np.where(shared, 0, customers), p
-
-
-TOTALS = "part int, slot int, totals binary"
-
-
-def _add_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the packs of each slot: totals for every part's contexts in their order, and (as part -1) the slot's piece of the flat sums."""
-    slots: dict[int, list] = {}
-    for batch in batches:
-        for part, slot, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            slots.setdefault(slot, []).append((part, data))
-    for slot, packs in slots.items():
-        keys, sums, flat = [], [], 0
-        for _, data in packs:
-            n, size = (int(x) for x in np.frombuffer(data, np.int64, 2))
-            raw = zstandard.decompress(data[16 : 16 + size])
-            keys.append(_plain(raw, np.uint64, n, 0))
-            sums.append((_plain(raw, np.int64, n, 8 * n), _plain(raw, np.int64, n, 16 * n)))
-            flat = flat + np.frombuffer(data[16 + size :], np.float64)
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = [np.bincount(at, np.concatenate(x), len(distinct)).astype(np.int64) for x in zip(*sums, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([slot], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["part", "slot", "totals"])
-        start = 0
-        for (part, _), k in zip(packs, keys, strict=True):
-            mine = at[start : start + len(k)]
-            start += len(k)
-            out = np.array([len(k)], np.int64).tobytes() + zstandard.compress(b"".join(_planes(t[mine]) for t in totals), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slot], pa.int32()), pa.array([out], pa.binary())], names=["part", "slot", "totals"])
-
-
-def _sums(events: DataFrame, totals: DataFrame, state: dict, sweep: int, heads: np.ndarray, slots: int) -> tuple[DataFrame, dict]:
-    """The next state: customers and tables per context for each part; the parent's sums and the frequent words' counts and probabilities."""
-    n_hot = len(heads) + 1
-
-    def work(part, sent):
-        contexts = _part_contexts(part)
-        size = len(contexts)
-        own = state | _totals(sent, sweep - 1, size)
-        customers, tables, flat = np.zeros(size), np.zeros(size), np.zeros(2 * n_hot + 2)
-        for b in _buckets(part, contexts):
-            seated, root, of_words, _ = _predictive(b, own, sweep, heads, scored=False)
-            at = np.searchsorted(heads, b.words) if len(heads) else np.zeros(len(b.words), int)
-            hot = (heads[np.minimum(at, len(heads) - 1)] == b.words) if len(heads) else np.zeros(len(b.words), bool)
-            of_event = np.where(b.words == END, len(heads), np.where(hot, at, -1))[b.w]
-            flat[:n_hot] += np.bincount(of_event[of_event >= 0], seated[of_event >= 0], n_hot)
-            flat[n_hot : 2 * n_hot] += np.bincount(of_event[of_event >= 0], b.count[of_event >= 0], n_hot)
-            flat[-2:] += root.sum(), of_words.sum()
-            customers += np.bincount(b.context, b.count, size)
-            tables += np.bincount(b.context, seated, size)
-        edges = np.searchsorted((contexts >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32), np.arange(slots + 1))
-        packs = []
-        for lo, hi, piece in zip(edges, edges[1:], np.array_split(flat, slots), strict=False):
-            body = zstandard.compress(b"".join([_planes(contexts[lo:hi]), *(_planes(x[lo:hi].astype(np.int64)) for x in (customers, tables))]), 1)
-            packs.append(np.array([hi - lo, len(body)], np.int64).tobytes() + body + piece.tobytes())
-        return pa.table([pa.array([part["part"][0].as_py()] * slots, pa.int32()), pa.array(range(slots), pa.int32()), pa.array(packs, pa.binary())], names=["part", "slot", "sums"])
-
-    sent = _by_part(events, totals).applyInArrow(work, "part int, slot int, sums binary").repartition(slots, "slot")
-    got = cut(sent.mapInArrow(_add_contexts, TOTALS))
-    del sent
-    _release(got)
-    x = np.zeros(2 * n_hot + 2)
-    pieces = {r["slot"]: np.frombuffer(r["totals"]) for r in got.filter("part = -1").collect()}  # 2 * HEADS numbers in all
-    if pieces:
-        x = np.concatenate([pieces[k] for k in range(slots)])
-    hot = x[:n_hot]
-    (d0, _), (s0, _) = DISCOUNT, STRENGTH
-    uniform = 1.0 / (state["v"] + 1)
-    hot_root = _seat(hot.astype(np.int64), np.full(n_hot, uniform), d0, s0, np.full(n_hot, state["root_tables"]), np.random.default_rng([sweep, 7]))
-    root_tables, root_customers = x[-2] + hot_root.sum(), x[-1] + hot.sum()
-    hot_p = (np.maximum(hot - d0 * hot_root, 0) + (s0 + d0 * root_tables) * uniform) / (s0 + root_customers)
-    return got.filter("part >= 0").withColumn("sweep", F.lit(sweep)), state | {"hot_p": hot_p, "hot_count": x[n_hot : 2 * n_hot], "root_tables": root_tables, "root_customers": root_customers}
-
-
-def _by_part(events: DataFrame, totals: DataFrame):
-    """The events of a part, which stay where they are, with what was sent to it."""
-    return events.groupBy("part").cogroup(totals.groupBy("part"))
-
-
-def score(docs: DataFrame, heads: int = HEADS, sweeps: int = SWEEPS, kept: int = KEPT) -> DataFrame:
-    """The contract's columns for every row of ``docs``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), _held_out().alias("held"), "text", "doc_id")
+    """The distinct pairs of a bucket and their training counts; ``trained``: those that occur in training."""
+
+    def __init__(self, requests: pa.Table, owners: int):
+        self.number, self.owners = requests["receiver"][0].as_py(), owners
+        keys, hot, times = [], [], []
+        for _, data in _letters(requests, "pairs"):
+            k, h, t = _open_pairs(data)
+            keys.append(k)
+            hot.append(h)
+            times.append(t)
+        all_keys = np.concatenate(keys)
+        self.keys, place = _distinct(all_keys)
+        self.count = np.bincount(place, np.concatenate(times), len(self.keys)).astype(np.int64)
+        context = self.keys >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        self.contexts = context[first].astype(np.int64)
+        self.restaurant = np.repeat(np.arange(len(first)), np.diff(first, append=len(context)))
+        is_hot = np.zeros(len(self.keys), bool)
+        is_hot[place[np.concatenate(hot)]] = True
+        self.hot = np.flatnonzero(is_hot[first])  # restaurants
+        self.words, self.word = np.unique((self.keys & np.uint64(START)).astype(np.int64), return_inverse=True)
+        self.customers = np.bincount(self.restaurant, self.count, len(first))
+        self.trained = np.flatnonzero(self.count)
+
+    def to_owners(self, tables: np.ndarray) -> list[tuple[str, int, int, bytes]]:
+        """Tables of each word, and of hot contexts customers and tables; ``tables`` of all pairs."""
+        of_word = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
+        of_context = np.bincount(self.restaurant, tables, len(self.contexts)).astype(np.int64)
+        rows = []
+        for o in range(self.owners):
+            w = self.words % self.owners == o
+            c = self.hot[self.contexts[self.hot] % self.owners == o]
+            if w.any() or len(c):
+                rows.append(("tables", self.number, o, _packed(self.words[w], of_word[w], self.contexts[c], self.customers[c].astype(np.int64), of_context[c])))
+        return rows
+
+    def read(self, mail: pa.Table, kind: str, parent: _Parent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the owners' replies: each word's probability in the parent; customers and tables of hot contexts everywhere."""
+        p, customers, tables = np.empty(len(self.words)), np.zeros(len(self.contexts)), np.zeros(len(self.contexts))
+        for o, data in _letters(mail, kind):
+            c, t, of_hot, in_hot = _unpacked(data, np.int64, np.int64, np.int64, np.int64)
+            p[self.words % self.owners == o] = parent.probability(c, t)
+            at = self.hot[self.contexts[self.hot] % self.owners == o]
+            customers[at], tables[at] = of_hot, in_hot
+        return p, customers, tables
+
+    def predictive(self, state: Tables, p: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The probability of each pair, given its seating, the parent's and the hot contexts' totals."""
+        own = np.zeros(len(self.keys))
+        own[self.trained] = _tables_of(state, self.count[self.trained])
+        all_customers, all_tables = self.customers.copy(), np.bincount(self.restaurant, own, len(self.contexts))
+        all_customers[self.hot], all_tables[self.hot] = customers[self.hot], tables[self.hot]
+        (_, d), (_, s) = DISCOUNT, STRENGTH
+        r = self.restaurant
+        return (self.count - d * own + (s + d * all_tables[r]) * p[self.word]) / (s + all_customers[r])
+
+
+def _tables_of(state: Tables, count: np.ndarray) -> np.ndarray:
+    """Tables of each trained pair; ``state`` holds those of pairs with two customers or more, numbered among these."""
+    out = np.ones(len(count), np.int64)
+    out[count > 1] = np.bincount(state.dish, minlength=int((count > 1).sum()))
+    return out
+
+
+class _Parent:
+    """The words' restaurant as a whole: all customers and tables, and the uniform law below it."""
+
+    def __init__(self, customers: float, tables: float, words: int):
+        self.customers, self.tables, self.uniform = customers, tables, 1.0 / (words + 1)
+
+    def probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        (d, _), (s, _) = DISCOUNT, STRENGTH
+        return (customers - d * tables + (s + d * self.tables) * self.uniform) / (s + self.customers)
+
+
+def _by_bucket(requests: DataFrame, mail: DataFrame):
+    return requests.groupBy("receiver").cogroup(mail.groupBy("receiver"))
+
+
+def _seated(requests: DataFrame, mail: DataFrame, parent: _Parent, sweep: int, owners: int, steps: int) -> DataFrame:
+    """A sweep over the contexts' restaurants: their seatings, kept for the next one, and the tables of words to owners."""
+
+    def work(asked: pa.Table, got: pa.Table) -> pa.Table:
+        if not len(asked):
+            return _mail([])
+        b = _Bucket(asked, owners)
+        count = b.count[b.trained]
+        several = np.flatnonzero(count > 1)
+        p, _, elsewhere = b.read(got, "parent", parent)
+        kept = _letters(got, "seating")
+        state = Tables(*_unpacked(kept[0][1], np.int64, np.int64)) if kept else Tables(np.arange(len(several)), np.ones(len(several), np.int64))
+        of = b.restaurant[b.trained]
+        tables = np.bincount(of, _tables_of(state, count), len(b.contexts))
+        tables[b.hot] = np.maximum(elsewhere[b.hot], tables[b.hot])
+        rng = np.random.default_rng([sweep, b.number])
+        who = b.trained[several]
+        level = Restaurants(b.restaurant[who], p[b.word[who]], tables, DISCOUNT[1], STRENGTH[1], rng)
+        if not kept:
+            state = level.arrive(state, count[several])
+        state = level.reseat(state, len(several), steps)
+        own = np.zeros(len(b.keys), np.int64)
+        own[b.trained] = _tables_of(state, count)
+        return _mail([("seating", b.number, b.number, _packed(state.dish, state.size)), *b.to_owners(own)])
+
+    out = cut(_by_bucket(requests, mail).applyInArrow(work, MAIL))
+    _release(out)
+    return out
+
+
+def _parents(tables: DataFrame, before: DataFrame, parent: _Parent, sweep: int, steps: int) -> tuple[DataFrame, _Parent]:
+    """A sweep over the words' restaurant: its seating, kept for the next one, and replies to the buckets."""
+    words = round(1 / parent.uniform) - 1
+
+    def work(got: pa.Table, kept: pa.Table) -> pa.Table:
+        letters = [(s, _unpacked(data, *[np.int64] * 5)) for s, data in _letters(got, "tables")]
+        if not letters:
+            return _mail([])
+        owner = got["receiver"][0].as_py()
+        numbers, local = np.unique(np.concatenate([x[0] for _, x in letters]), return_inverse=True)
+        customers = np.bincount(local, np.concatenate([x[1] for _, x in letters]), len(numbers)).astype(np.int64)
+        hot, at_hot = np.unique(np.concatenate([x[2] for _, x in letters]), return_inverse=True)
+        of_hot, in_hot = (np.bincount(at_hot, np.concatenate([x[i] for _, x in letters]), len(hot)).astype(np.int64) for i in (3, 4))
+        state = _letters(kept, "words")
+        seating = Tables(*_unpacked(state[0][1], np.int64, np.int64)) if state else Tables(np.empty(0, np.int64), np.empty(0, np.int64))
+        level = Restaurants(np.zeros(len(numbers), np.int64), np.full(len(numbers), parent.uniform), np.array([parent.tables]), DISCOUNT[0], STRENGTH[0], np.random.default_rng([sweep, owner, 7]))
+        seating = level.reseat(level.arrive(seating, customers), len(numbers), steps)
+        of_words = np.bincount(seating.dish, minlength=len(numbers))
+        rows = [("words", owner, owner, _packed(seating.dish, seating.size)), ("totals", owner, -1, np.array([customers.sum(), of_words.sum()], np.int64).tobytes())]
+        first = first_hot = 0
+        for bucket, x in letters:
+            mine, mine_hot = local[first : first + len(x[0])], at_hot[first_hot : first_hot + len(x[2])]
+            first, first_hot = first + len(x[0]), first_hot + len(x[2])
+            rows.append(("parent", owner, bucket, _packed(customers[mine], of_words[mine], of_hot[mine_hot], in_hot[mine_hot])))
+        return _mail(rows)
+
+    out = cut(tables.groupBy("receiver").cogroup(before.groupBy("receiver")).applyInArrow(work, MAIL))
+    _release(out)
+    totals = [np.frombuffer(r["data"], np.int64) for r in out.filter("kind = 'totals'").select("data").collect()]  # two numbers an owner
+    customers, seated = np.sum(totals, axis=0) if totals else (0, 0)
+    return out, _Parent(float(customers), float(seated), words)
+
+
+# --- the whole model ---
+
+
+def score(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT, steps: int = STEPS, hot: int = HOT) -> DataFrame:
+    """The contract's columns for every row of ``docs``, and the perplexity of a token."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held"), "text")
     size = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 8)).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_CHARS))
-    lean = rows.select("row", "held", "text")
-    frequent, n, v = frequent_words(lean, buckets, heads)
-    events = _events(lean, frequent, buckets)
-    slots = -(-buckets // (GROUPED * PARTS_PER_SLOT))
-    totals = docs.sparkSession.createDataFrame([], f"{TOTALS}, sweep int")
-    state = {"n": n, "v": v, "hot_p": np.full(len(frequent) + 1, 1.0 / heads), "root_tables": max(1, v // 2), "root_customers": max(1, n // 2)}
-    states = []
-    for sweep in range(sweeps):
-        totals, state = _sums(events, totals, state, sweep, frequent, slots)
-        states.append((sweep, totals, state))
-    states = states[-kept:]
-    sent = states[0][1]
-    for _, t, _ in states[1:]:
-        sent = sent.unionByName(t)
-    states = [(i, s) for i, _, s in states]
+    owners, buckets = max(1, -(-size // OWNER_CHARS)), max(1, -(-size // BUCKET_CHARS))
+    parts = max(1, -(-size // CHUNK))
+    chunks = _chunks(rows, parts)
+    numbers, n, v = _numbered(chunks, owners)
+
+    def by_chunk(mail: DataFrame):
+        return chunks.groupBy("chunk").cogroup(mail.groupBy("receiver"))
+
+    def ask(chunk: pa.Table, mail: pa.Table) -> pa.Table:
+        if not len(chunk):
+            return _mail([])
+        number = chunk["chunk"][0].as_py()
+        pairs = _Pairs(chunk["data"][0].as_py(), mail, owners, buckets, hot)
+        return _mail([("pairs", number, b, data) for b, data in pairs.requests()])
+
+    requests = _dealt(by_chunk(numbers).applyInArrow(ask, MAIL), buckets, "receiver")
+
+    # before the first sweep each pair has one table
+    def first(mail: pa.Table) -> pa.Table:
+        b = _Bucket(mail, owners)
+        return _mail(b.to_owners((b.count > 0).astype(np.int64)))
+
+    tables = cut(requests.groupBy("receiver").applyInArrow(first, MAIL))
+    none = docs.sparkSession.createDataFrame([], MAIL)
+    of_words, parent = _parents(tables, none, _Parent(0, v, v), 0, steps)
+    seated, sampled = none, []
+    for sweep in range(1, sweeps + 1):
+        mail = of_words.filter("kind = 'parent'").unionByName(seated.filter("kind = 'seating'"))
+        seated = _seated(requests, mail, parent, sweep, owners, steps)
+        of_words, parent = _parents(seated.filter("kind = 'tables'"), of_words.filter("kind = 'words'"), parent, sweep, steps)
+        sampled.append((sweep, seated.filter("kind = 'seating'"), of_words.filter("kind = 'parent'"), parent))
+    sampled = sampled[-kept:]
+    parents = {s: p for s, _, _, p in sampled}
+    of_sweep = [df.withColumn("kind", F.concat("kind", F.lit(f" {s}"))) for s, a, b, _ in sampled for df in (a, b)]
+    states = of_sweep[0]
+    for df in of_sweep[1:]:
+        states = states.unionByName(df)
+
+    def answer(asked: pa.Table, mail: pa.Table) -> pa.Table:
+        if not len(asked):
+            return _mail([])
+        b, p = _Bucket(asked, owners), 0.0
+        for s, of in parents.items():
+            state = Tables(*_unpacked(_letters(mail, f"seating {s}")[0][1], np.int64, np.int64))
+            p = p + b.predictive(state, *b.read(mail, f"parent {s}", of))
+        log = np.log10(p / len(parents)).astype(np.float32)
+        return _mail([("scores", b.number, chunk, _packed(log[np.searchsorted(b.keys, _open_pairs(data)[0])])) for chunk, data in _letters(asked, "pairs")])
+
+    scores = _by_bucket(requests, states).applyInArrow(answer, MAIL)
     unseen = math.log10(n + v + 1)
-    counts = state["hot_count"]
-
-    def of_bucket(b, states):
-        p = sum(_predictive(b, s, sweeps + i, frequent)[3] for i, s in enumerate(states)) / len(states)
-        at = np.searchsorted(frequent, b.words) if len(frequent) else np.zeros(len(b.words), int)
-        hot = (frequent[np.minimum(at, len(frequent) - 1)] == b.words) if len(frequent) else np.zeros(len(b.words), bool)
-        c = np.bincount(b.w, b.count, len(b.words))
-        c = np.where(b.words == END, counts[-1], np.where(hot, counts[np.where(hot, at, 0)], c))
-        base, model, known = (np.log10(c + 1) - unseen)[b.w][b.event], np.log10(p)[b.event], (c > 0)[b.w][b.event]
-        ids, at = np.unique(b.row, return_inverse=True)
-        return ids, [np.bincount(at, b.times * x, len(ids)) for x in (1, known, base, model)]
-
-    def work(part, sent):
-        contexts = _part_contexts(part)
-        own = [s | _totals(sent, i, len(contexts)) for i, s in states]
-        packs = list(_pack_sums(*_added([of_bucket(b, own) for b in _buckets(part, contexts)])))
-        return pa.table([pa.array([k for k, _ in packs], pa.int64()), pa.array([x for _, x in packs], pa.binary())], names=["rows", "sums"])
-
-    parts = _by_part(events, sent).applyInArrow(work, "rows long, sums binary").repartition(buckets, "rows")
-    sums = parts.mapInArrow(_add_packs, "row long, n_tokens long, n_known long, base_score double, score double")
-    out = rows.select("row", "held", "doc_id").join(sums, "row", "left")
-    return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+    def sums(chunk: pa.Table, mail: pa.Table) -> pa.Table:
+        if not len(chunk):
+            return pa.Table.from_arrays([pa.array([], t) for _, t in columns], names=[c for c, _ in columns])
+        pairs = _Pairs(chunk["data"][0].as_py(), mail, owners, buckets, hot)
+        begins = np.cumsum(pairs.lengths, dtype=np.int64) - pairs.lengths
+        of_words = np.log10(pairs.times + 1) - unseen
+        values = [pairs.lengths.astype(np.int64), np.add.reduceat((pairs.times > 0)[pairs.code].astype(np.int64), begins), np.add.reduceat(of_words[pairs.code], begins), np.add.reduceat(pairs.scores(mail), begins)]
+        arrays = [pa.array(pairs.ids, pa.int64(), mask=~pairs.has), pa.array(pairs.held), *map(pa.array, values)]
+        return pa.Table.from_arrays(arrays, names=[c for c, _ in columns])
+
+    columns = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+    out = by_chunk(numbers.unionByName(scores)).applyInArrow(sums, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessellar.llm import language_model, neardup, permutation, topk, toxicity, vectors
+from tessellar.llm import neardup, permutation, topk, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string"
 
@@ -26,31 +26,6 @@ def made(n, seed=0, vocabulary=400):
     return [" ".join(f"w{x}" for x in rng.integers(0, vocabulary, rng.integers(1, 80))) for _ in range(n)]
 
 
-def test_base_scores(spark):
-    rows = list(enumerate(made(60))) + [(60, None), (61, ""), (62, "The THE É"), (None, "w1 w2"), (3, "w1")]
-    got = language_model.score(docs(spark, rows)).collect()
-    assert len(got) == len(rows)
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter(w for i, t in rows if not held(i) for w in [*words(t), None])
-    n, v = sum(c.values()), len(c)
-    want = sorted((str(i), held(i), len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), None]), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words(t), None]), 6)) for i, t in rows)
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
-
-
-def test_model_learns_order(spark):
-    rows = [(i, " ".join(["a b c d e f g h"] * 6 if i % 2 else ["h f d b g e c a"] * 6)) for i in range(80)]
-    got = language_model.score(docs(spark, rows), heads=20).collect()
-    assert all(r["score"] > r["base_score"] for r in got if r["held_out"])
-
-
-def test_rare_words_are_contexts(spark):
-    rng = np.random.default_rng(11)
-    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.integers(0, 200, 40))) for i in range(200)]
-    got = language_model.score(docs(spark, rows), heads=20).collect()
-    assert max(r["perplexity"] for r in got if r["held_out"]) < 60
-
-
 def test_levenshtein_automaton():
     lexicon = toxicity.Lexicon([("idiot", False), ("abcde", True), ("scum", False)])
 
