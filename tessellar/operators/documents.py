@@ -86,3 +86,48 @@ def valid_steps(steps: Column, actions: Sequence[str]) -> Column:
 def parsed(c: Column, schema: str) -> Column:
     """JSON of a text, or of its first braces to its last."""
     return F.coalesce(F.from_json(c, schema), F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema))
+
+
+def titled_chunks(entries: DataFrame, key: str, path: str, text: str, title: str, least: int) -> DataFrame:
+    """Chunks by top section, with titles: a chunk of the whole document says so."""
+    titles = entries.groupBy(key).agg(F.first(title, ignorenulls=True).alias("title"))
+    full = F.when(F.col("section") == "full", F.concat(T.blank(F.col("title")), F.lit(" (fallback: full)"))).otherwise(T.blank(F.col("title")))
+    return section_chunks(entries, key, path, text, least).join(titles, key).withColumn("title", full)
+
+
+def unchunked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A document as its only chunk."""
+    return docs.select(key, F.lit("full").alias("section"), T.blank(F.col(text)).alias("text"))
+
+
+def record_id(namespace: str, source: Column, key: Column, kind: str | None = None, part: Column | None = None) -> Column:
+    """``namespace::source::key``, and of a chunk ``::kind:part``."""
+    base = F.concat_ws("::", F.lit(namespace), source, key.cast("string"))
+    return base if part is None else F.when(part.isNull(), base).otherwise(F.concat(base, F.lit(f"::{kind}:"), part.cast("string")))
+
+
+def own_sections(which: Sequence[str], columns: dict[str, Column]) -> Column:
+    """The text of an article's own sections, in a fixed order if ``full`` is asked, else methods, abstract and introduction."""
+    names = [k for k in columns if k in lexicon.SECTION_KEYS] if "full" in which else [f"{k}_text" for k in ("methods", "abstract", "intro") if k in which]
+    return F.trim(T.assembled(*[columns[n] for n in names if n in columns])) if names else F.lit("")
+
+
+def own_evidence(docs: DataFrame, key: str, text: str, width: int, step: int, k: int, cut: int) -> DataFrame:
+    """key, evidence, preview: the first k windows of a document's own text, for documents that no search helps."""
+    windows = F.slice(T.windows(F.col(text), width, step), 1, k)
+    rows = docs.filter(T.blank(F.col(text)) != "").select(key, F.posexplode(windows).alias("pos", "t"))
+    return rows.select(key, F.concat(F.lit("self:"), (F.col("pos") + 1).cast("string")).alias("evidence"), F.left("t", F.lit(cut)).alias("preview"))
+
+
+def with_evidence(found: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """Search hits (key, evidence, preview), and own evidence of the documents that have none."""
+    hits = found.filter(T.filled(F.col("preview")))
+    return hits.unionByName(own.join(hits.select(key).distinct(), key, "left_anti"))
+
+
+def mean_vectors(segments: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, embedding: the mean of a document's segment vectors at unit length; sums of places, no lists of vectors."""
+    places = segments.select(key, F.posexplode(vector).alias("at", "x"))
+    mean = places.groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    packed = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("v"))
+    return packed.select(key, T.unit_length(F.col("v")).alias("embedding"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..options import Options
+
 
 def answered(prompts: DataFrame, model: Callable[[list[str]], list[str]], key: str, prompt: str, size: int = 32) -> DataFrame:
     """key, answer: a chat model's answers, ``size`` prompts a call."""
@@ -41,16 +43,6 @@ def reranked_first(pairs: DataFrame, group: str, order: list[Column], k: int) ->
     return top(first, [group], [F.desc("ce_score"), F.col("given")], k)
 
 
-def echo_model(prompts: list[str]) -> list[str]:
-    """A stub: the answer is a digest of the prompt."""
-    return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
-
-
-def overlap_model(pairs: list[tuple[str, str]]) -> list[float]:
-    """A stub: the share of the query's words that the text has."""
-    return [len((a := set(q.lower().split())) & set(t.lower().split())) / max(1, len(a)) for q, t in pairs]
-
-
 def evidence(texts: Column, width: int) -> Column:
     """Numbered evidence for a prompt from an array of texts, each cut to ``width`` characters."""
     return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("[EVIDENCE "), (i + 1).cast("string"), F.lit("] "), F.left(t, F.lit(width)))), "\n\n")
@@ -59,3 +51,31 @@ def evidence(texts: Column, width: int) -> Column:
 def better_attempt(strict: Column, relaxed: Column, n_strict: Column, n_relaxed: Column) -> Column:
     """Of two attempts, the one with more valid steps; the relaxed one on ties."""
     return F.when(n_relaxed >= n_strict, relaxed).otherwise(strict)
+
+
+def prompt(template: str, columns: dict[str, Column], cut: int = 8000) -> Column:
+    """A template's named places ({name}) filled by columns, each cut to ``cut`` characters."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.left(F.coalesce(columns[p].cast("string"), F.lit("")), F.lit(cut)) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+#: Prompts of the query and record generators; parameters of ``prompt``.
+QUERIES_PROMPT = "METHODS:\n{methods}\nReturn {n} queries:"
+SUMMARY_PROMPT = "Write a concise hypothetical protocol paragraph (5-7 sentences) from METHODS:\n{methods}"
+RECORD_PROMPT = "EVIDENCE:\n{evidence}\n\nMETHODS:\n{methods}\nReturn JSON:"
+
+
+def reranked_if_many(pairs: DataFrame, group: str, order: list[Column], k: int, least: int = 3) -> DataFrame:
+    """``reranked_first`` for groups of more than ``least`` candidates; smaller ones keep their order."""
+    from .retrieval import top
+
+    many = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(group)
+    few = top(pairs.join(many, group, "left_anti"), [group], order, k).withColumn("given", F.col("rank"))
+    return reranked_first(pairs.join(many, group, "left_semi"), group, order, k).unionByName(few)
+
+
+def searched(options: Options, lexical: DataFrame, semantic: DataFrame, docs: DataFrame, columns: Sequence[str] = ("text",)) -> DataFrame:
+    """The hybrid search by the options: the first ``k_lex`` and ``k_sem`` of two ranked lists, fused, ``topn`` with previews."""
+    from .retrieval import fuse, with_texts
+
+    return with_texts(fuse(lexical.filter(F.col("rank") <= options.k_lex), semantic.filter(F.col("rank") <= options.k_sem), options.topn), docs, columns=columns)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+
 
 def without(df: DataFrame, excluded: DataFrame, on: str) -> DataFrame:
     return df.join(excluded, on, "left_anti")
@@ -44,3 +46,61 @@ def confidence(title: Column, source: Column, open_access: Column) -> Column:
 
 def status(found: Column, score: Column, threshold: float) -> Column:
     return F.when(~found, "no_match").when(score >= threshold, "OK").otherwise("low_confidence")
+
+
+def with_status(df: DataFrame, key: str, status: str, allowed: Sequence[str] = ()) -> DataFrame:
+    """Rows that have a key, of any status or the allowed ones."""
+    has = F.trim(T.blank(F.col(key).cast("string"))) != ""
+    return df.filter(has & F.col(status).isin(*allowed)) if allowed else df.filter(has)
+
+
+def in_order(ids: DataFrame, rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """The rows of listed keys in the list's order; keys without a row are left out."""
+    return ids.join(rows, key).orderBy(pos, key)
+
+
+def filled_in(df: DataFrame, known: DataFrame, on: str, column: str) -> DataFrame:
+    """``df`` with a column filled from ``known`` (one row a key) where it is null or blank; other values stay."""
+    k = known.select(on, F.col(column).alias("_known"))
+    own = F.nullif(F.trim(F.col(column)), F.lit(""))
+    return df.join(k, on, "left").withColumn(column, F.coalesce(own, "_known")).drop("_known")
+
+
+def with_defaults(df: DataFrame, known: DataFrame, on: str, defaults: dict[str, object]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with columns of ``known``, defaults where it has no row; and the number of such misses, one row."""
+    j = df.join(known.select(on, *defaults, F.lit(True).alias("_hit")), on, "left")
+    return j.select(*df.columns, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()]), j.agg(F.count_if(F.col("_hit").isNull()).alias("misses"))
+
+
+def paired(ids: DataFrame, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All ids with the rows of two sides and, where a side is missing, which: no_bio, no_article_sections."""
+    a, b = left.withColumn("_a", F.lit(True)), right.withColumn("_b", F.lit(True))
+    reason = F.when(F.col("_a").isNull(), "no_bio").when(F.col("_b").isNull(), "no_article_sections")
+    return ids.join(a, key, "left").join(b, key, "left").withColumn("reason", reason).drop("_a", "_b")
+
+
+def richest(df: DataFrame, key: str, size: Column, pos: Column) -> DataFrame:
+    """One row per key: the one of the greatest size, the first of these."""
+    return keep_first(df, [key], [F.desc(size), pos])
+
+
+def tagged(parts: dict[str, DataFrame], tag: str = "source") -> DataFrame:
+    """The rows of several frames with the name of theirs; missing columns are null."""
+    frames = [df.withColumn(tag, F.lit(name)) for name, df in parts.items()]
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def all_ids(*parts: DataFrame) -> DataFrame:
+    """The distinct ids (one column) of several frames."""
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.union(df)
+    return out.distinct()
+
+
+def merged_lists(*lists: Column) -> Column:
+    """Several arrays as one, each value once, at its first place."""
+    return F.array_distinct(F.concat(*lists))

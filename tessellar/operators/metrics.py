@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,16 +50,56 @@ def order_agreement(pairs: DataFrame) -> DataFrame:
     return pairs.select("key").distinct().join(both, "key", "left").select("key", F.coalesce("order", F.lit(1.0)).alias("order"))
 
 
-def param_quality(got: list[tuple[float, str]], want: list[tuple[float, str]], tolerance: float = 0.1, units: bool = True) -> tuple[int, int, int]:
-    """Greedy first-fit matches of parameters: true and false positives, false negatives."""
-    free, hits = list(want), 0
-    for value, unit in got:
-        for w in free:
-            if (not units or unit == w[1]) and abs(value - w[0]) <= tolerance * max(1.0, abs(w[0])):
-                free.remove(w)
-                hits += 1
-                break
-    return hits, len(got) - hits, len(want) - hits
+def near_params(a: Column, b: Column, tolerance: float = 0.1) -> Column:
+    """Whether two parameters (value, unit) have one unit and values within the tolerance of the second."""
+    return (a["unit"] == b["unit"]) & (F.abs(a["value"] - b["value"]) <= tolerance * F.greatest(F.lit(1.0), F.abs(b["value"])))
+
+
+def param_matches(got: Column, want: Column, tolerance: float = 0.1) -> Column:
+    """How many of ``got`` find a near parameter of ``want`` of their own: each takes the first that is free."""
+    free = F.transform(want, lambda w: F.lit(True))
+
+    def take(open_: Column, g: Column) -> Column:
+        fits = F.transform(F.arrays_zip(want.alias("w"), open_.alias("o")), lambda x: x["o"] & near_params(g, x["w"], tolerance))
+        first = F.array_position(fits, F.lit(True))
+        return F.transform(open_, lambda o, i: o & (i + 1 != first))
+
+    return F.size(F.filter(F.aggregate(got, free, take), lambda o: ~o))
+
+
+def param_quality(df: DataFrame, got: str, want: str, tolerance: float = 0.1) -> DataFrame:
+    """Precision, recall and F1 of two arrays of parameters (value, unit)."""
+    tp = param_matches(F.col(got), F.col(want), tolerance)
+    p, r, f1 = T.prf(tp, F.size(got) - tp, F.size(want) - tp)
+    return df.withColumns({"p": p, "r": r, "f1": f1})
+
+
+def near_pairs(df: DataFrame, other: DataFrame, key: str, tolerance: float = 0.1) -> DataFrame:
+    """key, got, want: all pairs of near parameters (key, value, unit) of the same key: an equality join with a band."""
+    a = df.select(key, "unit", F.struct("value", "unit").alias("got"))
+    b = other.select(key, "unit", F.struct("value", "unit").alias("want"))
+    return a.join(b, [key, "unit"]).filter(near_params(F.col("got"), F.col("want"), tolerance)).select(key, "got", "want")
+
+
+def keyword_quality(pairs: DataFrame, keywords: DataFrame, key: str, got: str) -> DataFrame:
+    """key, p, r, f1, hits: a text's tokens against the keywords (key, term) of another; ``hits`` in order."""
+    wanted = keywords.groupBy(key).agg(F.collect_set("term").alias("_want"))
+    d = pairs.join(wanted, key, "left").withColumns({"_want": F.coalesce("_want", F.array().cast("array<string>")), "_got": F.array_distinct(T.ascii_tokens(F.col(got)))})
+    hits = F.array_sort(F.array_intersect("_got", "_want"))
+    p, r, f1 = T.prf(F.size(hits), F.size("_got") - F.size(hits), F.size("_want") - F.size(hits))
+    return d.select(key, p.alias("p"), r.alias("r"), f1.alias("f1"), F.array_join(hits, " ").alias("hits"))
+
+
+def macro(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Means over samples and their number; 0 without samples."""
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns])
+
+
+def doubtful(pairs: DataFrame, title_a: str, title_b: str, similarity: str, least: float = 0.25) -> DataFrame:
+    """Pairs without a title on a side, or of little similarity, with the reason."""
+    missing = ~T.filled(F.col(title_a)) | ~T.filled(F.col(title_b))
+    reason = F.when(missing, "missing_title").when(F.coalesce(F.col(similarity), F.lit(0.0)) < least, "low_similarity")
+    return pairs.withColumn("reason", reason).filter("reason is not null")
 
 
 def similarity_hits(df: DataFrame, sim: str, least: float) -> DataFrame:

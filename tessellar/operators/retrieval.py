@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lexicon
 from ..functions import text as T
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, document, frequency: the inverted index. Counts are summed on the map side."""
-    return docs.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+#: A side of a join is broadcast only if a count shows that it has no more rows than this.
+FEW = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def postings(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, document, frequency, length of the document: the inverted index, of all terms or of those asked for (term).
+
+    Terms that nobody asks for are dropped before the shuffle; counts are summed on the map side.
+    """
+    t = docs.select(F.col(key), T.tokens(F.col(text)).alias("t"))
+    rows = t.select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    if terms is not None:
+        rows = rows.join(small(terms.select("term").distinct()), "term", "left_semi")
+    return rows.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
 def match_all(index: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """query, document pairs in which every term (query, term) of the query occurs."""
     t = terms.distinct()
     needed = t.groupBy("query").agg(F.count(F.lit(1)).alias("needed"))
-    found = index.join(t, "term").groupBy("query", key).agg(F.count(F.lit(1)).alias("found"))
+    found = index.join(small(t), "term").groupBy("query", key).agg(F.count(F.lit(1)).alias("found"))
     return found.join(needed, "query").filter("found = needed").select("query", key)
 
 
@@ -40,13 +58,13 @@ def match_phrase(docs: DataFrame, phrases: DataFrame, key: str = "doc_id") -> Da
     return both.filter(F.contains(spaced("words"), spaced("phrase"))).select("query", key).distinct()
 
 
-def bm25(index: DataFrame, terms: DataFrame, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query, document, score of the documents that hold a term."""
-    lengths = index.groupBy(key).agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = asked.join(df, "term").join(terms.distinct(), "term").join(lengths, key).crossJoin(F.broadcast(stats))
+def bm25(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query, document, score of the documents that hold a term. Documents without tokens don't count in the statistics."""
+    length = F.size(T.tokens(F.col(text)))
+    stats = docs.agg(F.count_if(length > 0).alias("docs"), F.avg(F.when(length > 0, length)).alias("mean"))
+    asked = postings(docs, terms, key, text)
+    df = small(asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms.distinct(), "term"))
+    rows = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return rows.groupBy("query", key).agg(F.sum(part).alias("score"))
@@ -54,19 +72,55 @@ def bm25(index: DataFrame, terms: DataFrame, key: str = "doc_id", k1: float = 1.
 
 def tfidf_terms(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k terms of each document with the highest smoothed, length-normalised tf-idf."""
-    tf = postings(docs, key, text)
+    return weighted_terms(docs, docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")), k, key)
+
+
+def weighted_terms(docs: DataFrame, terms: DataFrame, k: int, key: str, features: int | None = None) -> DataFrame:
+    """The k terms of highest tf-idf of each document, of terms (key, term); ``features`` keeps the commonest ones only.
+
+    A document's terms meet once, by its key; document frequencies meet by partial sums and go back by a broadcast if few.
+    """
+    tf = terms.repartition(key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
+    if features:
+        df = df.orderBy(F.desc("all"), "term").limit(features)
+    w = tf.join(small(df), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return top(w.withColumn("score", F.round(F.col("w") / norm, 6)).select(key, "term", "score"), [key], [F.desc("score"), F.col("term")], k)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, vec_id, sim: exact nearest by inner product; the queries, a stated small set, meet all rows."""
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query", F.col("embedding").alias("_q"))))
-    scored = pairs.select("query", "vec_id", F.round(T.dot(F.col("embedding"), F.col("_q")), 6).alias("sim"))
-    return top(scored, ["query"], [F.desc("sim"), F.col("vec_id")], k)
+    """query, vec_id, sim: exact nearest by inner product. Each block of ``QUERY_BLOCK`` queries meets all rows, batch by
+    batch; a batch keeps its k best for each query, and ties with the last of them, before anything is shuffled."""
+    q = queries.select("query", F.col("embedding").cast("array<double>").alias("v")).filter("v is not null")
+    blocks = -(-q.count() // QUERY_BLOCK)
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("v is not null")
+    parts = []
+    for b in range(max(1, blocks)):
+        block = q.filter(F.pmod(F.xxhash64("query"), F.lit(max(1, blocks))) == b).collect()  # about QUERY_BLOCK vectors
+        parts.append(rows.mapInArrow(_nearest(np.array([r["query"] for r in block], np.int64), np.array([r["v"] for r in block], float), k), "query long, vec_id long, sim double"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return top(found.withColumn("sim", F.round("sim", 6)), ["query"], [F.desc("sim"), F.col("vec_id")], k)
+
+
+QUERY_BLOCK = 4096
+
+
+def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            v = np.array(batch.column(1).to_pylist(), float)
+            sims = v @ queries.T
+            least = np.sort(sims, axis=0)[-k] if len(sims) > k else np.full(len(ids), -np.inf)
+            row, col = np.nonzero(sims >= least - 2e-6)  # similarities are compared to six decimals
+            yield pa.RecordBatch.from_arrays([pa.array(ids[col]), batch.column(0).take(pa.array(row)), pa.array(sims[row, col])], names=["query", "vec_id", "sim"])
+
+    return work
 
 
 def top(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
@@ -121,3 +175,59 @@ def embed(texts: DataFrame, model, key: str = "doc_id", text: str = "text", size
                 yield pd.DataFrame({key: part[key], "embedding": [list(map(float, v)) for v in model(part[text].fillna("").tolist())]})
 
     return texts.select(key, text).mapInPandas(work, f"{key} long, embedding array<float>")
+
+
+def with_texts(hits: DataFrame, docs: DataFrame, key: str = "doc_id", columns: Sequence[str] = ("text",), width: int = 200) -> DataFrame:
+    """Hits with their documents' columns, texts cut to a preview; hits without a document stay, with nulls."""
+    found = docs.select(key, *[F.left(c, F.lit(width)).alias(c) for c in columns]).join(small(hits.select(key).distinct()), key, "left_semi")
+    return hits.join(found, key, "left")
+
+
+def grams(c: Column, n: int = 2, stop: Sequence[str] = lexicon.STOP_WORDS) -> Column:
+    """Words of two letters or more without stop words, and runs of up to n of these."""
+    words = F.filter(T.tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(*stop))
+    none = F.array().cast("array<int>")
+
+    def runs(size: int) -> Column:
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(none)
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+    return F.concat(words, *[runs(size) for size in range(2, n + 1)])
+
+
+def keyword_queries(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", features: int = 5000, n: int = 2) -> DataFrame:
+    """key, term, score, rank: the k terms that would ask for a document, of the corpus's commonest words and word pairs."""
+    return weighted_terms(docs, docs.select(key, F.explode(grams(F.col(text), n)).alias("term")), k, key, features)
+
+
+def keywords(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", n: int = 2) -> DataFrame:
+    """key, term: the k commonest words and word pairs of each document, ties by term."""
+    counts = docs.select(key, F.explode(grams(F.col(text), n)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    return top(counts, [key], [F.desc("n"), F.col("term")], k).select(key, "term")
+
+
+def query_candidates(title: Column, terms: Column, keywords_text: Column, long_enough: Column) -> Column:
+    """An array of (kind, query): the title, the terms of a text that is long enough, or the keywords if there is neither."""
+    some = lambda kind, q: F.when(F.trim(T.blank(q)) != "", F.struct(F.lit(kind).alias("kind"), F.trim(q).alias("query")))
+    first = F.array_compact(F.array(some("Q1_title", title), F.when(long_enough, some("Q2_tfidf", terms))))
+    return F.when(F.size(first) > 0, first).otherwise(F.array_compact(F.array(some("Q0_keywords", keywords_text))))
+
+
+def with_extra_query(queries: Column, extra: Column) -> Column:
+    """A list of queries and one more, each once."""
+    return F.array_distinct(F.array_compact(F.concat(queries, F.array(F.nullif(F.trim(extra), F.lit(""))))))
+
+
+def match_folded(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """query, document: every term occurs, without regard to case and diacritics, and by their stems if ``stem`` gives these."""
+    form = (lambda c: stem(T.folded(c))) if stem else T.folded
+    asked = terms.select("query", form(F.col("term")).alias("term")).distinct()
+    words = docs.select(key, F.explode(F.array_distinct(T.tokens(T.folded(F.col(text))))).alias("term")).withColumn("term", form(F.col("term")))
+    return match_all(words.join(small(asked.select("term").distinct()), "term", "left_semi").distinct(), asked, key)
+
+
+def short_stem(c: Column) -> Column:
+    """A word without the commonest English endings: plural, past, and progressive with a doubled letter undone."""
+    s = F.regexp_replace(c, "(?<=ss|i)es$|(?<![su])s$", "")
+    s = F.regexp_replace(s, "(?<=[aeiouy][a-z]{0,8}[^aeiouy])(?:ed|ing)$", "")
+    return F.regexp_replace(s, "([bdfgmnprt])\\1$", "$1")

@@ -254,7 +254,7 @@ _MATCH = "m AS (SELECT q.query, tf.doc_id FROM tf JOIN q USING (term) JOIN need
 
 @query(f"WITH {_TERMS2}, {_MATCH} SELECT query, doc_id FROM m")
 def lexical_and_match(spark, d):
-    return retrieval.match_all(retrieval.postings(_t(spark, d, "documents")), _terms(spark, d))
+    return retrieval.match_all(retrieval.postings(_t(spark, d, "documents"), _terms(spark, d)), _terms(spark, d))
 
 
 @query()
@@ -266,7 +266,7 @@ def phrase_match(spark, d):
 s AS (SELECT query, doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 5) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY 1, 2)
 SELECT query, doc_id, score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS n FROM s) WHERE n <= 10""")
 def bm25_topn(spark, d):
-    s = retrieval.bm25(retrieval.postings(_t(spark, d, "documents")), _terms(spark, d)).withColumn("score", F.round("score", 5))
+    s = retrieval.bm25(_t(spark, d, "documents"), _terms(spark, d)).withColumn("score", F.round("score", 5))
     return retrieval.top(s, ["query"], [F.desc("score"), F.col("doc_id")], 10)
 
 
@@ -453,3 +453,6 @@ def simhit(spark, d):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
 def json_fields(spark, d):
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+from . import protocol_queries  # noqa: E402, F401  registers its queries, for which it needs those above

@@ -1,7 +1,12 @@
+import hashlib
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessellar.operators import graph, linkage, metrics, reports, retrieval, selection
+from tessellar.options import Options
 from tessellar.sources import files
 
 
@@ -56,9 +61,26 @@ def test_greedy_match_and_order(spark):
     assert metrics.order_agreement(got).first()["order"] == 0.0
 
 
-@pytest.mark.parametrize(("units", "hits"), [(True, 0), (False, 1)])
-def test_param_quality(units, hits):
-    assert metrics.param_quality([(5.0, "ml")], [(5.2, "min")], units=units)[0] == hits
+def first_fit(got, want, tolerance=0.1):
+    free, hits = list(want), 0
+    for value, unit in got:
+        for w in free:
+            if unit == w[1] and abs(value - w[0]) <= tolerance * max(1.0, abs(w[0])):
+                free.remove(w)
+                hits += 1
+                break
+    return hits
+
+
+def test_param_quality(spark):
+    rng = random.Random(4)
+    some = lambda: [(rng.choice([1.0, 1.05, 5.0, 5.2, 5.6]), rng.choice(["ml", "min"])) for _ in range(rng.randint(0, 6))]
+    rows = [(i, some(), some()) for i in range(200)]
+    kind = "array<struct<value:double,unit:string>>"
+    df = spark.createDataFrame(rows, f"id long, got {kind}, want {kind}")
+    got = {r["id"]: (round(r["p"], 9), round(r["r"], 9)) for r in metrics.param_quality(df, "got", "want").collect()}
+    ratio = lambda a, b: round(a / b, 9) if b else 0.0
+    assert got == {i: (ratio(first_fit(g, w), len(g)), ratio(first_fit(g, w), len(w))) for i, g, w in rows}
 
 
 def test_json_readers(spark, tmp_path):
@@ -68,13 +90,63 @@ def test_json_readers(spark, tmp_path):
     assert sorted(r["id"] for r in files.read_any_json(spark, str(tmp_path / "b.json"), "id long").collect()) == [3, 4]
 
 
+def test_files_of_either_kind_and_none(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.json").write_text('  [{"id": 1}, {"id": 2}]')
+    (tmp_path / "many" / "b.json").write_text('\n{"id": 3}\n{bad\n')
+    read = lambda p: sorted(r["id"] for r in files.read_any_json(spark, str(tmp_path / p), "id long").collect())
+    assert read("many") == [1, 2, 3] and read("missing") == []
+    assert files.first_existing(spark, [str(tmp_path / "no"), str(tmp_path / "many")]) == str(tmp_path / "many")
+
+
+def test_reports_and_routed_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ok", None), (2, "error", "why")], "id long, status string, note string")
+    files.write_report(df.filter("id = 1"), str(tmp_path / "r"))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect())
+    assert json.loads(text) == {"id": 1, "status": "ok", "note": None}
+    files.write_by(df, str(tmp_path / "by"), ["status"])
+    files.write_run(df, str(tmp_path / "runs"), "status", F.to_date(F.lit("2024-05-06")))
+    assert spark.read.json(str(tmp_path / "by")).filter("status = 'ok'").count() == 1
+    assert (tmp_path / "runs" / "run_date=2024-05-06" / "run_status=error").is_dir()
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "PMC7.xml").write_text("<article/>")
+    assert [tuple(r) for r in files.read_articles(spark, str(tmp_path / "x")).select("id", "text").collect()] == [("PMC7", "<article/>")]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.pdf").write_bytes(b"one|two")
+    (tmp_path / "p" / "b.pdf").write_bytes(b"bad")
+    pages = lambda b: b.decode().split("|") if b != b"bad" else 1 / 0
+    got = {r["path"][-5:]: (r["text"], r["error"]) for r in files.read_documents(spark, str(tmp_path / "p"), pages).collect()}
+    assert got["a.pdf"] == ("one\ntwo", None) and got["b.pdf"][0] is None and "zero" in got["b.pdf"][1]
+
+
+def test_prompts_options_and_small_groups(spark):
+    from tessellar.operators import external
+
+    df = spark.createDataFrame([("abcdef", 2)], "m string, n int")
+    assert df.select(external.prompt(external.QUERIES_PROMPT, {"methods": F.col("m"), "n": F.col("n")}, cut=3)).first()[0] == "METHODS:\nabc\nReturn 2 queries:"
+    rows = [(1, i, float(i)) for i in range(3)] + [(2, i, float(i)) for i in range(5)]
+    p = spark.createDataFrame(rows, "q long, doc long, ce_score double")
+    got = external.reranked_if_many(p, "q", [F.col("doc")], 9).orderBy("q", "rank").collect()
+    assert [r["doc"] for r in got] == [0, 1, 2, 4, 3, 2, 1, 0]
+    lex = spark.createDataFrame([(1, d, d) for d in range(1, 9)], "query long, doc_id long, rank int")
+    docs = spark.createDataFrame([(d, f"text {d}") for d in range(1, 5)], "doc_id long, text string")
+    hits = external.searched(Options(k_lex=3, k_sem=0, topn=2), lex, lex, docs).orderBy("rank").collect()
+    assert [(r["doc_id"], r["text"]) for r in hits] == [(1, "text 1"), (2, "text 2")]
+
+
 def test_external_models_are_pluggable(spark):
     from tessellar.operators import external
 
+    def echo(prompts):
+        return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+    def overlap(pairs):
+        return [len((a := set(q.lower().split())) & set(t.lower().split())) / max(1, len(a)) for q, t in pairs]
+
     p = spark.createDataFrame([(1, "red fox", "a fox"), (1, "red fox", "red fox runs"), (1, "red fox", None)], "q long, query string, text string")
-    s = external.scored(p, external.overlap_model, "query", "text")
+    s = external.scored(p, overlap, "query", "text")
     assert [r["ce_score"] for r in external.reranked_first(s, "q", [F.col("text").desc_nulls_last()], 2).orderBy("rank").collect()] == [1.0, 0.5]
-    assert external.answered(p, external.echo_model, "q", "query").filter("length(answer) = 32").count() == 3
+    assert external.answered(p, echo, "q", "query").filter("length(answer) = 32").count() == 3
     got = spark.range(1).select(external.evidence(F.array(F.lit("abcdef"), F.lit("x")), 3).alias("e")).first()["e"]
     assert got == "[EVIDENCE 1] abc\n\n[EVIDENCE 2] x"
 
