@@ -239,7 +239,7 @@ def folded(c: Column) -> Column:
 
 def snippet(c: Column, terms: Column, width: int = 120, mark: tuple[str, str] = ("[", "]")) -> Column:
     """The part of a text from its first term on, terms marked; from the start where none occurs. ``terms``: an array of words."""
-    words = F.array_join(F.transform(terms, lambda t: F.regexp_replace(t, r"([^\pL\pN_])", r"\\\\$1")), "|")
+    words = F.array_join(F.transform(terms, lambda t: F.regexp_replace(t, r"([^\pL\pN_])", r"\\$1")), "|")
     pattern = F.concat(F.lit(r"(?iu)\b("), words, F.lit(r")\b"))
     at = F.regexp_instr(blank(c), pattern)
     part = F.substring(blank(c), F.greatest(at, F.lit(1)), F.lit(width))
