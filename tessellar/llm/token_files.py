@@ -64,9 +64,11 @@ class _Model:
         if self.mix_bits < 4:
             raise ValueError(f"a vocabulary of {vocabulary} ids is too large")
         self.block = np.repeat(np.arange(blocks, dtype=np.int64), STRIPES)
-        self.of_1, self.of_2 = self.block * SLOTS_1, self.block * SLOTS_2
+        # orders 1 and 2 in two rows: the slots of order 2 follow those of order 1
+        self.of = np.stack([self.block * SLOTS_1, blocks * SLOTS_1 + self.block * SLOTS_2])
         self.of_id, self.of_mix = self.block * (vocabulary + 1), self.block * (2 * LEVELS * LEVELS)
-        self.one, self.two = np.zeros(blocks * SLOTS_1, np.int32), np.zeros(blocks * SLOTS_2, np.int32)
+        self.table = np.zeros(blocks * (SLOTS_1 + SLOTS_2), np.int32)
+        self.at = np.empty_like(self.of)
         self.held = np.ones((3, blocks * 2 * LEVELS * LEVELS), np.int64)
         self.counts = np.zeros((blocks, vocabulary), np.int64)
         self.before, self.before_2 = np.zeros(len(self.block), np.int64), np.zeros(len(self.block), np.int64)
@@ -95,13 +97,13 @@ class _Model:
         """The ids that orders 2 and 1 predict, and the parts of the range of both."""
         if _rebuilt(step):
             self.order_0()
-        self.at_1 = self.of_1 + ((self.before * 40503 >> 3) & (SLOTS_1 - 1))
-        self.at_2 = self.of_2 + ((self.before * 0x9E3779B1 + self.before_2 * 0x85EBCA6B >> 12) & (SLOTS_2 - 1))
-        self.entry_1, self.entry_2 = self.one[self.at_1], self.two[self.at_2]
-        first, second = self.entry_1 >> LEVEL_BITS, self.entry_2 >> LEVEL_BITS
-        self.level_1, self.level_2 = self.entry_1 & (LEVELS - 1), self.entry_2 & (LEVELS - 1)
-        self.predicted = first, second
-        self.at_mix = self.of_mix + ((self.level_2 << LEVEL_BITS | self.level_1) << 1 | (first == second))
+        self.at[0] = (self.before * 40503 >> 3) & (SLOTS_1 - 1)
+        self.at[1] = (self.before * 0x9E3779B1 + self.before_2 * 0x85EBCA6B >> 12) & (SLOTS_2 - 1)
+        self.at += self.of
+        self.entry = self.table[self.at]
+        self.level, self.predicted = self.entry & (LEVELS - 1), self.entry >> LEVEL_BITS
+        first, second = self.predicted
+        self.at_mix = self.of_mix + ((self.level[1] << LEVEL_BITS | self.level[0]) << 1 | (first == second))
         scale = (1 << self.mix_bits) - 3
         total = self.held.sum(axis=0)
         parts = (1 + self.held[:2] * scale // total).astype(np.uint64)
@@ -110,12 +112,9 @@ class _Model:
     def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         n = self.held.shape[1]
         self.held += np.bincount(outcome * n + self.at_mix, minlength=3 * n).reshape(3, n)
-        fresh = ids << LEVEL_BITS
-        of = (self.one, self.entry_1, self.level_1, self.at_1), (self.two, self.entry_2, self.level_2, self.at_2)
-        for (table, entry, level, at), predicted in zip(of, self.predicted, strict=True):
-            hit = predicted == ids
-            kept = entry + np.where(hit, level < LEVELS - 1, -(level + 1 >> 1))
-            table[at] = np.where(hit | (level > 1), kept, fresh)
+        hit = self.predicted == ids
+        kept = self.entry + np.where(hit, self.level < LEVELS - 1, -(self.level + 1 >> 1))
+        self.table[self.at] = np.where(hit | (self.level > 1), kept, ids << LEVEL_BITS)
         self.before_2, self.before = self.before, ids.astype(np.int64)
         self.new.append(ids)
 
@@ -251,6 +250,14 @@ def expand(blocks: list[bytes], n: int, vocabulary: int) -> np.ndarray:
 # --- tokens ---
 
 
+def _byte_letters() -> np.ndarray:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else the next from 256 on."""
+    letters = np.arange(256, dtype="<u2")
+    unseen = [*range(33), 127, *range(128, 161), 173]
+    letters[unseen] = 256 + np.arange(len(unseen))
+    return letters
+
+
 class _Tokenizer:
     """The library's ids of whole texts: it encodes each distinct piece between token boundaries once while cached."""
 
@@ -262,33 +269,20 @@ class _Tokenizer:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        # words after a space can go to such a library side by side: it splits them there
-        self.splits_words = isinstance(self.library.pre_tokenizer, ByteLevel) and self.library.normalizer is None
-        self.after_space = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocabulary)])
+        split = self.library.pre_tokenizer
+        plain = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and self.library.normalizer is None
+        self.of_bytes = _byte_letters() if plain else None
         self.pieces = bpe.Pieces(self._library_ids)
 
     def _library_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [p.decode() for p in pieces]
-        words = np.fromiter((t[0] == " " and t[1:].isalpha() for t in texts), bool, len(texts)) & self.splits_words
-        sizes, parts = np.empty(len(texts), np.int64), []
-        at = np.flatnonzero(words)
-        if len(at):
-            ids = np.array(self.library.encode_batch_fast(["".join([texts[i] for i in at.tolist()])], add_special_tokens=False)[0].ids, np.int64)
-            begins = np.flatnonzero(self.after_space[ids])
-            if len(begins) == len(at):  # a token begins at every space, so none goes over two words
-                sizes[at] = np.diff(begins, append=len(ids))
-                parts.append(ids)
-            else:
-                words[:] = False
-        at = np.flatnonzero(~words)
-        if len(at):
-            coded = [e.ids for e in self.library.encode_batch_fast([texts[i] for i in at.tolist()], add_special_tokens=False)]
-            sizes[at] = np.fromiter(map(len, coded), np.int64, len(coded))
-            parts.append(np.fromiter(chain.from_iterable(coded), np.int64, int(sizes[at].sum())))
-        out = np.empty(int(sizes.sum()), np.int64)
-        for of, part in zip([x for x in (words, ~words) if x.any()], parts, strict=True):
-            out[np.repeat(of, sizes)] = part
-        return out, sizes
+        if self.of_bytes is not None:  # the pieces are what the library would split off, so they go to its model straight
+            tokenize, ends = self.library.model.tokenize, np.cumsum(list(map(len, pieces))).tolist()
+            letters = self.of_bytes[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-16-le")
+            ids = [[t.id for t in tokenize(letters[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
+        else:
+            ids = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many ids each text has."""
@@ -345,8 +339,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
             yield _group(part, number, docs, tokens, lengths, vocabulary)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the texts are shuffled, not the ids, as finding the ranges looks at the rows once more; equal ids are spread by text
-    spread = F.xxhash64("text")
+    # the texts are shuffled, not the ids, as finding the ranges looks at the rows once more; rows without an id are spread by text
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     in_order = rows.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, F.length("text"), "text")
     in_order.mapInArrow(work, SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
 
