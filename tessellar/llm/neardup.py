@@ -1,29 +1,36 @@
 """MinHash near-duplicate detection by an LSH forest.
 
-1. Each document's set of word shingles gets ``TREES`` labels of ``DEPTH`` min-wise hashes and a short signature.
+1. Each document's set of word shingles gets labels of ``DEPTH`` min-wise hashes, one for each tree, and a short signature.
    Documents of equal sets are one class from here on, whatever their number; its smallest id stands for it.
 2. Each tree is a sorted order of the labels. A region is a run of classes that share a prefix of ``SHALLOW`` hashes;
    the candidates of a class are the neighbours that follow it in a region, i.e. those of the longest common prefix.
+   The orders are cut into tasks by ranges, so a long region is no task's alone.
 3. Candidates whose signatures agree enough are links to confirm. In rounds, every class proposes its best candidates
-   outside its component, a few first, all in the last round; proposals are confirmed on the full sets, accepted ones merge components, refused ones are
-   struck off. So copies of a group cost a few confirmations each, not all pairs.
+   outside its component, a few first, all in the last round; proposals are confirmed on the full sets, accepted ones merge
+   components, refused ones are struck off. So copies of a group cost a few confirmations each, not all pairs.
 4. When no candidate is left, regions that still hold several components are searched for all pairs across
    components. The depth adapts: a region of more than ``CROWDED`` classes is split by further hashes, up to ``DEPTH``.
-   Classes with a candidate there bring their full sets into the region and are compared in place, so only links leave it,
-   not the pairs alike by signature alone. Regions whose sets exceed ``HELD_BYTES`` emit their candidates to the rounds.
+   What is still crowded then is dealt into blocks of about ``CROWDED`` classes, and each pair of blocks is a task's work of
+   its own, so no pair is left out and no task holds more than two blocks. Classes with a candidate there bring their full
+   sets and are compared in place, so only links leave it, not the pairs alike by signature alone. Regions whose sets exceed
+   ``HELD_BYTES`` emit their candidates to the rounds.
 
-Two sets at the threshold share a region of some tree but for odds of about 2e-8 (1e-5 in crowded regions). Everything is
-distributed: links, components and fingerprints never reach the driver.
+The number of trees follows from the threshold: two sets at it share a region of some tree but for odds of 1.2e-5 at depth
+``DEPTH`` (crowded regions), and of 2.5e-8 at depth ``SHALLOW`` for a similarity of 0.85 (24 trees), 2e-9 for 0.8 (38 trees).
+Their signatures agree too little, by ``SLACK`` standard deviations, with odds below 1e-7. Everything is distributed:
+links, components and fingerprints never reach the driver.
 
 Cases: a null or empty text has an empty set, links with nothing and is its own component; ids that repeat join their
-classes; rows without an id have a null component and aren't kept; an empty table gives an empty result; other columns are
-ignored (``components``) or kept (``distinct``).
+classes; rows without an id have a null component and aren't kept; texts of any length are hashed whole; an empty table
+gives an empty result; other columns are ignored (``components``) or kept (``distinct``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, small
 from .hashing import mixed, shingles, word_hashes
 
-TREES, DEPTH, SHALLOW, CROWDED, NEIGHBOURS = 24, 6, 4, 1024, 3
-HASHES = TREES * DEPTH
+DEPTH, SHALLOW, CROWDED, NEIGHBOURS = 6, 4, 1024, 3
 LABEL = 2 * DEPTH
+#: Odds that two sets at the threshold share no label; the number of trees follows.
+MISSED = 1.2e-5
+#: Copies of a set from which its class is joined by a broadcast, so that they don't meet in one task.
+COPIES = 10_000
 #: Candidates that a class proposes in each round; None: all that are left.
 PROPOSALS = (1, 4, 32, None)
 #: Texts hashed at once, in characters.
@@ -44,7 +54,27 @@ CHUNK = 1 << 20
 #: Bytes of the full sets that a task may hold of one region.
 HELD_BYTES = 32 << 20
 #: Share of signature bytes that must agree for a candidate: below the threshold by this many standard deviations.
-SLACK = 4.5
+SLACK = 6.0
+
+
+@dataclass(frozen=True)
+class Forest:
+    """What a threshold, in percent, asks for: trees, hashes in all, and the least agreement of signatures."""
+
+    percent: int
+
+    @property
+    def trees(self) -> int:
+        return max(24, math.ceil(math.log(MISSED) / math.log(1 - min(0.99, self.percent / 100) ** DEPTH)))
+
+    @property
+    def hashes(self) -> int:
+        return self.trees * DEPTH
+
+    @property
+    def least(self) -> float:
+        p = self.percent / 100
+        return p - SLACK * (p * (1 - p) / self.hashes) ** 0.5
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -74,11 +104,13 @@ def _minima(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, fp (of the set; null if empty), labels, sig: under 500 bytes a document."""
+def sketches(docs: DataFrame, shingle: int, forest: Forest) -> DataFrame:
+    """doc_id, n_shingles, fp (of the set; null if empty), labels, sig: under 800 bytes a document."""
+
+    hashes = forest.hashes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = np.random.default_rng(3).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+        factors = np.random.default_rng(3).integers(0, 1 << 31, hashes, np.uint32) * np.uint32(2) + np.uint32(1)
         for batch, texts in _chunks(batches):
             n, fps, labels, sigs = [], [], [], []
             for s in _sets(texts, shingle):
@@ -142,28 +174,27 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).mean(axis=-1) - 1 / 256) * (256 / 255)
 
 
-def _across(label: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, depth: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of a sorted region: a place, and later places of other components that may be linked with it by size and signature."""
-    if len(comp) > CROWDED and depth < DEPTH:
-        part = label[:, 2 * depth : 2 * depth + 2]
-        edges = [0, *(np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1).tolist(), len(comp)]
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            if hi - lo > 1:
-                yield from ((lo + i, lo + j) for i, j in _across(label[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], depth + 1, least, percent))
-        return
+def _across(blk: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a region's part: a place, and later places of other components that may be linked with it by size and signature.
+
+    Rows of two blocks are compared with those of the other block only; within a block is a part of its own.
+    """
+    two = len(blk) > 0 and (blk != blk[0]).any()
     for i in range(len(comp) - 1):
         later = slice(i + 1, None)
-        sizes = 100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])
+        sizes = 100 * np.minimum(n[later], n[i]) >= forest.percent * np.maximum(n[later], n[i])
+        if two:
+            sizes &= blk[later] != blk[i]
         others = i + 1 + np.flatnonzero((comp[later] != comp[i]) & sizes)
         for k in range(0, len(others), 4096):
             near = others[k : k + 4096]
-            near = near[_agreement(sig[near], sig[i]) >= least]
+            near = near[_agreement(sig[near], sig[i]) >= forest.least]
             if len(near):
                 yield i, near
 
 
-#: Columns of a region's rows, and how they are read; sets come last, where they are needed.
-REGION = "tree int, label binary, id long, comp long, n long, sig binary"
+#: Columns of a region's rows: the part's key and block, the class, its component, set size and signature; sets come last, where they are needed.
+REGION = "key long, blk long, id long, comp long, n long, sig binary"
 
 
 def _objects(column: pa.Array) -> np.ndarray:
@@ -172,74 +203,73 @@ def _objects(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[int]]]:
-    """Of ``REGION`` rows in order, with sets or not: columns of whole regions, where each begins, and the end."""
+def _regions(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Of ``REGION`` rows in order, with sets or not: columns of whole parts, where each begins, and the end."""
     held: list[np.ndarray] | None = None
 
     def edges(parts: list[np.ndarray]) -> list[int]:
-        tree, key = parts[0], np.ascontiguousarray(parts[1][:, : 2 * SHALLOW]).view(">u8").ravel()
-        return [0, *(np.flatnonzero((key[1:] != key[:-1]) | (tree[1:] != tree[:-1])) + 1).tolist(), len(tree)]
+        return [0, *(np.flatnonzero(parts[0][1:] != parts[0][:-1]) + 1).tolist(), len(parts[0])]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        tree, label, ids, comp, n, sig, *sets = batch.columns
-        new = [tree.to_numpy(), _fixed(label, LABEL), ids.to_numpy(), comp.to_numpy(), n.to_numpy(), _fixed(sig, HASHES), *map(_objects, sets)]
+        *plain, sig = batch.columns[:6]
+        new = [*(c.to_numpy() for c in plain), _fixed(sig, forest.hashes), *map(_objects, batch.columns[6:])]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         at = edges(held)
-        if len(at) > 2:  # the last region may go on
+        if len(at) > 2:  # the last part may go on
             yield [x[: at[-2]] for x in held], at[:-1]
             held = [x[at[-2] :] for x in held]
     if held is not None:
         yield held, edges(held)
 
 
-def _involved(least: float, percent: int):
-    """The rows that have a candidate in their region."""
+def _involved(forest: Forest):
+    """The rows that have a candidate in their region's part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (tree, label, ids, comp, n, sig), edges in _regions(batches):
+        for (key, blk, ids, comp, n, sig), edges in _regions(batches, forest):
             keep = np.zeros(len(ids), bool)
             for lo, hi in zip(edges, edges[1:], strict=False):
-                for i, near in _across(label[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], SHALLOW, least, percent):
+                for i, near in _across(blk[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], forest):
                     keep[lo + i] = True
                     keep[lo + near] = True
-            packed = [pa.array([x.tobytes() for x in v[keep]], pa.binary()) for v in (label, sig)]
-            yield pa.RecordBatch.from_arrays([pa.array(tree[keep], pa.int32()), packed[0], pa.array(ids[keep], pa.int64()), pa.array(comp[keep], pa.int64()), pa.array(n[keep], pa.int64()), packed[1]], names=[f.split()[0] for f in REGION.split(", ")])
+            columns = [*(pa.array(x[keep], pa.int64()) for x in (key, blk, ids, comp, n)), pa.array([x.tobytes() for x in sig[keep]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in REGION.split(", ")])
 
     return work
 
 
-def _candidates(least: float, percent: int):
+def _candidates(forest: Forest):
     """All candidates (a, b) across components of the regions."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, label, ids, comp, n, sig), edges in _regions(batches):
+        for (_, blk, ids, comp, n, sig), edges in _regions(batches, forest):
             for lo, hi in zip(edges, edges[1:], strict=False):
-                for i, near in _across(label[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], SHALLOW, least, percent):
+                for i, near in _across(blk[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], forest):
                     yield _pairs_batch([np.full(len(near), ids[lo + i])], [ids[lo + near]])
 
     return work
 
 
-def _links(least: float, percent: int):
-    """Links (a, b) across components of the regions, by full sets; what is linked is one component in the region."""
+def _links(forest: Forest):
+    """Links (a, b) across components of the regions, by full sets; what is linked is one component in the part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, label, ids, comps, _, sig, sets), edges in _regions(batches):
+        for (_, blk, ids, comps, _, sig, sets), edges in _regions(batches, forest):
             a, b = [], []
             for lo, hi in zip(edges, edges[1:], strict=False):
                 n, comp = np.array([len(x) for x in sets[lo:hi]]), comps[lo:hi].copy()
                 words, code = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
                 ends, marked = np.cumsum(n), np.zeros(len(words), bool)
-                for i, near in _across(label[lo:hi], comp, sig[lo:hi], n, SHALLOW, least, percent):
+                for i, near in _across(blk[lo:hi], comp, sig[lo:hi], n, forest):
                     own = code[ends[i] - n[i] : ends[i]]
                     marked[own] = True
                     begins = np.cumsum(n[near]) - n[near]
                     at = np.arange(n[near].sum()) + np.repeat(ends[near] - n[near] - begins, n[near])
                     both = np.add.reduceat(marked[code[at]], begins, dtype=np.int64)
                     marked[own] = False
-                    near = near[100 * both >= percent * (n[i] + n[near] - both)]
+                    near = near[100 * both >= forest.percent * (n[i] + n[near] - both)]
                     for j in near[np.unique(comp[near], return_index=True)[1]]:
                         a.append(ids[lo + i : lo + i + 1])
                         b.append(ids[lo + j : lo + j + 1])
@@ -249,12 +279,14 @@ def _links(least: float, percent: int):
     return work
 
 
-def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+def _estimated(pairs: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
     """a, b, est: candidates whose signatures agree enough."""
 
+    hashes, least = forest.hashes, forest.least
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            est = _agreement(_fixed(batch.column(2), HASHES), _fixed(batch.column(3), HASHES)) if batch.num_rows else np.empty(0)
+            est = _agreement(_fixed(batch.column(2), hashes), _fixed(batch.column(3), hashes)) if batch.num_rows else np.empty(0)
             keep = pa.array(est >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(est[est >= least], pa.float64())], names=["a", "b", "est"])
 
@@ -364,47 +396,73 @@ def _judged_in_rounds(docs: DataFrame, pairs: DataFrame, comps: DataFrame | None
     return comps
 
 
-def _linked_in_regions(docs: DataFrame, trees: DataFrame, sigs: DataFrame, comps: DataFrame | None, shingle: int, percent: int, least: float) -> DataFrame | None:
+def _adapted(rows: DataFrame) -> DataFrame:
+    """Rows (tree, label, id, comp, n) of regions with several components: with the part's key and block.
+
+    The depth of a region grows while it is crowded; one that stays crowded is dealt into blocks, and each row goes to the
+    parts of its block with itself and each other.
+    """
+    done, depth = None, SHALLOW
+    while True:
+        region = F.expr(f"substring(label, 1, {2 * depth})")
+        several = rows.groupBy("tree", region.alias("region")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("classes")).filter("lo <> hi")
+        here = cut(rows.withColumn("region", region).join(several.select("tree", "region", "classes"), ["tree", "region"]))
+        crowded = here.filter(F.col("classes") > CROWDED)
+        last = depth == DEPTH or crowded.isEmpty()
+        part = here if last else here.filter(F.col("classes") <= CROWDED)
+        done = part if done is None else done.unionByName(part)
+        if last:
+            break
+        rows, depth = crowded.select(*rows.columns), depth + 1
+    blocks = F.ceil(F.col("classes") / CROWDED).cast("long")
+    dealt = done.withColumn("blk", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.withColumn("key", F.xxhash64("tree", "region", F.least("blk", "other"), F.greatest("blk", "other")))
+
+
+def _linked_in_regions(docs: DataFrame, trees: DataFrame, sigs: DataFrame, comps: DataFrame | None, shingle: int, forest: Forest) -> DataFrame | None:
     """Components after the regions of several components were compared in place, or by rounds if their sets are too large."""
-    region = F.expr(f"substring(label, 1, {2 * SHALLOW})")
-    in_order = lambda rows: rows.repartition("tree", region).sortWithinPartitions("tree", "label", "id")
+    in_order = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
     of = trees.withColumn("comp", F.col("id")) if comps is None else trees.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    several = of.groupBy("tree", region.alias("region")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tree", "region")
-    rows = of.withColumn("region", region).join(several, ["tree", "region"]).join(sigs.withColumnRenamed("rep", "id"), "id")
-    rows = cut(in_order(rows.select("tree", "label", "id", "comp", "n", "sig")).mapInArrow(_involved(least, percent), REGION))
+    rows = _adapted(of.select("tree", "label", "id", "comp")).join(sigs.withColumnRenamed("rep", "id"), "id")
+    rows = cut(in_order(rows.select("key", "blk", "id", "comp", "n", "sig")).mapInArrow(_involved(forest), REGION))
     if rows.isEmpty():
         return comps
-    size = rows.groupBy("tree", region.alias("region")).agg(F.sum(F.col("n") * 8).alias("size"))
-    large = cut(size.filter(F.col("size") > HELD_BYTES).select("tree", "region"))
-    rows = rows.withColumn("region", region)
-    held = rows.join(large, ["tree", "region"], "left_anti").drop("region")
+    large = cut(rows.groupBy("key").agg(F.sum(F.col("n") * 8).alias("size")).filter(F.col("size") > HELD_BYTES).select("key"))
+    held = rows.join(large, "key", "left_anti")
     sets = _sets_of(docs, held.select("id"), shingle)
-    found = in_order(held.join(sets, "id").select("tree", "label", "id", "comp", "n", "sig", "set")).mapInArrow(_links(least, percent), "a long, b long")
+    found = in_order(held.join(sets, "id").select("key", "blk", "id", "comp", "n", "sig", "set")).mapInArrow(_links(forest), "a long, b long")
     linked = cut(_labelled(found.filter("a <> b").distinct(), comps))
     if not linked.isEmpty():
         comps = _merged(comps, linked)
     if large.isEmpty():
         return comps
-    rest = in_order(rows.join(large, ["tree", "region"], "left_semi").select("tree", "label", "id", "comp", "n", "sig"))
-    more = rest.mapInArrow(_candidates(least, percent), "a long, b long").filter("a <> b").distinct()
-    return _judged_in_rounds(docs, cut(_estimated(more, sigs, least)), comps, shingle, percent)
+    rest = in_order(rows.join(large, "key", "left_semi"))
+    more = rest.mapInArrow(_candidates(forest), "a long, b long").filter("a <> b").distinct()
+    return _judged_in_rounds(docs, cut(_estimated(more, sigs, forest)), comps, shingle, forest.percent)
 
 
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, linked at ``percent`` of Jaccard similarity and above."""
-    all_docs = cut(sketches(docs, shingle))
-    of_class = [F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("labels", "sig")), F.first("n_shingles").alias("n")]
+    forest = Forest(percent)
+    all_docs = cut(sketches(docs, shingle, forest))
+    of_class = [F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("labels", "sig")), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")]
     classes = cut(all_docs.filter("fp is not null and doc_id is not null").groupBy("fp").agg(*of_class))
-    least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
     trees = classes.select("rep", "labels", tree).select("tree", F.expr(f"substring(labels, tree * {LABEL} + 1, {LABEL})").alias("label"), F.col("rep").alias("id"))
-    in_order = trees.repartition("tree", F.expr(f"substring(label, 1, {2 * SHALLOW})")).sortWithinPartitions("tree", "label", "id")
+    in_order = trees.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     found = in_order.mapInArrow(_neighbours, "a long, b long").filter("a <> b").distinct()
-    pairs = cut(_estimated(found, classes.select("rep", "sig"), least))
+    pairs = cut(_estimated(found, classes.select("rep", "sig"), forest))
     comps = _judged_in_rounds(docs, pairs, None, shingle, percent)
-    comps = _linked_in_regions(docs, trees, classes.select("rep", "n", "sig"), comps, shingle, percent, least)
-    ends = classes.select("fp", "rep") if comps is None else classes.join(comps, classes["rep"] == comps["id"], "left").select("fp", F.coalesce("comp", "rep").alias("rep"))
-    out = all_docs.select("doc_id", "n_shingles", "fp").join(ends, "fp", "left")
+    comps = _linked_in_regions(docs, trees, classes.select("rep", "n", "sig"), comps, shingle, forest)
+    ends = classes.select("fp", "rep", "copies") if comps is None else classes.join(comps, classes["rep"] == comps["id"], "left").select("fp", F.coalesce("comp", "rep").alias("rep"), "copies")
+    ends = cut(ends)
+    # documents without words join nothing, and the copies of a large class don't meet in one task
+    hot = small(ends.filter(F.col("copies") >= COPIES).select("fp", "rep"))
+    with_words = all_docs.filter("fp is not null").select("doc_id", "n_shingles", "fp")
+    many = with_words.join(hot, "fp")
+    others = with_words.join(hot, "fp", "left_anti").join(ends.filter(F.col("copies") < COPIES).select("fp", "rep"), "fp", "left")
+    alone = all_docs.filter("fp is null").select("fp", "doc_id", "n_shingles", F.col("doc_id").alias("rep"))
+    out = many.unionByName(others).unionByName(alone)
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
 
 

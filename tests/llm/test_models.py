@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessellar.llm import neardup, permutation, topk, toxicity, vectors
+from tessellar.llm import permutation, topk, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string"
 
@@ -92,66 +92,6 @@ def test_quoted_and_impure_terms_are_learnt(spark):
     assert {e[0] for e in toxicity.learn(docs(spark, rows), labels).entries} >= {"blarfy", "zorgle"}
 
 
-@pytest.mark.parametrize("held", [neardup.HELD_BYTES, 0])
-def test_near_duplicates(spark, monkeypatch, held):
-    monkeypatch.setattr(neardup, "HELD_BYTES", held)
-    base = made(40, 5, 5000)
-    rows = [(i, t) for i, t in enumerate(base)]
-    rows += [(100 + i, t) for i, t in enumerate(base)] + [(200 + i, t + " extra") for i, t in enumerate(base)] + [(300, None), (301, ""), (302, "one"), (303, "ONE"), (304, "one two"), (None, base[0]), (5, base[5])]
-    long = [f"v{i}" for i in range(400)]
-    rows += [(400 + k, " ".join(long[:k] + ["z"] + long[k + 1 :])) for k in range(30)]
-    # many alike about the threshold, so regions of several components
-    rng = np.random.default_rng(9)
-    for k in range(80):
-        own = [f"m{i}" for i in range(300)]
-        for at in rng.choice(300, 3 + k % 8, replace=False):
-            own[at] = f"x{k}"
-        rows.append((500 + k, " ".join(own)))
-    sets = {}
-    for i, t in rows:
-        w = words(t)
-        m = min(3, len(w))
-        sets[i] = {tuple(w[j : j + m]) for j in range(len(w) - m + 1)} if w else set()
-    parent = {i: i for i in sets if i is not None}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in parent:
-        for j in parent:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    got = neardup.report(docs(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r["doc_id"] is None:
-            assert not r["kept"] and r["component_id"] is None
-        else:
-            assert (r["component_id"], r["n_shingles"]) == (root(r["doc_id"]), len(sets[r["doc_id"]])) and r["kept"] == (r["component_id"] == r["doc_id"])
-
-
-def test_distinct_keeps_one_row_of_each_text(spark):
-    x, y, z = made(3, 12, 5000)
-    rows = [(5, x), (5, y), (3, y), (None, z), (None, z), (7, z), (8, "own words"), (8, "own words"), (9, None), (None, "")]
-    got = sorted(((r["doc_id"], r["text"]) for r in neardup.distinct(docs(spark, rows)).collect()), key=str)
-    assert got == sorted([(5, x), (3, y), (7, z), (8, "own words"), (9, None), (None, "")], key=str)
-
-
-def test_mixed_regions_split_by_depth():
-    rng = np.random.default_rng(4)
-    n = neardup.CROWDED + 50
-    label = np.zeros((n, neardup.LABEL), np.uint8)
-    label[:, 8] = np.arange(n) // 40
-    sig = rng.integers(0, 256, (n, neardup.HASHES)).astype(np.uint8)
-    sig[1] = sig[0]
-    got = [(int(a), int(b[0])) for a, b in neardup._across(label, np.arange(n), sig, np.full(n, 9), neardup.SHALLOW, 0.7, 85)]
-    assert got == [(0, 1)]
-
-
-
 @pytest.fixture(scope="module")
 def embedded(spark):
     rng = np.random.default_rng(8)
