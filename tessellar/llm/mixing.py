@@ -8,14 +8,15 @@
 3. Tree: the drawn blocks of all sources are split exactly among the output shards. A node halves its shards; the
    left half's share of each source is drawn from the multivariate hypergeometric law, source after source, given
    the left half's capacity. The leaves say how many blocks of a source a shard gets; the blocks in the source's
-   random order are cut into disjoint runs accordingly. Inside a shard, rows are ordered by a seeded hash.
+   random order are cut into disjoint runs accordingly. Each task orders its
+   rows of a shard by a seeded hash (``mix``).
 
 Blocks of a source are at most ``MAX_BLOCKS`` hash buckets, so that the tree works on bounded numbers; a hot source
 is spread over its blocks by map-side sums, and only edge blocks are sorted document by document.
 
 Cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own, ordered last;
-a source without words has target 0; repeated rows count separately and share a block; an empty table gives an empty
-result; other columns (even of clashing names) are carried by ``mix`` and ignored by ``mix_report``.
+a source without words has target 0; repeated rows count separately and share a block; a document of any length is whole;
+an empty table gives an empty result; other columns, of any names, are carried by ``mix`` and ignored by ``mix_report``.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int
     blocks = cut(_blocks(placed))
     drawn = blocks.groupBy("place").agg(F.sum(F.col("whole") + (F.col("full") | F.col("left").isNotNull()).cast("int")).alias("n"), F.count(F.lit(1)).alias("of"))
     leaves = cut(split_tree(drawn, shards)).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("before", "n", "shard"))).alias("leaves"))
-    at = blocks.join(F.broadcast(drawn.select("place", "of")), "place").join(F.broadcast(leaves), "place")
+    at = blocks.join(drawn.select("place", "of"), "place").join(leaves, "place")  # narrow rows, sources x MAX_BLOCKS at most
     copies = F.col("whole") + (F.col("full") | F.col("left").isNotNull()).cast("int")
     # copy c of the block at place `at` is draw number c * of + at of its source
     shard_of = lambda c: F.element_at(F.filter("leaves", lambda x: (x["before"] <= c * F.col("of") + F.col("at")) & (x["before"] + x["n"] > c * F.col("of") + F.col("at"))), 1)["shard"]
@@ -181,14 +182,26 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return plan(docs, **options).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies", "shards")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: a row for each copy of a document with the columns of ``docs`` and ``mix_shard``, shuffled inside a shard.
+def mix(docs: DataFrame, shard: str | None = "mix_shard", order: str | None = None, **options) -> DataFrame:
+    """The mixed corpus: a row for each copy of a document with the columns of ``docs``, shuffled inside each shard.
 
-    Texts are joined to the plan by id and hash; rows equal in both have equal shares of a block's fate and are joined once each.
+    The copy's shard, and the seeded number that orders rows inside shards, are added by the names given. Each task puts its
+    rows in that order shard by shard, so files written by shard are shuffled; no text is moved for it.
+
+    The plan of equal rows (id, text, source) is settled by their number: each takes what all of them take, and the first
+    ones take a copy more where the plan gives some of them one.
     """
-    h = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.crc32(text_or_empty().cast("binary")))
-    p = plan(docs, **options).filter("copies > 0").groupBy("_id", "_h").agg(F.max_by("shards", "copies").alias("_shards"))
-    keyed = docs.withColumn("_hh", h)
-    p = small(cut(p))
-    joined = keyed.join(p, keyed["doc_id"].eqNullSafe(p["_id"]) & (keyed["_hh"] == p["_h"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode("_shards").alias("mix_shard"))
+    own = [F.col("doc_id"), F.xxhash64(F.lit(SEED), F.col("doc_id"), F.crc32(text_or_empty().cast("binary"))), F.col("source")]
+    p = plan(docs, **options).groupBy("_id", "_h", "_source")
+    p = cut(p.agg(F.min("copies").alias("each"), F.count_if(F.col("copies") > 0).alias("some"), F.max_by("shards", "copies").alias("shards"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows")))
+    p = p.filter("some > 0").withColumn("more", F.col("all") - F.col("each") * F.col("rows"))
+    even, uneven = small(p.filter("more = 0")), small(p.filter("more > 0"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(name) for c, name in zip(own, ("k_id", "k_h", "k_source"), strict=True)])
+    same = lambda q: keyed["k_id"].eqNullSafe(q["_id"]) & (keyed["k_h"] == q["_h"]) & keyed["k_source"].eqNullSafe(q["_source"])
+    # only rows of equal ones that don't all take the same are numbered
+    nth = F.row_number().over(Window.partitionBy("k_id", "k_h", "k_source").orderBy(F.lit(0)))
+    numbered = keyed.join(uneven, same(uneven)).withColumn("take", F.col("each") + (nth <= F.col("more")).cast("int"))
+    all_rows = keyed.join(even, same(even)).withColumn("take", F.col("each")).unionByName(numbered)
+    out = all_rows.select("row", "k_id", "k_h", F.posexplode(F.slice("shards", F.lit(1), F.col("take").cast("int"))).alias("copy", "shard"))
+    out = out.withColumn("place", F.xxhash64(F.lit(SEED + 4), "k_id", "k_h", "copy")).sortWithinPartitions("shard", "place")
+    return out.select("row.*", *([F.col("shard").alias(shard)] if shard else []), *([F.col("place").alias(order)] if order else []))

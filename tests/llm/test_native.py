@@ -44,6 +44,29 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert out[1]["text"] == "my token = '[SECRET]' ok" and out[2]["text"] is None and secrets.redact(d).columns == d.columns
 
 
+def test_redaction_masks_what_is_found(spark):
+    texts = [*TEXTS, "password=abcdef0123456789abcdef0123456789 and AKIA" + "0123456789ABCDEF" * 2, "secret: " + "a1" * 20 + "/x"]
+    clash = "doc_id long, text string, _kinds string, _cid long, n_chars int, row string, _s0 string, `a b` string"
+    rows = [(i, t, "k", 5, None, "r", "s", "t") for i, t in enumerate(texts)] + [(None, "token=abcdefgh", "k", 5, None, "r", "s", "t")]
+    d = spark.createDataFrame(rows, clash)
+    spans = {r["doc_id"]: r["spans"] for r in secrets.find(d).collect()}
+    for r in secrets.redact(d).collect():
+        text = "token=abcdefgh" if r["doc_id"] is None else texts[r["doc_id"]]
+        values = []
+        for kind, a, b in (x.split(":") for x in spans[r["doc_id"]].split(",") if x):
+            rule = next(x for x in secrets.RULES if x.kind == kind)
+            m = re.compile(rule.pattern).match(text, int(a))
+            values.append((m.start(rule.group) if rule.group else int(a), int(b)))
+        want, at = "", 0
+        for a, b in sorted(values):
+            if a >= at:
+                want += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        want = None if text is None else want + text[at:] if values else text
+        assert (r["text"], r["_kinds"], r["_cid"], r["a b"]) == (want, "k", 5, "t") and r["n_chars"] == (None if want is None else len(want))
+    assert secrets.redact(d).columns == d.columns
+
+
 def test_trigram_queries_hold_for_matches():
     def holds(q, text):
         return True if q is None else q in text if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, text) for x in q[1])
@@ -99,6 +122,45 @@ def test_long_documents_do_not_stop_the_fill(spark):
     assert all(abs(taken[s] - target[s]) <= 10 for s in target), (taken, target)
 
 
+MIXED = "doc_id long, text string, source string, _id long, _h string, shards string, `row` string"
+
+
+def mixed_docs(spark, rows):
+    return spark.createDataFrame([(i, t, s, 1, "h", "x", "r") for i, t, s in rows], MIXED)
+
+
+def test_mix_takes_what_is_planned_of_equal_rows(spark):
+    rows = [(7, "w " * 10, "a")] * 40 + [(i, "w " * 10, "b") for i in range(20)] + [(7, "w " * 10, "c"), (None, "v w", "c"), (None, "v w", "c"), (9, None, "c"), (10, "", None)]
+    planned, taken = Counter(), Counter()
+    report = mixing.mix_report(docs(spark, [(i, t, s) for i, t, s in rows])).collect()
+    of = {(i, len((t or "").split())): s for i, t, s in rows if s != "a"}
+    for r in report:
+        planned[r["doc_id"], r["size"]] += r["taken"]
+    for r in mixing.mix(mixed_docs(spark, rows)).collect():
+        taken[r["doc_id"], len(r["text"].split())] += len(r["text"].split())
+    assert +planned == +taken and of
+    by_source = Counter()
+    for r in mixing.mix(mixed_docs(spark, rows)).collect():
+        by_source[r["source"]] += 10 if r["source"] in "ab" else 0
+    target = {r["source_size"]: r["target"] for r in report}
+    assert abs(by_source["a"] - target[400]) <= 10 and abs(by_source["b"] - target[200]) <= 10
+
+
+def test_mix_shuffles_inside_shards(spark):
+    rows = [(i, "w " * (i % 9 + 1), f"s{i % 3}") for i in range(500)]
+    out = mixing.mix(mixed_docs(spark, rows).coalesce(1), order="place").collect()
+    assert mixing.mix(mixed_docs(spark, rows), shard=None).columns == mixed_docs(spark, []).columns
+    shards = defaultdict(list)
+    for r in out:
+        shards[r["mix_shard"]].append(r)
+    assert len(shards) > 3
+    for of in shards.values():
+        ids = [r["doc_id"] for r in of]
+        assert [r["place"] for r in of] == sorted(r["place"] for r in of) and (len(ids) < 5 or ids != sorted(ids))
+    copies = Counter(r["doc_id"] for r in out)
+    assert copies == Counter({r["doc_id"]: r["copies"] for r in mixing.mix_report(mixed_docs(spark, rows)).collect() if r["copies"]})
+
+
 def test_split_tree_is_exact(spark):
     drawn = spark.createDataFrame([(0, 40), (1, 0), (2, 7), (3, 300)], "place int, n long")
     leaves = mixing.split_tree(drawn, 6).collect()
@@ -122,6 +184,22 @@ def test_sharding(spark):
     assert one["size"] == 14 + 16 and one["text_crc32"] == zlib.crc32(("é" * 7).encode())
 
 
+def test_equal_rows_do_not_fill_a_shard(spark, tmp_path):
+    rows = [(5, "same text", "s")] * 600 + [(None, "none", "s")] * 300 + [(i, "x" * (i % 30), "s") for i in range(900)] + [(1, "long " * 1_000, "s")]
+    got = sharding.shard_documents(docs(spark, rows), shards=6, slots=256, path=str(tmp_path / "map")).collect()
+    assert len(got) == len(rows)
+    sizes, places = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and max(sizes.values()) - min(sizes.values()) < 0.1 * max(sizes.values())
+    versions = spark.read.parquet(str(tmp_path / "map"))
+    assert {r["version"] for r in versions.select("version").distinct().collect()} == {1, 2}
+    first, second = ({r["vslot"]: r["shard"] for r in sharding.load_map(spark, str(tmp_path / "map"), v).collect()} for v in (1, 2))
+    assert {(r["shard"], r["next_shard"]) for r in got} == {(first[r["vslot"]], second[r["vslot"]]) for r in got}
+    assert any(x == 6 for x in second.values()) and sum(first[s] != second[s] for s in first) < 0.5 * len(first)
+
+
 def test_rebalancing_moves_little(spark):
     stats = spark.createDataFrame([(i, 100 + i % 7, 3) for i in range(256)], "vslot int, bytes long, n long")
     old = sharding.first_map(stats, 4)
