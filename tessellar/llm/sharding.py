@@ -3,21 +3,31 @@
 Every record is hashed into one of thousands of virtual slots; bytes and rows are summed per slot; a versioned map
 says which shard holds a slot. Balancing edits the map, never the hash: a new version moves some slots and leaves
 the others where they were. The slot table has a fixed size (``slots`` rows), so the map is built in one small task
-and broadcast, whatever the corpus holds; the texts themselves are never shuffled.
+and broadcast, whatever the corpus holds; the texts themselves are never shuffled. Versions of a map are kept as a table
+in the shared folder (``save_map``, ``load_map``); records are placed by the version that is read from there.
+
+Equal records hash alike, so many of them would make one slot hot. Slots with more than ``HOT`` times the mean bytes are
+marked ``spread`` in the map, and their records are dealt over all slots by their places in the stored measures.
 
 Cases: a null text counts no bytes beyond the fixed overhead, and its crc32 is 0; null ids and repeated rows are
-placed like any others (the hash also takes the text's crc32, so that rows without an id spread out); an empty table
-gives an empty result; other columns are ignored.
+placed like any others (the hash also takes the text's crc32, so that rows without an id spread out); texts of any length
+are one record; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut, shared_folder
+
 SLOTS = 8192
 OVERHEAD = 16
+#: Times the mean bytes of a slot beyond which its records are spread over all slots.
+HOT = 8
 
 
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -38,6 +48,16 @@ def slot_stats(records: DataFrame) -> DataFrame:
     return records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
+def spread(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Stored measures, those of hot slots dealt over all slots; ``spread`` tells which."""
+    kept = cut(records.withColumn("at", F.monotonically_increasing_id()))  # places that stay, however often they are read
+    stats = slot_stats(kept)
+    mean = stats.agg((F.sum("bytes") / F.lit(slots)).alias("mean"))
+    hot = stats.crossJoin(F.broadcast(mean)).filter((F.col("bytes") > HOT * F.col("mean")) & (F.col("n") > 1)).select("vslot", F.lit(True).alias("spread"))
+    marked = kept.join(F.broadcast(hot), "vslot", "left").withColumn("spread", F.coalesce("spread", F.lit(False)))  # ``slots`` rows at most
+    return marked.withColumn("vslot", F.when(F.col("spread"), F.pmod(F.xxhash64("at"), F.lit(slots)).cast("int")).otherwise(F.col("vslot")))
+
+
 def _longs(n: int) -> Column:
     return F.array_repeat(F.lit(0).cast("long"), n)
 
@@ -87,6 +107,19 @@ def rebalanced(old: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
     return _placed(kept.unionByName(moved), 0).drop("version").crossJoin(F.broadcast(version))
 
 
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Add a version of a map to the table of its versions."""
+    slot_map.write.mode("append").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version of a map, the latest unless one is named."""
+    versions = spark.read.schema("vslot int, shard int, bytes long, n long, begins long, version int").parquet(path)
+    if version is None:
+        version = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == F.lit(version))
+
+
 def _placed(slots: DataFrame, version: int) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     begins = F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")
@@ -100,10 +133,21 @@ def assigned(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     return joined.withColumn("slot", (F.col("begins") + F.col("place")).cast("long"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
-    """All of it by the law ``bytes``: shards of near equal size; the contract's columns, then vslot and map version."""
-    records = measured(docs, slots)
-    out = assigned(records, first_map(slot_stats(records), shards))
+def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """All of it by the law ``bytes``: shards of near equal size; the contract's columns, then the virtual slot, the map's
+    version, and the shard under the next version, which is the stored one edited for one more shard.
+
+    The map's versions are kept at ``path``, by default in a new folder of the shared one.
+    """
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    records = spread(measured(docs, slots), slots)
+    stats = cut(slot_stats(records))
+    save_map(first_map(stats, shards), path)
+    now = load_map(spark, path)
+    save_map(rebalanced(now, stats, shards + 1), path)
+    edited = load_map(spark, path).select("vslot", F.col("shard").alias("next_shard"))
+    out = assigned(records, load_map(spark, path, 1)).join(F.broadcast(edited), "vslot")
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"), "next_shard"
     )
