@@ -18,8 +18,8 @@ each verified on their own text; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from functools import reduce
+from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser
 
@@ -189,11 +189,11 @@ def _spans(text: Column, rule: Rule) -> Column:
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tests = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else F.expr("cast(null as array<string>)")
     found = F.struct(F.split(text, rule.pattern, -1).alias("pieces"), hits.alias("hits"), tests.alias("tests"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:int>>)").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         begin, end = s["at"] + x["gap"], s["at"] + x["gap"] + x["len"]
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
+        span = F.array(F.struct(begin.alias("start"), end.alias("end"), (end - x["test"]).alias("value")))  # what is tested ends the match
         return F.struct(end.alias("at"), F.when(x["test"] >= rule.least, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
     def walk(x: Column) -> Column:
@@ -217,14 +217,19 @@ def _verify(rule: Rule) -> Column | None:
     return F.col("doc_id").isNull() | F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...] = ("assign", "access", "hex")) -> DataFrame:
-    """doc_id, number of spans of each base kind, sha256 of the base spans, and all spans as ``kind:start:end``."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    d = _flagged(docs.select("doc_id", text_or_empty().alias("text")), rules)
+def _with_spans(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` (with doc_id and text) with the spans of each rule: _s0, _s1, ..."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:int>>)")
+    d = _flagged(rows, rules)
     for i, r in enumerate(rules):
         spans, verify = _spans(F.col("text"), r), _verify(r)
         d = d.withColumn(f"_s{i}", spans if verify is None else F.when(verify, spans).otherwise(none))
-    d = d.drop("text", "_kinds")
+    return d.drop("_kinds")
+
+
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...] = ("assign", "access", "hex")) -> DataFrame:
+    """doc_id, number of spans of each base kind, sha256 of the base spans, and all spans as ``kind:start:end``."""
+    d = _with_spans(docs.select("doc_id", text_or_empty().alias("text")), rules).drop("text")
     kinds = F.array(*[F.lit(r.kind) for r in rules])
 
     def joined(which: list[int]) -> Column:
@@ -238,19 +243,23 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...]
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of its texts masked, and ``n_chars`` (if there) set anew; no row goes.
+    """``docs`` with every secret that ``find`` reports masked, and ``n_chars`` (if there) set anew; no row goes.
 
-    Of an assignment only the value is masked. A value that is too short stays.
+    Of an assignment only the value is masked; values that overlap get one mask; a null text stays null.
     """
-    def masked(text: Column, r: Rule) -> Column:
-        if not r.group:
-            return F.regexp_replace(text, r.pattern, re.escape(mask))
-        head, _, tail = r.pattern.rpartition("(")
-        return F.regexp_replace(text, f"({head})({tail.removesuffix('+)')}{{{r.least},}})", "$1" + re.escape(mask))
-
-    d = _flagged(docs, rules)
-    indexed = [r for r in rules if trigram_query(r.pattern) is not None]
-    text = F.when(F.col("_kinds").isNotNull() | F.col("doc_id").isNull(), reduce(masked, indexed, F.col("text"))).otherwise(F.col("text"))
-    text = reduce(masked, [r for r in rules if r not in indexed], text)
-    d = d.withColumn("text", text).drop("_kinds")
-    return d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else d
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", text_or_empty().alias("text"))
+    d = _with_spans(rows, rules)
+    values = F.array_sort(F.concat(*[F.transform(f"_s{i}", lambda s: F.struct(s["value"].alias("from"), s["end"].alias("to"))) for i in range(len(rules))]))
+    piece = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+
+    def cover(s: Column, x: Column) -> Column:
+        out = F.when(x["from"] >= s["at"], F.concat(s["out"], piece(s["at"], x["from"]), F.lit(mask))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], x["to"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate("values", start, cover, lambda s: F.concat(s["out"], piece(s["at"], F.length("text"))))
+    d = d.withColumn("values", values).withColumn("text", F.when(F.size("values") > 0, masked).otherwise(F.col("row.text")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return d.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
