@@ -36,8 +36,6 @@ from .common import cut
 
 #: Labelled rows that learning looks at, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
-#: Bound of the lexicon that goes to every worker.
-MAX_TERMS = 20_000
 STEM = range(3, 13)
 LEAST_FUZZY = 5
 WINDOW = 60
@@ -311,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # words shorter than any term are counted for ``_misspelled`` only
     terms = every.filter(f"toxic >= 3 and length(replace(term, '$', '')) >= {STEM[0]}")
     excess = F.greatest(*(F.col(b) - n[True] / (n[True] + n[False]) * (F.col(a) + F.col(b)) for a, b in (COUNTS[:2], COUNTS[2:])))
-    tested, top = terms.count(), terms.filter("clean <= 0.1 * toxic or clean_used < toxic_used").orderBy(excess.desc(), "term").limit(MAX_TERMS).collect()
+    tested, top = terms.count(), terms.filter("clean <= 0.1 * toxic or clean_used < toxic_used").orderBy(excess.desc(), "term").collect()  # terms of a bounded sample that clean documents of it hardly have
     entries = _misspelled(every, _entries([tuple(r) for r in top], tested, n[False], n[True]))
     counted = _counted(whole.select("text", "toxic"), entries, ("toxic",)).select("exact", "fuzzy", "quoted", "toxic").toPandas()  # sample_rows rows at most
     w = _fit(_features(counted[["exact", "fuzzy", "quoted"]].to_numpy(float)), counted["toxic"].to_numpy(float))
