@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are a bounded hash sample of the vectors (``PIVOTS``); nearness to them is taken in a space whitened by
-``SAMPLED`` times as many. A vector is represented by its nearest pivots in order
-(``LISTED`` of them). Each block of vectors posts them in inverted files, one per pivot: the pivot's place in each
-vector's list, or ``LISTED`` where it isn't listed. A query reads the files of its own listed pivots and sums the
-differences of places (the footrule distance over these pivots); the share ``RERANKED`` of a block with the least
-sums, ``LEAST`` at least, is ranked anew by the exact inner product in double precision on the original vectors.
+``SAMPLED`` times as many. A vector is represented by its nearest pivots in order, ``LISTED`` of them, under a quarter.
+Each block of vectors posts them in inverted files, one per pivot: the pivot's place in each vector's list, or ``LISTED``
+where it isn't listed. A query reads the files of its own listed pivots only and sums the differences of places (the
+footrule distance over these pivots); the share ``RERANKED`` of a block with the least sums, ``LEAST`` at least, is ranked
+anew by the exact inner product in double precision on the original vectors.
 
 Cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without an id; where an id repeats, all its rows are candidates of others, none of its own query, and
-the query is its least vector; fewer candidates than k: all; an empty table gives an empty result.
+the query is its least vector; ties go to the smaller id; fewer candidates than k: all; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 
 from . import vectors
 
-PIVOTS = 126
-LISTED = 126
-RERANKED = 0.12
+PIVOTS = 512
+LISTED = 120
+RERANKED = 0.15
 #: Rows looked at for distinct pivots, as a multiple of their number.
-SAMPLED = 16
+SAMPLED = 8
 LEAST = 400
 
 
@@ -62,7 +63,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOT
     p = fitted(sample, pivots) if len(sample) else None
     listed = max(1, min(listed, pivots, len(sample), 127))
 
-    def best(ids, v, qids, q):
+    def best(ids, v, qids, q, least):
         order = np.argsort(ids, kind="stable")
         ids, v = ids[order], v[order]
         files = inverted_files(v, p, listed)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 #: Vectors of a block and queries of a pack: what a task holds at once.
 BLOCK_ROWS = 8192
 PACK_ROWS = 512
@@ -29,22 +31,31 @@ def usable(rows: DataFrame, zeros: bool) -> DataFrame:
     return ok.join(F.broadcast(length), F.size("v") == F.col("length"), "left_semi")
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows dealt evenly into packs of about ``size``: an even deal has no hot pack, whatever ids repeat."""
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, stored, each with a place of its own (``at``): what is dealt by it stays so, however often a task runs."""
+    return cut(rows.select("vec_id", "v", F.monotonically_increasing_id().alias("at")))
+
+
+def packed(rows: DataFrame, size: int, name: str, columns: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Stored rows dealt evenly into packs of about ``size`` by their places, so that no id makes a hot pack."""
     n = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn(name, F.pmod(F.monotonically_increasing_id() % (1 << 33) + F.spark_partition_id(), F.lit(n)).cast("int"))
-    return dealt.groupBy(name).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v")), n
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("at"), F.lit(n)).cast("int"))
+    more = [F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))).alias(f"{name}_{c}") for c in columns]
+    return dealt.groupBy(name).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v"), *more), n
 
 
-def against_all(rows: DataFrame, queries: DataFrame, k: int, best: Callable, score_type: str) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows but its own.
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best of those found."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def matched(pairs: DataFrame, best: Callable, score_type: str) -> DataFrame:
+    """query_id, vec_id, score of pairs of a block and a pack of queries, by ``best`` of each pair's arrays.
 
-    ``best(ids, vectors, query_ids, query_vectors)`` yields (query index, row indexes, scores) of a block. Each pack of
-    queries is sent to each block by an equality join on the block's number; a block returns k rows a query at most.
+    ``best(ids, vectors, query_ids, query_vectors, least)`` yields (query index, row indexes, scores); ``least`` is a score
+    that a query's k best are known to reach.
     """
-    blocks, n = _packed(rows, BLOCK_ROWS, "block")
-    packs, _ = _packed(queries, PACK_ROWS, "pack")
-    pairs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,14 +63,22 @@ def against_all(rows: DataFrame, queries: DataFrame, k: int, best: Callable, sco
             for r in range(batch.num_rows):
                 ids, qids = (np.asarray(batch.column(at[c])[r].values) for c in ("block_ids", "pack_ids"))
                 v, q = (np.asarray(batch.column(at[c])[r].values) for c in ("block_v", "pack_v"))
-                out = [(np.full(len(j), qids[i]), ids[j], s) for i, j, s in best(ids, v.reshape(len(ids), -1), qids, q.reshape(len(qids), -1))]
+                least = np.asarray(batch.column(at["pack_least"])[r].values) if "pack_least" in at else np.full(len(qids), -np.inf)
+                out = [(np.full(len(j), qids[i]), ids[j], s) for i, j, s in best(ids, v.reshape(len(ids), -1), qids, q.reshape(len(qids), -1), least)]
                 if out:
                     a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64() if score_type == "double" else pa.int64())], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("block_ids", "block_v", "pack_ids", "pack_v").mapInArrow(work, f"query_id long, vec_id long, score {score_type}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    names = [c for c in ("block_ids", "block_v", "pack_ids", "pack_v", "pack_least") if c in pairs.columns]
+    return pairs.select(*names).mapInArrow(work, f"query_id long, vec_id long, score {score_type}")
+
+
+def against_all(rows: DataFrame, queries: DataFrame, k: int, best: Callable, score_type: str) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best rows but its own. Each pack of queries meets each block."""
+    blocks, n = packed(kept(rows), BLOCK_ROWS, "block")
+    packs, _ = packed(kept(queries), PACK_ROWS, "pack")
+    pairs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
+    return best_of(matched(pairs, best, score_type), k)
 
 
 def one_per_id(rows: DataFrame) -> DataFrame:
