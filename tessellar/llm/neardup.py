@@ -10,9 +10,9 @@
    components, refused ones are struck off. So copies of a group cost a few confirmations each, not all pairs.
 4. When no candidate is left, regions that still hold several components are searched for all pairs across
    components. The depth adapts: a region of more than ``CROWDED`` classes is split by further hashes, up to ``DEPTH``.
-   What is still crowded then is dealt into blocks of about ``CROWDED`` classes, and each pair of blocks is a task's work of
-   its own, so no pair is left out and no task holds more than two blocks. Classes with a candidate there bring their full
-   sets and are compared in place, so only links leave it, not the pairs alike by signature alone. Regions whose sets exceed
+   Regions of more than ``BLOCK`` classes are dealt into blocks of about that many, and each pair of blocks is a piece of
+   work of its own, so no pair is left out and none needs more than two blocks in a task. Classes with a candidate there
+   bring their full sets and are compared in place, so only links leave it, not the pairs alike by signature alone. Regions whose sets exceed
    ``HELD_BYTES`` emit their candidates to the rounds.
 
 The number of trees follows from the threshold: two sets at it share a region of some tree but for odds of 1.2e-5 at depth
@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 from .common import BROADCAST_ROWS, cut, small
 from .hashing import mixed, shingles, word_hashes
 
-DEPTH, SHALLOW, CROWDED, NEIGHBOURS = 6, 4, 1024, 3
+DEPTH, SHALLOW, CROWDED, BLOCK, NEIGHBOURS = 6, 4, 1024, 256, 3
 LABEL = 2 * DEPTH
 #: Odds that two sets at the threshold share no label; the number of trees follows.
 MISSED = 1.2e-5
@@ -399,8 +399,8 @@ def _judged_in_rounds(docs: DataFrame, pairs: DataFrame, comps: DataFrame | None
 def _adapted(rows: DataFrame) -> DataFrame:
     """Rows (tree, label, id, comp, n) of regions with several components: with the part's key and block.
 
-    The depth of a region grows while it is crowded; one that stays crowded is dealt into blocks, and each row goes to the
-    parts of its block with itself and each other.
+    The depth of a region grows while it is crowded. Regions are dealt into blocks, and each row goes to the parts of its
+    block with itself and each other.
     """
     done, depth = None, SHALLOW
     while True:
@@ -414,7 +414,7 @@ def _adapted(rows: DataFrame) -> DataFrame:
         if last:
             break
         rows, depth = crowded.select(*rows.columns), depth + 1
-    blocks = F.ceil(F.col("classes") / CROWDED).cast("long")
+    blocks = F.ceil(F.col("classes") / BLOCK).cast("long")
     dealt = done.withColumn("blk", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return dealt.withColumn("key", F.xxhash64("tree", "region", F.least("blk", "other"), F.greatest("blk", "other")))
 

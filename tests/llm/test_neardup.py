@@ -28,6 +28,7 @@ def made(n, seed=0, vocabulary=400):
 def test_near_duplicates(spark, monkeypatch, held, crowded, shingle, percent):
     monkeypatch.setattr(neardup, "HELD_BYTES", held)
     monkeypatch.setattr(neardup, "CROWDED", crowded)
+    monkeypatch.setattr(neardup, "BLOCK", max(5, crowded // 4))
     monkeypatch.setattr(neardup, "COPIES", 2 if crowded == 6 else 10_000)
     base = made(40, 5, 5000)
     rows = [(i, t) for i, t in enumerate(base)]
@@ -77,6 +78,7 @@ def test_distinct_keeps_one_row_of_each_text(spark):
 def test_crowded_regions_lose_no_link(spark, monkeypatch):
     """More classes in a region than a block holds, all of one prefix, that link in chains far apart in the order."""
     monkeypatch.setattr(neardup, "CROWDED", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     n = 150
     labels = [bytes(12)] * n
     trees = spark.createDataFrame([(0, bytearray(x), int(i), int(i)) for i, x in enumerate(labels)], "tree int, label binary, id long, comp long")
