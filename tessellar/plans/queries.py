@@ -59,12 +59,12 @@ def doc_stats(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"))
 
 
-@query("""WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?i)\\b(\\d+(?:\\.\\d+)?)\\s*(s|min|h|g|ml|l)\\b', 1) AS v FROM documents)
-SELECT doc_id, CAST(len(v) AS BIGINT) AS n_params, CAST(coalesce(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 0) AS DOUBLE) AS total FROM p WHERE len(v) > 0""")
+@query("SELECT p_partkey, CAST(2 AS BIGINT) AS n_params, CAST(p_size + p_partkey % 60 AS DOUBLE) AS total, 'ml min' AS units FROM part")
 def param_extract(spark, d):
-    p = T.params(F.col("text"), r"\b(\d+(?:\.\d+)?)\s*(s|min|h|g|ml|l)\b")
-    rows = _t(spark, d, "documents").select("doc_id", p.alias("p")).filter(F.size("p") > 0)
-    return rows.select("doc_id", F.size("p").cast("long").alias("n_params"), F.aggregate("p", F.lit(0.0), lambda a, x: a + x["value"]).alias("total"))
+    text = F.concat(F.col("p_name"), F.lit(" "), F.col("p_size"), F.lit(" mL for "), F.col("p_partkey") % 60, F.lit(" MIN, 7 minks"))
+    rows = _t(spark, d, "part").select("p_partkey", T.params(text).alias("p"))
+    units = F.array_join(F.transform("p", lambda x: T.unit(x["unit"])), " ")
+    return rows.select("p_partkey", F.size("p").cast("long").alias("n_params"), F.aggregate("p", F.lit(0.0), lambda a, x: a + x["value"]).alias("total"), units.alias("units"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_intersect(list_distinct({TOKENS}), {_list(lexicon.ACTIONS)})), ' ') AS actions, array_to_string(list_sort(list_intersect(list_distinct({TOKENS}), {_list(lexicon.MATERIALS)})), ' ') AS materials FROM documents")
@@ -78,19 +78,20 @@ def title_norm(spark, d):
     return _t(spark, d, "part").select("p_partkey", T.title_key(F.col("p_name")).alias("title"))
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: string_split(regexp_replace(l, '([.:;])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))), lambda x: trim(x)), lambda x: length(x) >= 20) AS p FROM documents)
+SELECT doc_id, CAST(i AS INTEGER) AS pos, p[i + 1] AS step FROM s, LATERAL (SELECT unnest(range(len(p))) AS i)""")
 def sentence_steps(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.posexplode(T.steps(F.col("text"))).alias("pos", "step"))
 
 
-@query()
+@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '["''()*:^{}\\[\\]<>=!?+~&|\\\\]', ' ', 'g'), '(?i)\\b(AND|OR|NOT|NEAR)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS query FROM conversations""")
 def fts_sanitize(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.query_text(F.col("text")).alias("query"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages WHERE url IS NOT NULL")
+@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages WHERE contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), 'e')")
 def url_host_filter(spark, d):
-    return _t(spark, d, "pages").filter("url is not null").select("page_id", T.host(F.col("url")).alias("host"))
+    return _t(spark, d, "pages").select("page_id", T.host(F.col("url")).alias("host")).filter(F.contains("host", F.lit("e")))
 
 
 @query("SELECT item_id, CAST(i AS INTEGER) AS pos, substr(text, CAST(i AS INTEGER) + 1, 200) AS part FROM benchmark, LATERAL (SELECT unnest(range(0, length(text), 150)) AS i) WHERE length(text) > 200 UNION ALL SELECT item_id, 0, coalesce(text, '') FROM benchmark WHERE length(coalesce(text, '')) <= 200")
@@ -181,10 +182,13 @@ def left_defaults(spark, d):
     return j.select("doc_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("quality", "toxic")])
 
 
-@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("""SELECT c_custkey, n_name, r_name, CASE WHEN n_name IS NULL THEN 'no_nation' WHEN r_name IS NULL THEN 'no_region' ELSE 'ok' END AS status
+FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 > 0) ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey""")
 def three_way_status(spark, d):
-    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return _t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
+    n, r = _t(spark, d, "nation").filter("n_nationkey % 5 > 0"), _t(spark, d, "region").filter("r_name <> 'ASIA'")
+    j = _t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    status = F.when(F.col("n_name").isNull(), "no_nation").when(F.col("r_name").isNull(), "no_region").otherwise("ok")
+    return j.select("c_custkey", "n_name", "r_name", status.alias("status"))
 
 
 _BEST = "row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)"
@@ -241,12 +245,10 @@ def stratified_split(spark, d):
 
 
 def _terms(spark, d):
-    first = F.slice(F.array_distinct(T.tokens(F.col("text"))), 1, 2)
-    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(first).alias("term"))
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
 
 
-_TERMS2 = f"""b AS (SELECT item_id, {TOKENS} AS t FROM benchmark), bt AS (SELECT item_id, unnest(range(1, len(t) + 1)) AS p, unnest(t) AS term FROM b),
-bf AS (SELECT item_id, term, min(p) AS p FROM bt GROUP BY 1, 2), q AS (SELECT item_id AS query, term FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY p) AS n FROM bf) WHERE n <= 2),
+_TERMS2 = f"""q AS (SELECT DISTINCT item_id AS query, unnest({TOKENS}) AS term FROM benchmark),
 tok AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2),
 need AS (SELECT query, count(*) AS k FROM q GROUP BY 1)"""
 _MATCH = "m AS (SELECT q.query, tf.doc_id FROM tf JOIN q USING (term) JOIN need ON need.query = q.query GROUP BY 1, 2, k HAVING count(*) = k)"
@@ -257,7 +259,8 @@ def lexical_and_match(spark, d):
     return retrieval.match_all(retrieval.postings(_t(spark, d, "documents"), _terms(spark, d)), _terms(spark, d))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM documents), p AS (SELECT item_id AS query, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM benchmark WHERE len({TOKENS}) > 0)
+SELECT query, doc_id FROM p JOIN d ON contains(d.t, p.t)""")
 def phrase_match(spark, d):
     return retrieval.match_phrase(_t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("phrase")))
 
@@ -286,6 +289,23 @@ def vector_knn(spark, d):
     return _knn(spark, d)
 
 
+_BM25 = """ln AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), st AS (SELECT count(*) AS docs, avg(len) AS mean FROM ln), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query, doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 5) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_TERMS2}, {_BM25}, lex AS (SELECT * FROM (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 50), {_KNN},
+u AS (SELECT query, doc_id, 1.0 / rank AS s, rank AS lex, NULL AS sem FROM lex UNION ALL SELECT query, vec_id, 0.5 / rank, NULL, rank FROM sem),
+f AS (SELECT query, doc_id, round(sum(CAST(s AS DOUBLE)), 6) AS score, min(lex) AS lex, min(sem) AS sem FROM u GROUP BY 1, 2)
+SELECT query, doc_id, score, CAST(n AS INTEGER) AS rank, substr(text, 1, 80) AS text FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, lex NULLS LAST, sem NULLS LAST, doc_id) AS n FROM f) LEFT JOIN documents USING (doc_id) WHERE n <= 10""")
+def hybrid_bm25_topn(spark, d):
+    docs = _t(spark, d, "documents")
+    ranked = retrieval.bm25(docs, _terms(spark, d)).withColumn("score", F.round("score", 5))
+    lexical = retrieval.top(ranked, ["query"], [F.desc("score"), F.col("doc_id")], 50).drop("score")
+    semantic = _knn(spark, d).select("query", F.col("vec_id").alias("doc_id"), "rank")
+    hits = retrieval.fuse(lexical, semantic, 10).select("query", "doc_id", "score", "rank")
+    return retrieval.with_texts(hits, docs, width=80).select("query", "doc_id", "score", "rank", "text")
+
+
 def _lexical(spark, d):
     return retrieval.top(lexical_and_match(spark, d), ["query"], [F.col("doc_id")], 50)
 
@@ -413,14 +433,21 @@ def heuristic_prefix_sum(spark, d):
     return documents.paragraphs_until(_t(spark, d, "conversations"), "conv_id", "turn", "text", 300).select("conv_id", "turn")
 
 
-@query()
+@query("""WITH h AS (SELECT page_id, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?i)<(?:p|h[1-6]|div|li|br)\\b[^>]*>') AS p FROM pages),
+t AS (SELECT page_id, list_filter(list_transform(p, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM h)
+SELECT page_id, CAST(i AS INTEGER) AS pos, p[i + 1] AS text FROM t, LATERAL (SELECT unnest(range(len(p))) AS i)""")
 def page_sections(spark, d):
     return documents.page_sections(_t(spark, d, "pages"), "page_id", "html")
 
 
-@query()
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN '10.2000/b' || page_id WHEN 1 THEN '10.3000/c' ELSE '' END AS link FROM pages")
 def original_link_pick(spark, d):
-    return _t(spark, d, "pages").select("page_id", documents.first_link(F.col("html"), F.lit(""), "href").alias("link"))
+    k, far = F.col("page_id"), "x" * 50
+    own, other = F.concat(F.lit("10.1000/own"), k), F.concat(F.lit("10.2000/b"), k)
+    near = F.concat(F.lit(f"10.3000/c {far} see "), own, F.lit(" original "), other, F.lit(f" {far}"))
+    first = F.concat(F.lit("10.3000/c then "), own, F.lit(" no mark"))
+    html = F.when(k % 4 == 0, near).when(k % 4 == 1, first).when(k % 4 == 2, F.concat(F.lit("original "), own, F.lit(" "))).otherwise("nothing")
+    return _t(spark, d, "pages").select("page_id", documents.first_link(html, own, "original", 40).alias("link"))
 
 
 @query("SELECT page_id, upper(regexp_extract(coalesce(url, ''), '(?i)(p[0-9]+)', 1)) AS linked FROM pages")
