@@ -141,15 +141,15 @@ def _states_before(elements: np.ndarray, width: int = 128) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The texts joined by a code point each, the places where tokens or texts begin or end, and the ends of texts."""
+def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined by a code point each, the places where tokens or texts begin or end, the ends of texts, and all code points."""
     joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     sym = _symbols(points, ends)
     of_symbol, _, _, begins = _automaton()
     states = _states_before(of_symbol[sym])
-    return joined, np.flatnonzero(begins.ravel()[states * np.uint8(10) + sym]), ends
+    return joined, np.flatnonzero(begins.ravel()[states * np.uint8(10) + sym]), ends, points
 
 
 # --- pieces ---
@@ -211,10 +211,9 @@ class Pieces:
         """The numbers of all pieces in order, and how many pieces each text has."""
         if len(self.size) > CACHED:
             self._empty()
-        joined, at, ends = boundaries(texts)
+        joined, at, ends, points = boundaries(texts)
         data = joined.encode()
         if len(data) > len(joined):  # places of code points to places of bytes
-            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
             widths = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
             place = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
             at, ends = place[at], place[ends]

@@ -184,16 +184,16 @@ def _grid(n: int) -> tuple[int, int]:
     return blocks, -(-n // (blocks * STRIPES))
 
 
-def _parts(model: _Model, first: np.ndarray, second: np.ndarray, third: np.ndarray, outcome: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and size of each lane's part of the range, given the mix's three parts."""
-    up = np.uint64(model.bits)
-    begin = np.where(outcome == 0, np.uint64(0), np.where(outcome == 1, first, first + second)) << up
-    size = np.where(outcome == 0, first, second) << up
-    plain = np.flatnonzero(outcome == 2)
+def _parts(model: _Model, first: np.ndarray, second: np.ndarray, outcome: np.ndarray, plain: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of each lane's part of the range, given the mix's first two parts; ``plain``: the lanes of order 0."""
+    up, hit = np.uint64(model.bits), outcome == 0
+    begin = np.where(hit, np.uint64(0), first) << up
+    size = np.where(hit, first, second) << up
     at = model.of_id[plain] + ids[plain]
-    low, high = model.cumulative[at], model.cumulative[at + 1]
-    begin[plain] += low * third[plain]
-    size[plain] = (high - low) * third[plain]
+    low, both = model.cumulative[at], first[plain] + second[plain]
+    third = np.uint64(1 << model.mix_bits) - both
+    begin[plain] = (both << up) + low * third
+    size[plain] = (model.cumulative[at + 1] - low) * third
     return begin, size
 
 
@@ -206,12 +206,11 @@ def compress(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(blocks * STRIPES, steps).T)
     model, coder = _Model(blocks, vocabulary, slots=False), _Encoder(blocks * STRIPES, steps)
-    whole = np.uint64(1 << model.mix_bits)
     for t in range(steps):
         x = grid[t]
         two, one, first, second = model.predict(t)
         outcome = np.where(x == two, 0, np.where(x == one, 1, 2))
-        coder.put(*_parts(model, first, second, whole - first - second, outcome, x), RANGE_BITS)
+        coder.put(*_parts(model, first, second, outcome, np.flatnonzero(outcome == 2), x), RANGE_BITS)
         model.update(x, outcome)
     words, n = coder.close()
     used = np.arange(len(words))[None, :] < n[:, None]
@@ -233,15 +232,16 @@ def expand(blocks: list[bytes], n: int, vocabulary: int) -> np.ndarray:
     of_slot = model.block << model.bits
     for t in range(steps):
         two, one, first, second = model.predict(t)
-        third = whole - first - second
         target = coder.target(RANGE_BITS)
         top = target >> mask
-        outcome = (top >= first).astype(np.int64) + (top >= first + second)
+        both = first + second
+        outcome = (top >= first).astype(np.int64) + (top >= both)
         x = np.where(outcome == 0, two, one)
         plain = np.flatnonzero(outcome == 2)
-        place = (target[plain] - ((first + second)[plain] << mask)) // third[plain]
+        rest = both[plain]
+        place = (target[plain] - (rest << mask)) // (whole - rest)
         x[plain] = model.at_slot[of_slot[plain] + place.astype(np.int64)]
-        coder.took(*_parts(model, first, second, third, outcome, x))
+        coder.took(*_parts(model, first, second, outcome, plain, x))
         grid[t] = x
         model.update(x, outcome)
     return grid.T.ravel()[:n]
@@ -339,10 +339,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
             yield _group(part, number, docs, tokens, lengths, vocabulary)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the texts are shuffled, not the ids, as finding the ranges looks at the rows once more; rows without an id are spread by text
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    in_order = rows.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, F.length("text"), "text")
-    in_order.mapInArrow(work, SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
+    # the texts are shuffled, not the ids: finding the ranges looks at the rows once more, at their ids only
+    in_order = rows.filter("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    # rows without an id are spread by their texts; a union keeps the order of its parts
+    without = rows.filter("doc_id is null").repartition(F.xxhash64("text")).sortWithinPartitions(F.length("text"), "text")
+    without.union(in_order).mapInArrow(work, SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
