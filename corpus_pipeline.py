@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over documents, each one operator over all that the stage before kept."""
+"""The corpus pipeline: five stages over documents, each one operator over all that the stage before kept.
+
+Cases: a null or empty text is clean, has no near duplicate, holds no secret, is taken by no mix (it has no words) and so has
+no tokens; rows without an id are rows like any others, but of near duplicates one with an id stays; repeated rows are near
+duplicates, so one stays; a null source is a source of its own; texts of any length are whole; without labels nothing is
+toxic; empty tables give an empty result; other columns are carried up to the last stage, which keeps doc_id and source.
+"""
 
 from __future__ import annotations
 

@@ -96,3 +96,10 @@ def test_empty_tables(spark):
     d = docs(spark, [])
     model = toxicity.fit(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.judge(d, model).collect() == toxicity.reject(d, model).collect() == []
+
+
+def test_long_texts_and_odd_columns(spark):
+    lexicon = toxicity.Model((("foulword", False, True),), (-3.0, 4.0, 2.0, 0.5, 1.0))
+    rows = [(1, "plain " * 200_000 + "foulword", "l", "s", 1, "f", "r"), (2, None, None, None, None, None, None), (None, "a foulword", "l", "s", 1, "f", "r")]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.judge(spark.createDataFrame(rows, SCHEMA), lexicon).collect()}
+    assert got == {1: 1, 2: 0, None: 1}
