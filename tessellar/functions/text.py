@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -244,3 +244,8 @@ def snippet(c: Column, terms: Column, width: int = 120, mark: tuple[str, str] =
     at = F.regexp_instr(blank(c), pattern)
     part = F.substring(blank(c), F.greatest(at, F.lit(1)), F.lit(width))
     return F.when(F.size(terms) > 0, F.regexp_replace(part, pattern, F.lit(mark[0] + "$1" + mark[1]))).otherwise(part)
+
+
+def long_enough(steps: Column, least: int, is_title: Callable[[Column], Column] | None = None) -> Column:
+    """The steps of an array of ``least`` characters, and titles of any length."""
+    return F.filter(steps, lambda s: (F.length(s) >= least) | (is_title(s) if is_title else F.lit(False)))

@@ -109,3 +109,10 @@ def similarity_hits(df: DataFrame, sim: str, least: float) -> DataFrame:
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1.0))
+
+
+def closest(sims: DataFrame, key: str, other: str, sim: str, k: int = 3) -> DataFrame:
+    """Per key the greatest similarity (0 at least), what it is to, and the first k by similarity, ties to the smaller."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col(sim)).alias("o"), F.col(other).alias("x")))), 1, k)
+    best = F.max_by(other, F.struct(F.col(sim), -F.col(other)))
+    return sims.groupBy(key).agg(F.greatest(F.max(sim), F.lit(0.0)).alias(sim), best.alias("best"), F.transform(first, lambda p: p["x"]).alias("first"))

@@ -521,3 +521,29 @@ def article_check(spark, d):
 def hits_with_texts(spark, d):
     hits = _knn(spark, d, 5).select("query", F.col("vec_id").alias("doc_id"), "rank")
     return retrieval.with_texts(hits, _t(spark, d, "documents"), columns=("lang",)).select("query", "doc_id", "lang", "rank")
+
+
+@query("""WITH s AS (SELECT a.vec_id AS query, b.vec_id, round(list_inner_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS n FROM s) SELECT query, max(sim) AS sim, max(CASE WHEN n = 1 THEN vec_id END) AS best, string_agg(vec_id, ' ' ORDER BY n) AS first FROM r WHERE n <= 3 GROUP BY 1""")
+def closest_vectors(spark, d):
+    c = metrics.closest(_knn(spark, d, 5), "query", "vec_id", "sim")
+    return c.select("query", "sim", "best", F.array_join(F.transform("first", lambda x: x.cast("string")), " ").alias("first"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_filter(string_split(coalesce(text, ''), '. '), lambda s: length(s) >= 40 OR starts_with(s, 'Th')), '|') AS steps FROM conversations""")
+def long_steps(spark, d):
+    kept = T.long_enough(F.split(T.blank(F.col("text")), r"\. "), 40, lambda s: F.startswith(s, F.lit("Th")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(kept, "|").alias("steps"))
+
+
+@query("SELECT round(avg(CASE WHEN NOT isnan(l_quantity) THEN l_quantity END), 4) AS l_quantity_mean, round(avg(CASE WHEN l_linenumber % 3 > 0 THEN l_discount END), 4) AS holed_mean, round(avg(l_tax), 4) AS l_tax_mean FROM lineitem")
+def metric_means(spark, d):
+    rows = _t(spark, d, "lineitem").withColumn("holed", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount")).otherwise(float("nan")))
+    m = reports.averages(rows, ["l_quantity", "holed", "l_tax"])
+    return m.select(*[F.round(c, 4).alias(c) for c in m.columns])
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END), ''), nullif(trim(source), ''), substr(text, 1, 50)) AS picked FROM documents")
+def first_section(spark, d):
+    methods = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("lang"))
+    return _t(spark, d, "documents").select("doc_id", T.first_filled(methods, F.col("source"), F.left("text", F.lit(50))).alias("picked"))
