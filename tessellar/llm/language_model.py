@@ -116,6 +116,20 @@ def _letters(mail: pa.Table, kind: str) -> list[tuple[int, bytes]]:
     return sorted((s, d.as_py()) for k, s, d in rows if k == kind)
 
 
+class _Dealt:
+    """Places dealt to receivers: those of each, in order, found without a look at the others."""
+
+    def __init__(self, of: np.ndarray, receivers: int):
+        self.order = np.argsort(of, kind="stable")
+        self.edges = np.searchsorted(of[self.order], np.arange(receivers + 1))
+
+    def __getitem__(self, receiver: int) -> np.ndarray:
+        return self.order[self.edges[receiver] : self.edges[receiver + 1]]
+
+    def filled(self) -> np.ndarray:
+        return np.flatnonzero(np.diff(self.edges))
+
+
 # --- chunks of texts ---
 
 
@@ -177,8 +191,8 @@ def _numbered(chunks: DataFrame, owners: int) -> tuple[DataFrame, int, int]:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, _, held, lengths, words, code = _open_chunk(data.as_py())
                 times = np.bincount(code[~np.repeat(held, lengths)], minlength=len(words))
-                of = (words % np.uint64(owners)).astype(np.int64)
-                rows = [("words", chunk, o, _packed(words[of == o], times[of == o])) for o in range(owners) if (of == o).any()]
+                to = _Dealt((words % np.uint64(owners)).astype(np.int64), owners)
+                rows = [("words", chunk, int(o), _packed(words[to[o]], times[to[o]])) for o in to.filled()]
                 yield from _mail(rows).to_batches()
 
     def answer(mail: pa.Table) -> pa.Table:
@@ -220,9 +234,9 @@ class _Pairs:
     def __init__(self, data: bytes, mail: pa.Table, owners: int, buckets: int, hot: int):
         self.ids, self.has, self.held, self.lengths, words, code = _open_chunk(data)
         number, self.times = np.empty(len(words), np.uint32), np.empty(len(words), np.int64)
-        of = (words % np.uint64(owners)).astype(np.int64)
+        of = _Dealt((words % np.uint64(owners)).astype(np.int64), owners)
         for owner, answer in _letters(mail, "numbers"):
-            number[of == owner], self.times[of == owner] = _unpacked(answer, np.uint32, np.int64)
+            number[of[owner]], self.times[of[owner]] = _unpacked(answer, np.uint32, np.int64)
         self.code, word = code, number[code]
         context = np.concatenate([word[:1], word[:-1]])
         ends = np.cumsum(self.lengths, dtype=np.int64)
@@ -234,21 +248,20 @@ class _Pairs:
         self.hot = (first == START) | (self.times[order[at]] >= hot)
         spread = np.where(self.hot, mixed(self.keys), mixed(first.astype(np.uint64)))
         bucket = (spread % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")  # keys ascend in each bucket
-        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.of_bucket = _Dealt(bucket, buckets)  # keys ascend in each bucket
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         training = ~np.repeat(self.held, self.lengths)
         times = np.bincount(self.place[training], minlength=len(self.keys))
-        for b in np.flatnonzero(np.diff(self.edges)):
-            at = self.order[self.edges[b] : self.edges[b + 1]]
+        for b in self.of_bucket.filled():
+            at = self.of_bucket[b]
             yield int(b), _packed_pairs(self.keys[at], self.hot[at], times[at])
 
     def scores(self, mail: pa.Table) -> np.ndarray:
         """The log10 probability of each token."""
         p = np.empty(len(self.keys), np.float32)
         for b, answer in _letters(mail, "scores"):
-            p[self.order[self.edges[b] : self.edges[b + 1]]] = _unpacked(answer, np.float32)[0]
+            p[self.of_bucket[b]] = _unpacked(answer, np.float32)[0]
         return p[self.place].astype(np.float64)
 
 
@@ -298,6 +311,7 @@ class _Bucket:
         is_hot[place[np.concatenate(hot)]] = True
         self.hot = np.flatnonzero(is_hot[first])  # restaurants
         self.words, self.word = np.unique((self.keys & np.uint64(START)).astype(np.int64), return_inverse=True)
+        self.words_of, self.hot_of = _Dealt(self.words % owners, owners), _Dealt(self.contexts[self.hot] % owners, owners)
         self.customers = np.bincount(self.restaurant, self.count, len(first))
         self.trained = np.flatnonzero(self.count)
 
@@ -306,11 +320,9 @@ class _Bucket:
         of_word = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
         of_context = np.bincount(self.restaurant, tables, len(self.contexts)).astype(np.int64)
         rows = []
-        for o in range(self.owners):
-            w = self.words % self.owners == o
-            c = self.hot[self.contexts[self.hot] % self.owners == o]
-            if w.any() or len(c):
-                rows.append(("tables", self.number, o, _packed(self.words[w], of_word[w], self.contexts[c], self.customers[c].astype(np.int64), of_context[c])))
+        for o in np.union1d(self.words_of.filled(), self.hot_of.filled()):
+            w, c = self.words_of[o], self.hot[self.hot_of[o]]
+            rows.append(("tables", self.number, int(o), _packed(self.words[w], of_word[w], self.contexts[c], self.customers[c].astype(np.int64), of_context[c])))
         return rows
 
     def read(self, mail: pa.Table, kind: str, parent: _Parent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,8 +330,8 @@ class _Bucket:
         p, customers, tables = np.empty(len(self.words)), np.zeros(len(self.contexts)), np.zeros(len(self.contexts))
         for o, data in _letters(mail, kind):
             c, t, of_hot, in_hot = _unpacked(data, np.int64, np.int64, np.int64, np.int64)
-            p[self.words % self.owners == o] = parent.probability(c, t)
-            at = self.hot[self.contexts[self.hot] % self.owners == o]
+            p[self.words_of[o]] = parent.probability(c, t)
+            at = self.hot[self.hot_of[o]]
             customers[at], tables[at] = of_hot, in_hot
         return p, customers, tables
 
