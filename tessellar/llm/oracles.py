@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from . import secrets
+#: kind, pattern, group that is measured, least length: written out here, so that the operator's own rules are checked.
+#: Runs of hex digits are sought with their least length, as SQL lists all matches.
+KINDS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", 0, 1),
+]
 
 
 def secret_scan() -> str:
     """Spans by splitting: the pieces between matches and the matches themselves give the offsets."""
     columns, tagged = [], []
-    for i, r in enumerate(secrets.RULES):
-        p = r.pattern.replace("'", "''")
-        columns.append(f"regexp_split_to_array(t, '{p}') AS p{i}, regexp_extract_all(t, '{p}', 0) AS h{i}, regexp_extract_all(t, '{p}', {r.group}) AS g{i}")
+    for i, (_, pattern, group, least) in enumerate(KINDS):
+        p = pattern.replace("'", "''")
+        columns.append(f"regexp_split_to_array(t, '{p}') AS p{i}, regexp_extract_all(t, '{p}', 0) AS h{i}, regexp_extract_all(t, '{p}', {group}) AS g{i}")
         start = f"(list_sum(list_transform(p{i}[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(h{i}[1:n - 1], lambda x: length(x))), 0))"
-        spans = f"list_transform(list_filter(range(1, len(h{i}) + 1), lambda n: length(g{i}[n]) >= {r.least}), lambda n: {{'s': CAST({start} AS BIGINT), 'k': {i}, 'e': CAST({start} + length(h{i}[n]) AS BIGINT)}})"
+        spans = f"list_transform(list_filter(range(1, len(h{i}) + 1), lambda n: length(g{i}[n]) > {least - 1}), lambda n: {{'s': CAST({start} AS BIGINT), 'k': {i}, 'e': CAST({start} + length(h{i}[n]) AS BIGINT)}})"
         tagged.append(f"CASE WHEN len(h{i}) > 0 THEN {spans} ELSE [] END AS s{i}")
-    kinds = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+    kinds = "[" + ", ".join(f"'{kind}'" for kind, *_ in KINDS) + "]"
     joined = lambda parts: f"array_to_string(list_transform(list_sort(flatten([{', '.join(parts)}])), lambda x: concat({kinds}[x.k + 1], ':', x.s, ':', x.e)), ',')"
-    names = [f"s{i}" for i in range(len(secrets.RULES))]
+    names = [f"s{i}" for i in range(len(KINDS))]
     counts = ", ".join(f"CAST(len(s{i}) AS BIGINT) AS n_{k}" for i, k in enumerate(("assign", "access", "hex")))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(columns)} FROM d), s AS (SELECT doc_id, {', '.join(tagged)} FROM m)
     SELECT doc_id, {counts}, sha256({joined(names[:3])}) AS base_sha256, {joined(names)} AS spans FROM s"""
