@@ -59,10 +59,10 @@ def prompt(template: str, columns: dict[str, Column], cut: int = 8000) -> Column
     return F.concat(*[F.left(F.coalesce(columns[p].cast("string"), F.lit("")), F.lit(cut)) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
-#: Prompts of the query and record generators; parameters of ``prompt``.
-QUERIES_PROMPT = "METHODS:\n{methods}\nReturn {n} queries:"
-SUMMARY_PROMPT = "Write a concise hypothetical protocol paragraph (5-7 sentences) from METHODS:\n{methods}"
-RECORD_PROMPT = "EVIDENCE:\n{evidence}\n\nMETHODS:\n{methods}\nReturn JSON:"
+#: Prompts for queries, for a made-up answer to search with, and for records; parameters of ``prompt``.
+QUERIES_PROMPT = "Give {n} search queries, one a line, for these methods:\n{methods}"
+SUMMARY_PROMPT = "Describe in a few sentences how this could be done step by step:\n{methods}"
+RECORD_PROMPT = "Answer with JSON only. From the evidence below, list the steps of these methods.\n{methods}\n\n{evidence}"
 
 
 def reranked_if_many(pairs: DataFrame, group: str, order: list[Column], k: int, least: int = 3) -> DataFrame:

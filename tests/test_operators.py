@@ -123,7 +123,7 @@ def test_prompts_options_and_small_groups(spark):
     from tessellar.operators import external
 
     df = spark.createDataFrame([("abcdef", 2)], "m string, n int")
-    assert df.select(external.prompt(external.QUERIES_PROMPT, {"methods": F.col("m"), "n": F.col("n")}, cut=3)).first()[0] == "METHODS:\nabc\nReturn 2 queries:"
+    assert df.select(external.prompt(external.QUERIES_PROMPT, {"methods": F.col("m"), "n": F.col("n")}, cut=3)).first()[0] == "Give 2 search queries, one a line, for these methods:\nabc"
     rows = [(1, i, float(i)) for i in range(3)] + [(2, i, float(i)) for i in range(5)]
     p = spark.createDataFrame(rows, "q long, doc long, ce_score double")
     got = external.reranked_if_many(p, "q", [F.col("doc")], 9).orderBy("q", "rank").collect()
