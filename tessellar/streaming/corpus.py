@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import retrieval
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -15,3 +18,17 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour
 def first_seen(docs: DataFrame, key: str) -> DataFrame:
     """Each id once; on a stream the seen ids are its state."""
     return docs.dropDuplicates([key])
+
+
+def read_stream(spark: SparkSession, path: str, schema: str, arrays: bool = False, files: int = 100) -> DataFrame:
+    """Records of JSON files as they come, lines or arrays, ``files`` of them a batch."""
+    return spark.readStream.schema(schema).option("multiLine", arrays).option("maxFilesPerTrigger", files).json(path)
+
+
+def grow_index(docs: DataFrame, path: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
+    """Postings of a stream's documents, batch by batch; a batch that runs again replaces its own postings."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        retrieval.postings(batch, None, key, text).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -171,3 +171,16 @@ def test_stream_counts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["id"] for r in spark.table("seen").collect()) == [1, 2]
+
+
+def test_index_grows_with_a_stream(spark, tmp_path):
+    from tessellar.streaming import corpus
+
+    source, index, marks = (str(tmp_path / x) for x in ("in", "index", "marks"))
+    for rows in ([(1, "red fox"), (2, "red red")], [(3, "fox")]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").json(source)
+        corpus.grow_index(corpus.read_stream(spark, source, "doc_id long, text string"), index, marks).awaitTermination(60)
+    got = spark.read.parquet(index)
+    assert sorted((r["term"], r["doc_id"], r["tf"], r["batch"]) for r in got.collect()) == [("fox", 1, 1, 0), ("fox", 3, 1, 1), ("red", 1, 1, 0), ("red", 2, 2, 0)]
+    asked = spark.createDataFrame([(7, "red")], "query long, term string")
+    assert sorted(r["doc_id"] for r in retrieval.match_all(got, asked).collect()) == [1, 2]
