@@ -8,7 +8,7 @@ from pyspark.sql import types as st
 from ..functions import lexicon
 from ..functions import text as T
 from ..operators import articles, documents, linkage, metrics, protocols, reports, retrieval, selection
-from .queries import TOKENS, _knn, _list, _t, query
+from .queries import TOKENS, _knn, _list, _t, kahn, query
 
 # --- protocol steps: a part is a step, ten parts a protocol ---
 
@@ -74,7 +74,7 @@ def _steps(spark, d):
 
 
 _PREP, _ANA = _list(lexicon.PREPARING), _list(lexicon.ANALYSING)
-_STEPS = f"""{_SENTENCES}, {_RECORDS}, stp AS (SELECT protocol, idx, action, regexp_extract(m, '^(\\S+ \\S+)', 1) AS mat, pos % 10 - 3 AS dep, value, tm, temp, rpm, CASE WHEN list_contains({_PREP}, action) THEN 0 WHEN list_contains({_ANA}, action) THEN 2 ELSE 1 END AS cat FROM (SELECT *, CASE WHEN action = 'step' THEN substr(material, 11) ELSE material END AS m FROM ir)),
+_STEPS = f"""{_SENTENCES}, {_RECORDS}, stp AS (SELECT protocol, idx, action, regexp_extract(m, '^(\\S+ \\S+)', 1) AS mat, pos % 10 - 3 AS dep, value, unit, tm, temp, rpm, CASE WHEN list_contains({_PREP}, action) THEN 0 WHEN list_contains({_ANA}, action) THEN 2 ELSE 1 END AS cat FROM (SELECT *, CASE WHEN action = 'step' THEN substr(material, 11) ELSE material END AS m FROM ir)),
 edg AS (SELECT protocol, dep AS u, idx AS v FROM stp JOIN (SELECT protocol, max(idx) AS last FROM stp GROUP BY 1) USING (protocol) WHERE dep BETWEEN 0 AND last AND dep <> idx
 UNION SELECT a.protocol, a.idx, b.idx FROM stp a JOIN stp b ON a.protocol = b.protocol AND a.mat = b.mat AND a.idx <> b.idx WHERE a.mat <> '' AND (a.cat = 0)
 UNION SELECT a.protocol, a.idx, b.idx FROM stp a JOIN stp b ON a.protocol = b.protocol AND a.idx < b.idx AND a.cat < b.cat)"""
@@ -92,14 +92,24 @@ def plan_statistics(spark, d):
     return protocols.statistics(s, s, protocols.dependencies(s, "protocol"), "protocol")
 
 
-@query()
+_ORDER = f"""{_STEPS}, kx AS (SELECT protocol AS key, idx FROM stp), ke AS (SELECT protocol AS key, u, v FROM edg), {kahn('kx', 'ke')}"""
+
+
+@query(f"""WITH RECURSIVE {_ORDER}, x AS (SELECT protocol, s.idx, pos, cat, upper(action[1]) || substr(action, 2) AS cap, action, mat, value, unit, tm, temp, rpm FROM stp s JOIN kp ON kp.key = s.protocol AND kp.idx = s.idx),
+r AS (SELECT protocol, cat, CAST(NULL AS VARCHAR) AS title, idx, pos, regexp_replace(concat_ws(' ', CASE action WHEN 'prewarm' THEN 'Pre-warm' WHEN 'step' THEN 'Do' ELSE cap END, mat, CAST(value AS VARCHAR) || ' ' || unit,
+CASE WHEN concat_ws(', ', rpm || ' rpm', temp, tm) = '' THEN NULL WHEN list_contains({_TIMED}, action) THEN CASE WHEN tm IS NOT NULL THEN 'for ' ELSE '' END || concat_ws(', ', rpm || ' rpm', temp, tm) ELSE '(' || concat_ws(', ', rpm || ' rpm', temp, tm) || ')' END), '\.+$', '') || '.' AS text FROM x),
+ev AS (SELECT DISTINCT p_partkey // 10 * 2 AS protocol FROM part), h AS (SELECT DISTINCT protocol, cat FROM r UNION SELECT protocol, 1 FROM r UNION SELECT protocol, unnest([0, 1, 2]) FROM ev WHERE protocol NOT IN (SELECT protocol FROM r)),
+a AS (SELECT protocol, cat, title, idx, pos, text FROM r UNION ALL SELECT protocol, cat, {_list(lexicon.PLAN_TITLES)}[cat + 1], CAST(NULL AS BIGINT), -1, CAST(NULL AS VARCHAR) FROM h),
+n AS (SELECT *, count(title) OVER (PARTITION BY protocol ORDER BY cat, pos) AS section FROM a)
+SELECT protocol, concat_ws('.', section, CASE WHEN title IS NULL THEN CAST(row_number() OVER (PARTITION BY protocol, section ORDER BY pos) - 1 AS VARCHAR) END) AS sid, title, text, coalesce(idx, -1) AS idx FROM n""")
 def plan_rows(spark, d):
     s = _steps(spark, d)
     every = _t(spark, d, "part").select((F.floor(F.col("p_partkey") / 10) * 2).alias("protocol"))
-    return protocols.plan(s, protocols.ordered(s, protocols.dependencies(s, "protocol"), "protocol"), every, "protocol")
+    rows = protocols.plan(s, protocols.ordered(s, protocols.dependencies(s, "protocol"), "protocol"), every, "protocol")
+    return rows.withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_ORDER} SELECT protocol, 'n' || (a.pos + 1) AS u, 'n' || (b.pos + 1) AS v FROM edg JOIN kp a ON a.key = protocol AND a.idx = u JOIN kp b ON b.key = protocol AND b.idx = v")
 def relabelled_edges(spark, d):
     s = _steps(spark, d)
     e = protocols.dependencies(s, "protocol")

@@ -332,7 +332,12 @@ def multi_query_dedup(spark, d):
     return retrieval.across_queries(_lexical(spark, d)).select("query", "doc_id", "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KNN}, v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), c AS (SELECT query, vec_id, sim, rank, e FROM sem JOIN v USING (vec_id)),
+m AS (SELECT a.query, a.rank, a.sim, list(list_inner_product(a.e, b.e) ORDER BY b.rank) AS near FROM c a JOIN c b ON a.query = b.query GROUP BY 1, 2, 3),
+l AS (SELECT query, list({{'r': rank, 's': sim, 'near': near}} ORDER BY rank) AS rows FROM m GROUP BY 1),
+p AS (SELECT query, rows, CAST([] AS BIGINT[]) AS picked FROM l UNION ALL
+SELECT query, rows, list_append(picked, list_sort(list_transform(list_filter(rows, lambda x: NOT list_contains(picked, x.r)), lambda x: {{'o': -round(0.5 * x.s - 0.5 * coalesce(list_max(list_transform(picked, lambda k: x.near[k])), 0), 9), 'r': x.r}}))[1].r) FROM p WHERE len(picked) < 5)
+SELECT p.query, c.vec_id, CAST(list_position(picked, c.rank) AS INTEGER) AS pos FROM p JOIN c ON c.query = p.query AND list_contains(picked, c.rank) WHERE len(picked) = 5""")
 def mmr_select(spark, d):
     return retrieval.diversify(_knn(spark, d).join(_t(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id"), 5)
 
@@ -364,14 +369,24 @@ def _step_pairs(spark, d):
     return side("assistant", "i").join(side("user", "j"), "key").select("key", "i", "j", F.round(T.jaccard(F.col("ti"), F.col("tj")), 6).alias("sim"))
 
 
-@query()
+#: Pairs in order of similarity, then each taken if both ends are free, one after the other.
+_PAIRS = f"""st AS (SELECT conv_id AS key, turn, role, list_distinct({TOKENS}) AS t FROM conversations),
+sp AS (SELECT a.key, a.turn AS i, b.turn AS j, round(len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(list_concat(a.t, b.t)))), 6) AS sim FROM st a JOIN st b ON a.key = b.key AND a.role = 'assistant' AND b.role = 'user'),
+op AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sim DESC, i, j) AS n FROM sp WHERE sim >= 0.02),
+g AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ui, CAST([] AS BIGINT[]) AS uj FROM op UNION ALL
+SELECT g.key, op.n, CASE WHEN list_contains(ui, i) OR list_contains(uj, j) THEN ui ELSE list_append(ui, i) END, CASE WHEN list_contains(ui, i) OR list_contains(uj, j) THEN uj ELSE list_append(uj, j) END FROM g JOIN op ON op.key = g.key AND op.n = g.n + 1),
+gm AS (SELECT op.key, i, j, sim FROM g JOIN op ON op.key = g.key AND op.n = g.n + 1 WHERE NOT list_contains(ui, i) AND NOT list_contains(uj, j))"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS} SELECT key, i, j, sim FROM gm")
 def greedy_step_match(spark, d):
     return metrics.greedy_match(_step_pairs(spark, d), 0.02)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, b AS (SELECT x.key, avg(CASE WHEN x.i < y.i THEN 1.0 ELSE 0.0 END) AS o FROM gm x JOIN gm y ON x.key = y.key AND x.j < y.j GROUP BY 1)
+SELECT key, round(coalesce(o, 1.0), 6) AS "order" FROM (SELECT DISTINCT key FROM gm) LEFT JOIN b USING (key)""")
 def order_score(spark, d):
-    return metrics.order_agreement(metrics.greedy_match(_step_pairs(spark, d), 0.02))
+    return metrics.order_agreement(metrics.greedy_match(_step_pairs(spark, d), 0.02)).select("key", F.round("order", 6).alias("order"))
 
 
 @query("""SELECT DISTINCT a.conv_id AS key, a.turn AS u, b.turn AS v FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn
@@ -385,7 +400,20 @@ def _nodes(spark, d):
     return _t(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("idx"), cat.alias("cat"))
 
 
-@query()
+def kahn(nodes: str, edges: str) -> str:
+    """SQL of the order in which nodes (key, idx) come out of a first-in, first-out queue over edges (key, u, v): kp (key, idx, pos)."""
+    return f"""kn AS (SELECT key, list({{'v': idx, 'ps': coalesce(ps, CAST([] AS BIGINT[]))}} ORDER BY idx) AS nodes FROM (SELECT DISTINCT key, CAST(idx AS BIGINT) AS idx FROM {nodes}) LEFT JOIN (SELECT key, CAST(v AS BIGINT) AS idx, list(DISTINCT CAST(u AS BIGINT)) AS ps FROM {edges} GROUP BY 1, 2) USING (key, idx) GROUP BY key),
+ks AS (SELECT key, nodes, list_transform(list_filter(nodes, lambda x: len(x.ps) = 0), lambda x: x.v) AS queue, CAST([] AS BIGINT[]) AS done FROM kn UNION ALL
+SELECT key, nodes, list_concat(queue[2:], list_transform(list_filter(nodes, lambda x: list_contains(x.ps, queue[1]) AND len(list_filter(x.ps, lambda y: NOT list_contains(list_append(done, queue[1]), y))) = 0), lambda x: x.v)), list_append(done, queue[1]) FROM ks WHERE len(queue) > 0),
+ko AS (SELECT key, list_concat(done, list_filter(list_transform(nodes, lambda x: x.v), lambda v: NOT list_contains(done, v))) AS o FROM ks WHERE len(queue) = 0),
+kp AS (SELECT key, unnest(o) AS idx, CAST(unnest(range(len(o))) AS BIGINT) AS pos FROM ko)"""
+
+
+_EDGES = """nd AS (SELECT conv_id AS key, turn AS idx, list_position(['system', 'user', 'assistant'], role) AS cat FROM conversations),
+eg AS (SELECT DISTINCT a.key, a.idx AS u, b.idx AS v FROM nd a JOIN nd b ON a.key = b.key AND a.idx < b.idx AND a.cat < b.cat)"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {kahn('nd', 'eg')} SELECT key, idx, pos FROM kp")
 def topo_order(spark, d):
     n = _nodes(spark, d)
     return graph.topological_order(n, graph.category_edges(n))
@@ -461,7 +489,14 @@ def title_jaccard(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.round(T.jaccard(T.token_set(F.col("p_name")), T.token_set(F.col("p_type"))), 6).alias("sim"))
 
 
-@query()
+_OF_WORDS = lambda side: f"list_intersect(list_distinct({TOKENS.replace('text', side)}), ['the', 'and', 'of', 'to', 'in'])"
+_JACCARD = lambda a, b: f"len(list_intersect({a}, {b})) / greatest(1, len(list_distinct(list_concat({a}, {b}))))"
+_PAIR_SIDES = ", ".join(f"{n} AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS {n} FROM conversations WHERE role = '{role}' GROUP BY 1)" for n, role in (("a", "user"), ("b", "assistant")))
+
+
+@query(f"""WITH {_PAIR_SIDES}, p AS (SELECT conv_id, a, b, list_distinct({TOKENS.replace('text', 'a')}) AS ta, list_distinct({TOKENS.replace('text', 'b')}) AS tb, {_OF_WORDS('a')} AS wa, {_OF_WORDS('b')} AS wb, list_distinct(regexp_extract_all(coalesce(b, ''), '(?i){lexicon.PARAM}', 0)) AS w FROM a JOIN b USING (conv_id)),
+s AS (SELECT conv_id, {_JACCARD('ta', 'tb')} AS title_sim, {_JACCARD('wa', 'wb')} AS o, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(lower(coalesce(a, '')), lower(x)))) / len(w) ELSE 0.0 END AS c FROM p)
+SELECT conv_id, title_sim, o AS action_overlap, o AS material_overlap, c AS param_coverage, CASE WHEN o < 0.15 AND c < 0.15 THEN 1 ELSE 0 END AS suspect FROM s""")
 def pair_consistency(spark, d):
     c = _t(spark, d, "conversations")
     side = lambda role, name: c.filter(F.col("role") == role).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias(name))
