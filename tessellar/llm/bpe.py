@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .common import trimmed
 from .hashing import mixed
 
 #: Code points of a chunk that is scanned at once, unless one text has more.
 CHUNK = 1 << 20
 #: Entries of a worker's cache of merged pieces; it is emptied when full, which changes no result.
-CACHED = 1_000_000
+CACHED = 400_000
 
 # --- symbols and states of the splitting automaton ---
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, SPACES, WHITE, WHITES, END = range(10)
@@ -173,8 +174,8 @@ class Pieces:
     such words, which are compared; others, and those of equal hash, as bytes. ``merge`` gives the ids of new pieces.
     """
 
-    def __init__(self, merge: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.merge = merge
+    def __init__(self, merge: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cached: int):
+        self.merge, self.cached = merge, cached
         self._empty()
 
     def _empty(self) -> None:
@@ -209,7 +210,7 @@ class Pieces:
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces in order, and how many pieces each text has."""
-        if len(self.size) > CACHED:
+        if len(self.size) > self.cached:
             self._empty()
         joined, at, ends, points = boundaries(texts)
         data = joined.encode()
@@ -285,7 +286,7 @@ class Vocabulary:
         pairs = [(x * self.size + y, rank) for token, rank in self.ranks.items() for cut in range(1, len(token)) if (x := get(token[:cut])) is not None and (y := get(token[cut:])) is not None]
         pairs.sort()
         self.pairs, self.merged = (np.array(v, np.int64) for v in zip(*pairs, strict=True)) if pairs else (np.full(1, -1), np.zeros(1, np.int64))
-        self.pieces = Pieces(self.merge)
+        self.pieces = Pieces(self.merge, CACHED)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that two tokens make; the vocabulary's size if none."""
@@ -425,10 +426,10 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), offs
         schema = StructType([*schema.fields]).add("decoded", "binary")
         decoder, encoder = _decoded(path, False, schema.names), work
         work = lambda batches: decoder(encoder(batches))
-    return docs.select(*[docs[c] for c in keep], docs["text"]).mapInArrow(work, schema)
+    return docs.select(*[docs[c] for c in keep], docs["text"]).mapInArrow(trimmed(work), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of ``encode`` with ``text``, invalid bytes replaced: offsets kept with the ids say where each token's bytes go."""
     schema = StructType([*encoded.schema.fields]).add("text", "string")
-    return encoded.mapInArrow(_decoded(path, True, schema.names), schema)
+    return encoded.mapInArrow(trimmed(_decoded(path, True, schema.names)), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, cut, small
+from .common import BROADCAST_ROWS, cut, small, trimmed
 from .hashing import mixed, shingles, word_hashes
 
 DEPTH, SHALLOW, CROWDED, BLOCK, NEIGHBOURS = 6, 4, 1024, 256, 3
@@ -125,7 +125,7 @@ def sketches(docs: DataFrame, shingle: int, forest: Forest) -> DataFrame:
                 sigs.append(((m >> np.uint64(16)) & np.uint64(0xFF)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (fps, labels, sigs))], names=["doc_id", "n_shingles", "fp", "labels", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, fp binary, labels binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(work), "doc_id long, n_shingles long, fp binary, labels binary, sig binary")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = F.broadcast(ids) if few else ids
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return wanted.mapInArrow(work, "id long, set binary")
+    return wanted.mapInArrow(trimmed(work), "id long, set binary")
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -291,7 +291,7 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(est[est >= least], pa.float64())], names=["a", "b", "est"])
 
     of = lambda c: sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long, est double")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(trimmed(work), "a long, b long, est double")
 
 
 def _confirmed(proposals: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -307,7 +307,7 @@ def _confirmed(proposals: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     of = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
-    return proposals.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return proposals.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(trimmed(work), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def _connected_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,13 +424,13 @@ def _linked_in_regions(docs: DataFrame, trees: DataFrame, sigs: DataFrame, comps
     in_order = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
     of = trees.withColumn("comp", F.col("id")) if comps is None else trees.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     rows = _adapted(of.select("tree", "label", "id", "comp")).join(sigs.withColumnRenamed("rep", "id"), "id")
-    rows = cut(in_order(rows.select("key", "blk", "id", "comp", "n", "sig")).mapInArrow(_involved(forest), REGION))
+    rows = cut(in_order(rows.select("key", "blk", "id", "comp", "n", "sig")).mapInArrow(trimmed(_involved(forest)), REGION))
     if rows.isEmpty():
         return comps
     large = cut(rows.groupBy("key").agg(F.sum(F.col("n") * 8).alias("size")).filter(F.col("size") > HELD_BYTES).select("key"))
     held = rows.join(large, "key", "left_anti")
     sets = _sets_of(docs, held.select("id"), shingle)
-    found = in_order(held.join(sets, "id").select("key", "blk", "id", "comp", "n", "sig", "set")).mapInArrow(_links(forest), "a long, b long")
+    found = in_order(held.join(sets, "id").select("key", "blk", "id", "comp", "n", "sig", "set")).mapInArrow(trimmed(_links(forest)), "a long, b long")
     linked = cut(_labelled(found.filter("a <> b").distinct(), comps))
     if not linked.isEmpty():
         comps = _merged(comps, linked)
@@ -450,7 +450,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
     trees = classes.select("rep", "labels", tree).select("tree", F.expr(f"substring(labels, tree * {LABEL} + 1, {LABEL})").alias("label"), F.col("rep").alias("id"))
     in_order = trees.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
-    found = in_order.mapInArrow(_neighbours, "a long, b long").filter("a <> b").distinct()
+    found = in_order.mapInArrow(trimmed(_neighbours), "a long, b long").filter("a <> b").distinct()
     pairs = cut(_estimated(found, classes.select("rep", "sig"), forest))
     comps = _judged_in_rounds(docs, pairs, None, shingle, percent)
     comps = _linked_in_regions(docs, trees, classes.select("rep", "n", "sig"), comps, shingle, forest)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import shared_folder
+from .common import shared_folder, trimmed
 
 STRIPES, STEPS = 512, 512
 #: Ids of a group, 8 blocks; a longer document is a group by itself.
@@ -45,6 +45,8 @@ LEVEL_BITS = 3
 LEVELS = 1 << LEVEL_BITS
 #: Bits into which the range is divided, at most the 32 that it always has; order 0 has these or more of them, the mixing the rest.
 RANGE_BITS, ORDER_0_BITS = 30, 18
+#: Entries of a worker's cache of encoded pieces.
+CACHED = 1_000_000
 _WORD = np.uint64(32)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -272,7 +274,7 @@ class _Tokenizer:
         split = self.library.pre_tokenizer
         plain = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and self.library.normalizer is None
         self.of_bytes = _byte_letters() if plain else None
-        self.pieces = bpe.Pieces(self._library_ids)
+        self.pieces = bpe.Pieces(self._library_ids, CACHED)
 
     def _library_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.of_bytes is not None:  # the pieces are what the library would split off, so they go to its model straight
@@ -343,7 +345,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
     in_order = rows.filter("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
     # rows without an id are spread by their texts; a union keeps the order of its parts
     without = rows.filter("doc_id is null").repartition(F.xxhash64("text")).sortWithinPartitions(F.length("text"), "text")
-    without.union(in_order).mapInArrow(work, SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
+    without.union(in_order).mapInArrow(trimmed(work), SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -372,7 +374,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     packed = pa.array([data[4 * a : 4 * b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.int64(), mask=~has[part]), pa.array(r["begins"] + starts[part], pa.int64()), packed], names=["doc_id", "start", "ids"])
 
-    return files.join(F.broadcast(begins) if begins.count() < 100_000 else begins, ["part", "group"]).mapInArrow(work, "doc_id long, start long, ids binary")
+    return files.join(F.broadcast(begins) if begins.count() < 100_000 else begins, ["part", "group"]).mapInArrow(trimmed(work), "doc_id long, start long, ids binary")
 
 
 def shared_path(spark: SparkSession) -> str:

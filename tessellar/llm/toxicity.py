@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, trimmed
 
 #: Labelled rows that learning looks at, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
@@ -274,7 +274,7 @@ def _misspelled(terms: DataFrame, entries: list[tuple[str, bool]]) -> list[tuple
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c[t] for t in found], pa.int64()) for c in (clean, toxic))], names=["term", "clean", "toxic"])
 
     words = terms.filter("term like '%$'").select("term", "clean_used", "toxic_used")
-    sums = words.mapInArrow(work, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean"), F.sum("toxic")).collect() if unsure else []  # an entry a row
+    sums = words.mapInArrow(trimmed(work), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean"), F.sum("toxic")).collect() if unsure else []  # an entry a row
     seen = {t: (a, b) for t, a, b in sums}
 
     def may(t: str, is_stem: bool) -> bool:
@@ -304,7 +304,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     n = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model((), (math.log(1 / 9), 0.0, 0.0, 0.0, 0.0))
-    counts = sample.mapInArrow(_term_counts, "term string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counts = sample.mapInArrow(trimmed(_term_counts), "term string, " + ", ".join(f"{c} long" for c in COUNTS))
     every = cut(counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS)))
     # words shorter than any term are counted for ``_misspelled`` only
     terms = every.filter(f"toxic >= 3 and length(replace(term, '$', '')) >= {STEM[0]}")
@@ -332,7 +332,7 @@ def _counted(docs: DataFrame, entries: list[tuple[str, bool, bool]], keep: tuple
             n = [hits(lexicon, t.as_py() or "") for t in batch.column(kept)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array([x[i] for x in n], pa.int32()) for i in range(3))], names=schema.names)
 
-    return docs.select(*[docs[c] for c in keep], docs["text"]).mapInArrow(work, schema)
+    return docs.select(*[docs[c] for c in keep], docs["text"]).mapInArrow(trimmed(work), schema)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, trimmed
 
 #: Vectors of a block and queries of a pack: what a task holds at once.
 BLOCK_ROWS = 8192
@@ -70,7 +70,7 @@ def matched(pairs: DataFrame, best: Callable, score_type: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64() if score_type == "double" else pa.int64())], names=["query_id", "vec_id", "score"])
 
     names = [c for c in ("block_ids", "block_v", "pack_ids", "pack_v", "pack_least") if c in pairs.columns]
-    return pairs.select(*names).mapInArrow(work, f"query_id long, vec_id long, score {score_type}")
+    return pairs.select(*names).mapInArrow(trimmed(work), f"query_id long, vec_id long, score {score_type}")
 
 
 def against_all(rows: DataFrame, queries: DataFrame, k: int, best: Callable, score_type: str) -> DataFrame:
