@@ -1 +1,5 @@
 """Spark-first document analytics: plans."""
+
+from . import protocol_queries, queries  # both register their queries
+
+__all__ = ["protocol_queries", "queries"]

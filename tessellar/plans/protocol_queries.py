@@ -97,7 +97,7 @@ _ORDER = f"""{_STEPS}, kx AS (SELECT protocol AS key, idx FROM stp), ke AS (SELE
 
 @query(f"""WITH RECURSIVE {_ORDER}, x AS (SELECT protocol, s.idx, pos, cat, upper(action[1]) || substr(action, 2) AS cap, action, mat, value, unit, tm, temp, rpm FROM stp s JOIN kp ON kp.key = s.protocol AND kp.idx = s.idx),
 r AS (SELECT protocol, cat, CAST(NULL AS VARCHAR) AS title, idx, pos, regexp_replace(concat_ws(' ', CASE action WHEN 'prewarm' THEN 'Pre-warm' WHEN 'step' THEN 'Do' ELSE cap END, mat, CAST(value AS VARCHAR) || ' ' || unit,
-CASE WHEN concat_ws(', ', rpm || ' rpm', temp, tm) = '' THEN NULL WHEN list_contains({_TIMED}, action) THEN CASE WHEN tm IS NOT NULL THEN 'for ' ELSE '' END || concat_ws(', ', rpm || ' rpm', temp, tm) ELSE '(' || concat_ws(', ', rpm || ' rpm', temp, tm) || ')' END), '\.+$', '') || '.' AS text FROM x),
+CASE WHEN concat_ws(', ', rpm || ' rpm', temp, tm) = '' THEN NULL WHEN list_contains({_TIMED}, action) THEN CASE WHEN tm IS NOT NULL THEN 'for ' ELSE '' END || concat_ws(', ', rpm || ' rpm', temp, tm) ELSE '(' || concat_ws(', ', rpm || ' rpm', temp, tm) || ')' END), '\\.+$', '') || '.' AS text FROM x),
 ev AS (SELECT DISTINCT p_partkey // 10 * 2 AS protocol FROM part), h AS (SELECT DISTINCT protocol, cat FROM r UNION SELECT protocol, 1 FROM r UNION SELECT protocol, unnest([0, 1, 2]) FROM ev WHERE protocol NOT IN (SELECT protocol FROM r)),
 a AS (SELECT protocol, cat, title, idx, pos, text FROM r UNION ALL SELECT protocol, cat, {_list(lexicon.PLAN_TITLES)}[cat + 1], CAST(NULL AS BIGINT), -1, CAST(NULL AS VARCHAR) FROM h),
 n AS (SELECT *, count(title) OVER (PARTITION BY protocol ORDER BY cat, pos) AS section FROM a)

@@ -515,6 +515,3 @@ def simhit(spark, d):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
 def json_fields(spark, d):
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
-from . import protocol_queries  # noqa: E402, F401  registers its queries, for which it needs those above
