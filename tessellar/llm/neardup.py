@@ -397,10 +397,11 @@ def _judged_in_rounds(docs: DataFrame, pairs: DataFrame, comps: DataFrame | None
 
 
 def _adapted(rows: DataFrame) -> DataFrame:
-    """Rows (tree, label, id, comp, n) of regions with several components: with the part's key and block.
+    """Rows (tree, label, id, comp) of regions with several components, with the parts (key, block) that each goes to.
 
-    The depth of a region grows while it is crowded. Regions are dealt into blocks, and each row goes to the parts of its
-    block with itself and each other.
+    The depth of a region grows while it is crowded. Its largest component and the other classes are dealt into blocks: each
+    block of the largest meets each of the others, and these meet each other. Classes of one component, as the copies of a
+    large group are, don't meet.
     """
     done, depth = None, SHALLOW
     while True:
@@ -414,16 +415,31 @@ def _adapted(rows: DataFrame) -> DataFrame:
         if last:
             break
         rows, depth = crowded.select(*rows.columns), depth + 1
-    blocks = F.ceil(F.col("classes") / BLOCK).cast("long")
-    dealt = done.withColumn("blk", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return dealt.withColumn("key", F.xxhash64("tree", "region", F.least("blk", "other"), F.greatest("blk", "other")))
+    sizes = done.groupBy("tree", "region", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("tree", "region").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("n"))
+    dealt = done.join(largest, ["tree", "region"])
+    in_largest = F.col("comp") == F.col("largest")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    dealt = dealt.withColumns({"a": blocks(F.col("n")), "b": blocks(F.col("classes") - F.col("n"))})
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(in_largest, F.col("a")).otherwise(F.col("b"))))
+    part = lambda kind, x, y, blk: F.struct(F.xxhash64("tree", "region", F.lit(kind), x, y).alias("key"), blk.cast("long").alias("blk"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    own = F.col("own")
+    of_largest = each(F.col("b"), lambda y: part(0, own, y, F.lit(0)))
+    of_others = F.concat(each(F.col("a"), lambda x: part(0, x, own, F.lit(1))), each(F.col("b"), lambda y: part(1, F.least(own, y), F.greatest(own, y), own)))
+    return dealt.select("tree", "label", "id", "comp", F.when(in_largest, of_largest).otherwise(of_others).alias("parts"))
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """A row for each part that it goes to."""
+    return rows.withColumn("part", F.explode("parts")).select(*(c for c in rows.columns if c != "parts"), "part.key", "part.blk")
 
 
 def _linked_in_regions(docs: DataFrame, trees: DataFrame, sigs: DataFrame, comps: DataFrame | None, shingle: int, forest: Forest) -> DataFrame | None:
     """Components after the regions of several components were compared in place, or by rounds if their sets are too large."""
     in_order = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
     of = trees.withColumn("comp", F.col("id")) if comps is None else trees.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = _adapted(of.select("tree", "label", "id", "comp")).join(sigs.withColumnRenamed("rep", "id"), "id")
+    rows = _in_parts(_adapted(of.select("tree", "label", "id", "comp")).join(sigs.withColumnRenamed("rep", "id"), "id"))
     rows = cut(in_order(rows.select("key", "blk", "id", "comp", "n", "sig")).mapInArrow(trimmed(_involved(forest)), REGION))
     if rows.isEmpty():
         return comps
