@@ -10,9 +10,10 @@
    components, refused ones are struck off. So copies of a group cost a few confirmations each, not all pairs.
 4. When no candidate is left, regions that still hold several components are searched for all pairs across
    components. The depth adapts: a region of more than ``CROWDED`` classes is split by further hashes, up to ``DEPTH``.
-   Regions of more than ``BLOCK`` classes are dealt into blocks of about that many, and each pair of blocks is a piece of
-   work of its own, so no pair is left out and none needs more than two blocks in a task. Classes with a candidate there
-   bring their full sets and are compared in place, so only links leave it, not the pairs alike by signature alone. Regions whose sets exceed
+   A region's largest component and its other classes are dealt into blocks of about ``BLOCK``; each block of the largest
+   meets each of the others, and these meet each other, a piece of work for each pair of blocks. So no pair across
+   components is left out, none needs more than two blocks in a task, and copies aren't compared. Classes with a candidate
+   there bring their full sets and are compared in place, so only links leave it, not the pairs alike by signature alone. Regions whose sets exceed
    ``HELD_BYTES`` emit their candidates to the rounds.
 
 The number of trees follows from the threshold: two sets at it share a region of some tree but for odds of 1.2e-5 at depth
