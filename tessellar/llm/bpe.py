@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import repeat
 
@@ -368,10 +368,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: Iterable[str], most: int = CHUNK) -> Iterator[list[str]]:
     chunk, size = [], 0
     for t in texts:
-        if chunk and size + len(t) > CHUNK:
+        if chunk and size + len(t) > most:
             yield chunk
             chunk, size = [], 0
         chunk.append(t)
@@ -387,7 +387,8 @@ def _encoded(path: str, kept: int, offsets: bool, names: list[str]) -> Callable[
         v = vocabulary(path)
         for batch in batches:
             at = 0
-            for texts in _chunks([t or "" for t in batch.column(kept).to_pylist()]):
+            # texts are taken out of the batch as they are needed
+            for texts in _chunks((t.as_py() or "" for t in batch.column(kept)), CHUNK // 2):
                 ids = v.encode(texts)
                 columns = [batch.column(i).slice(at, len(texts)) for i in range(kept)] + [pa.array(ids, pa.binary())]
                 if offsets:
