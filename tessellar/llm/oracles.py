@@ -30,3 +30,22 @@ def secret_scan() -> str:
     counts = ", ".join(f"CAST(len(s{i}) AS BIGINT) AS n_{k}" for i, k in enumerate(("assign", "access", "hex")))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(columns)} FROM d), s AS (SELECT doc_id, {', '.join(tagged)} FROM m)
     SELECT doc_id, {counts}, sha256({joined(names[:3])}) AS base_sha256, {joined(names)} AS spans FROM s"""
+
+
+#: crc32 of a decimal number by shifts: each byte comes with seven zeros, one for each further bit.
+CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))), 4294967295)"
+
+PREFIX_TRIE = f"""WITH k AS (SELECT conv_id AS c, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+        len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS n FROM k),
+    i AS (SELECT c, {CRC} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+    r AS (SELECT i.c, 0 AS mine, n, k, w FROM i JOIN t ON t.c = i.c - i.c % 20 AND n <= h UNION ALL SELECT i.c, 1, n, k, w FROM i JOIN t ON t.c = i.c WHERE n > h),
+    p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY mine, n) AS d, w, md5(string_agg(k, ',') OVER (PARTITION BY c ORDER BY mine, n ROWS UNBOUNDED PRECEDING)) AS f FROM r UNION ALL SELECT c, 0, 0, '' FROM i),
+    m AS (SELECT d, f, min(c) AS v, count(*) AS n_convs, any_value(w) AS w FROM p GROUP BY 1, 2),
+    j AS (SELECT p.c, p.d, v FROM p JOIN m ON p.d = m.d AND p.f = m.f),
+    up AS (SELECT m.v, m.d, n_convs, w, j.v AS u FROM m LEFT JOIN j ON j.c = m.v AND j.d = m.d - 1),
+    kids AS (SELECT u AS v, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY 1, 2),
+    s AS (SELECT j.v, j.d, sum((x.n_convs - 1) * x.w) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM up x LEFT JOIN kids ON kids.v = x.v AND kids.d = x.d JOIN j ON j.c = x.v AND j.d <= x.d GROUP BY 1, 2),
+    e AS (SELECT v, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM j JOIN (SELECT c, max(d) AS d FROM p GROUP BY 1) USING (c, d) GROUP BY 1, 2)
+    SELECT up.v AS conv_id, up.d AS depth, u AS parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM up LEFT JOIN kids ON kids.v = up.v AND kids.d = up.d JOIN s ON s.v = up.v AND s.d = up.d LEFT JOIN e ON e.v = up.v AND e.d = up.d"""

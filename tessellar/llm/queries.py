@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, mixing, neardup, oracles, permutation, secrets, sharding, token_files, topk, toxicity, vectors
+from . import bpe, language_model, mixing, neardup, oracles, permutation, prefix_trie, secrets, sharding, token_files, topk, toxicity, vectors
 from .common import cut, table
 
 
@@ -71,6 +71,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_model": op2_language_model,
@@ -82,10 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": oracles.secret_scan(),
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
     "op9_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
