@@ -77,6 +77,11 @@ class Forest:
         p = self.percent / 100
         return p - SLACK * (p * (1 - p) / self.hashes) ** 0.5
 
+    def estimate(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray | int, ny: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated similarity of signatures (of sets of nx and ny shingles), and whether it is enough for a candidate."""
+        est = _agreement(x, y)
+        return est, est >= self.least
+
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
@@ -189,7 +194,7 @@ def _across(blk: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, f
         others = i + 1 + np.flatnonzero((comp[later] != comp[i]) & sizes)
         for k in range(0, len(others), 4096):
             near = others[k : k + 4096]
-            near = near[_agreement(sig[near], sig[i]) >= forest.least]
+            near = near[forest.estimate(sig[near], sig[i], n[near], n[i])[1]]
             if len(near):
                 yield i, near
 
@@ -283,16 +288,16 @@ def _links(forest: Forest):
 def _estimated(pairs: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
     """a, b, est: candidates whose signatures agree enough."""
 
-    hashes, least = forest.hashes, forest.least
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            est = _agreement(_fixed(batch.column(2), hashes), _fixed(batch.column(3), hashes)) if batch.num_rows else np.empty(0)
-            keep = pa.array(est >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(est[est >= least], pa.float64())], names=["a", "b", "est"])
+            if batch.num_rows:
+                nx, ny = (batch.column(c).to_numpy() for c in (4, 5))
+                est, enough = forest.estimate(_fixed(batch.column(2), forest.hashes), _fixed(batch.column(3), forest.hashes), nx, ny)
+                keep = pa.array(enough)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(est[enough], pa.float64())], names=["a", "b", "est"])
 
-    of = lambda c: sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(trimmed(work), "a long, b long, est double")
+    of = lambda c: sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(trimmed(work), "a long, b long, est double")
 
 
 def _confirmed(proposals: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -400,9 +405,7 @@ def _judged_in_rounds(docs: DataFrame, pairs: DataFrame, comps: DataFrame | None
 def _adapted(rows: DataFrame) -> DataFrame:
     """Rows (tree, label, id, comp) of regions with several components, with the parts (key, block) that each goes to.
 
-    The depth of a region grows while it is crowded. Its largest component and the other classes are dealt into blocks: each
-    block of the largest meets each of the others, and these meet each other. Classes of one component, as the copies of a
-    large group are, don't meet.
+    The depth of a region grows while it is crowded.
     """
     done, depth = None, SHALLOW
     while True:
@@ -416,6 +419,15 @@ def _adapted(rows: DataFrame) -> DataFrame:
         if last:
             break
         rows, depth = crowded.select(*rows.columns), depth + 1
+    return in_blocks(done).select("tree", "label", "id", "comp", "parts")
+
+
+def in_blocks(done: DataFrame) -> DataFrame:
+    """Rows (tree, region, id, comp, classes of the region) with the parts (key, block) that each goes to.
+
+    A region's largest component and the other classes are dealt into blocks: each block of the largest meets each of the
+    others, and these meet each other. Classes of one component, as the copies of a large group are, don't meet.
+    """
     sizes = done.groupBy("tree", "region", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("tree", "region").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("n"))
     dealt = done.join(largest, ["tree", "region"])
@@ -428,7 +440,7 @@ def _adapted(rows: DataFrame) -> DataFrame:
     own = F.col("own")
     of_largest = each(F.col("b"), lambda y: part(0, own, y, F.lit(0)))
     of_others = F.concat(each(F.col("a"), lambda x: part(0, x, own, F.lit(1))), each(F.col("b"), lambda y: part(1, F.least(own, y), F.greatest(own, y), own)))
-    return dealt.select("tree", "label", "id", "comp", F.when(in_largest, of_largest).otherwise(of_others).alias("parts"))
+    return dealt.select(*done.columns, F.when(in_largest, of_largest).otherwise(of_others).alias("parts"))
 
 
 def _in_parts(rows: DataFrame) -> DataFrame:
@@ -437,10 +449,19 @@ def _in_parts(rows: DataFrame) -> DataFrame:
 
 
 def _linked_in_regions(docs: DataFrame, trees: DataFrame, sigs: DataFrame, comps: DataFrame | None, shingle: int, forest: Forest) -> DataFrame | None:
-    """Components after the regions of several components were compared in place, or by rounds if their sets are too large."""
+    """Components after the trees' regions of several components were compared."""
+    return linked_in_parts(docs, _adapted(with_components(trees, comps).select("tree", "label", "id", "comp")), sigs, comps, shingle, forest)
+
+
+def with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``rows`` with the component ``comp`` of each ``id``; one that has none is its own."""
+    return rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def linked_in_parts(docs: DataFrame, dealt: DataFrame, sigs: DataFrame, comps: DataFrame | None, shingle: int, forest: Forest) -> DataFrame | None:
+    """Components after the regions' parts (of ``in_blocks``) were compared in place, or by rounds if their sets are too large."""
     in_order = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
-    of = trees.withColumn("comp", F.col("id")) if comps is None else trees.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = _in_parts(_adapted(of.select("tree", "label", "id", "comp")).join(sigs.withColumnRenamed("rep", "id"), "id"))
+    rows = _in_parts(dealt.join(sigs.withColumnRenamed("rep", "id"), "id"))
     rows = cut(in_order(rows.select("key", "blk", "id", "comp", "n", "sig")).mapInArrow(trimmed(_involved(forest)), REGION))
     if rows.isEmpty():
         return comps
@@ -468,9 +489,14 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     trees = classes.select("rep", "labels", tree).select("tree", F.expr(f"substring(labels, tree * {LABEL} + 1, {LABEL})").alias("label"), F.col("rep").alias("id"))
     in_order = trees.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     found = in_order.mapInArrow(trimmed(_neighbours), "a long, b long").filter("a <> b").distinct()
-    pairs = cut(_estimated(found, classes.select("rep", "sig"), forest))
+    pairs = cut(_estimated(found, classes.select("rep", "n", "sig"), forest))
     comps = _judged_in_rounds(docs, pairs, None, shingle, percent)
     comps = _linked_in_regions(docs, trees, classes.select("rep", "n", "sig"), comps, shingle, forest)
+    return of_documents(all_docs, classes, comps)
+
+
+def of_documents(all_docs: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """doc_id, n_shingles, component_id of all documents (doc_id, n_shingles, fp), given their classes (fp, rep, copies) and the components of these."""
     ends = classes.select("fp", "rep", "copies") if comps is None else classes.join(comps, classes["rep"] == comps["id"], "left").select("fp", F.coalesce("comp", "rep").alias("rep"), "copies")
     ends = cut(ends)
     # documents without words join nothing, and the copies of a large class don't meet in one task

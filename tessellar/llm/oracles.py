@@ -49,3 +49,16 @@ PREFIX_TRIE = f"""WITH k AS (SELECT conv_id AS c, turn, md5(concat(length(coales
     e AS (SELECT v, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM j JOIN (SELECT c, max(d) AS d FROM p GROUP BY 1) USING (c, d) GROUP BY 1, 2)
     SELECT up.v AS conv_id, up.d AS depth, u AS parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
     FROM up LEFT JOIN kids ON kids.v = up.v AND kids.d = up.d JOIN s ON s.v = up.v AND s.d = up.d LEFT JOIN e ON e.v = up.v AND e.d = up.d"""
+
+
+def near_components(words: int, more: str = "") -> str:
+    """doc_id, n_shingles, component_id (and ``more``) of documents that share 85 of 100 of their shingles; components by least ids passed on, each copy's text once."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {words - 1}, 1) + 1), lambda i: md5(array_to_string(w[i:i + {words - 1}], ' '))))) END AS g FROM d),
+    c AS (SELECT min(doc_id) AS id, g FROM s WHERE len(g) > 0 GROUP BY g),
+    p AS (SELECT id, len(g) AS n, unnest(g) AS x FROM c),
+    l AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+    r AS (SELECT u AS id, u AS least FROM e UNION SELECT e.v, r.least FROM r JOIN e ON e.u = r.id WHERE r.least < e.v),
+    k AS (SELECT id, min(least) AS least FROM r GROUP BY 1)
+    SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(k.least, c.id, s.doc_id) AS component_id{more} FROM s LEFT JOIN c ON c.g = s.g AND len(s.g) > 0 LEFT JOIN k ON k.id = c.id"""

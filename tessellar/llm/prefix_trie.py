@@ -152,30 +152,28 @@ def _peel(paths: DataFrame, kids: DataFrame) -> DataFrame:
         state = cut(left.select("conv", "p", "at", more("leaves", "l"), more("saved", "s"), (F.col("remaining") - F.coalesce("n", F.lit(0))).alias("remaining")))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (depth, a, b, conv_id) in order: pieces of each node's list (depth, a, b, first, ids)."""
-    key, ids, out = None, [], []
-
-    def close() -> None:
-        if ids:
-            out.append((*key, ids[0], ",".join(map(str, ids))))
-            ids.clear()
+def _pieces(most: int):
+    """Of rows (depth, a, b, conv_id) in order: pieces of each node's list (depth, a, b, first, ids), of ``most`` ids at most."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:4]), pa.array([r[4] for r in rows], pa.string())], names=[*NODE, "first", "ids"])
 
-    for batch in batches:
-        for *k, conv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != key or len(ids) == PIECE:
-                close()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, out = None, [], []
+        for batch in batches:
+            for *k, conv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids and (k != key or len(ids) == most):
+                    out.append((*key, ids[0], ",".join(map(str, ids))))
+                    ids.clear()
                 key = k
-            ids.append(conv)
-        if out:
-            yield batch_of(out)
-            out.clear()
-    close()
-    if out:
-        yield batch_of(out)
+                ids.append(conv)
+            if out:
+                yield batch_of(out)
+                out.clear()
+        if ids:
+            yield batch_of([(*key, ids[0], ",".join(map(str, ids)))])
+
+    return work
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +203,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ends_digests(ends: DataFrame) -> DataFrame:
     """depth, a, b, digest: SHA-256 of the ids (conv_id) that end at each node, ascending, joined by commas. ``ends`` should be cut."""
     in_ranges = ends.repartitionByRange(*NODE, "conv_id").sortWithinPartitions(*NODE, "conv_id")
-    pieces = in_ranges.select(*NODE, "conv_id").mapInArrow(_pieces, "depth long, a long, b long, first long, ids string")
+    pieces = in_ranges.select(*NODE, "conv_id").mapInArrow(_pieces(PIECE), "depth long, a long, b long, first long, ids string")
     in_order = pieces.repartition(*NODE).sortWithinPartitions(*NODE, "first")
     return in_order.mapInArrow(_digests, "depth long, a long, b long, digest string")
 

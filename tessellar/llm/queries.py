@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, mixing, neardup, oracles, permutation, prefix_trie, secrets, sharding, token_files, topk, toxicity, vectors
+from . import alignment, bpe, language_model, mixing, neardup, ngram_join, oracles, permutation, prefix_trie, secrets, sharding, token_files, topk, toxicity, vectors
 from .common import cut, table
 
 
@@ -75,6 +75,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_model": op2_language_model,
@@ -87,11 +95,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_sharding": op10_sharding,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": oracles.secret_scan(),
-    "op11_prefix_trie": oracles.PREFIX_TRIE,
+    "op4_near_duplicates": oracles.near_components(3, ", s.doc_id = coalesce(k.least, c.id, s.doc_id) AS kept"),
     "op9_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
@@ -101,4 +111,6 @@ ORACLES: dict[str, str] = {
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
     """,
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_ngram_join": oracles.near_components(4),
 }
