@@ -77,11 +77,19 @@ class Forest:
         p = self.percent / 100
         return p - SLACK * (p * (1 - p) / self.hashes) ** 0.5
 
-    def estimate(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray | int, ny: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated similarity of signatures (of sets of nx and ny shingles), and whether it is enough for a candidate."""
+    def signatures(self, column: pa.Array) -> np.ndarray:
+        """A row for each signature of a column."""
+        return _fixed(column, self.hashes)
+
+    def estimate(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated similarities of signatures (of sets of nx and ny shingles), and which are enough for a candidate."""
         est = _agreement(x, y)
         return est, est >= self.least
 
+    def comparing(self, sig: np.ndarray, n: np.ndarray):
+        """Of a part's rows: which of the rows ``near`` may be linked with row i."""
+        return lambda i, near: _agreement(sig[near], sig[i]) >= self.least
+
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
@@ -180,12 +188,13 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).mean(axis=-1) - 1 / 256) * (256 / 255)
 
 
-def _across(blk: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
+def across(blk: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
     """Of a region's part: a place, and later places of other components that may be linked with it by size and signature.
 
     Rows of two blocks are compared with those of the other block only; within a block is a part of its own.
     """
     two = len(blk) > 0 and (blk != blk[0]).any()
+    alike = forest.comparing(sig, n)
     for i in range(len(comp) - 1):
         later = slice(i + 1, None)
         sizes = 100 * np.minimum(n[later], n[i]) >= forest.percent * np.maximum(n[later], n[i])
@@ -194,7 +203,7 @@ def _across(blk: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, f
         others = i + 1 + np.flatnonzero((comp[later] != comp[i]) & sizes)
         for k in range(0, len(others), 4096):
             near = others[k : k + 4096]
-            near = near[forest.estimate(sig[near], sig[i], n[near], n[i])[1]]
+            near = near[alike(i, near)]
             if len(near):
                 yield i, near
 
@@ -209,7 +218,7 @@ def _objects(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _regions(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+def regions(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tuple[list[np.ndarray], list[int]]]:
     """Of ``REGION`` rows in order, with sets or not: columns of whole parts, where each begins, and the end."""
     held: list[np.ndarray] | None = None
 
@@ -220,7 +229,7 @@ def _regions(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tupl
         if not batch.num_rows:
             continue
         *plain, sig = batch.columns[:6]
-        new = [*(c.to_numpy() for c in plain), _fixed(sig, forest.hashes), *map(_objects, batch.columns[6:])]
+        new = [*(c.to_numpy() for c in plain), forest.signatures(sig), *map(_objects, batch.columns[6:])]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         at = edges(held)
         if len(at) > 2:  # the last part may go on
@@ -234,13 +243,13 @@ def _involved(forest: Forest):
     """The rows that have a candidate in their region's part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, blk, ids, comp, n, sig), edges in _regions(batches, forest):
+        for (key, blk, ids, comp, n, sig), edges in regions(batches, forest):
             keep = np.zeros(len(ids), bool)
             for lo, hi in zip(edges, edges[1:], strict=False):
-                for i, near in _across(blk[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], forest):
+                for i, near in across(blk[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], forest):
                     keep[lo + i] = True
                     keep[lo + near] = True
-            columns = [*(pa.array(x[keep], pa.int64()) for x in (key, blk, ids, comp, n)), pa.array([x.tobytes() for x in sig[keep]], pa.binary())]
+            columns = [*(pa.array(x[keep], pa.int64()) for x in (key, blk, ids, comp, n)), pa.array([bytes(x) for x in sig[keep]], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in REGION.split(", ")])
 
     return work
@@ -250,9 +259,9 @@ def _candidates(forest: Forest):
     """All candidates (a, b) across components of the regions."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, blk, ids, comp, n, sig), edges in _regions(batches, forest):
+        for (_, blk, ids, comp, n, sig), edges in regions(batches, forest):
             for lo, hi in zip(edges, edges[1:], strict=False):
-                for i, near in _across(blk[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], forest):
+                for i, near in across(blk[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], forest):
                     yield _pairs_batch([np.full(len(near), ids[lo + i])], [ids[lo + near]])
 
     return work
@@ -262,13 +271,13 @@ def _links(forest: Forest):
     """Links (a, b) across components of the regions, by full sets; what is linked is one component in the part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, blk, ids, comps, _, sig, sets), edges in _regions(batches, forest):
+        for (_, blk, ids, comps, _, sig, sets), edges in regions(batches, forest):
             a, b = [], []
             for lo, hi in zip(edges, edges[1:], strict=False):
                 n, comp = np.array([len(x) for x in sets[lo:hi]]), comps[lo:hi].copy()
                 words, code = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
                 ends, marked = np.cumsum(n), np.zeros(len(words), bool)
-                for i, near in _across(blk[lo:hi], comp, sig[lo:hi], n, forest):
+                for i, near in across(blk[lo:hi], comp, sig[lo:hi], n, forest):
                     own = code[ends[i] - n[i] : ends[i]]
                     marked[own] = True
                     begins = np.cumsum(n[near]) - n[near]
@@ -292,7 +301,7 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 nx, ny = (batch.column(c).to_numpy() for c in (4, 5))
-                est, enough = forest.estimate(_fixed(batch.column(2), forest.hashes), _fixed(batch.column(3), forest.hashes), nx, ny)
+                est, enough = forest.estimate(forest.signatures(batch.column(2)), forest.signatures(batch.column(3)), nx, ny)
                 keep = pa.array(enough)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(est[enough], pa.float64())], names=["a", "b", "est"])
 
@@ -443,7 +452,7 @@ def in_blocks(done: DataFrame) -> DataFrame:
     return dealt.select(*done.columns, F.when(in_largest, of_largest).otherwise(of_others).alias("parts"))
 
 
-def _in_parts(rows: DataFrame) -> DataFrame:
+def in_parts(rows: DataFrame) -> DataFrame:
     """A row for each part that it goes to."""
     return rows.withColumn("part", F.explode("parts")).select(*(c for c in rows.columns if c != "parts"), "part.key", "part.blk")
 
@@ -461,7 +470,7 @@ def with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 def linked_in_parts(docs: DataFrame, dealt: DataFrame, sigs: DataFrame, comps: DataFrame | None, shingle: int, forest: Forest) -> DataFrame | None:
     """Components after the regions' parts (of ``in_blocks``) were compared in place, or by rounds if their sets are too large."""
     in_order = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
-    rows = _in_parts(dealt.join(sigs.withColumnRenamed("rep", "id"), "id"))
+    rows = in_parts(dealt.join(sigs.withColumnRenamed("rep", "id"), "id"))
     rows = cut(in_order(rows.select("key", "blk", "id", "comp", "n", "sig")).mapInArrow(trimmed(_involved(forest)), REGION))
     if rows.isEmpty():
         return comps

@@ -8,10 +8,13 @@
 3. Classes first meet a few neighbours under ``TOKENS`` shingles of their prefix, and what is linked is merged in rounds, so
    that the copies of a group cost a few confirmations each. This step loses nothing, as it decides nothing.
 4. Posting lists that still hold two groups of different components, with one of these in its index prefix, are group pairs
-   left to be judged; lists of the same groups are one region. Their groups are expanded to members, dealt into blocks, and
-   pairs across components are judged in place: first by size, then by bitmaps of ``BITS`` bits, whose Hamming distance never
-   exceeds the sets' difference, so no pair is lost by it, then by full sets. A group whose own members lie in several
+   left to be judged; lists of the same groups are one region. Their groups are expanded to members and dealt into blocks, and
+   pairs across components are looked at in place: first by size, then by bitmaps, whose Hamming distance never exceeds the sets'
+   difference, so no pair is lost by it. A bitmap has ``BITS`` bits, and that of a large set a second
+   one with a bit for two shingles at least, as a small one is full. A group whose own members lie in several
    components is a region, too. No list is gathered whole in a task, and no pairs within a component are made.
+5. Sets that are alike enough by that meet under many shingles, so they are joined to clusters (a block gives a forest of its
+   pairs, not the pairs), in which every set stands once; clusters are dealt into blocks like regions and judged on full sets.
 
 Everything that decides is exact but for 64-bit fingerprints of shingles.
 
@@ -34,11 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, small, trimmed
 from .hashing import mixed
-from .neardup import NEIGHBOURS, _chunks, _fixed, _judged_in_rounds, _sets, in_blocks, linked_in_parts, of_documents, with_components
+from .neardup import NEIGHBOURS, REGION, _chunks, _judged_in_rounds, _sets, across, connected, in_blocks, in_parts, linked_in_parts, of_documents, regions, with_components
 
 #: Buckets of the counts (a power of two) and how many slices they are summed in.
 BUCKETS, SLICES = 1 << 21, 64
-#: Bits of a set's bitmap.
+#: Bits of a set's bitmap; sets of more than twice as many shingles have a wider one, too.
 BITS = 1024
 #: Shingles of a prefix under which a class meets its neighbours before the join proper.
 TOKENS = 8
@@ -50,24 +53,57 @@ class Bitmaps:
 
     percent: int
 
-    @property
-    def hashes(self) -> int:
-        return BITS // 8
-
     def prefix(self, n: int) -> int:
         return n + self.percent * n // -100 + 1
 
     def index_prefix(self, n: int) -> int:
         return n + 2 * self.percent * n // -(100 + self.percent) + 1
 
-    def estimate(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray | int, ny: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """The most that the similarity can be by sizes and bitmaps, and whether that is enough."""
-        apart = np.bitwise_count(np.bitwise_xor(x, y)).sum(axis=-1, dtype=np.int64)
+    def signatures(self, column: pa.Array) -> np.ndarray:
+        """The bitmaps of a column, one after the other in bytes."""
+        out = np.empty(len(column), object)
+        out[:] = column.to_pylist()
+        return out
+
+    def estimate(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most that similarities can be by sizes and bitmaps, and which are enough."""
+        est, enough = self._most(_first(x), _first(y), nx, ny)
+        for k in np.flatnonzero(enough).tolist():
+            if min(len(x[k]), len(y[k])) > BITS // 8:
+                est[k], enough[k] = self._most(*_wide(x[k], y[k]), nx[k], ny[k])
+        return est, enough
+
+    def comparing(self, sig: np.ndarray, n: np.ndarray):
+        """Of a part's rows: which of the rows ``near`` may be linked with row i."""
+        first, wide = _first(sig), np.array([len(x) > BITS // 8 for x in sig], bool)
+
+        def alike(i: int, near: np.ndarray) -> np.ndarray:
+            enough = self._most(first[near], first[i], n[near], n[i])[1]
+            for k in np.flatnonzero(enough & wide[near]).tolist() if wide[i] else ():
+                enough[k] = self._most(*_wide(sig[near[k]], sig[i]), n[near[k]], n[i])[1]
+            return enough
+
+        return alike
+
+    def _most(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
         both = np.minimum((nx + ny - apart) // 2, np.minimum(nx, ny))
         union = nx + ny - both
         return both / np.maximum(union, 1), 100 * both >= self.percent * union
 
 
+def _first(sig: np.ndarray) -> np.ndarray:
+    """The first bitmap of each, as 64-bit words."""
+    return np.frombuffer(b"".join(x[: BITS // 8] for x in sig), np.uint64).reshape(len(sig), BITS // 64)
+
+
+def _wide(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The second bitmaps of two sets, the wider one folded to the width of the other."""
+    x, y = (np.frombuffer(v, np.uint64)[BITS // 64 :] for v in (x, y))
+    size = min(len(x), len(y))
+    return tuple(np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+
+
 def _bucket(s: np.ndarray, buckets: int) -> np.ndarray:
     return (s >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
@@ -101,7 +137,15 @@ def bucket_counts(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((mixed(s ^ np.uint64(0xA5A5)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    """For each bit whether an odd number of shingles hash to it; a large set has a wider bitmap after the first."""
+    bits = BITS
+    while 2 * bits < len(s):
+        bits *= 2
+    odd = np.bincount((mixed(s ^ np.uint64(0xA5A5)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    packed = np.packbits(odd.astype(np.uint8))
+    if bits == BITS:
+        return packed.tobytes()
+    return np.bitwise_xor.reduce(packed.reshape(-1, BITS // 8), axis=0).tobytes() + packed.tobytes()
 
 
 def sketches(docs: DataFrame, counts: Broadcast, shingle: int, sides: Bitmaps) -> DataFrame:
@@ -152,7 +196,7 @@ def _met(sides: Bitmaps):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [*(c.to_numpy() for c in batch.columns[:3]), _fixed(batch.column(3), sides.hashes)]
+            new = [*(c.to_numpy() for c in batch.columns[:3]), sides.signatures(batch.column(3))]
             old = 0 if held is None else min(NEIGHBOURS, len(held[0]))
             h, n, rep, sig = new if held is None else [np.concatenate([x[-NEIGHBOURS:], y]) for x, y in zip(held, new, strict=True)]
             held = [h, n, rep, sig]
@@ -186,6 +230,38 @@ def _posted(sides: Bitmaps):
     return work
 
 
+def _forest(sides: Bitmaps):
+    """Of ``REGION`` rows in order: pairs (a, b) that may be linked, as many as join what such pairs join in a part."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, blk, ids, comp, n, sig), edges in regions(batches, sides):
+            a, b = [], []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                tree = np.arange(hi - lo)
+                for i, near in across(blk[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi], sides):
+                    others, first = np.unique(tree[near], return_index=True)
+                    for other, j in zip(others.tolist(), near[first].tolist(), strict=True):
+                        if other != tree[i]:
+                            a.append(ids[lo + i])
+                            b.append(ids[lo + j])
+                            tree[tree == other] = tree[i]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    return work
+
+
+def _clusters(classes: DataFrame, comps: DataFrame | None, sides: Bitmaps) -> DataFrame | None:
+    """tree, region, id, comp, classes: the sets that may be linked across components, each in its cluster."""
+    rows = in_parts(in_blocks(_regions(classes, comps, sides)).join(classes.select(F.col("rep").alias("id"), "n", "sig"), "id"))
+    rows = rows.select(*(f.split()[0] for f in REGION.split(", "))).repartition("key").sortWithinPartitions("key", "id")
+    edges = cut(rows.mapInArrow(trimmed(_forest(sides)), "a long, b long").filter("a <> b").distinct())
+    if edges.isEmpty():
+        return None
+    found = cut(with_components(connected(edges).select("id", F.col("comp").alias("region")), comps))
+    return found.join(found.groupBy("region").agg(F.count(F.lit(1)).alias("classes")), "region").withColumn("tree", F.lit(2))
+
+
 def _regions(classes: DataFrame, comps: DataFrame | None, sides: Bitmaps) -> DataFrame:
     """tree, region, id, comp, classes: the members of groups in posting lists, and of groups, that lie in several components."""
     of = with_components(classes.select(F.col("rep").alias("id"), "n", "pkey"), comps)
@@ -218,7 +294,9 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     in_order = met.repartitionByRange("h", "n", "rep").sortWithinPartitions("h", "n", "rep")
     pairs = cut(in_order.mapInArrow(trimmed(_met(sides)), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est")))
     comps = _judged_in_rounds(docs, pairs, None, shingle, percent)
-    comps = linked_in_parts(docs, in_blocks(_regions(classes, comps, sides)), classes.select("rep", "n", "sig"), comps, shingle, sides)
+    clusters = _clusters(classes, comps, sides)
+    if clusters is not None:
+        comps = linked_in_parts(docs, in_blocks(clusters), classes.select("rep", "n", "sig"), comps, shingle, sides)
     return of_documents(all_docs.select("doc_id", "n_shingles", "fp"), classes, comps)
 
 

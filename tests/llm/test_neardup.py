@@ -82,7 +82,7 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch):
     n = 150
     labels = [bytes(12)] * n
     trees = spark.createDataFrame([(0, bytearray(x), int(i), int(i)) for i, x in enumerate(labels)], "tree int, label binary, id long, comp long")
-    rows = neardup._in_parts(neardup._adapted(trees)).collect()
+    rows = neardup.in_parts(neardup._adapted(trees)).collect()
     parts, met = {}, set()
     for r in rows:
         parts.setdefault(r["key"], []).append(r)
@@ -93,7 +93,7 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch):
     assert len(met) == n * (n - 1) // 2 and len(parts) > 20
     split = [bytes(8) + bytes([0, i % 10]) + bytes(2) for i in range(n)]
     trees = spark.createDataFrame([(0, bytearray(x), int(i), int(i)) for i, x in enumerate(split)], "tree int, label binary, id long, comp long")
-    assert {len({r["label"][9] for r in of}) for of in _by_key(neardup._in_parts(neardup._adapted(trees)).collect())} == {1}
+    assert {len({r["label"][9] for r in of}) for of in _by_key(neardup.in_parts(neardup._adapted(trees)).collect())} == {1}
 
 
 def _by_key(rows):
