@@ -23,8 +23,5 @@ GRAVITY = r"(\d+(?:\.\d+)?)\s*×\s*g"
 PLAN_TITLES = ["Preparation & Materials", "Procedure", "Analysis / Readout"]
 SECTION_KEYS = ["title", "abstract_text", "intro_text", "methods_text", "results_text", "discussion_text", "conclusion_text", "ack_text"]
 BLOCKED = "publisher does not allow downloading of the full text in xml form"
-# letters with a mark, and the letters without
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďđēęěğīłńňőřśšťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccddeeegilnnorsstuuuzzz"
 # common English words that no query needs; a parameter of the functions that drop them
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with"]

@@ -232,11 +232,6 @@ def is_article(c: Column) -> Column:
     return F.contains(blank(c), F.lit("<article")) & F.contains(blank(c), F.lit("</article>"))
 
 
-def folded(c: Column) -> Column:
-    """Text without case and diacritics: decomposed letters lose their marks."""
-    return F.translate(F.lower(blank(c)), lexicon.ACCENTED, lexicon.PLAIN)
-
-
 def snippet(c: Column, terms: Column, width: int = 120, mark: tuple[str, str] = ("[", "]")) -> Column:
     """The part of a text from its first term on, terms marked; from the start where none occurs. ``terms``: an array of words."""
     words = F.array_join(F.transform(terms, lambda t: F.regexp_replace(t, r"([^\pL\pN_])", r"\\$1")), "|")

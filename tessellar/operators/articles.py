@@ -36,25 +36,34 @@ def _name(e: ET.Element) -> str:
 
 
 def _text(e: ET.Element | None, aside: Sequence[str] = ()) -> str:
-    """The words of an element, without those of the elements named in ``aside`` and what follows these directly."""
+    """The words of an element, without those of the elements named in ``aside`` and what follows these directly.
 
-    def parts(x: ET.Element) -> Iterator[str]:
-        yield x.text or ""
-        for child in x:
-            if _name(child) in aside:
-                continue
+    Elements may be nested to any depth: those that are open stand in a list.
+    """
+    if e is None:
+        return ""
+    out, open_ = [e.text or ""], [iter(e)]
+    tails = [""]
+    while open_:
+        child = next(open_[-1], None)
+        if child is None:
+            open_.pop()
+            out.append(tails.pop())
+        elif _name(child) not in aside:
             if isinstance(child.tag, str):
-                yield from parts(child)
-            yield child.tail or ""
-
-    return "" if e is None else " ".join("".join(parts(e)).split())
+                out.append(child.text or "")
+                open_.append(iter(child))
+                tails.append(child.tail or "")
+            else:
+                out.append(child.tail or "")
+    return " ".join("".join(out).split())
 
 
 def _parts(xml: str | None) -> dict:
     """The parts of an article; of a text that isn't XML, the error."""
     try:
         root = ET.fromstring(xml or "")
-    except ET.ParseError as e:
+    except (ET.ParseError, RecursionError, MemoryError) as e:  # whatever the parser meets belongs to its article
         return {"error": str(e), "has_body": False, "sections": [], "paragraphs": []}
     every = [(e, _name(e)) for e in root.iter()]
     first = lambda name: next((e for e, n in every if n == name), None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import lexicon
+from ..functions import lexicon, stemming
 from ..functions import text as T
-
+from ..session import cut
 
 #: A side of a join is broadcast only if a count shows that it has no more rows than this.
 FEW = 500_000
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = FEW) -> DataFrame:
     """``df``, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,26 +44,12 @@ def match_all(index: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFr
     return found.join(needed, "query").filter("found = needed").select("query", key)
 
 
-def match_phrase(docs: DataFrame, phrases: DataFrame, key: str = "doc_id") -> DataFrame:
-    """query, document pairs whose text holds all the query's tokens in a row: those that hold its rarest token, then verified."""
-    # as few rows as queries: broadcast if counted to be few
-    few = F.broadcast if phrases.count() <= 500_000 else lambda df: df
-    words = docs.select(key, T.tokens(F.col("text")).alias("words"))
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = phrases.select("query", T.tokens(F.col("phrase")).alias("phrase"))
-    terms = asked.select("query", "phrase", F.explode(F.array_distinct("phrase")).alias("term")).join(df, "term", "left")
-    rarest = terms.groupBy("query", "phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    both = words.withColumn("term", F.explode(F.array_distinct("words"))).join(few(rarest), "term")
-    return both.filter(F.contains(spaced("words"), spaced("phrase"))).select("query", key).distinct()
-
-
 def bm25(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query, document, score of the documents that hold a term. Documents without tokens don't count in the statistics."""
     length = F.size(T.tokens(F.col(text)))
     stats = docs.agg(F.count_if(length > 0).alias("docs"), F.avg(F.when(length > 0, length)).alias("mean"))
-    asked = postings(docs, terms, key, text)
-    df = small(asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms.distinct(), "term"))
+    asked = cut(postings(docs, terms, key, text))
+    df = small(cut(asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms.distinct(), "term")))
     rows = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
@@ -78,49 +64,90 @@ def tfidf_terms(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text"
 def weighted_terms(docs: DataFrame, terms: DataFrame, k: int, key: str, features: int | None = None) -> DataFrame:
     """The k terms of highest tf-idf of each document, of terms (key, term); ``features`` keeps the commonest ones only.
 
-    A document's terms meet once, by its key; document frequencies meet by partial sums and go back by a broadcast if few.
+    Terms are counted where their document is, before anything is shuffled, and the counts are stored once; document
+    frequencies meet by partial sums and go back by a broadcast if few.
     """
-    tf = terms.repartition(key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
     if features:
         df = df.orderBy(F.desc("all"), "term").limit(features)
-    w = tf.join(small(df), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    w = tf.join(small(cut(df.select("term", "df"))), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return top(w.withColumn("score", F.round(F.col("w") / norm, 6)).select(key, "term", "score"), [key], [F.desc("score"), F.col("term")], k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, vec_id, sim: exact nearest by inner product. Each block of ``QUERY_BLOCK`` queries meets all rows, batch by
-    batch; a batch keeps its k best for each query, and ties with the last of them, before anything is shuffled."""
-    q = queries.select("query", F.col("embedding").cast("array<double>").alias("v")).filter("v is not null")
-    blocks = -(-q.count() // QUERY_BLOCK)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("v is not null")
-    parts = []
-    for b in range(max(1, blocks)):
-        block = q.filter(F.pmod(F.xxhash64("query"), F.lit(max(1, blocks))) == b).collect()  # about QUERY_BLOCK vectors
-        parts.append(rows.mapInArrow(_nearest(np.array([r["query"] for r in block], np.int64), np.array([r["v"] for r in block], float), k), "query long, vec_id long, sim double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return top(found.withColumn("sim", F.round("sim", 6)), ["query"], [F.desc("sim"), F.col("vec_id")], k)
+#: Rows of a block of vectors, queries of a pack that meets it.
+ROWS, PACK = 2048, 512
+
 
+def blocks(vectors: DataFrame, key: str, vector: str, *more: str, size: int = ROWS) -> DataFrame:
+    """``more``, dims, ids, vectors (packed long and double numbers): blocks of up to ``size`` rows that lie side by side, equal in ``more``.
 
-QUERY_BLOCK = 4096
+    Nothing is shuffled. Rows without a key, a vector or one of its components take no part.
+    """
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[tuple, list[int]] = {}
+            groups = [c.to_pylist() for c in batch.columns[2:]]
+            ids, flat, ends = batch.column(0).to_numpy(), batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            for i, key_of in enumerate(zip(ends[1:] - ends[:-1], *groups, strict=True)):
+                rows.setdefault(key_of, []).append(i)
+            out = [(g, at[i : i + size]) for g, at in rows.items() for i in range(0, len(at), size)]
+            if out:
+                packed = [(ids[at].tobytes(), np.stack([flat[ends[i] : ends[i + 1]] for i in at]).tobytes()) for _, at in out]
+                kinds = [pa.int64(), *(batch.schema.field(2 + i).type for i in range(len(groups))), pa.binary(), pa.binary()]
+                columns = [*zip(*(g for g, _ in out), strict=True), *zip(*packed, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(plain, c)), t) for c, t in zip(columns, kinds, strict=True)], names=["dims", *more, "ids", "vectors"])
+
+    plain = lambda x: x.item() if hasattr(x, "item") else x
+    usable = vectors.select(F.col(key).cast("long").alias("_key"), F.col(vector).cast("array<double>").alias("_v"), *more)
+    usable = usable.filter("_key is not null and _v is not null and size(_v) > 0 and not exists(_v, x -> x is null)")
+    kinds = ", ".join(f"{c} {t}" for c, t in usable.select(*more).dtypes) + ", " if more else ""
+    return usable.mapInArrow(work, f"dims long, {kinds}ids binary, vectors binary")
+
+
+def nearest_in_blocks(met: DataFrame, k: int) -> DataFrame:
+    """query, vec_id, sim: of rows with a block (dims, ids, vectors) and a pack of queries (asked, asked_vectors), the k best of each query there, and ties with the last."""
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            v = np.array(batch.column(1).to_pylist(), float)
-            sims = v @ queries.T
-            least = np.sort(sims, axis=0)[-k] if len(sims) > k else np.full(len(ids), -np.inf)
-            row, col = np.nonzero(sims >= least - 2e-6)  # similarities are compared to six decimals
-            yield pa.RecordBatch.from_arrays([pa.array(ids[col]), batch.column(0).take(pa.array(row)), pa.array(sims[row, col])], names=["query", "vec_id", "sim"])
+            for dims, *packed in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                ids, v, asked, q = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(packed, (np.int64, float, np.int64, float), strict=True))
+                sims = v.reshape(-1, dims) @ q.reshape(-1, dims).T
+                least = np.partition(sims, -k, axis=0)[-k] if len(sims) > k else np.full(len(asked), -np.inf)
+                row, col = np.nonzero(sims >= least - 2e-6)  # similarities are compared to six decimals
+                yield pa.RecordBatch.from_arrays([pa.array(asked[col]), pa.array(ids[row]), pa.array(sims[row, col])], names=["query", "vec_id", "sim"])
 
-    return work
+    return met.select("dims", "ids", "vectors", "asked", "asked_vectors").mapInArrow(work, "query long, vec_id long, sim double")
+
+
+def packs(queries: DataFrame, *more: str) -> DataFrame:
+    """``more``, dims, asked, asked_vectors: queries (query, embedding) packed like blocks, after those equal in ``more`` were brought together."""
+    near = queries.repartition(*more) if more else queries.repartition(max(1, -(-queries.count() // PACK)), "query")
+    return blocks(near, "query", "embedding", *more, size=PACK).withColumnsRenamed({"ids": "asked", "vectors": "asked_vectors"})
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, vec_id, sim, rank: exact nearest by inner product of queries (query, embedding) among vectors (vec_id, embedding).
+
+    Blocks of rows meet packs of queries of the same length, all of them, as every row is a candidate of every query; the
+    packs are broadcast if counted to be few, else each block is sent to each pack. A block keeps its k best for each query,
+    and ties with the last of them, before anything is shuffled.
+    """
+    asked, rows = cut(packs(cut(queries))), blocks(vectors, "vec_id", "embedding")
+    many = asked.count()
+    if many <= PACKS:
+        met = rows.join(F.broadcast(asked), "dims")
+    else:
+        met = rows.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(asked.withColumn("pack", F.pmod(F.xxhash64("asked"), F.lit(many)).cast("int")), ["dims", "pack"])
+    found = nearest_in_blocks(met, k)
+    return top(found.withColumn("sim", F.round("sim", 6)), ["query"], [F.desc("sim"), F.col("vec_id")], k)
+
+
+#: Packs that are broadcast: some 16 MB of 64 numbers a query.
+PACKS = 64
 
 
 def top(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
@@ -165,6 +192,12 @@ def across_queries(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def least_ranks(asked: DataFrame, hits: DataFrame, topic: str) -> DataFrame:
+    """``topic``, rank from 0: the least rank at which any query (topic, query) has a hit (query, rank from 1); null where all miss."""
+    first = hits.groupBy("query").agg(F.min("rank").alias("rank"))
+    return asked.join(first, "query", "left").groupBy(topic).agg((F.min("rank") - 1).cast("int").alias("rank"))
+
+
 def embed(texts: DataFrame, model, key: str = "doc_id", text: str = "text", size: int = 64) -> DataFrame:
     """Vectors of texts by a pluggable batch function ``model(list[str]) -> array``."""
 
@@ -186,13 +219,16 @@ def with_texts(hits: DataFrame, docs: DataFrame, key: str = "doc_id", columns: S
 def grams(c: Column, n: int = 2, stop: Sequence[str] = lexicon.STOP_WORDS) -> Column:
     """Words of two letters or more without stop words, and runs of up to n of these."""
     words = F.filter(T.tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(*stop))
-    none = F.array().cast("array<int>")
 
-    def runs(size: int) -> Column:
-        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(none)
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+    def with_runs(w: Column) -> Column:
+        out = [w]
+        for size in range(2, n + 1):  # the runs that are a word shorter, each with the word that follows
+            many = F.greatest(F.size(w) - (size - 1), F.lit(0))
+            out.append(F.zip_with(F.slice(out[-1], F.lit(1), many), F.slice(w, F.lit(size), many), lambda x, y: F.concat(x, F.lit(" "), y)))
+        return F.concat(*out)
 
-    return F.concat(words, *[runs(size) for size in range(2, n + 1)])
+    # the words stand in an array of one, so that they are made once and then known by a name
+    return F.transform(F.array(words), with_runs)[0]
 
 
 def keyword_queries(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", features: int = 5000, n: int = 2) -> DataFrame:
@@ -218,16 +254,17 @@ def with_extra_query(queries: Column, extra: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(queries, F.array(F.nullif(F.trim(extra), F.lit(""))))))
 
 
-def match_folded(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """query, document: every term occurs, without regard to case and diacritics, and by their stems if ``stem`` gives these."""
-    form = (lambda c: stem(T.folded(c))) if stem else T.folded
-    asked = terms.select("query", form(F.col("term")).alias("term")).distinct()
-    words = docs.select(key, F.explode(F.array_distinct(T.tokens(T.folded(F.col(text))))).alias("term")).withColumn("term", form(F.col("term")))
-    return match_all(words.join(small(asked.select("term").distinct()), "term", "left_semi").distinct(), asked, key)
+def match_folded(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", stem: bool = False) -> DataFrame:
+    """query, document: every token of the terms (query, term) occurs, without regard to case and diacritics, and by stems on request.
 
-
-def short_stem(c: Column) -> Column:
-    """A word without the commonest English endings: plural, past, and progressive with a doubled letter undone."""
-    s = F.regexp_replace(c, "(?<=ss|i)es$|(?<![su])s$", "")
-    s = F.regexp_replace(s, "(?<=[aeiouy][a-z]{0,8}[^aeiouy])(?:ed|ing)$", "")
-    return F.regexp_replace(s, "([bdfgmnprt])\\1$", "$1")
+    The forms of words are made once for each distinct word; documents' words are then compared with the few words whose
+    form is asked for.
+    """
+    form = (lambda c: stemming.stems(stemming.folds(c))) if stem else stemming.folds
+    unmarked = lambda c: T.tokens(F.regexp_replace(T.blank(F.col(c)), r"\pM+", ""))  # noqa: E731  marks that stand apart would split words
+    tokens = terms.select("query", F.explode(unmarked("term")).alias("token"))
+    asked = cut(tokens.withColumn("form", form(F.col("token"))).select("query", "form").distinct())
+    words = docs.select(key, F.explode(F.array_distinct(unmarked(text))).alias("token"))
+    vocabulary = words.select("token").distinct().withColumn("form", form(F.col("token"))).join(small(asked.select("form").distinct()), "form", "left_semi")
+    found = words.join(small(cut(vocabulary)), "token").select(key, F.col("form").alias("term")).distinct()
+    return match_all(found, asked.withColumnRenamed("form", "term"), key)

@@ -1,5 +1,5 @@
 """Spark-first document analytics: plans."""
 
-from . import protocol_queries, queries  # both register their queries
+from . import index_queries, protocol_queries, queries  # each registers its queries
 
-__all__ = ["protocol_queries", "queries"]
+__all__ = ["index_queries", "protocol_queries", "queries"]

@@ -368,12 +368,13 @@ def task_lines(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.array_join(T.task_lines(made), "|").alias("tasks"))
 
 
-@query(f"""WITH q AS (SELECT DISTINCT item_id AS query, t AS term FROM (SELECT item_id, unnest({TOKENS}[1:2]) AS t FROM benchmark)), f AS (SELECT query, list(DISTINCT translate(term, '{lexicon.ACCENTED}', '{lexicon.PLAIN}')) AS want FROM q GROUP BY 1),
-w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{lexicon.ACCENTED}', '{lexicon.PLAIN}'), '[^\\pL\\pN_]+'), lambda t: t <> '')) AS have FROM documents)
-SELECT query, doc_id FROM f JOIN w ON len(list_intersect(want, have)) = len(want)""")
+_FOLDED = "list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\\pL\\pN_]+'), lambda t: t <> ''))"
+
+
+@query(f"""WITH f AS (SELECT item_id AS query, {_FOLDED} AS want FROM benchmark), w AS (SELECT doc_id, {_FOLDED} AS have FROM documents)
+SELECT query, doc_id FROM f JOIN w ON len(want) > 0 AND len(list_intersect(want, have)) = len(want)""")
 def folded_match(spark, d):
-    words = F.slice(T.tokens(F.col("text")), 1, 2)
-    return retrieval.match_folded(_t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(words).alias("term")))
+    return retrieval.match_folded(_t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("term")))
 
 
 # --- small operators ---

@@ -259,12 +259,6 @@ def lexical_and_match(spark, d):
     return retrieval.match_all(retrieval.postings(_t(spark, d, "documents"), _terms(spark, d)), _terms(spark, d))
 
 
-@query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM documents), p AS (SELECT item_id AS query, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM benchmark WHERE len({TOKENS}) > 0)
-SELECT query, doc_id FROM p JOIN d ON contains(d.t, p.t)""")
-def phrase_match(spark, d):
-    return retrieval.match_phrase(_t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("phrase")))
-
-
 @query(f"""WITH {_TERMS2}, ln AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), st AS (SELECT count(*) AS docs, avg(len) AS mean FROM ln), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query, doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 5) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY 1, 2)
 SELECT query, doc_id, score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS n FROM s) WHERE n <= 10""")

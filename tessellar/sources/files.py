@@ -7,19 +7,18 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import exists
+from .json_arrays import read_array
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: str, lines: bool = True, strict: bool = False) -> DataFrame:
-    """JSON lines or arrays; malformed records are errors if strict, else left out."""
-    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in any store that Spark reads."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    """JSON lines, or files of one array each, which many tasks read; malformed records are errors if strict, else left out."""
+    if not lines:
+        return read_array(spark, path, schema, strict)
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
@@ -100,8 +99,10 @@ def write_index(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A report of one row as one JSON object."""
-    df.limit(1).select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode(mode).text(path)
+    """A report of one row as one JSON object; more than one row is an error."""
+    rows = df.limit(2).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # two rows at most
+    rows = rows.filter(F.when(F.col("_n") > 1, F.raise_error(F.lit("a report of more than one row")).cast("boolean")).otherwise(F.lit(True))).drop("_n")
+    rows.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode(mode).text(path)
 
 
 def write_by(df: DataFrame, path: str, columns: Sequence[str], mode: str = "overwrite") -> None:

@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import json
 import random
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellar.operators import graph, linkage, metrics, reports, retrieval, selection
+from tessellar.operators.lexical_index import LexicalIndex
 from tessellar.options import Options
 from tessellar.sources import files
 
@@ -35,12 +37,6 @@ def test_split_takes_its_number_and_is_disjoint(spark):
     assert {tuple(r) for r in s.groupBy("g", "split").count().collect()} == {(0, "test", 3), (1, "test", 3), (0, "corpus", 22), (1, "corpus", 22)}
 
 
-def test_phrase_needs_tokens_in_a_row(spark):
-    docs = spark.createDataFrame([(1, "the red fox"), (2, "fox the red"), (3, None)], "doc_id long, text string")
-    phrases = spark.createDataFrame([(7, "Red fox")], "query long, phrase string")
-    assert [tuple(r) for r in retrieval.match_phrase(docs, phrases).collect()] == [(7, 1)]
-
-
 def test_fusion_prefers_the_lexical_list_on_ties(spark):
     lex = spark.createDataFrame([(1, 10, 2)], "query long, doc_id long, rank int")
     sem = spark.createDataFrame([(1, 20, 1)], "query long, doc_id long, rank int")
@@ -61,6 +57,45 @@ def test_greedy_match_and_order(spark):
     assert metrics.order_agreement(got).first()["order"] == 0.0
 
 
+@pytest.mark.parametrize("held", [1_000_000, 0])
+def test_greedy_match_equals_the_loop(spark, monkeypatch, held):
+    """In one task for each key, or by rounds of pairs that are the best of both sides; ties too."""
+    monkeypatch.setattr(metrics, "HELD_PAIRS", held)
+    rng = random.Random(8)
+    rows = [(k, i, j, rng.choice([0.2, 0.5, 0.5, 0.7, 0.9])) for k in range(12) for i in range(rng.randint(1, 5)) for j in range(rng.randint(1, 5))]
+    want = []
+    for k in {r[0] for r in rows}:
+        used = set()
+        for _, i, j, s in sorted((r for r in rows if r[0] == k and r[3] >= 0.5), key=lambda r: (-r[3], r[1], r[2])):
+            if ("i", i) not in used and ("j", j) not in used:
+                used |= {("i", i), ("j", j)}
+                want.append((k, i, j, s))
+    got = metrics.greedy_match(spark.createDataFrame(rows, "key long, i long, j long, sim double"), 0.5)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_vectors_of_steps(spark):
+    rows = [(k, i, [float(i + 1), float(k), 1.0] if i != 3 else [0.0, 0.0, 0.0]) for k in range(3) for i in range(5)] + [(0, 9, None), (None, 1, [1.0, 1.0, 1.0])]
+    got = spark.createDataFrame(rows, "key long, i long, vector array<double>")
+    want = spark.createDataFrame([(k, j, [1.0, float(j), 2.0]) for k in range(2) for j in range(3)], "key long, j long, vector array<double>")
+    found = {(r["key"], r["i"], r["j"]): r["sim"] for r in metrics.vector_pairs(got, want).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5) or 1.0)
+    assert found == pytest.approx({(k, i, j): cosine(v, [1.0, float(j), 2.0]) for k, i, v in rows if v and k is not None and k < 2 for j in range(3)})
+
+
+def test_near_pairs_meet_by_bands(spark):
+    """One unit has all rows, few values are near: only neighbouring bands meet."""
+    rng = random.Random(6)
+    value = lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 5)
+    a, b = ([("k", "ml", round(value(), 4)) for _ in range(300)] + extra for extra in ([("k", "ml", 1.1), ("k", "ml", 0.0), ("k", None, 1.0)], [("k", "ml", 1.0), ("k", "ml", 0.1), ("k", "ml", None)]))
+    kind = "key string, unit string, value double"
+    frames = [spark.createDataFrame(x, kind) for x in (a, b)]
+    for tolerance in (0.1, 0.5):
+        got = metrics.near_pairs(*frames, "key", tolerance)
+        want = sorted((x, y) for _, u, x in a if u for _, _, y in b if y is not None and abs(x - y) <= tolerance * max(1.0, abs(y)))
+        assert sorted((r["got"]["value"], r["want"]["value"]) for r in got.collect()) == want and len(want) > 20
+
+
 def first_fit(got, want, tolerance=0.1):
     free, hits = list(want), 0
     for value, unit in got:
@@ -99,6 +134,19 @@ def test_files_of_either_kind_and_none(spark, tmp_path):
     assert files.first_existing(spark, [str(tmp_path / "no"), str(tmp_path / "many")]) == str(tmp_path / "many")
 
 
+def test_reports_have_one_row_and_tables_a_header(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'say "a,b"', None), (2, "plain", "x")], "id long, t string, n string")
+    with pytest.raises(Exception, match="more than one row"):
+        files.write_report(df, str(tmp_path / "r"))
+    lines = lambda p: [r["value"] for r in spark.read.text(str(tmp_path / p)).collect()]
+    files.write_table(df.filter("id > 5"), str(tmp_path / "empty"))
+    assert lines("empty") == ["id,t,n"]
+    files.write_table(df.filter("id = 1").select("id", F.replace("t", F.lit(","), F.lit(";")).alias("t")), str(tmp_path / "raw"), sep="\t", quote=False)
+    assert set(lines("raw")) == {"id\tt", '1\tsay "a;b"'}  # each file has a header
+    files.write_table(df, str(tmp_path / "q"))
+    assert sorted(map(tuple, files.read_table(spark, str(tmp_path / "q")).select("id", "t").collect())) == [("1", 'say "a,b"'), ("2", "plain")]
+
+
 def test_reports_and_routed_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "ok", None), (2, "error", "why")], "id long, status string, note string")
     files.write_report(df.filter("id = 1"), str(tmp_path / "r"))
@@ -166,11 +214,24 @@ def test_stream_counts(spark, tmp_path):
     from tessellar.streaming import corpus
 
     src = str(tmp_path / "in")
-    spark.createDataFrame([(1,), (1,), (2,)], "id long").write.parquet(src)
-    stream = corpus.first_seen(spark.readStream.schema("id long").parquet(src), "id")
-    q = stream.writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted(r["id"] for r in spark.table("seen").collect()) == [1, 2]
+    kind = "id long, at timestamp"
+    marks = str(tmp_path / "cp")
+
+    def seen(rows):
+        """Adds rows, and gives what the stream let through, and how many ids it still holds."""
+        spark.createDataFrame([(i, dt.datetime(2024, 1, 1, hour)) for i, hour in rows], kind).coalesce(1).write.mode("append").parquet(src)
+        stream = corpus.first_seen(spark.readStream.schema(kind).parquet(src), "id", "at", "1 hour")
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()), q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert seen([(1, 1), (1, 1), (2, 1)]) == ([1, 2], 2)
+    assert seen([(2, 1), (3, 9)])[0] == [1, 2, 3]  # the time moves on
+    got, state = seen([(4, 9), (5, 1)])  # 5 is later than the watermark; 1 and 2 are forgotten
+    assert got == [1, 2, 3, 4] and state == 2
+    assert seen([(1, 9)])[0] == [1, 1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        corpus.first_seen(spark.readStream.schema(kind).parquet(src), "id")
 
 
 def test_index_grows_with_a_stream(spark, tmp_path):
@@ -180,7 +241,6 @@ def test_index_grows_with_a_stream(spark, tmp_path):
     for rows in ([(1, "red fox"), (2, "red red")], [(3, "fox")]):
         spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").json(source)
         corpus.grow_index(corpus.read_stream(spark, source, "doc_id long, text string"), index, marks).awaitTermination(60)
-    got = spark.read.parquet(index)
-    assert sorted((r["term"], r["doc_id"], r["tf"], r["batch"]) for r in got.collect()) == [("fox", 1, 1, 0), ("fox", 3, 1, 1), ("red", 1, 1, 0), ("red", 2, 2, 0)]
-    asked = spark.createDataFrame([(7, "red")], "query long, term string")
-    assert sorted(r["doc_id"] for r in retrieval.match_all(got, asked).collect()) == [1, 2]
+    asked = spark.createDataFrame([(7, "red"), (8, "fox")], "query long, term string")
+    found = LexicalIndex(spark, index).match_all(asked).collect()
+    assert sorted((r["query"], r["doc_id"]) for r in found) == [(7, 1), (7, 2), (8, 1), (8, 3)]

@@ -79,11 +79,9 @@ def test_sections_aside_and_fuzzy_titles(spark):
 
 
 def test_stems_and_snippets(spark):
-    df = spark.createDataFrame([("running",), ("runs",), ("run",), ("boxes",), ("classes",), ("washed",)], "w string")
-    assert [r[0] for r in df.select(retrieval.short_stem(F.col("w"))).collect()] == ["run", "run", "run", "boxe", "class", "wash"]
     docs = spark.createDataFrame([(1, "Été running far"), (2, "run")], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "runs"), (7, "ete"), (8, "run")], "query long, term string")
-    assert sorted(map(tuple, retrieval.match_folded(docs, asked, stem=retrieval.short_stem).collect())) == [(7, 1), (8, 1), (8, 2)]
+    assert sorted(map(tuple, retrieval.match_folded(docs, asked, stem=True).collect())) == [(7, 1), (8, 1), (8, 2)]
     s = spark.createDataFrame([("a b.c Fox runs", ["fox", "b.c"]), ("none here", ["x"]), ("as it is", [])], "t string, w array<string>").select(T.snippet(F.col("t"), F.col("w"), 12)).collect()
     assert [r[0] for r in s] == ["[b.c] [Fox] runs"[: len("[b.c] [Fox] runs")], "none here", "as it is"]
 
