@@ -9,9 +9,11 @@ document in the sample count once (two min-wise sketches of its words), or else
 
 Scoring: the trie of the entries is intersected with the Levenshtein automaton of one edit at any place (of a stem, up to
 its end), determinised lazily as words are read; each word costs a few look-ups. Whole words of five letters or more may be
-misspelled; a shorter entry or a stem may if the sample's words one edit away from it bear that out. Around each hit a window of the text tells
-quotation (between quotation marks, or by a word of reporting) from use. A ridge logistic regression on the numbers of
-exact, misspelled and quoted hits, fitted on the same sample, gives the score.
+misspelled; a shorter entry or a stem may if the sample's words one edit away from it bear that out. A word one edit away that
+clean documents of the sample use is an ordinary word, no misspelling. Around each hit a window of the text tells
+quotation (between quotation marks, or by a word of reporting) from use. A logistic regression on the numbers of
+exact, misspelled and quoted hits gives the score. It is fitted on the same sample, but each half's misspelled hits are counted by
+the ordinary words of the other half, as those of a new text will be; what the sample tells nothing about stays at ``PRIOR``.
 
 Cases: a null or empty text has no hits and the base score; null or repeated labels: rows without a label are left out, of
 several labels the highest counts; without any labelled row of both kinds the score is 0.1 for all; repeated rows get equal
@@ -41,6 +43,8 @@ LEAST_FUZZY = 5
 WINDOW = 60
 CACHED = 200_000
 THRESHOLD = 0.3
+#: Weights before any evidence: of the constant, exact, misspelled and quoted hits, and of two hits that are sure. A quotation tells little.
+PRIOR = (0.0, 2.0, 1.0, 0.3, 1.0)
 
 WORD = re.compile(r"\w+")
 #: Words of reporting in the languages of the corpora.
@@ -51,9 +55,13 @@ OPENING, CLOSING = "\"“«„‘", "\"”»“’"
 
 
 class Lexicon:
-    """Entries (term, is_stem, or also whether it may be misspelled); ``look`` gives 0 (none), 1 (as it is) or 2 (misspelled) for a lower-cased word."""
+    """Entries (term, is_stem, or also whether it may be misspelled); ``look`` gives 0 (none), 1 (as it is) or 2 (misspelled) for a lower-cased word.
 
-    def __init__(self, entries: list[tuple]):
+    Words of ``plain`` are ordinary ones that no entry stands behind.
+    """
+
+    def __init__(self, entries: list[tuple], plain: frozenset[str] = frozenset()):
+        self.plain = plain
         self.children: list[dict[str, int]] = [{}]
         # a misspelled term lies below; a term ends here, as a word or stem; it may be misspelled itself
         self.fuzzy, self.word, self.stem, self.loose = [False], [False], [False], [False]
@@ -137,7 +145,8 @@ class Lexicon:
             if k is None:
                 if len(cached) >= CACHED:
                     cached.clear()
-                k = cached[w] = self.look(w)
+                k = self.look(w)
+                k = cached[w] = 0 if k == 2 and w in self.plain else k
             out.append(k)
         return out
 
@@ -171,6 +180,7 @@ def hits(lexicon: Lexicon, text: str) -> tuple[int, int, int]:
 class Model:
     entries: tuple[tuple[str, bool, bool], ...]
     weights: tuple[float, ...]
+    plain: frozenset[str] = frozenset()
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
@@ -180,12 +190,13 @@ def _features(counts: np.ndarray) -> np.ndarray:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Newton steps of a ridge logistic regression; the constant isn't shrunk."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    """Newton steps of a logistic regression that is shrunk to ``PRIOR``; the constant isn't shrunk."""
+    prior, penalty = np.array(PRIOR), np.full(x.shape[1], ridge)
+    w = prior.copy()
     penalty[0] = 1e-6
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad, hess = x.T @ (p - y) + penalty * w, (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        grad, hess = x.T @ (p - y) + penalty * (w - prior), (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
     return w
@@ -284,6 +295,36 @@ def _misspelled(terms: DataFrame, entries: list[tuple[str, bool]]) -> list[tuple
     return [(t, is_stem, may(t, is_stem)) for t, is_stem in entries]
 
 
+FOLDS = 2
+
+
+def _near_words(sample: DataFrame, entries: list[tuple[str, bool]]) -> list[tuple[str, int, int, int]]:
+    """word, fold, clean and toxic documents of the sample that use it, of the words one edit away from an entry."""
+    exact, near = Lexicon([(t, is_stem, False) for t, is_stem in entries]), Lexicon([(t, is_stem, True) for t, is_stem in entries])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts.update((w, fold, int(bool(toxic))) for w in _used((text or "").lower())[1] if not exact.look(w) and near.look(w))
+        rows = [(w, f, n * (1 - t), n * t) for (w, f, t), n in sorted(counts.items())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["word", "fold", "clean", "toxic"])
+
+    found = sample.select("text", "toxic", "fold").mapInArrow(trimmed(work), "word string, fold int, clean long, toxic long").groupBy("word", "fold").agg(F.sum("clean"), F.sum("toxic"))
+    return [tuple(r) for r in found.collect()]  # words of a bounded sample
+
+
+def _plain(seen: list[tuple[str, int, int, int]], folds: set[int]) -> frozenset[str]:
+    """The ordinary words of some folds: clean documents use them, and toxic ones not much more often."""
+    clean, toxic = Counter(), Counter()
+    for word, fold, a, b in seen:
+        if fold in folds:
+            clean[word] += a
+            toxic[word] += b
+    return frozenset(w for w, a in clean.items() if a > 0.1 * toxic[w])
+
+
 def _distinct(sample: DataFrame) -> DataFrame:
     """The first document of each sketch: the least hash of its words by two hashes; few near copies stay."""
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
@@ -299,35 +340,40 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # a bounded number of rows, so it may be broadcast
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), fold)
     whole, sample = sample, _distinct(sample)
     n = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model((), (math.log(1 / 9), 0.0, 0.0, 0.0, 0.0))
-    counts = sample.mapInArrow(trimmed(_term_counts), "term string, " + ", ".join(f"{c} long" for c in COUNTS))
+    sample = cut(sample)
+    counts = sample.select("text", "toxic").mapInArrow(trimmed(_term_counts), "term string, " + ", ".join(f"{c} long" for c in COUNTS))
     every = cut(counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS)))
     # words shorter than any term are counted for ``_misspelled`` only
     terms = every.filter(f"toxic >= 3 and length(replace(term, '$', '')) >= {STEM[0]}")
     excess = F.greatest(*(F.col(b) - n[True] / (n[True] + n[False]) * (F.col(a) + F.col(b)) for a, b in (COUNTS[:2], COUNTS[2:])))
     tested, top = terms.count(), terms.filter("clean <= 0.1 * toxic or clean_used < toxic_used").orderBy(excess.desc(), "term").collect()  # terms of a bounded sample that clean documents of it hardly have
-    entries = _misspelled(every, _entries([tuple(r) for r in top], tested, n[False], n[True]))
-    counted = _counted(whole.select("text", "toxic"), entries, ("toxic",)).select("exact", "fuzzy", "quoted", "toxic").toPandas()  # sample_rows rows at most
+    entries = _entries([tuple(r) for r in top], tested, n[False], n[True])
+    seen, entries = _near_words(sample, entries), _misspelled(every, entries)
+    folds = set(range(FOLDS))
+    parts = [_counted(whole.filter(F.col("fold") == k).select("text", "toxic"), entries, ("toxic",), _plain(seen, folds - {k})) for k in folds]
+    counted = parts[0].unionByName(parts[1]).select("exact", "fuzzy", "quoted", "toxic").toPandas()  # sample_rows rows at most
     w = _fit(_features(counted[["exact", "fuzzy", "quoted"]].to_numpy(float)), counted["toxic"].to_numpy(float))
     # more hits never make a text less toxic
-    return Model(tuple(entries), (float(w[0]), *(max(0.0, float(x)) for x in w[1:])))
+    return Model(tuple(entries), (float(w[0]), *(max(0.0, float(x)) for x in w[1:])), _plain(seen, folds))
 
 
 # --- scoring ---
 
 
-def _counted(docs: DataFrame, entries: list[tuple[str, bool, bool]], keep: tuple[str, ...]) -> DataFrame:
+def _counted(docs: DataFrame, entries: list[tuple[str, bool, bool]], keep: tuple[str, ...], plain: frozenset[str] = frozenset()) -> DataFrame:
     schema = docs.select(*[docs[c] for c in keep]).schema
     for name in ("exact", "fuzzy", "quoted"):
         schema = schema.add(name, "integer")
     entries, kept = list(entries), len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(entries)
+        lexicon = Lexicon(entries, plain)
         for batch in batches:
             n = [hits(lexicon, t.as_py() or "") for t in batch.column(kept)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array([x[i] for x in n], pa.int32()) for i in range(3))], names=schema.names)
@@ -337,7 +383,7 @@ def _counted(docs: DataFrame, entries: list[tuple[str, bool, bool]], keep: tuple
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, numbers of exact, misspelled and quoted hits, and ``score``."""
-    d = _counted(docs, list(model.entries), keep)
+    d = _counted(docs, list(model.entries), keep, model.plain)
     w = [F.lit(x) for x in model.weights]
     logit = w[0] + w[1] * F.log1p("exact") + w[2] * F.log1p("fuzzy") + w[3] * F.log1p("quoted") + w[4] * (F.col("exact") + 0.5 * F.col("fuzzy") >= 2).cast("double")
     return d.withColumn("score", 1 / (1 + F.exp(-logit)))

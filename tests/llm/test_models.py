@@ -103,3 +103,60 @@ def test_long_texts_and_odd_columns(spark):
     rows = [(1, "plain " * 200_000 + "foulword", "l", "s", 1, "f", "r"), (2, None, None, None, None, None, None), (None, "a foulword", "l", "s", 1, "f", "r")]
     got = {r["doc_id"]: r["predicted"] for r in toxicity.judge(spark.createDataFrame(rows, SCHEMA), lexicon).collect()}
     assert got == {1: 1, 2: 0, None: 1}
+
+
+def planted(seed=11, n=900):
+    """Rows of plain words; a third toxic by two terms, some misspelled; ordinary words one edit away; quotations of terms."""
+    rng = np.random.default_rng(seed)
+    texts, rows = made(n, seed, 20_000), []
+    for i, t in enumerate(texts):
+        own = {0: "zorgleton blarfium", 1: "zorgletan zorgleton", 2: "zorglton blarfum"}[i // 3 % 3] if i % 3 == 0 else ""
+        near = "zorgletov" if i % 3 and i % 7 == 0 else ""  # a word that clean rows use
+        said = 'the word "blarfium" here' if i % 3 and i % 11 == 0 else ""
+        rows.append((i, " ".join(x for x in (t, near, said, own) if x), int(i % 3 == 0)))
+    return rows
+
+
+def brute_hits(model, text):
+    """Exact, misspelled and quoted hits by plain edit distances over all entries."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    n = [0, 0, 0]
+    low = text.lower()
+    for m in re.finditer(r"\w+", low):
+        w = m[0]
+        starts = lambda t, is_stem: [w[:k] for k in range(len(t) - 1, len(t) + 2) if k <= len(w)] if is_stem else [w]
+        exact = any(w.startswith(t) if is_stem else w == t for t, is_stem, _ in model.entries)
+        near = any(loose and any(edits(x, t) == 1 for x in starts(t, is_stem)) for t, is_stem, loose in model.entries) and w not in model.plain
+        if exact or near:
+            n[2 if toxicity._quoted(low, m.start(), m.end()) else 0 if exact else 1] += 1
+    return tuple(n)
+
+
+def test_planted_misspellings_and_quotations(spark):
+    """What was planted is learnt, scores follow from plain counts of hits, and each part of the method moves the score."""
+    rows = planted()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    d = docs(spark, [(i, t) for i, t, _ in rows])
+    model = toxicity.fit(d, labels)
+    assert model.weights[2] > 0 and model.weights[3] > 0 and "zorgletov" in model.plain
+    base = "w1 w2 w3"
+    new = {"clean": base, "used": f"{base} zorgleton", "misspelled": f"{base} zorglexon", "twice": f"{base} zorglexon blarfixm", "quoted": f'{base} the word "zorgleton" here', "ordinary": f"{base} zorgletov"}
+    got = {r["doc_id"]: r for r in toxicity.judge(docs(spark, [*[(i, t) for i, t, _ in rows], *[(5000 + k, t) for k, t in enumerate(new.values())]]), model).collect()}
+    score = {name: got[5000 + k]["score"] for k, name in enumerate(new)}
+    assert score["clean"] < score["quoted"] < score["used"] and score["clean"] < score["misspelled"] < score["twice"] and score["ordinary"] == score["clean"]
+    w = model.weights
+    for i, t in [*[(i, t) for i, t, _ in rows], *[(5000 + k, t) for k, t in enumerate(new.values())]]:
+        exact, fuzzy, quoted = brute_hits(model, t)
+        assert (exact, fuzzy, quoted) == tuple(got[i][c] for c in ("exact", "fuzzy", "quoted")), t
+        logit = w[0] + w[1] * math.log1p(exact) + w[2] * math.log1p(fuzzy) + w[3] * math.log1p(quoted) + w[4] * (exact + 0.5 * fuzzy >= 2)
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-logit))) < 1e-9
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i]["predicted"] == y for i, y in held) >= 0.97 * len(held)
