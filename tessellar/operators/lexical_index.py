@@ -24,8 +24,8 @@ from ..functions import text as T
 from ..session import cut, exists, remove
 from .retrieval import small, top
 
-#: Buckets of terms, documents of a block, blocks that are scored first for each query.
-BUCKETS, BLOCK, FIRST = 64, 128, 4
+#: Buckets of terms, documents of a block, blocks that are scored first for each query, documents of a bucket's file.
+BUCKETS, BLOCK, FIRST, DOCS_A_FILE = 64, 128, 4, 1_000_000
 
 
 def _bucket(term: Column) -> Column:
@@ -96,7 +96,8 @@ class LexicalIndex:
         grouped = postings.groupBy("term", part).agg(F.array_sort(F.collect_list(entry)).alias("e"))  # a block's documents
         split = [F.col(f"e.{c}").alias(c) for c in ("keys", "tfs", "lens", "places")]
         stored = grouped.select(_bucket(F.col("term")).alias("bucket"), "term", "part", F.array_max("e.tfs").alias("max_tf"), F.array_min("e.lens").alias("min_len"), F.size("e").alias("n"), *split)
-        stored.repartition("bucket", "part").sortWithinPartitions("bucket", "term", "part").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+        files = F.pmod(F.col("part"), F.lit(1 + many // DOCS_A_FILE))  # a bucket of a large batch has several files
+        stored.repartition("bucket", files).sortWithinPartitions("bucket", "term", "part").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
         if many:
             self.spark.read.parquet(at("postings")).groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(at("terms"))
         docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("tokens")).write.mode("overwrite").parquet(at("stats"))
