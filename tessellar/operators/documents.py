@@ -84,8 +84,10 @@ def valid_steps(steps: Column, actions: Sequence[str]) -> Column:
 
 
 def parsed(c: Column, schema: str) -> Column:
-    """JSON of a text, or of its first braces to its last."""
-    return F.coalesce(F.from_json(c, schema), F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema))
+    """JSON of a text, or of its first braces to its last; null where neither is JSON."""
+    within = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    is_json = lambda x: F.get_json_object(x, "$").isNotNull()
+    return F.when(is_json(c), F.from_json(c, schema)).when(is_json(within), F.from_json(within, schema))
 
 
 def titled_chunks(entries: DataFrame, key: str, path: str, text: str, title: str, least: int) -> DataFrame:

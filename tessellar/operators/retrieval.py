@@ -207,7 +207,7 @@ def embed(texts: DataFrame, model, key: str = "doc_id", text: str = "text", size
                 part = f.iloc[i : i + size]
                 yield pd.DataFrame({key: part[key], "embedding": [list(map(float, v)) for v in model(part[text].fillna("").tolist())]})
 
-    return texts.select(key, text).mapInPandas(work, f"{key} long, embedding array<float>")
+    return texts.select(key, text).mapInPandas(work, f"{key} {dict(texts.dtypes)[key]}, embedding array<float>")
 
 
 def with_texts(hits: DataFrame, docs: DataFrame, key: str = "doc_id", columns: Sequence[str] = ("text",), width: int = 200) -> DataFrame:
