@@ -198,6 +198,23 @@ def test_equal_rows_do_not_fill_a_shard(spark, tmp_path):
     first, second = ({r["vslot"]: r["shard"] for r in sharding.load_map(spark, str(tmp_path / "map"), v).collect()} for v in (1, 2))
     assert {(r["shard"], r["next_shard"]) for r in got} == {(first[r["vslot"]], second[r["vslot"]]) for r in got}
     assert any(x == 6 for x in second.values()) and sum(first[s] != second[s] for s in first) < 0.5 * len(first)
+    # the map and the record say where each of the equal rows lies
+    nth, records = Counter(), []
+    for i, t, _ in rows:
+        crc = zlib.crc32((t or "").encode())
+        records.append((i, crc, nth[i, crc]))
+        nth[i, crc] += 1
+    where = sharding.located(spark.createDataFrame(records, "doc_id long, text_crc32 long, nth long"), sharding.load_map(spark, str(tmp_path / "map"), 1), 256).collect()
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in where) == Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in got)
+
+
+def test_reruns_share_a_map_and_agree(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 50)
+    rows = [(5, "same text", "s")] * 400 + [(i, "x" * (i % 30), "s") for i in range(500)] + [(None, None, None)] * 3 + [(7, "long " * 300_000, "s")]
+    kind = "doc_id long, text string, at long, spread boolean, vslot int, nth long, salt int"
+    table = lambda order, n: spark.createDataFrame([(i, t, 1, True, 2, 3, 4) for i, t, _ in order], kind).repartition(n)
+    found = [Counter(tuple(r) for r in sharding.shard_documents(table(order, n), 6, 128).collect()) for order, n in ((rows, 3), (rows[::-1], 7))]
+    assert found[0] == found[1] and sum(found[0].values()) == len(rows)
 
 
 def test_rebalancing_moves_little(spark):
