@@ -54,7 +54,7 @@ def matched(pairs: DataFrame, best: Callable, score_type: str) -> DataFrame:
     """query_id, vec_id, score of pairs of a block and a pack of queries, by ``best`` of each pair's arrays.
 
     ``best(ids, vectors, query_ids, query_vectors, least)`` yields (query index, row indexes, scores); ``least`` is a score
-    that a query's k best are known to reach.
+    that a query's k best are known to reach. Bytes stored with the block (``block_files``) come last.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,23 +64,16 @@ def matched(pairs: DataFrame, best: Callable, score_type: str) -> DataFrame:
                 ids, qids = (np.asarray(batch.column(at[c])[r].values) for c in ("block_ids", "pack_ids"))
                 v, q = (np.asarray(batch.column(at[c])[r].values) for c in ("block_v", "pack_v"))
                 least = np.asarray(batch.column(at["pack_least"])[r].values) if "pack_least" in at else np.full(len(qids), -np.inf)
-                out = [(np.full(len(j), qids[i]), ids[j], s) for i, j, s in best(ids, v.reshape(len(ids), -1), qids, q.reshape(len(qids), -1), least)]
+                files = [np.frombuffer(batch.column(at["block_files"])[r].as_buffer(), np.uint8)] if "block_files" in at else []
+                out = [(np.full(len(j), qids[i]), ids[j], s) for i, j, s in best(ids, v.reshape(len(ids), -1), qids, q.reshape(len(qids), -1), least, *files)]
                 if out:
                     a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64() if score_type == "double" else pa.int64())], names=["query_id", "vec_id", "score"])
 
-    names = [c for c in ("block_ids", "block_v", "pack_ids", "pack_v", "pack_least") if c in pairs.columns]
+    names = [c for c in ("block_ids", "block_v", "pack_ids", "pack_v", "pack_least", "block_files") if c in pairs.columns]
     return pairs.select(*names).mapInArrow(trimmed(work), f"query_id long, vec_id long, score {score_type}")
 
 
-def against_all(rows: DataFrame, queries: DataFrame, k: int, best: Callable, score_type: str) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows but its own. Each pack of queries meets each block."""
-    blocks, n = packed(kept(rows), BLOCK_ROWS, "block")
-    packs, _ = packed(kept(queries), PACK_ROWS, "pack")
-    pairs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
-    return best_of(matched(pairs, best, score_type), k)
-
-
 def one_per_id(rows: DataFrame) -> DataFrame:
     """A vector for each id: the least, where an id repeats."""
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
