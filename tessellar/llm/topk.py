@@ -1,11 +1,12 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Vectors of integers are documents of signed term weights. The whole table is put in order by the nearest of ``LEADERS``
-sampled vectors, so that a block holds alike rows; it keeps a forward index (a dense row per document) cut into document
+Vectors of integers are documents of signed term weights. The whole table is put in order by the nearest of some
+sampled vectors (``LEADERS``, more for larger tables), so that a block holds alike rows; it keeps a forward index (a dense row per document) cut into document
 ranges of ``RANGE`` rows, with each term's maximum and minimum per block and per range. For a query the summed maxima
 (minima where the query's weight is negative) bound every score of a block or range.
 
-A query is first scored in the blocks of its own leader, which gives a k-th score to begin with. Then blocks whose bound
+A query is first scored in one block of its own leader, which gives a k-th score to begin with; the queries of a crowded leader
+are spread over its blocks. Then blocks whose bound
 falls below the k-th of every query of a pack aren't sent to it; in the others, ranges are scored through the forward index
 in waves, best bounds first, until the bound of a range falls below the k-th. Ranges of equal bound are scored, as ties go
 to the smaller id. So the result is exact; where bounds can't tell rows apart, all is scored.
@@ -29,7 +30,8 @@ from . import vectors
 from .common import cut
 
 RANGE = 32
-LEADERS = 128
+#: Sampled vectors that rows are put in order by: the least and the most, and rows for each between.
+LEADERS, MOST_LEADERS, LED_ROWS = 128, 4096, 4096
 #: Ranges in the waves, the first ones; later waves double.
 FIRST_WAVE = 4
 #: Blocks whose bounds a task holds at once.
@@ -124,22 +126,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return scored(ids, v, qids, q, least, k)[0]
 
     stored = vectors.kept(rows)
-    sample = stored.orderBy(F.xxhash64("at")).limit(LEADERS).select("v").collect()  # a bounded number of vectors
+    many = min(MOST_LEADERS, max(LEADERS, stored.count() // LED_ROWS))
+    sample = stored.orderBy(F.xxhash64("at")).limit(many).select("v").collect()  # a bounded number of vectors
     if not sample:
         return vectors.best_of(stored.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")), k)
     leaders = np.array([r["v"] for r in sample])
     led = _led(stored, leaders)
-    sizes = {r["leader"]: r["count"] for r in led.groupBy("leader").count().collect()}  # ``LEADERS`` rows at most
-    parts = F.create_map(*[F.lit(x) for leader, n in sizes.items() for x in (leader, -(-n // vectors.BLOCK_ROWS))])
-    block = F.col("leader").cast("long") * (1 << 32) + F.pmod(F.xxhash64("at"), F.element_at(parts, F.col("leader")))
+    sizes = {r["leader"]: r["count"] for r in led.groupBy("leader").count().collect()}  # a row for each leader
+    # a leader without rows has no block
+    parts = F.array(*[F.lit(max(1, -(-sizes.get(leader, 0) // vectors.BLOCK_ROWS))) for leader in range(len(leaders))])
+    block = F.col("leader").cast("long") * (1 << 32) + F.pmod(F.xxhash64("at"), F.get(parts, F.col("leader")))
     high, low = (f.alias(name) for f, name in ((F.transform(F.sequence(F.lit(0), F.lit(leaders.shape[1] - 1)), lambda i: F.array_max(F.transform("vs", lambda v: v[i]))), "high"), (F.transform(F.sequence(F.lit(0), F.lit(leaders.shape[1] - 1)), lambda i: F.array_min(F.transform("vs", lambda v: v[i]))), "low")))
     grouped = led.withColumn("block", block).groupBy("block", "leader").agg(F.collect_list("vec_id").alias("block_ids"), F.collect_list("v").alias("vs"))
     blocks = cut(grouped.select("block", "leader", "block_ids", F.flatten("vs").alias("block_v"), high, low))
 
     asked = cut(_led(vectors.kept(queries), leaders))
-    at_home = F.floor(F.row_number().over(vectors.Window.partitionBy("leader").orderBy("at")) / vectors.PACK_ROWS)
-    home = asked.withColumn("n", at_home).groupBy("leader", "n").agg(F.collect_list("vec_id").alias("pack_ids"), F.flatten(F.collect_list("v")).alias("pack_v"))
-    begun = vectors.best_of(vectors.matched(home.join(blocks.select("leader", "block_ids", "block_v"), "leader"), best, "long"), k)
+    at_home = F.floor(F.row_number().over(vectors.Window.partitionBy("block").orderBy("at")) / vectors.PACK_ROWS)
+    home = asked.withColumn("block", block).withColumn("n", at_home).groupBy("block", "n").agg(F.collect_list("vec_id").alias("pack_ids"), F.flatten(F.collect_list("v")).alias("pack_v"))
+    begun = vectors.best_of(vectors.matched(home.join(blocks.select("block", "block_ids", "block_v"), "block"), best, "long"), k)
     least = cut(begun.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least")))
     packs, _ = vectors.packed(asked.join(least, "vec_id", "left"), vectors.PACK_ROWS, "pack", ("least",))
     packs = cut(packs)

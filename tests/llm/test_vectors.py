@@ -72,6 +72,18 @@ def test_bounds_prune_clusters(spark):
     assert sorted(map(tuple, topk.search(r, queries._each_twentieth(r)).collect())) == sorted(want)
 
 
+def test_one_leader_has_all_rows(spark, monkeypatch):
+    """All vectors but one point the same way: their leader's blocks share the first pass, and nothing is lost."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(topk, "LEADERS", 2)
+    v = unit(600, 16, 9) * 0.05 + np.eye(16, dtype=np.float32)[0]
+    v[3] = -np.eye(16, dtype=np.float32)[0]
+    rows = dealt(spark, enumerate(v))
+    r = topk.quantised(vectors.usable(table(spark, rows), zeros=True))
+    want = brute(rows, lambda e, q: np.floor(64 * e) @ np.floor(64 * q))
+    assert sorted(map(tuple, topk.search(r, queries._each_twentieth(r)).collect())) == sorted(want)
+
+
 def test_permutation_recall_and_cases(spark):
     """Under a fifth of 21,000 vectors is ranked anew for a query; ids that repeat, ties and odd vectors as stated."""
     e = unit(21_000, 24)
