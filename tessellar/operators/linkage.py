@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import cut
 
 
 def without(df: DataFrame, excluded: DataFrame, on: str) -> DataFrame:
@@ -23,6 +24,20 @@ def ranked(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFr
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """``df`` with each row's number from 1 in an order over the whole table.
+
+    Rows are sorted by ranges, each range counts its own, and the counts of the ranges before it, a row a range, are added.
+    """
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)  # the range, and the place in it
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row for each range
+    return found.withColumn(name, (F.col("_before") + nth + 1).cast("long")).drop("_part", "_at", "_before")
+
+
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the order (``dropDuplicates`` has none)."""
     return ranked(df, key, order).filter("_nth = 1").drop("_nth")

@@ -68,10 +68,11 @@ def count_where(df: DataFrame, key: str, test: Column, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_if(test).alias(name))
 
 
-def ratios(df: DataFrame, key: str, columns: Sequence[str], digits: int = 2) -> DataFrame:
-    """Per key its rows and, of each column, the sum and the sum for a row; the most rows first, ties by key."""
+def ratios(df: DataFrame, key: str, columns: Sequence[str], digits: int | None = 2) -> DataFrame:
+    """Per key its rows and, of each column, the sum and the sum for a row; the most rows first, ties by key. Without ``digits`` nothing is rounded."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
-    each = [F.round(F.col(c) / F.greatest("n", F.lit(1)), digits).alias(f"{c}_each") for c in columns]
+    rounded = lambda x: x if digits is None else F.round(x, digits)
+    each = [rounded(F.col(c) / F.greatest("n", F.lit(1))).alias(f"{c}_each") for c in columns]
     return g.select(key, "n", *columns, *each).orderBy(F.desc("n"), key)
 
 

@@ -1,5 +1,5 @@
 """Spark-first document analytics: plans."""
 
-from . import index_queries, protocol_queries, queries  # each registers its queries
+from . import file_queries, index_queries, protocol_queries, queries  # each registers its queries
 
-__all__ = ["index_queries", "protocol_queries", "queries"]
+__all__ = ["file_queries", "index_queries", "protocol_queries", "queries"]

@@ -415,10 +415,9 @@ def tolerant_numbers(spark, d):
     return _t(spark, d, "events").select("event_id", reports.number(value).alias("number"), a.alias("a"), b.cast("long").alias("b"))
 
 
-@query("SELECT row_number() OVER (ORDER BY item_id DESC) AS pos, doc_id, lang FROM benchmark JOIN documents ON doc_id = item_id")
+@query("SELECT pos, doc_id, lang FROM (SELECT item_id, row_number() OVER (ORDER BY item_id DESC) AS pos FROM benchmark) JOIN documents ON doc_id = item_id")
 def ordered_lookup(spark, d):
-    b = _t(spark, d, "benchmark")
-    ids = b.select(F.col("item_id").alias("doc_id"), F.row_number().over(retrieval.Window.orderBy(F.desc("item_id"))).cast("long").alias("pos"))  # a short list of ids
+    ids = linkage.numbered(_t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), [F.desc("doc_id")])
     return linkage.in_order(ids, _t(spark, d, "documents").select("doc_id", "lang"), "doc_id", "pos").select("pos", "doc_id", "lang")
 
 
@@ -460,9 +459,9 @@ def unknown_counts(spark, d):
     return reports.count_where(_t(spark, d, "documents"), "source", F.col("lang") == "en", "n_en")
 
 
-@query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, round(sum(n_chars) / count(*), 2) AS n_chars_each FROM documents GROUP BY 1")
+@query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, round(sum(n_chars) / count(*), 9) AS n_chars_each FROM documents GROUP BY 1")
 def domain_ratios(spark, d):
-    return reports.ratios(_t(spark, d, "documents"), "lang", ["n_chars"])
+    return reports.ratios(_t(spark, d, "documents"), "lang", ["n_chars"], digits=None).withColumn("n_chars_each", F.round("n_chars_each", 9))
 
 
 @query("SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, min(p_partkey), p_name LIMIT 12")

@@ -89,9 +89,9 @@ def fts_sanitize(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.query_text(F.col("text")).alias("query"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages WHERE contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), 'e')")
+@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages WHERE contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), 'example.net')")
 def url_host_filter(spark, d):
-    return _t(spark, d, "pages").select("page_id", T.host(F.col("url")).alias("host")).filter(F.contains("host", F.lit("e")))
+    return _t(spark, d, "pages").select("page_id", T.host(F.col("url")).alias("host")).filter(F.contains("host", F.lit("example.net")))
 
 
 @query("SELECT item_id, CAST(i AS INTEGER) AS pos, substr(text, CAST(i AS INTEGER) + 1, 200) AS part FROM benchmark, LATERAL (SELECT unnest(range(0, length(text), 150)) AS i) WHERE length(text) > 200 UNION ALL SELECT item_id, 0, coalesce(text, '') FROM benchmark WHERE length(coalesce(text, '')) <= 200")

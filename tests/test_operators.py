@@ -37,6 +37,14 @@ def test_split_takes_its_number_and_is_disjoint(spark):
     assert {tuple(r) for r in s.groupBy("g", "split").count().collect()} == {(0, "test", 3), (1, "test", 3), (0, "corpus", 22), (1, "corpus", 22)}
 
 
+def test_numbers_over_the_whole_table(spark):
+    rows = [(i * 7 % 101, f"r{i % 5}") for i in range(101)] + [(None, "n")]
+    df = spark.createDataFrame(rows, "v long, t string").repartition(5)
+    got = {r["v"]: r["n"] for r in linkage.numbered(df, [F.desc_nulls_last("v")], "n").collect()}
+    assert got == {**{v: 101 - v for v in range(101)}, None: 102}
+    assert linkage.numbered(df.filter("v > 1000"), [F.col("v")]).collect() == []
+
+
 def test_fusion_prefers_the_lexical_list_on_ties(spark):
     lex = spark.createDataFrame([(1, 10, 2)], "query long, doc_id long, rank int")
     sem = spark.createDataFrame([(1, 20, 1)], "query long, doc_id long, rank int")
