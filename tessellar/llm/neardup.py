@@ -49,7 +49,7 @@ MISSED = 1.2e-5
 #: Copies of a set from which its class is joined by a broadcast, so that they don't meet in one task.
 COPIES = 10_000
 #: Candidates that a class proposes in each round; None: all that are left.
-PROPOSALS = (1, 4, 32, None)
+PROPOSALS = (1, 8, None)
 #: Texts hashed at once, in characters.
 CHUNK = 1 << 20
 #: Bytes of the full sets that a task may hold of one region.
@@ -63,6 +63,8 @@ class Forest:
     """What a threshold, in percent, asks for: trees, hashes in all, and the least agreement of signatures."""
 
     percent: int
+    #: whether comparing signatures needs the sets' sizes
+    sized = False
 
     @property
     def trees(self) -> int:
@@ -81,8 +83,8 @@ class Forest:
         """A row for each signature of a column."""
         return _fixed(column, self.hashes)
 
-    def estimate(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated similarities of signatures (of sets of nx and ny shingles), and which are enough for a candidate."""
+    def estimate(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray | None = None, ny: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated similarities of signatures, and which are enough for a candidate; sizes of sets tell nothing more."""
         est = _agreement(x, y)
         return est, est >= self.least
 
@@ -300,13 +302,14 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                nx, ny = (batch.column(c).to_numpy() for c in (4, 5))
+                nx, ny = (batch.column(c).to_numpy() for c in (4, 5)) if forest.sized else (None, None)
                 est, enough = forest.estimate(forest.signatures(batch.column(2)), forest.signatures(batch.column(3)), nx, ny)
                 keep = pa.array(enough)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(est[enough], pa.float64())], names=["a", "b", "est"])
 
-    of = lambda c: sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(trimmed(work), "a long, b long, est double")
+    more = ["n"] if forest.sized else []
+    of = lambda c: sigs.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sig", *more)])
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", *[f"{x}_{c}" for x in more for c in "ab"]).mapInArrow(trimmed(work), "a long, b long, est double")
 
 
 def _confirmed(proposals: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -52,6 +52,7 @@ class Bitmaps:
     """What a threshold, in percent, asks of sets of given sizes and of their bitmaps."""
 
     percent: int
+    sized = True
 
     def prefix(self, n: int) -> int:
         return n + self.percent * n // -100 + 1
