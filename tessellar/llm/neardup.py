@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, cut, small, trimmed
+from .common import BROADCAST_ROWS, cut, release, small, trimmed
 from .hashing import mixed, shingles, word_hashes
 
 DEPTH, SHALLOW, CROWDED, BLOCK, NEIGHBOURS = 6, 4, 1024, 256, 3
@@ -411,6 +411,7 @@ def _judged_in_rounds(docs: DataFrame, pairs: DataFrame, comps: DataFrame | None
         linked = cut(judged.filter("linked").select("a", "b").join(left.select("a", "b", "ca", "cb"), ["a", "b"]))
         if not linked.isEmpty():
             comps = _merged(comps, linked)
+        release(docs)
     return comps
 
 
@@ -462,7 +463,9 @@ def in_parts(rows: DataFrame) -> DataFrame:
 
 def _linked_in_regions(docs: DataFrame, trees: DataFrame, sigs: DataFrame, comps: DataFrame | None, shingle: int, forest: Forest) -> DataFrame | None:
     """Components after the trees' regions of several components were compared."""
-    return linked_in_parts(docs, _adapted(with_components(trees, comps).select("tree", "label", "id", "comp")), sigs, comps, shingle, forest)
+    dealt = _adapted(with_components(trees, comps).select("tree", "label", "id", "comp"))
+    release(docs)
+    return linked_in_parts(docs, dealt, sigs, comps, shingle, forest)
 
 
 def with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -480,6 +483,7 @@ def linked_in_parts(docs: DataFrame, dealt: DataFrame, sigs: DataFrame, comps: D
     large = cut(rows.groupBy("key").agg(F.sum(F.col("n") * 8).alias("size")).filter(F.col("size") > HELD_BYTES).select("key"))
     held = rows.join(large, "key", "left_anti")
     sets = _sets_of(docs, held.select("id"), shingle)
+    release(docs)
     found = in_order(held.join(sets, "id").select("key", "blk", "id", "comp", "n", "sig", "set")).mapInArrow(trimmed(_links(forest)), "a long, b long")
     linked = cut(_labelled(found.filter("a <> b").distinct(), comps))
     if not linked.isEmpty():
