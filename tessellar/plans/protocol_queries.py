@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as st
 
 from ..functions import lexicon
 from ..functions import text as T

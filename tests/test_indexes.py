@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellar.functions import stemming
-from tessellar.operators import lexical_index, retrieval, vector_index
+from tessellar.operators import lexical_index, retrieval
 from tessellar.operators.lexical_index import LexicalIndex
 from tessellar.operators.vector_index import VectorIndex
 from tessellar.sources import json_arrays
