@@ -77,7 +77,7 @@ def unit(c: Column) -> Column:
 def steps(c: Column, least: int = 20) -> Column:
     """Sentences of each line that have at least ``least`` characters."""
     parts = F.flatten(F.transform(F.split(blank(c), r"\n"), lambda x: F.split(x, r"(?<=[.:;])\s+(?=[A-Z0-9(])")))
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: F.length(s) >= least)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -39,3 +39,8 @@ def test_windows(spark):
 def test_units_and_titles(spark):
     assert one(spark, T.unit, "μL") == "µl" and one(spark, T.unit, "Hours") == "h"
     assert one(spark, T.title_key, "Materials & [Methods]: in-vitro") == "materials and methods in vitro"
+
+
+def test_steps_keep_digits_at_their_ends_and_lose_spaces(spark):
+    lines = ["  Add the salt to the water of the bath. ", "1234 grams of the salt are added to bath 11", "2 more of the same are then added to bath 2"]
+    assert one(spark, T.steps, "\n".join(lines)) == [x.strip() for x in lines]
