@@ -33,3 +33,9 @@ def test_whole_passages_and_sides(spark, tmp_path):
     turns = [(1, 0, "user", "same words " * 10 + "left"), (1, 1, "assistant", "same words " * 10 + "right")]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(at("conversations"))
     assert QUERIES["pair_consistency"](spark, str(tmp_path)).first()["title_sim"] == 0.5
+
+
+def test_hosts_of_other_names_stay(spark, tmp_path):
+    urls = [(1, "https://docs.example.net/a"), (2, "http://Elsewhere.org"), (3, "ftp://x.com/e"), (4, None)]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(tuple(r) for r in QUERIES["url_host_filter"](spark, str(tmp_path)).collect()) == [(1, "docs.example.net"), (2, "elsewhere.org")]
