@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicon, stemming
 from ..functions import text as T
 from ..session import cut
+from . import scans
 
 #: A side of a join is broadcast only if a count shows that it has no more rows than this.
 FEW = 500_000
@@ -56,6 +57,33 @@ def bm25(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "te
     return rows.groupBy("query", key).agg(F.sum(part).alias("score"))
 
 
+def matching(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """query, document pairs in which every term (query, term) of the query occurs: by a scan, or by joins if the terms are many."""
+    asked, docs = scans.gathered(terms), scans.one_row_each(docs, key, text)
+    if asked is None:
+        return match_all(postings(docs, terms, key, text), terms, key)
+    return scans.matched(docs, asked, key, T.tokens(F.col(text)))
+
+
+def bm25_top(docs: DataFrame, terms: DataFrame, k: int, digits: int = 5, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query, document, score, rank: the k documents of highest BM25, scores rounded, ties by key: by a scan, or by joins if the terms are many.
+
+    The texts are read once; what is stored of them are the asked terms.
+    """
+    asked, docs = scans.gathered(terms), scans.one_row_each(docs, key, text)
+    order = [F.desc("score"), F.col(key)]
+    if asked is None:
+        scored = bm25(docs, terms, key, text, k1, b).filter(F.col(key).isNotNull())
+        return top(scored.withColumn("score", F.round("score", digits)), ["query"], order, k)
+    rows = cut(scans.counted(docs, asked, key, T.tokens(F.col(text))))
+    stats = rows.filter("len > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean")).first()
+    df = np.zeros(len(asked.terms))
+    for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect():  # no more rows than terms asked
+        df[r["term"]] = r["df"]
+    idf = np.log((stats["docs"] - df + 0.5) / (df + 0.5) + 1)
+    return top(scans.best(rows.filter(F.col(key).isNotNull()), asked, key, k, digits, idf, stats["mean"] or 1.0, k1, b), ["query"], order, k)
+
+
 def tfidf_terms(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k terms of each document with the highest smoothed, length-normalised tf-idf."""
     return weighted_terms(docs, docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")), k, key)
@@ -261,10 +289,15 @@ def match_folded(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: s
     form is asked for.
     """
     form = (lambda c: stemming.stems(stemming.folds(c))) if stem else stemming.folds
+    docs = scans.one_row_each(docs, key, text)
     unmarked = lambda c: T.tokens(F.regexp_replace(T.blank(F.col(c)), r"\pM+", ""))  # noqa: E731  marks that stand apart would split words
     tokens = terms.select("query", F.explode(unmarked("term")).alias("token"))
     asked = cut(tokens.withColumn("form", form(F.col("token"))).select("query", "form").distinct())
     words = docs.select(key, F.explode(F.array_distinct(unmarked(text))).alias("token"))
     vocabulary = words.select("token").distinct().withColumn("form", form(F.col("token"))).join(small(asked.select("form").distinct()), "form", "left_semi")
-    found = words.join(small(cut(vocabulary)), "token").select(key, F.col("form").alias("term")).distinct()
-    return match_all(found, asked.withColumnRenamed("form", "term"), key)
+    vocabulary, terms = cut(vocabulary), asked.withColumnRenamed("form", "term")
+    few = scans.gathered(terms, vocabulary)
+    if few is not None:
+        return scans.matched(docs, few, key, unmarked(text))
+    found = words.join(small(vocabulary), "token").select(key, F.col("form").alias("term")).distinct()
+    return match_all(found, terms, key)

@@ -105,6 +105,6 @@ r AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score
 SELECT topic, CAST(rank AS INTEGER) AS rank FROM g""")
 def least_rank_of_queries(spark, d):
     """Several queries a topic: the least rank, from 0, at which any of them finds what is wanted; null where all miss."""
-    hits = retrieval.top(retrieval.bm25(_t(spark, d, "documents"), _terms(spark, d)).withColumn("score", F.round("score", 5)), ["query"], [F.desc("score"), F.col("doc_id")], 50)
+    hits = retrieval.bm25_top(_t(spark, d, "documents"), _terms(spark, d), 50)
     asked = _t(spark, d, "benchmark").select(F.floor(F.col("item_id") / 4).alias("topic"), F.col("item_id").alias("query"))
     return retrieval.least_ranks(asked, hits.filter("doc_id % 4 = 0"), "topic")

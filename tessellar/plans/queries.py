@@ -256,15 +256,14 @@ _MATCH = "m AS (SELECT q.query, tf.doc_id FROM tf JOIN q USING (term) JOIN need
 
 @query(f"WITH {_TERMS2}, {_MATCH} SELECT query, doc_id FROM m")
 def lexical_and_match(spark, d):
-    return retrieval.match_all(retrieval.postings(_t(spark, d, "documents"), _terms(spark, d)), _terms(spark, d))
+    return retrieval.matching(_t(spark, d, "documents"), _terms(spark, d))
 
 
 @query(f"""WITH {_TERMS2}, ln AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), st AS (SELECT count(*) AS docs, avg(len) AS mean FROM ln), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query, doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 5) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY 1, 2)
 SELECT query, doc_id, score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS n FROM s) WHERE n <= 10""")
 def bm25_topn(spark, d):
-    s = retrieval.bm25(_t(spark, d, "documents"), _terms(spark, d)).withColumn("score", F.round("score", 5))
-    return retrieval.top(s, ["query"], [F.desc("score"), F.col("doc_id")], 10)
+    return retrieval.bm25_top(_t(spark, d, "documents"), _terms(spark, d), 10)
 
 
 _KNN = """qv AS (SELECT vec_id AS query, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
@@ -293,8 +292,7 @@ f AS (SELECT query, doc_id, round(sum(CAST(s AS DOUBLE)), 6) AS score, min(lex)
 SELECT query, doc_id, score, CAST(n AS INTEGER) AS rank, substr(text, 1, 80) AS text FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, lex NULLS LAST, sem NULLS LAST, doc_id) AS n FROM f) LEFT JOIN documents USING (doc_id) WHERE n <= 10""")
 def hybrid_bm25_topn(spark, d):
     docs = _t(spark, d, "documents")
-    ranked = retrieval.bm25(docs, _terms(spark, d)).withColumn("score", F.round("score", 5))
-    lexical = retrieval.top(ranked, ["query"], [F.desc("score"), F.col("doc_id")], 50).drop("score")
+    lexical = retrieval.bm25_top(docs, _terms(spark, d), 50).drop("score")
     semantic = _knn(spark, d).select("query", F.col("vec_id").alias("doc_id"), "rank")
     hits = retrieval.fuse(lexical, semantic, 10).select("query", "doc_id", "score", "rank")
     return retrieval.with_texts(hits, docs, width=80).select("query", "doc_id", "score", "rank", "text")
