@@ -74,25 +74,41 @@ def one_row_each(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.join(again, same, "left_anti").select(key, text).unionByName(joined)
 
 
-def _pieces(batch: pa.RecordBatch, lists: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose lists have some ``TOKENS`` items."""
+def pieces(batch: pa.RecordBatch, lists: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, of ``rows`` rows at most, whose lists have some ``TOKENS`` items."""
     ends = np.cumsum(pc.list_value_length(batch.column(lists)).to_numpy())
     at = 0
     while at < len(ends):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
+        end = min(end, at + rows)
         yield batch.slice(at, end - at)
         at = end
 
 
+def _hits(asked: Asked, key: str, keys: pa.Array, rows: np.ndarray, terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for first, n, _, cells in asked.meet(rows, terms):
+        row, query = np.nonzero(np.bincount(cells, minlength=n * len(asked.queries)).reshape(n, -1) == asked.needed)
+        yield pa.RecordBatch.from_arrays([pa.array(asked.queries, asked.kind).take(pa.array(query)), keys.take(pa.array(first + row))], names=["query", key])
+
+
+def holding(rows: DataFrame, asked: Asked, key: str) -> DataFrame:
+    """query, key: of ``counted`` rows, those that hold all terms of a query."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for b in batches for piece in pieces(b, 1)):
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(1)).to_numpy())
+            yield from _hits(asked, key, batch.column(0), row, batch.column(1).flatten().to_numpy())
+
+    return rows.select(key, "terms").mapInArrow(work, st.StructType([st.StructField("query", asked.spark_kind), rows.schema[key]]))
+
+
 def matched(docs: DataFrame, asked: Asked, key: str, tokens: Column) -> DataFrame:
     """query, key of the documents that hold all terms of a query."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for b in batches for piece in _pieces(b, 1)):
+        for batch in (piece for b in batches for piece in pieces(b, 1)):
             rows, terms, _ = asked.postings(batch.column(1))
-            for first, n, _, cells in asked.meet(rows, terms):
-                row, query = np.nonzero(np.bincount(cells, minlength=n * len(asked.queries)).reshape(n, -1) == asked.needed)
-                yield pa.RecordBatch.from_arrays([pa.array(asked.queries, asked.kind).take(pa.array(query)), batch.column(0).take(pa.array(first + row))], names=["query", key])
+            yield from _hits(asked, key, batch.column(0), rows, terms)
 
     rows = docs.select(key, tokens.alias("tokens"))
     schema = st.StructType([st.StructField("query", asked.spark_kind), rows.schema[key]])
@@ -103,7 +119,7 @@ def counted(docs: DataFrame, asked: Asked, key: str, tokens: Column) -> DataFram
     """key, len, terms, tfs: the asked terms of each document by their numbers, with frequencies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for b in batches for piece in _pieces(b, 1)):
+        for batch in (piece for b in batches for piece in pieces(b, 1)):
             rows, terms, tf = asked.postings(batch.column(1))
             ends = pa.array(np.searchsorted(rows, np.arange(len(batch) + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (terms, tf)]
@@ -113,6 +129,36 @@ def counted(docs: DataFrame, asked: Asked, key: str, tokens: Column) -> DataFram
     return rows.mapInArrow(work, st.StructType([rows.schema[key]]).add("len", st.IntegerType()).add("terms", st.ArrayType(st.IntegerType())).add("tfs", st.ArrayType(st.IntegerType())))
 
 
+def by_document(lists: DataFrame, key: str) -> DataFrame:
+    """key, len, terms, tfs, as ``counted`` gives them, of posting lists (batch, part, no, keys, tfs, lens): a block's lists are brought together, once for all queries."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            of, part = t["batch"].to_numpy(), t["part"].to_numpy()
+            ends = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
+            yield from (t.slice(a, b - a) for a, b in zip(ends, ends[1:], strict=False))
+            rest = t.slice(ends[-1]) if len(t) else rest
+        if rest is not None:
+            yield rest
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in blocks(batches):
+            lists, tf, length = (t[c].combine_chunks() for c in ("keys", "tfs", "lens"))
+            no = np.repeat(t["no"].to_numpy(), pc.list_value_length(lists).to_numpy())
+            keys, first, row = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+            order = np.lexsort((no, row))
+            ends = pa.array(np.searchsorted(row[order], np.arange(len(keys) + 1)), pa.int32())
+            of = [pa.ListArray.from_arrays(ends, pa.array(x[order], pa.int32())) for x in (no, tf.flatten().to_numpy())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, lists.type.value_type), length.flatten().take(pa.array(first)), *of], names=[key, "len", "terms", "tfs"])
+
+    near = lists.select("batch", "part", "no", "keys", "tfs", "lens").repartition("batch", "part").sortWithinPartitions("batch", "part")
+    kind = lists.schema["keys"].dataType.elementType
+    return near.mapInArrow(work, st.StructType([st.StructField(key, kind)]).add("len", st.IntegerType()).add("terms", st.ArrayType(st.IntegerType())).add("tfs", st.ArrayType(st.IntegerType())))
+
+
 def best(rows: DataFrame, asked: Asked, key: str, k: int, digits: int, idf: np.ndarray, mean: float, k1: float, b: float) -> DataFrame:
     """query, key, score: of ``counted`` rows, each task's k best of each query by BM25, scores rounded, ties by key."""
     unit = 10.0**digits
@@ -121,7 +167,7 @@ def best(rows: DataFrame, asked: Asked, key: str, k: int, digits: int, idf: np.n
         many = len(asked.queries)
         least = np.zeros(many)  # the k-th score so far
         kept = (np.empty(0, np.int64), np.empty(0), None)
-        for batch in (piece for x in batches for piece in _pieces(x, 2)):
+        for batch in (piece for x in batches for piece in pieces(x, 2)):
             keys, length = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(2)).to_numpy())
             term, tf = (batch.column(i).flatten().to_numpy() for i in (2, 3))

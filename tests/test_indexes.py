@@ -190,3 +190,18 @@ def test_large_arrays(spark, tmp_path, monkeypatch, indent, most):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_blocks_are_made_where_documents_lie(spark, tmp_path):
+    """No text is shuffled, keys that come again count once, and small blocks are put together by a merge."""
+    index, words = LexicalIndex(spark, str(tmp_path / "index")), spark.range(40).select(F.col("id").alias("doc_id"), F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("words"))
+    made_ = index._blocks(words)
+    assert "Exchange" not in made_._jdf.queryExecution().toString()
+    row = made_.filter("term = 'a'").first()
+    assert row["max_tf"] == 2 and row["min_len"] == 3 and row["n"] == len(row["keys"]) and row["places"][0] == [0, 2]
+    for n in (1, 2):
+        index.append(docs(spark, [(n, "a b"), (n, "a b"), (1, "a c"), (n + 10, "b a")]).repartition(4), n)
+    index.merge()
+    kept = index._read("postings")
+    assert kept.filter("bucket >= 0").select("part").distinct().count() == 1 and kept.filter("term = 'b'").select(F.sort_array("keys")).first()[0] in ([1, 2, 11, 12], [2, 11, 12])
+    assert sorted(r["doc_id"] for r in index._read("docs").collect()) == [1, 2, 11, 12]
