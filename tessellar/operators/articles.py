@@ -17,6 +17,8 @@ from .documents import paragraphs_until
 
 #: Elements whose text isn't the section's.
 ASIDE = ("table-wrap", "fig", "caption")
+#: Articles, and characters of XML, whose parts are held at a time.
+ARTICLES, CHARS = 256, 1 << 20
 SECTION = st.StructType([st.StructField(n, st.StringType()) for n in ("type", "title", "text", "merged")])
 PARTS = (
     st.StructType()
@@ -91,8 +93,16 @@ def parsed(articles: DataFrame, key: str, xml: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([_parts(x) for x in batch.column(2).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found.flatten()], names=schema.names)
+            at = 0
+            while at < len(batch):  # the parts of some articles are held at a time, however many come at once
+                few, size = [], 0
+                while at + len(few) < len(batch) and len(few) < ARTICLES and size < CHARS:
+                    xml = batch.column(2)[at + len(few)].as_py()
+                    few.append(_parts(xml))
+                    size += len(xml or "")
+                found, part = pa.array(few, arrow), batch.slice(at, len(few))
+                at += len(few)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found.flatten()], names=schema.names)
 
     return rows.mapInArrow(work, schema)
 

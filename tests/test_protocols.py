@@ -91,3 +91,11 @@ def test_step_from_odd_texts(spark):
     got = [r["x"] for r in df.collect()]
     assert got[:2] == [None, None] and (got[2]["action"], got[2]["material"], got[2]["condition"]["temp"]) == ("mix", "5 g salt at -4 ° C", "-4°C")
     assert re.match(r"Mix .*\.$", spark.createDataFrame([("Mix salt..",)], "t string").select(protocols.sentence(protocols.from_text(F.col("t")))).first()[0])
+
+
+def test_parts_of_some_articles_are_held_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(articles, "ARTICLES", 3)
+    monkeypatch.setattr(articles, "CHARS", 4000)
+    rows = spark.range(0, 50, 1, 1).select(F.col("id").alias("k"), F.concat(F.lit("<a><article-title>"), F.repeat(F.lit("x "), F.pmod("id", F.lit(7)).cast("int") * 500), F.col("id"), F.lit("</article-title></a>")).alias("xml"))
+    parts = articles.parsed(rows, "k", "xml")
+    assert [r["title"].split()[-1] for r in parts.orderBy("k").collect()] == [str(i) for i in range(50)]
