@@ -259,9 +259,36 @@ def grams(c: Column, n: int = 2, stop: Sequence[str] = lexicon.STOP_WORDS) -> Co
     return F.transform(F.array(words), with_runs)[0]
 
 
+def commonest_grams(texts: DataFrame, features: int, text: str = "text", n: int = 2, buckets: int = 1 << 20) -> DataFrame:
+    """term, all: the commonest words and word runs of all texts by their counts, ties by term.
+
+    Words are counted one by one, runs first by buckets of their hashes only. The count of the last of the commonest words is
+    one that a run must reach, and its bucket with it, so the few buckets that do hold all runs that may be among the commonest.
+    """
+    terms, is_run = texts.select(F.explode(grams(F.col(text), n)).alias("term")), F.contains("term", F.lit(" "))
+    bucket = F.when(is_run, F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    counts = cut(terms.groupBy(F.when(~is_run, F.col("term")).alias("term"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("all")))
+    words = counts.filter("term is not null").orderBy(F.desc("all"), "term").limit(features).select("term", "all")
+    least = words.agg(F.when(F.count(F.lit(1)) == features, F.min("all"))).first()[0] or 0
+    full = counts.filter((F.col("all") >= least) & F.col("bucket").isNotNull()).select("bucket")
+    runs = terms.filter(is_run).withColumn("bucket", bucket).join(small(full), "bucket", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
+    return words.unionByName(runs.filter(F.col("all") >= least)).orderBy(F.desc("all"), "term").limit(features)
+
+
 def keyword_queries(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", features: int = 5000, n: int = 2) -> DataFrame:
-    """key, term, score, rank: the k terms that would ask for a document, of the corpus's commonest words and word pairs."""
-    return weighted_terms(docs, docs.select(key, F.explode(grams(F.col(text), n)).alias("term")), k, key, features)
+    """key, term, score, rank: the k terms that would ask for a document, of the corpus's commonest words and word pairs.
+
+    Terms are found and weighed where their document is, and only counts are shuffled; with more features than can be sent to
+    the tasks, all terms are.
+    """
+    if features > scans.PAIRS:
+        return weighted_terms(docs, docs.select(key, F.explode(grams(F.col(text), n)).alias("term")), k, key, features)
+    asked = scans.gathered(commonest_grams(docs, features, text, n).select(F.lit(0).alias("query"), "term"))
+    rows = cut(scans.one_count_each(scans.counted(docs, asked, key, grams(F.col(text), n)), key))
+    df = np.zeros(len(asked.terms))
+    for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect():  # no more rows than features
+        df[r["term"]] = r["df"]
+    return scans.heaviest(rows, asked, key, k, 6, np.log((1 + docs.count()) / (1 + df)) + 1)
 
 
 def keywords(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", n: int = 2) -> DataFrame:

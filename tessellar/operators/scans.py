@@ -129,6 +129,41 @@ def counted(docs: DataFrame, asked: Asked, key: str, tokens: Column) -> DataFram
     return rows.mapInArrow(work, st.StructType([rows.schema[key]]).add("len", st.IntegerType()).add("terms", st.ArrayType(st.IntegerType())).add("tfs", st.ArrayType(st.IntegerType())))
 
 
+def one_count_each(rows: DataFrame, key: str) -> DataFrame:
+    """``counted`` rows, those of one key added up."""
+    again = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_again")))
+    if again.isEmpty():
+        return rows
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    of = rows.join(again, same, "left_semi")
+    lens = of.groupBy(key).agg(F.sum("len").cast("int").alias("len"))
+    pairs = of.select(key, F.explode_outer(F.arrays_zip("terms", "tfs")).alias("p")).groupBy(key, "p.terms").agg(F.sum("p.tfs").cast("int").alias("tfs"))
+    lists = pairs.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.when(F.col("terms").isNotNull(), F.struct("terms", "tfs")))).alias("p"))
+    added = lens.join(lists, F.col(key).eqNullSafe(F.col("_key"))).select(key, "len", F.col("p.terms").alias("terms"), F.col("p.tfs").alias("tfs"))
+    return rows.join(again, same, "left_anti").unionByName(added)
+
+
+def heaviest(rows: DataFrame, asked: Asked, key: str, k: int, digits: int, idf: np.ndarray) -> DataFrame:
+    """key, term, score, rank: of ``counted`` rows, each row's k terms of highest share in its weights' norm, rounded, ties by term."""
+    unit = 10.0**digits
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(asked.terms, pa.string())
+        for batch in (piece for b in batches for piece in pieces(b, 1)):
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(1)).to_numpy())
+            term, tf = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+            weight = tf * idf[term]
+            norm = np.sqrt(np.bincount(row, weight * weight, len(batch)))
+            score = np.floor(weight / norm[row] * unit + 0.5) / unit
+            order = np.lexsort((term, -score, row))
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            order, rank = order[rank <= k], rank[rank <= k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[order])), words.take(pa.array(term[order])), pa.array(score[order]), pa.array(rank, pa.int32())], names=[key, "term", "score", "rank"])
+
+    kinds = st.StructType([rows.schema[key]]).add("term", st.StringType()).add("score", st.DoubleType()).add("rank", st.IntegerType())
+    return rows.select(key, "terms", "tfs").mapInArrow(work, kinds)
+
+
 def by_document(lists: DataFrame, key: str) -> DataFrame:
     """key, len, terms, tfs, as ``counted`` gives them, of posting lists (batch, part, no, keys, tfs, lens): a block's lists are brought together, once for all queries."""
 

@@ -205,3 +205,25 @@ def test_blocks_are_made_where_documents_lie(spark, tmp_path):
     kept = index._read("postings")
     assert kept.filter("bucket >= 0").select("part").distinct().count() == 1 and kept.filter("term = 'b'").select(F.sort_array("keys")).first()[0] in ([1, 2, 11, 12], [2, 11, 12])
     assert sorted(r["doc_id"] for r in index._read("docs").collect()) == [1, 2, 11, 12]
+
+
+def test_commonest_grams_and_keywords_of_repeated_keys(spark):
+    words = [f"w{i * i % 23}" for i in range(400)]
+    rows = [(k % 7 or None, " ".join(words[k * 5 : k * 5 + k % 40])) for k in range(60)] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of, all_ = {}, Counter()
+    for key, text in rows:
+        w = (text or "").split()
+        of.setdefault(key, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    for c in of.values():
+        all_.update(c)
+    for features in (5, 30, 10_000):
+        first = sorted(all_.items(), key=lambda x: (-x[1], x[0]))[:features]
+        assert sorted(map(tuple, retrieval.commonest_grams(docs, features, buckets=16).collect())) == sorted(first)
+        kept, want = dict(first), []
+        for key, c in of.items():
+            w = {t: tf * (math.log((1 + len(rows)) / (1 + sum(t in o for o in of.values()))) + 1) for t, tf in c.items() if t in kept}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            want += [(key, t, s, i) for i, (s, t) in enumerate(sorted(((round(x / norm, 6), t) for t, x in w.items()), key=lambda x: (-x[0], x[1]))[:4], 1)]
+        got = [tuple(r) for r in retrieval.keyword_queries(docs, 4, features=features).select("doc_id", "term", "score", "rank").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
