@@ -330,10 +330,10 @@ SELECT doc_id, 'Q1_title' AS kind, title AS query FROM c WHERE title <> '' UNION
 def query_candidates(spark, d):
     docs = _t(spark, d, "documents")
     terms = retrieval.keyword_queries(docs, 10).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
-    rows = docs.join(terms, "doc_id", "left").withColumn("terms", F.array_join(F.transform("t", lambda x: x["term"]), " "))
+    known = docs.select("doc_id", "lang", (F.length(T.blank(F.col("text"))) >= 1000).alias("long_enough"))  # texts aren't joined
+    rows = known.join(terms, "doc_id", "left").withColumn("terms", F.array_join(F.transform("t", lambda x: x["term"]), " "))
     title = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("title "), F.col("doc_id")))
-    long_enough = F.length(T.blank(F.col("text"))) >= 1000
-    return rows.select("doc_id", F.explode(retrieval.query_candidates(title, F.col("terms"), F.col("lang"), long_enough)).alias("q")).select("doc_id", "q.kind", "q.query")
+    return rows.select("doc_id", F.explode(retrieval.query_candidates(title, F.col("terms"), F.col("lang"), F.col("long_enough"))).alias("q")).select("doc_id", "q.kind", "q.query")
 
 
 @query("""SELECT doc_id, 'self:' || (CAST(i AS BIGINT) // 1000 + 1) AS evidence, substr(text, CAST(i AS INTEGER) + 1, 300) AS preview FROM documents, LATERAL (SELECT unnest(range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE length(text) END, 1000)) AS i) WHERE coalesce(text, '') <> '' AND i < 3000""")

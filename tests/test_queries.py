@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows at the smallest scale."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -39,3 +40,8 @@ def test_hosts_of_other_names_stay(spark, tmp_path):
     urls = [(1, "https://docs.example.net/a"), (2, "http://Elsewhere.org"), (3, "ftp://x.com/e"), (4, None)]
     spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     assert sorted(tuple(r) for r in QUERIES["url_host_filter"](spark, str(tmp_path)).collect()) == [(1, "docs.example.net"), (2, "elsewhere.org")]
+
+
+def test_candidates_join_no_texts(spark):
+    plan = QUERIES["query_candidates"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Project \[([^\]]*, )?text#\d+[,\]]", plan)
