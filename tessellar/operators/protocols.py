@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon
 from ..functions import text as T
+from ..session import cut
 from . import graph
 
 CONDITION = ("speed", "g", "rpm", "time", "temp")
@@ -32,14 +33,21 @@ def _record(action: Column, material: Column, value: Column | None = None, unit:
 
 def from_text(c: Column, verbs: Sequence[str] = lexicon.VERBS) -> Column:
     """A step from a sentence: a known first word is its action, the rest its material; quantities by patterns. Null for a blank."""
-    t = F.trim(T.blank(c))
-    first = F.regexp_replace(F.lower(F.regexp_extract(t, r"^(\S+)", 1)), r"^[,.]+|[,.]+$", "")
-    known = first.isin(*verbs)
-    rest = T.squeeze(F.regexp_replace(t, r"^\S+", ""))
-    find = lambda pattern, group: _or_null(F.regexp_extract(t, "(?iu)" + pattern, group))
-    condition = {"time": find(lexicon.TIME, 0), "temp": F.replace(find(lexicon.TEMPERATURE, 0), F.lit(" "), F.lit("")), "rpm": find(lexicon.RPM, 1), "g": find(lexicon.GRAVITY, 1)}
-    step = _record(F.when(known, first).otherwise("step"), F.when(known, rest).otherwise(t), find(lexicon.VALUE_UNIT, 1), find(lexicon.VALUE_UNIT, 2), condition)
-    return F.when(t != "", step)
+    find = lambda t, pattern, group: F.regexp_extract(t, "(?iu)" + pattern, group)
+
+    def found(t: Column) -> Column:
+        first = F.regexp_replace(F.lower(F.regexp_extract(t, r"^(\S+)", 1)), r"^[,.]+|[,.]+$", "")
+        parts = {"first": first, "value": find(t, lexicon.VALUE_UNIT, 1), "unit": find(t, lexicon.VALUE_UNIT, 2), "time": find(t, lexicon.TIME, 0), "temp": find(t, lexicon.TEMPERATURE, 0), "rpm": find(t, lexicon.RPM, 1), "g": find(t, lexicon.GRAVITY, 1)}
+        return F.struct(t.alias("text"), *[v.alias(k) for k, v in parts.items()])
+
+    def step(x: Column) -> Column:
+        t, known = x["text"], x["first"].isin(*verbs)
+        rest = T.squeeze(F.regexp_replace(t, r"^\S+", ""))
+        condition = {k: _or_null(x[k]) for k in ("time", "rpm", "g")} | {"temp": F.replace(_or_null(x["temp"]), F.lit(" "), F.lit(""))}
+        return F.when(t != "", _record(F.when(known, x["first"]).otherwise("step"), F.when(known, rest).otherwise(t), _or_null(x["value"]), _or_null(x["unit"]), condition))
+
+    # the text and what is found in it stand in arrays of one, so that they are made once and then known by a name
+    return F.transform(F.transform(F.array(F.trim(T.blank(c))), found), step)[0]
 
 
 def from_json(c: Column) -> tuple[Column, Column]:
@@ -109,8 +117,8 @@ def dependencies(steps: DataFrame, key: str, preparing: Sequence[str] = (), anal
 
 
 def ordered(steps: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """key, idx, pos: the steps in an order that keeps all dependencies."""
-    return graph.topological_order(steps.select(F.col(key).alias("key"), "idx"), edges.withColumnRenamed(key, "key")).withColumnRenamed("key", key)
+    """key, idx, pos: the steps in an order that keeps all dependencies, stored, as plans and names read it more than once."""
+    return cut(graph.topological_order(steps.select(F.col(key).alias("key"), "idx"), edges.withColumnRenamed(key, "key")).withColumnRenamed("key", key))
 
 
 def relabelled(order: DataFrame, edges: DataFrame, key: str) -> DataFrame:

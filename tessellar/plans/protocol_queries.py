@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lexicon
 from ..functions import text as T
 from ..operators import articles, documents, linkage, metrics, protocols, reports, retrieval, selection
+from ..session import cut, spread
 from .queries import TOKENS, _knn, _list, _t, kahn, query
 
 # --- protocol steps: a part is a step, ten parts a protocol ---
@@ -65,11 +67,11 @@ def coercion_counts(spark, d):
 
 
 def _steps(spark, d):
-    s = _sentences(spark, d)
-    low = s.groupBy("protocol").agg(F.min("pos").alias("low"))
-    material = F.regexp_extract("text", r"^\S+ (\S+ \S+)", 1)
-    ir = protocols.from_text(F.col("text")).withField("material", material).withField("depends_on", F.array((F.col("pos") % 10 - 3).cast("int")))
-    return s.join(low, "protocol").select("protocol", (F.col("pos") - F.col("low")).alias("idx"), ir.alias("ir"))
+    """Steps, made once, in as many tasks as there are partitions, and stored with their protocol's steps near them."""
+    s = spread(_sentences(spark, d).filter("protocol is not null"), "protocol")
+    idx = F.col("pos") - F.min("pos").over(Window.partitionBy("protocol"))
+    more = lambda x: x.withField("material", F.regexp_extract("text", r"^\S+ (\S+ \S+)", 1)).withField("depends_on", F.array((F.col("pos") % 10 - 3).cast("int")))
+    return cut(s.select("protocol", idx.alias("idx"), F.transform(F.array(protocols.from_text(F.col("text"))), more)[0].alias("ir")))
 
 
 _PREP, _ANA = _list(lexicon.PREPARING), _list(lexicon.ANALYSING)

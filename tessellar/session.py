@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df``, dealt by columns to as many tasks as the session shuffles to: for rows that are short to read but long to work on."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ import re
 import duckdb
 import pytest
 
+from tessellar.plans import protocol_queries
 from tessellar.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +46,10 @@ def test_hosts_of_other_names_stay(spark, tmp_path):
 def test_candidates_join_no_texts(spark):
     plan = QUERIES["query_candidates"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Project \[([^\]]*, )?text#\d+[,\]]", plan)
+
+
+def test_steps_are_made_once_in_many_tasks(spark):
+    assert protocol_queries._steps(spark, DATA).rdd.getNumPartitions() >= 4
+    for name in ("step_dependencies", "plan_statistics", "plan_rows", "relabelled_edges"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract" not in plan.lower() and "mapinpandas" not in plan.lower()
