@@ -113,7 +113,7 @@ def plan_rows(spark, d):
 @query(f"WITH RECURSIVE {_ORDER} SELECT protocol, 'n' || (a.pos + 1) AS u, 'n' || (b.pos + 1) AS v FROM edg JOIN kp a ON a.key = protocol AND a.idx = u JOIN kp b ON b.key = protocol AND b.idx = v")
 def relabelled_edges(spark, d):
     s = _steps(spark, d)
-    e = protocols.dependencies(s, "protocol")
+    e = cut(protocols.dependencies(s, "protocol"))
     return protocols.relabelled(protocols.ordered(s, e, "protocol"), e, "protocol")
 
 
