@@ -85,8 +85,11 @@ def bm25_top(docs: DataFrame, terms: DataFrame, k: int, digits: int = 5, key: st
 
 
 def tfidf_terms(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The k terms of each document with the highest smoothed, length-normalised tf-idf."""
-    return weighted_terms(docs, docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")), k, key)
+    """The k terms of each document with the highest smoothed, length-normalised tf-idf.
+
+    Terms are counted and weighed in blocks of documents; only blocks' words, not documents' terms, are shuffled by term.
+    """
+    return scans.heaviest_of_all(cut(scans.in_blocks(docs, key, T.tokens(F.col(text)))), key, k, 6, docs.count())
 
 
 def weighted_terms(docs: DataFrame, terms: DataFrame, k: int, key: str, features: int | None = None) -> DataFrame:

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from ..session import cut
 
@@ -145,25 +147,99 @@ def one_count_each(rows: DataFrame, key: str) -> DataFrame:
 
 def heaviest(rows: DataFrame, asked: Asked, key: str, k: int, digits: int, idf: np.ndarray) -> DataFrame:
     """key, term, score, rank: of ``counted`` rows, each row's k terms of highest share in its weights' norm, rounded, ties by term."""
-    unit = 10.0**digits
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = pa.array(asked.terms, pa.string())
         for batch in (piece for b in batches for piece in pieces(b, 1)):
             row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(1)).to_numpy())
             term, tf = (batch.column(i).flatten().to_numpy() for i in (1, 2))
-            weight = tf * idf[term]
-            norm = np.sqrt(np.bincount(row, weight * weight, len(batch)))
-            score = np.floor(weight / norm[row] * unit + 0.5) / unit
-            order = np.lexsort((term, -score, row))
-            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-            order, rank = order[rank <= k], rank[rank <= k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[order])), words.take(pa.array(term[order])), pa.array(score[order]), pa.array(rank, pa.int32())], names=[key, "term", "score", "rank"])
+            row, term, score, rank = _shares(row, term, tf * idf[term], len(batch), k, digits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), words.take(pa.array(term)), pa.array(score), pa.array(rank, pa.int32())], names=[key, "term", "score", "rank"])
 
     kinds = st.StructType([rows.schema[key]]).add("term", st.StringType()).add("score", st.DoubleType()).add("rank", st.IntegerType())
     return rows.select(key, "terms", "tfs").mapInArrow(work, kinds)
 
 
+def _shares(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term, score and rank of each row's k terms of highest share in its weights' norm, rounded, ties by term."""
+    unit = 10.0**digits
+    norm = np.sqrt(np.bincount(row, weight * weight, rows))
+    score = np.floor(weight / norm[row] * unit + 0.5) / unit
+    order = np.lexsort((term, -score, row))
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    order, rank = order[rank <= k], rank[rank <= k]
+    return row[order], term[order], score[order], rank
+
+
+def in_blocks(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """block, keys, words, dfs, ends, terms, tfs: the terms of documents that lie side by side, some ``TOKENS`` of them in a block.
+
+    A block has its own distinct words in order, in how many of its documents each is (dfs), and packed numbers: where each
+    document's terms end, its terms by their numbers in the block, and their frequencies. Rows of one key are one document.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in (piece for b in batches for piece in pieces(b, 1)):
+            keys, lists, given = batch.columns
+            many = pc.list_value_length(lists).to_numpy()
+            if not many.any():
+                continue
+            coded = lists.flatten().dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            cells = np.repeat(np.arange(len(batch)), many) * len(order) + place[coded.indices.to_numpy()]
+            if given.null_count == len(batch):
+                cells, tf = np.unique(cells, return_counts=True)
+            else:
+                times = np.ones(len(cells), np.int64)
+                times[np.repeat(given.is_valid().to_numpy(zero_copy_only=False), many)] = given.flatten().to_numpy()
+                cells, at = np.unique(cells, return_inverse=True)
+                tf = np.bincount(at, times).astype(np.int64)
+            term, ends = cells % len(order), np.searchsorted(cells // len(order), np.arange(len(batch)), "right")
+            numbers = [x.tobytes() for x in (ends.astype(np.int64), term.astype(np.int32), tf.astype(np.min_scalar_type(tf.max())))]
+            one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, coded.dictionary.take(pa.array(order)), pa.array(np.bincount(term, minlength=len(order)), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *one, *(pa.array([x], pa.binary()) for x in numbers)], names=["block", "keys", "words", "dfs", "ends", "terms", "tfs"])
+            block += 1
+
+    again = cut(docs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_again")))
+    alone, rows = F.lit(None).cast("array<long>").alias("tfs"), docs
+    if not again.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_again"))
+        pairs = docs.join(again, same, "left_semi").select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        added = pairs.groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("p")).select(key, F.col("p.term").alias("tokens"), F.col("p.tf").alias("tfs"))
+        rows = docs.join(again, same, "left_anti").select(key, tokens.alias("tokens"), alone).unionByName(added)
+    else:
+        rows = docs.select(key, tokens.alias("tokens"), alone)
+    kind = rows.schema[key].dataType
+    lists = st.StructType().add("block", st.LongType()).add("keys", st.ArrayType(kind)).add("words", st.ArrayType(st.StringType())).add("dfs", st.ArrayType(st.LongType()))
+    return rows.mapInArrow(work, lists.add("ends", st.BinaryType()).add("terms", st.BinaryType()).add("tfs", st.BinaryType()))
+
+
+def heaviest_of_all(blocks: DataFrame, key: str, k: int, digits: int, many: int) -> DataFrame:
+    """key, term, score, rank: of ``in_blocks`` of ``many`` rows, each document's k terms of highest tf-idf, as ``heaviest`` has them.
+
+    Only the words of blocks are shuffled by word, to add up their documents; their sums come back to the block.
+    """
+
+    def work(block: pa.Table, sums: pa.Table) -> pa.Table:
+        keys, words = (block[c].combine_chunks().flatten() for c in ("keys", "words"))
+        ends, term, tf = (block[c][0].as_buffer() for c in ("ends", "terms", "tfs"))
+        ends, term = np.frombuffer(ends, np.int64), np.frombuffer(term, np.int32)
+        tf = np.frombuffer(tf, f"u{tf.size // len(term)}")
+        idf = np.empty(len(words))
+        idf[sums["no"].to_numpy()] = np.log((1 + many) / (1 + sums["df"].to_numpy())) + 1
+        row = np.repeat(np.arange(len(keys)), np.diff(ends, prepend=0))
+        row, term, score, rank = _shares(row, term, tf * idf[term], len(keys), k, digits)
+        return pa.table([keys.take(pa.array(row)), words.take(pa.array(term)), pa.array(score), pa.array(rank, pa.int32())], names=[key, "term", "score", "rank"])
+
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "dfs")).alias("no", "word"))
+    sums = words.select("block", "no", F.sum("word.dfs").over(Window.partitionBy("word.words")).alias("df"))
+    kinds = st.StructType().add(key, blocks.schema["keys"].dataType.elementType).add("term", st.StringType()).add("score", st.DoubleType()).add("rank", st.IntegerType())
+    return blocks.drop("dfs").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(work, kinds)
+
+
 def by_document(lists: DataFrame, key: str) -> DataFrame:
     """key, len, terms, tfs, as ``counted`` gives them, of posting lists (batch, part, no, keys, tfs, lens): a block's lists are brought together, once for all queries."""
 
