@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 
 def category_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (key, u, v) between steps u < v whose category comes earlier."""
-    b = nodes.select("key", F.col("idx").alias("v"), F.col("cat").alias("cat_v"))
-    return nodes.join(b, "key").filter("idx < v and cat < cat_v").select("key", F.col("idx").alias("u"), "v").distinct()
+    """Edges (key, u, v) between steps u < v whose category comes earlier; a step that is repeated is paired once."""
+    a = nodes.select("key", F.col("idx").alias("u"), "cat").repartition("key").distinct()
+    b = a.select("key", F.col("u").alias("v"), F.col("cat").alias("cat_v"))
+    return a.join(b, "key").filter("u < v and cat < cat_v").select("key", "u", "v").distinct()
 
 
 def material_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (key, u, v) from a step that makes a material to a later or earlier step that uses it; no loops."""
-    made = nodes.select("key", F.col("idx").alias("u"), F.explode("outputs").alias("m")).withColumn("m", F.lower(F.trim("m")))
-    used = nodes.select("key", F.col("idx").alias("v"), F.explode("inputs").alias("m")).withColumn("m", F.lower(F.trim("m")))
-    return made.join(used, ["key", "m"]).filter("u <> v").select("key", "u", "v").distinct()
+    """Edges (key, u, v) from a step that makes a material to a later or earlier step that uses it; no loops, repeated steps once."""
+    of = lambda c, idx: nodes.select("key", F.col("idx").alias(idx), F.explode(F.transform(c, lambda m: F.lower(F.trim(m)))).alias("m")).repartition("key", "m").distinct()
+    return of("outputs", "u").join(of("inputs", "v"), ["key", "m"]).filter("u <> v").select("key", "u", "v").distinct()
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:

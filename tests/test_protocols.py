@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import lexicon
 from tessellar.functions import text as T
-from tessellar.operators import articles, protocols, retrieval
+from tessellar.operators import articles, graph, protocols, retrieval
 
 VERBS = ["Prepare", "Mix", "Add", "Measure", "Wash", "Read", "Incubate", "Do"]
 
@@ -59,6 +59,28 @@ def test_plans(spark):
         assert named.get(k, set()) == edges_of
 
 
+def test_repeated_steps_are_paired_once(spark):
+    nodes = spark.range(3000).select((F.col("id") % 2).alias("key"), (F.col("id") % 6).alias("idx"), (F.col("id") % 3).alias("cat"), F.array(F.lit(" Agar")).alias("outputs"), F.array(F.lit("agar")).alias("inputs"))
+    pairs = {(k, u, v) for k in (0, 1) for u in range(k, 6, 2) for v in range(k, 6, 2) if u != v}
+    wanted = {"category_edges": {(k, u, v) for k, u, v in pairs if u < v and u % 3 < v % 3}, "material_edges": pairs}
+    for name, want in wanted.items():
+        edges = getattr(graph, name)(nodes)
+        assert sorted(tuple(r) for r in edges.collect()) == sorted(want)
+        assert max(made_by_joins(edges)) <= 18, name
+
+
+def made_by_joins(df):
+    """Rows out of each join that a DataFrame's collected plan had."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName():
+            found.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else []
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
 def test_empty_and_odd_articles(spark):
     rows = [(1, None), (2, ""), (3, "<a>"), (4, "<a/>"), (5, "<a><body><sec><title>Methods</title><p>" + "x " * 90 + "</p></sec></body></a>"), (6, f"<a><!-- {lexicon.BLOCKED.upper()} --></a>")]
     parts = articles.parsed(spark.createDataFrame(rows, "k long, xml string"), "k", "xml")
