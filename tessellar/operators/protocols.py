@@ -118,7 +118,7 @@ def dependencies(steps: DataFrame, key: str, preparing: Sequence[str] = (), anal
 
 def ordered(steps: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """key, idx, pos: the steps in an order that keeps all dependencies, stored, as plans and names read it more than once."""
-    return cut(graph.topological_order(steps.select(F.col(key).alias("key"), "idx"), edges.withColumnRenamed(key, "key")).withColumnRenamed("key", key))
+    return cut(graph.topological_order(steps.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), "idx"), edges.withColumnRenamed(key, "key")).withColumnRenamed("key", key))
 
 
 def relabelled(order: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -176,14 +176,15 @@ def plan(steps: DataFrame, order: DataFrame, protocols: DataFrame, key: str) ->
 
 
 def statistics(protocols: DataFrame, steps: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Per protocol: steps, edges, steps without quantity or condition, and the share of those with."""
+    """Per protocol, one without a key included: steps, edges, steps without quantity or condition, and the share of those with."""
     c = F.col("ir.condition")
     valued = F.col("ir.value").isNotNull() | F.greatest(*[T.filled(c[k]) for k in CONDITION])
-    of_steps = steps.groupBy(key).agg(F.count(F.lit(1)).alias("num_ir"), F.count_if(valued).alias("valued"))
-    of_edges = edges.groupBy(key).agg(F.count(F.lit(1)).alias("num_edges"))
-    n, with_values = F.coalesce("num_ir", F.lit(0)), F.coalesce("valued", F.lit(0))
-    share = F.round(with_values / F.greatest(n, F.lit(1)), 4)
-    return protocols.select(key).distinct().join(of_steps, key, "left").join(of_edges, key, "left").select(key, n.alias("num_ir"), F.coalesce("num_edges", F.lit(0)).alias("num_edges"), (n - with_values).alias("unresolved"), share.alias("pct_with_values"))
+    counted = lambda df, **of: df.select(key, *[of.get(c, F.lit(0)).cast("long").alias(c) for c in ("asked", "n", "valued", "edges")])
+    one = F.lit(1)
+    rows = counted(protocols, asked=one).unionByName(counted(steps, n=one, valued=valued)).unionByName(counted(edges, edges=one))
+    sums = rows.groupBy(key).agg(F.max("asked").alias("asked"), F.sum("n").alias("num_ir"), F.sum("valued").alias("valued"), F.sum("edges").alias("num_edges")).filter("asked = 1")
+    share = F.round(F.col("valued") / F.greatest("num_ir", F.lit(1)), 4)
+    return sums.select(key, "num_ir", "num_edges", (F.col("num_ir") - F.col("valued")).alias("unresolved"), share.alias("pct_with_values"))
 
 
 def hierarchy(materials: Column, solutions: Column, steps: Column) -> Column:

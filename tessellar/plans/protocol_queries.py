@@ -68,7 +68,7 @@ def coercion_counts(spark, d):
 
 def _steps(spark, d):
     """Steps, made once, in as many tasks as there are partitions, and stored with their protocol's steps near them."""
-    s = spread(_sentences(spark, d).filter("protocol is not null"), "protocol")
+    s = spread(_sentences(spark, d), "protocol")
     idx = F.col("pos") - F.min("pos").over(Window.partitionBy("protocol"))
     more = lambda x: x.withField("material", F.regexp_extract("text", r"^\S+ (\S+ \S+)", 1)).withField("depends_on", F.array((F.col("pos") % 10 - 3).cast("int")))
     return cut(s.select("protocol", idx.alias("idx"), F.transform(F.array(protocols.from_text(F.col("text"))), more)[0].alias("ir")))

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessellar.plans import protocol_queries
 from tessellar.plans.queries import ORACLES, QUERIES
@@ -48,6 +49,20 @@ def test_candidates_join_no_texts(spark):
     assert not re.search(r"Project \[([^\]]*, )?text#\d+[,\]]", plan)
 
 
+def test_plan_statistics_of_repeated_and_keyless_parts(spark, tmp_path):
+    part = spark.read.parquet(f"{DATA}/part.parquet").filter("p_partkey < 40")
+    odd = part.limit(7).withColumn("p_partkey", F.lit(None).cast("long"))
+    part.unionByName(part.filter("p_partkey % 3 = 0")).unionByName(odd).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("plan_statistics", "step_dependencies"):
+        got, want = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLES[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.fetchall()))
+    joins = QUERIES["plan_statistics"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins <= QUERIES["step_dependencies"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
 def test_steps_are_made_once_in_many_tasks(spark):
     assert protocol_queries._steps(spark, DATA).rdd.getNumPartitions() >= 4
     for name in ("step_dependencies", "plan_statistics", "plan_rows", "relabelled_edges"):
